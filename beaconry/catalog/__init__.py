@@ -2,6 +2,6 @@
 
 
 def modules():
-    from beaconry.catalog import log_queries
+    from beaconry.catalog import log_queries, metric_queries, trace_queries
 
-    return [log_queries]
+    return [log_queries, metric_queries, trace_queries]

@@ -5,9 +5,11 @@ window runs per (key, slice), the per-slice summaries (a handful of rows per key
 combined in a second, tiny window, and joined back. The result is exact.
 """
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from beaconry.functions.times import bucket_start
+from beaconry.plans.lineage import cut
+from beaconry.plans.sizing import broadcast_if_small
 
 
 def _sliced(df: DataFrame, ts: str, slice_s: int) -> DataFrame:
@@ -59,3 +61,41 @@ def previous_row(df: DataFrame, keys: list[str], ts: str, order: list[str], colu
     joined = joined.withColumn("_before", before)
     named = {f"{prefix}{c}": F.col("_before").getField(c) for c in columns}
     return joined.withColumns(named).drop("_before", "_lag", "_first", "_carry", "_slice")
+
+
+def preceding_min(df: DataFrame, keys: list[str], ts: str, order: list, value: str, out: str,
+                  slice_s: int = 60) -> DataFrame:
+    """Minimum of ``value`` over the rows before each row, per key, latest ``ts`` first.
+
+    ``order`` starts with ``ts`` descending; the first row of a key gets NULL.
+    """
+    sliced = _sliced(df, ts, slice_s)
+    group = [*keys, "_slice"]
+    per_slice = sliced.groupBy(*group).agg(F.min(value).alias("_min"))
+    later = Window.partitionBy(*keys).orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_slice.withColumn("_before", F.min("_min").over(later)).drop("_min")
+    inside = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    local = sliced.withColumn(out, F.min(value).over(inside))
+    joined = _null_safe(local, _renamed(offsets, group), group)
+    return joined.withColumn(out, F.least(out, "_before")).drop("_before", "_slice")
+
+
+def position_in_group(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
+    """0-based position of each row in its group, for groups of any size.
+
+    Rows are range-partitioned by (keys, order), so a large group spans many tasks; the
+    row counts per (group, partition) give each task its offset.
+    """
+    ranged = (
+        df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+        .withColumn("_part", F.spark_partition_id())
+        .withColumn("_pos", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    )
+    fixed = cut(ranged)
+    counts = fixed.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_first"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    joined = fixed.join(broadcast_if_small(offsets), [*keys, "_part"])
+    return joined.withColumn(out, F.col("_pos") - F.col("_first") + F.col("_before")).drop(
+        "_part", "_pos", "_first", "_before"
+    )
