@@ -255,4 +255,6 @@ def oracle(tables: str, body: str) -> str:
         names += [n for n in [*_NEEDS.get(name, []), name] if n not in names]
     ctes = ",\n".join(f"{n} AS ({ORACLE_TABLES[n]})" for n in names)
     body = body.strip()
+    if not names:
+        return body
     return f"WITH {ctes}{', ' + body[1:] if body.startswith('+') else chr(10) + body}"
