@@ -5,11 +5,14 @@ and a ``Condition`` struct (see ``schemas.LOG_FILTER``; ``with_condition`` decod
 JSON text). Rules are a small control table; logs are scanned once for all of them.
 """
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from beaconry.functions.times import add_seconds, ntz, seconds_between
-from beaconry.operators.filters import LOG_BAGS, as_datetime
+from beaconry.operators.filters import LOG_BAGS, as_datetime, time_bound
 from beaconry.plans.grouped import map_groups
+from beaconry.plans.lineage import cut
 from beaconry.plans.sizing import broadcast_if_small
 from beaconry.schemas import LOG_FILTER
 
@@ -48,9 +51,18 @@ def condition(services=None, **predicates) -> Column:
     return F.struct(*[value(given.get(f.name)).cast(f.dataType).alias(f.name) for f in LOG_FILTER.fields])
 
 
-def _matching(logs: DataFrame, rules: DataFrame, frm, to) -> DataFrame:
+def _usable(rules: DataFrame) -> DataFrame:
+    """Rules with a decodable condition, materialized once: several small jobs read them."""
+    return cut(rules.where(F.col("Condition").isNotNull()).withColumns({
+        "_condition": F.md5(F.to_json("Condition").cast("binary")), "_w": F.col("WindowSeconds").cast("bigint")
+    }))
+
+
+def _matching(logs: DataFrame, rules: DataFrame, start, to) -> DataFrame:
     """(``_condition``, Timestamp) for every log and distinct condition it satisfies.
 
+    Reads the logs from the longest window before ``start`` up to ``to``.
+
     Conditions are joined to the logs on the service name, so that with the measured
     broadcast below the logs are neither shuffled nor multiplied by unrelated rules.
     Predicates that no rule uses are left out, and with them the columns they would read.
@@ -58,17 +70,19 @@ def _matching(logs: DataFrame, rules: DataFrame, frm, to) -> DataFrame:
     c = F.col("Condition")
     text = lambda f: F.coalesce(c[f], F.lit("")) != ""
     listed = lambda f: F.coalesce(F.size(c[f]), F.lit(0)) > 0
-    used = rules.where(c.isNotNull()).agg(
+    used = rules.agg(
+        F.coalesce(F.max("_w"), F.lit(0)).alias("longest"),
         F.coalesce(F.bool_or(~listed("services")), F.lit(False)).alias("any_service"),
         *[F.coalesce(F.bool_or(text(f)), F.lit(False)).alias(f) for f in ("traceId", "spanId", "patternId", "search")],
         *[F.coalesce(F.bool_or(listed(f)), F.lit(False)).alias(f) for f in ("severityNumbers", "attributes")],
     ).head()
     conditions = (
-        rules.where(c.isNotNull()).select(F.to_json("Condition").alias("_condition"), "Condition").dropDuplicates(["_condition"])
+        rules.select("_condition", "Condition").dropDuplicates(["_condition"])
         .withColumn("_scope", F.explode(F.when(listed("services"), F.array_distinct(c["services"])).otherwise(F.array(F.lit(ANY_SERVICE)))))
     )
     scope = F.explode(F.array("ServiceName", F.lit(ANY_SERVICE))) if used["any_service"] else F.col("ServiceName")
-    bounded = logs.where((F.col("Timestamp") >= ntz(frm)) & (F.col("Timestamp") < ntz(to))).withColumn("_scope", scope)
+    frm = start - dt.timedelta(seconds=used["longest"])
+    bounded = time_bound(logs, "Timestamp", frm, to).withColumn("_scope", scope)
     joined = bounded.join(broadcast_if_small(conditions), "_scope")
     for field, column in (("traceId", "TraceId"), ("spanId", "SpanId"), ("patternId", "PatternId")):
         if used[field]:
@@ -98,16 +112,12 @@ def count_matching(rules: DataFrame, logs: DataFrame, now) -> DataFrame:
     Logs are counted per (condition, whole seconds before now); every rule then reads the
     running total at its own window. Rules with an undecodable condition are left out.
     """
-    rules = rules.where(F.col("Condition").isNotNull())
-    longest = rules.agg(F.max("WindowSeconds")).head()[0] or 0
-    now = as_datetime(now)
-    frm = ntz(now) - F.make_dt_interval(secs=F.lit(longest))
-    matched = _matching(logs, rules, frm, now)
+    keyed, now = _usable(rules), as_datetime(now)
+    matched = _matching(logs, keyed, now, now)
     # ts >= now - w  <=>  ceil(now - ts) <= w, for whole-second windows.
     age = F.ceil(seconds_between(F.col("Timestamp"), ntz(now))).cast("bigint")
     ages = matched.groupBy("_condition", age.alias("_age")).agg(F.count(F.lit(1)).alias("_n"))
-    keyed = rules.withColumn("_condition", F.to_json("Condition"))
-    points = keyed.select("_condition", F.col("WindowSeconds").cast("bigint").alias("_age")).distinct()
+    points = keyed.select("_condition", F.col("_w").alias("_age")).distinct()
     both = ages.withColumn("_ask", F.lit(False)).unionByName(
         points.withColumns({"_n": F.lit(0).cast("bigint"), "_ask": F.lit(True)})
     )
@@ -117,7 +127,6 @@ def count_matching(rules: DataFrame, logs: DataFrame, now) -> DataFrame:
         both.withColumn("ObservedCount", F.sum("_n").over(until)).where("_ask")
         .select("_condition", F.col("_age").alias("_w"), "ObservedCount")
     )
-    keyed = keyed.withColumn("_w", F.col("WindowSeconds").cast("bigint"))
     return keyed.join(totals, ["_condition", "_w"], "left").drop("_condition", "_w").withColumn(
         "ObservedCount", F.coalesce("ObservedCount", F.lit(0).cast("bigint"))
     )
@@ -192,14 +201,12 @@ def _tick_counts(rules: DataFrame, logs: DataFrame, start, end, poll_s: int, tic
     once the window no longer reaches back to s. Both edges are aggregated per tick before
     they meet the rules' windows, so the size depends on ticks and rules, not on logs.
     """
-    longest = rules.agg(F.max("WindowSeconds")).head()[0] or 0
-    frm = ntz(start) - F.make_dt_interval(secs=F.lit(longest))
-    matched = _matching(logs, rules, frm, end)
+    matched = _matching(logs, rules, start, end)
     second = F.floor(seconds_between(ntz(start), F.col("Timestamp"))).cast("bigint")
     poll = F.lit(poll_s).cast("bigint")
     floor_div = lambda c: F.floor(c / poll).cast("bigint")
     per_second = matched.groupBy("_condition", second.alias("s")).agg(F.count(F.lit(1)).alias("n"))
-    pairs = rules.select(F.to_json("Condition").alias("_condition"), F.col("WindowSeconds").cast("bigint").alias("_w")).distinct()
+    pairs = rules.select("_condition", "_w").distinct()
     pairs = pairs.withColumn("_r", F.col("_w") % poll)
     entering = per_second.groupBy("_condition", (floor_div(F.col("s")) + 1).alias("k")).agg(F.sum("n").alias("n"))
     leaving = (
@@ -231,9 +238,8 @@ def backtest_alerts(rules: DataFrame, logs: DataFrame, start, end, poll_s: int =
     """
     start, end = as_datetime(start), as_datetime(end)
     ticks = max(0, -(-int((end - start).total_seconds()) // poll_s))
-    rules = rules.where(F.col("Condition").isNotNull())
-    stretches = _tick_counts(rules, logs, start, end, poll_s, ticks)
-    keyed = rules.withColumns({"_condition": F.to_json("Condition"), "_w": F.col("WindowSeconds").cast("bigint")})
+    keyed = _usable(rules)
+    stretches = _tick_counts(keyed, logs, start, end, poll_s, ticks)
     breached = keyed.join(stretches, ["_condition", "_w"]).where(is_breached())
     schema = T.StructType([
         *[rules.schema[c] for c in ("Id", "Name", "ThresholdComparator", "ThresholdCount", "WindowSeconds")],
