@@ -3,18 +3,21 @@
 from pyspark.sql import Column, functions as F
 
 
-def invariant_double(d: Column) -> Column:
-    """Shortest round-trip text: plain between 1e-5 and 1e15, else like ``1.5E+17``, ``1E-05``."""
-    size = F.abs(d)
-    text = d.cast("string")
-    plain = F.regexp_replace(text.try_cast("decimal(38,22)").cast("string"), r"\.?0+$", "")
-    mantissa = F.regexp_replace(F.regexp_extract(text, r"^(-?[0-9.]+)E", 1), r"\.0$", "")
-    exponent = F.regexp_extract(text, r"E(-?[0-9]+)$", 1).try_cast("int")
-    sign = F.when(exponent < 0, "-").otherwise("+")
-    digits = F.abs(exponent).cast("string")
-    scientific = F.concat(mantissa, F.lit("E"), sign, F.when(F.length(digits) < 2, F.lpad(digits, 2, "0")).otherwise(digits))
-    special = F.isnan(d) | (size == float("inf"))
+def invariant_double_sql(value: str, name: str = "t") -> str:
+    """SQL of the shortest round-trip text of a double: plain for exponents -5..14, else
+    like ``1.5E+17`` or ``2E-10``. ``name`` is a lambda variable free in ``value``."""
+    t = name
+    exponent = f"cast(regexp_extract({t}, 'E(-?[0-9]+)$', 1) as int)"
+    digits = f"regexp_extract({t}, 'E-?([0-9]+)$', 1)"
     return (
-        F.when(special, text).when(size == 0, F.when(text.startswith("-"), "-0").otherwise("0"))
-        .when((size >= 1e-5) & (size < 1e15), plain).otherwise(scientific)
+        f"element_at(transform(array(cast(try_cast({value} as double) as string)), {t} -> CASE "
+        f"WHEN {t} NOT LIKE '%E%' THEN regexp_replace({t}, '[.]0$', '') "
+        f"WHEN {exponent} BETWEEN -5 AND 14 THEN "
+        f"regexp_replace(cast(try_cast({t} as decimal(38,22)) as string), '[.]?0+$', '') "
+        f"ELSE concat(regexp_replace(regexp_extract({t}, '^(-?[0-9.]+)E', 1), '[.]0$', ''), "
+        f"IF({t} LIKE '%E-%', 'E-', 'E+'), lpad({digits}, greatest(2, length({digits})), '0')) END), 1)"
     )
+
+
+def invariant_double(column: str) -> Column:
+    return F.expr(invariant_double_sql(column))

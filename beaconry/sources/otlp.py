@@ -9,8 +9,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from beaconry import schemas
-from beaconry.functions.columns import as_column
-from beaconry.functions.numbers import invariant_double
+from beaconry.functions.numbers import invariant_double_sql
 from beaconry.functions.times import from_unix_nano
 
 # Nesting of attribute values that is decoded; deeper values stay JSON text.
@@ -85,36 +84,52 @@ def enum_number(text: Column, names: list[str]) -> Column:
     return F.coalesce(text.try_cast("int"), F.greatest(by_name, F.lit(0)), F.lit(0))
 
 
-def value_text(value: Column, depth: int = VALUE_DEPTH) -> Column:
-    """Text of one typed value; NULL for an unset one."""
-    scalar = (
-        F.when(value["stringValue"].isNotNull(), value["stringValue"])
-        .when(value["boolValue"].isNotNull(), F.when(value["boolValue"], "true").otherwise("false"))
-        .when(value["intValue"].isNotNull(), value["intValue"])
-        .when(value["doubleValue"].isNotNull(), invariant_double(value["doubleValue"].try_cast("double")))
-        .when(value["bytesValue"].isNotNull(), value["bytesValue"])
+def value_sql(value: str, depth: int = VALUE_DEPTH) -> str:
+    """SQL for the text of one typed value; NULL for an unset one.
+
+    Arrays read ``[a,b]`` and key-value lists ``{k=v}``; both are walked by one expression
+    per level, which keeps the plan small.
+    """
+    d = f"{depth}"
+    scalars = (
+        f"{value}.stringValue, cast({value}.boolValue as string), {value}.intValue, "
+        f"{invariant_double_sql(f'{value}.doubleValue', 't' + d)}, {value}.bytesValue"
     )
-    array, kvlist = value["arrayValue"], value["kvlistValue"]
     if depth == 1:
-        return scalar.when(array.isNotNull(), array).when(kvlist.isNotNull(), kvlist)
-    inner = lambda v: F.coalesce(value_text(v, depth - 1), F.lit(""))
-    items = F.transform(array["values"], inner)
-    pairs = F.transform(kvlist["values"], lambda kv: F.concat(kv["key"], F.lit("="), inner(kv["value"])))
-    wrapped = lambda left, parts, right: F.concat(F.lit(left), F.coalesce(F.array_join(parts, ","), F.lit("")), F.lit(right))
-    return scalar.when(array.isNotNull(), wrapped("[", items, "]")).when(kvlist.isNotNull(), wrapped("{", pairs, "}"))
-
-
-def flatten_attributes(attributes) -> Column:
-    """Typed attribute list to a string map: unset values dropped, the last duplicate wins."""
-    listed = F.transform(
-        as_column(attributes),
-        lambda a: F.named_struct(F.lit("key"), a["key"], F.lit("value"), value_text(a["value"])),
+        return f"coalesce({scalars}, {value}.arrayValue, {value}.kvlistValue)"
+    items = (
+        f"coalesce(transform({value}.arrayValue.values, a{d} -> named_struct('key', '', 'value', a{d})), "
+        f"transform({value}.kvlistValue.values, k{d} -> named_struct('key', concat(k{d}.key, '='), 'value', k{d}.value)))"
+    )
+    inner = value_sql(f"i{d}.value", depth - 1)
+    joined = f"coalesce(array_join(transform({items}, i{d} -> concat(i{d}.key, coalesce({inner}, ''))), ','), '')"
+    nested = (
+        f"IF({value}.arrayValue IS NULL AND {value}.kvlistValue IS NULL, NULL, concat("
+        f"IF({value}.arrayValue IS NULL, '{{', '['), {joined}, IF({value}.arrayValue IS NULL, '}}', ']')))"
+    )
+    return f"coalesce({scalars}, {nested})"
+
+
+def value_text(value: str) -> Column:
+    return F.expr(value_sql(value))
+
+
+def flatten_sql(attributes: str) -> str:
+    """SQL for a typed attribute list as string map: unset values dropped, the last duplicate wins."""
+    entries = (
+        f"filter(transform({attributes}, a -> named_struct('key', a.key, 'value', {value_sql('a.value')})), "
+        "e -> e.key IS NOT NULL AND e.value IS NOT NULL)"
+    )
+    # The one-element array names the entries, so that they are written once in the plan.
+    last = (
+        f"element_at(transform(array({entries}), es -> filter(es, (e, i) -> "
+        "NOT exists(slice(es, i + 2, size(es)), later -> later.key = e.key))), 1)"
     )
-    entries = F.filter(listed, lambda e: e["key"].isNotNull() & e["value"].isNotNull())
-    keys = F.transform(entries, lambda e: e["key"])
-    last = F.filter(entries, lambda e, i: F.coalesce(
-        F.array_position(F.slice(keys, i + 2, F.size(keys)), e["key"]) == 0, F.lit(True)))
-    return F.coalesce(F.map_from_entries(last), F.create_map().cast("map<string,string>"))
+    return f"coalesce(map_from_entries({last}), cast(map() as map<string,string>))"
+
+
+def flatten_attributes(attributes: str) -> Column:
+    return F.expr(flatten_sql(attributes))
 
 
 def _nano(text: Column) -> Column:
@@ -161,7 +176,7 @@ def otlp_logs(requests: DataFrame, column: str = "value", id_encoding: str = "he
         hex_id(r("r.traceId"), id_encoding).alias("TraceId"), hex_id(r("r.spanId"), id_encoding).alias("SpanId"),
         F.coalesce(r("r.flags").try_cast("bigint"), F.lit(0)).bitwiseAND(F.lit(0xFF)).cast("int").alias("TraceFlags"),
         _text(r("r.severityText")).alias("SeverityText"), enum_number(r("r.severityNumber"), SEVERITY_NAMES).alias("SeverityNumber"),
-        "ServiceName", _text(value_text(r("r.body"))).alias("Body"), "ResourceSchemaUrl", "ResourceAttributes",
+        "ServiceName", _text(value_text("r.body")).alias("Body"), "ResourceSchemaUrl", "ResourceAttributes",
         "ScopeSchemaUrl", "ScopeName", "ScopeVersion", "ScopeAttributes",
         flatten_attributes("r.attributes").alias("LogAttributes"), _text(r("r.eventName")).alias("EventName"),
         F.uuid().alias("EventId"), F.lit("").alias("PatternId"), F.lit("").alias("PatternTemplate"),
@@ -173,10 +188,11 @@ def otlp_spans(requests: DataFrame, column: str = "value", id_encoding: str = "h
     r = F.col
     start, end = _nano(r("r.startTimeUnixNano")), _nano(r("r.endTimeUnixNano"))
     code = enum_number(r("r.status.code"), STATUS_CODES)
-    events = F.transform("r.events", lambda e: F.named_struct(
-        F.lit("Timestamp"), from_unix_nano(_nano(e["timeUnixNano"])), F.lit("Name"), _text(e["name"]),
-        F.lit("Attributes"), flatten_attributes(e["attributes"]),
-    )).cast(schemas.SPANS["Events"].dataType)
+    events = F.expr(
+        "transform(r.events, ev -> named_struct('Timestamp', timestampadd(MICROSECOND, "
+        "coalesce(try_cast(ev.timeUnixNano as bigint), 0L) div 1000, TIMESTAMP_NTZ'1970-01-01 00:00:00'), "
+        f"'Name', coalesce(ev.name, ''), 'Attributes', {flatten_sql('ev.attributes')}))"
+    )
     events = F.coalesce(events, F.array().cast(schemas.SPANS["Events"].dataType))
     return _expanded(requests, column, SPAN_REQUEST).select(
         hex_id(r("r.traceId"), id_encoding).alias("TraceId"), hex_id(r("r.spanId"), id_encoding).alias("SpanId"),
