@@ -19,8 +19,18 @@ def _events(spark, sf_dir):
     return read(spark, sf_dir, "events")
 
 
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as a file stream."""
+    schema = read(spark, sf_dir, "events").schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet")
+
+
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _events(spark, sf_dir).selectExpr(
+    return logs_of(_events(spark, sf_dir))
+
+
+def logs_of(events: DataFrame) -> DataFrame:
+    return events.selectExpr(
         "event_id AS EventId", "ts AS Timestamp", "ts AS ObservedTimestamp",
         "md5(CAST(event_id DIV 8 AS STRING)) AS TraceId",
         "substr(md5(CAST(event_id AS STRING)),1,16) AS SpanId",
@@ -164,7 +174,11 @@ FROM (SELECT concat('svc-', user_id % 10) AS ServiceName, event_type, date_trunc
 
 
 def ingest_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _events(spark, sf_dir).selectExpr(
+    return ingest_requests_of(_events(spark, sf_dir))
+
+
+def ingest_requests_of(events: DataFrame) -> DataFrame:
+    return events.selectExpr(
         "event_id AS RequestId", "ts AS ReceivedAt",
         "CASE event_id % 3 WHEN 0 THEN 'Logs' WHEN 1 THEN 'Traces' ELSE 'Metrics' END AS Signal",
         "CASE (event_id DIV 3) % 3 WHEN 0 THEN 'Grpc' WHEN 1 THEN 'Http' ELSE 'Scrape' END AS Protocol",

@@ -1,6 +1,13 @@
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 
 def as_column(value) -> Column:
     """A column name or a column, as a column."""
     return F.col(value) if isinstance(value, str) else value
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), 0)

@@ -10,6 +10,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, functions as F
 
 from beaconry.functions.attributes import NUMBER_PATTERN, sorted_map
+from beaconry.functions.columns import let
 from beaconry.functions.times import from_unix_milli
 
 # Possessive groups: a line either fits from left to right or is malformed.
@@ -19,6 +20,7 @@ _PAIR = rf"{_KEY}\s*+=\s*+{_QUOTED}"
 _UNGROUPED_PAIR = _PAIR.replace("((?>", "(?:(?>").replace("([^=", "(?:[^=")
 _LABELS = rf"\{{[\s,]*+(?:{_UNGROUPED_PAIR}[\s,]*+)*+\}}"
 SAMPLE_LINE = rf"^([^{{\s]++)({_LABELS})?\s*+(\S++)(?:\s++([+-]?[0-9]++))?\s*+$"
+SUFFIX = r"_(bucket|sum|count)$"
 DIRECTIVE_LINE = r"^#\s*(TYPE|HELP) \s*([^ ]+) (.*)$"
 # Declared metric types; anything else reads as untyped.
 METRIC_TYPES = ("counter", "gauge", "histogram", "summary", "untyped")
@@ -44,35 +46,43 @@ def _unescape(text: Column, quotes: bool) -> Column:
     return F.replace(text, F.lit(_PARKED), F.lit("\\"))
 
 
-def _last_wins(keys: Column, values: Column) -> Column:
-    pairs = F.arrays_zip(keys.alias("k"), values.alias("v"))
-    kept = F.filter(pairs, lambda p, i: F.coalesce(
-        F.array_position(F.slice(keys, i + 2, F.size(keys)), p["k"]) == 0, F.lit(True)))
-    return F.map_from_entries(kept)
+def _last_wins(entries: Column) -> Column:
+    """Key-value entries to a map; of repeated keys the last one stays."""
+    def keep(es):
+        later = lambda e, i: F.exists(F.slice(es, i + 2, F.size(es)), lambda o: o["key"] == e["key"])
+        return F.map_from_entries(F.filter(es, lambda e, i: ~later(e, i)))
+
+    return let(entries, keep)
 
 
 def label_map(block: Column) -> Column:
     """``{a="x",b="y"}`` to a map."""
-    inner = F.coalesce(block, F.lit(""))
-    inner = F.substr(inner, F.lit(2), F.greatest(F.length(inner) - 2, F.lit(0)))
-    keys = F.regexp_extract_all(inner, F.lit(_PAIR), F.lit(1))
-    values = F.transform(F.regexp_extract_all(inner, F.lit(_PAIR), F.lit(2)), lambda v: _unescape(v, True))
-    return F.when(F.length(inner) == 0, F.create_map().cast("map<string,string>")).otherwise(_last_wins(keys, values))
+    inner = F.substr(block, F.lit(2), F.greatest(F.length(block) - 2, F.lit(0)))
+    # Each pair is cut out once, then split; unescaping only where there is a backslash.
+    pair = rf"^{_KEY}\s*+=\s*+{_QUOTED}$"
+    value = lambda p: let(F.regexp_extract(p, pair, 2), lambda v: F.when(v.contains("\\"), _unescape(v, True)).otherwise(v))
+    entries = F.transform(
+        F.regexp_extract_all(inner, F.lit(f"({_UNGROUPED_PAIR})"), F.lit(1)),
+        lambda p: F.named_struct(F.lit("key"), F.regexp_extract(p, pair, 1), F.lit("value"), value(p)),
+    )
+    empty = F.create_map().cast("map<string,string>")
+    return F.when(F.coalesce(F.length(block), F.lit(0)) <= 2, empty).otherwise(_last_wins(entries))
 
 
 def _with_directives(scrapes: DataFrame) -> DataFrame:
-    lines = F.transform(F.split("Body", "\n"), lambda line: F.trim(F.regexp_replace(line, r"^\s+|\s+$", "")))
+    lines = F.transform(F.split("Body", "\n"), lambda line: F.regexp_replace(line, r"^\s+|\s+$", ""))
     scrapes = scrapes.withColumn("_lines", lines)
+    scrapes = scrapes.withColumn("_comments", F.filter("_lines", lambda l: l.startswith("#") & l.rlike(DIRECTIVE_LINE)))
+    kind = lambda v: F.when(F.trim(v).isin(*METRIC_TYPES), F.trim(v)).otherwise("untyped")
 
     def declared(keyword, value):
-        rows = F.filter("_lines", lambda l: l.rlike(DIRECTIVE_LINE) & (F.regexp_extract(l, DIRECTIVE_LINE, 1) == keyword))
-        names = F.transform(rows, lambda l: F.regexp_extract(l, DIRECTIVE_LINE, 2))
-        return _last_wins(names, F.transform(rows, lambda l: value(F.regexp_extract(l, DIRECTIVE_LINE, 3))))
+        rows = F.filter("_comments", lambda l: F.regexp_extract(l, DIRECTIVE_LINE, 1) == keyword)
+        return _last_wins(F.transform(rows, lambda l: F.named_struct(
+            F.lit("key"), F.regexp_extract(l, DIRECTIVE_LINE, 2), F.lit("value"), value(F.regexp_extract(l, DIRECTIVE_LINE, 3)))))
 
-    kind = lambda v: F.when(F.trim(v).isin(*METRIC_TYPES), F.trim(v)).otherwise("untyped")
     return scrapes.withColumns({
         "_types": declared("TYPE", kind), "_help": declared("HELP", lambda v: _unescape(v, False)),
-    })
+    }).drop("_comments")
 
 
 def prometheus_samples(scrapes: DataFrame) -> DataFrame:
@@ -82,24 +92,27 @@ def prometheus_samples(scrapes: DataFrame) -> DataFrame:
     ``_bucket`` / ``_sum`` / ``_count`` suffix, ``FamilyType`` the type declared for it.
     """
     scrapes = _with_directives(scrapes)
-    name_of = lambda l: F.regexp_extract(l, r"^([^{\s]+)", 1)
-    family_of = lambda l: F.regexp_replace(name_of(l), r"_(bucket|sum|count)$", "")
-    looked_up = F.transform("_lines", lambda l, i: F.named_struct(
-        F.lit("line"), l, F.lit("LineNumber"), i,
-        F.lit("Type"), F.coalesce(F.col("_types")[name_of(l)], F.lit("untyped")),
-        F.lit("Help"), F.col("_help")[name_of(l)],
-        F.lit("FamilyType"), F.col("_types")[family_of(l)], F.lit("FamilyHelp"), F.col("_help")[family_of(l)],
-    ))
+    samples = F.filter("_lines", lambda l: (l != "") & ~l.startswith("#"))
+
+    def looked_up(line, i):
+        # The name and its family are cut out once per line.
+        name = F.regexp_extract(line, r"^([^{\s]+)", 1)
+        return let(F.named_struct(F.lit("n"), name, F.lit("f"), F.regexp_replace(name, SUFFIX, "")), lambda k: F.named_struct(
+            F.lit("line"), line, F.lit("LineNumber"), i,
+            F.lit("Type"), F.coalesce(F.col("_types")[k["n"]], F.lit("untyped")), F.lit("Help"), F.col("_help")[k["n"]],
+            F.lit("Family"), k["f"], F.lit("FamilyType"), F.col("_types")[k["f"]], F.lit("FamilyHelp"), F.col("_help")[k["f"]],
+        ))
+
     kept = [c for c in scrapes.columns if c not in ("Body", "_lines", "_types", "_help")]
-    rows = scrapes.select(*kept, F.inline(F.filter(looked_up, lambda s: (s["line"] != "") & ~s["line"].startswith("#"))))
+    rows = scrapes.select(*kept, F.inline(F.transform(samples, looked_up)))
     part = lambda n: F.regexp_extract("line", SAMPLE_LINE, n)
     parsed = rows.where(F.col("line").rlike(SAMPLE_LINE)).select(
         *kept, "LineNumber", part(1).alias("Name"), label_map(part(2)).alias("Labels"), sample_value(part(3)).alias("Value"),
         F.when(part(4) != "", part(4).try_cast("bigint")).alias("TimestampMs"), (part(4) != "").alias("_timed"),
-        "Type", "Help", "FamilyType", "FamilyHelp",
+        "Type", "Help", "Family", "FamilyType", "FamilyHelp",
     )
     usable = F.col("Value").isNotNull() & (~F.col("_timed") | F.col("TimestampMs").isNotNull())
-    return parsed.where(usable).drop("_timed").withColumn("Family", F.regexp_replace("Name", r"_(bucket|sum|count)$", ""))
+    return parsed.where(usable).drop("_timed")
 
 
 def resource_attributes() -> Column:
@@ -157,7 +170,7 @@ def prometheus_histograms(samples: DataFrame) -> DataFrame:
     labels = sorted_map(F.map_filter("Labels", lambda k, v: k != "le"))
     rows = samples.where(_in_histogram()).withColumns({
         "_labels": F.when(_is_bucket(), labels).otherwise(sorted_map("Labels")),
-        "_role": F.regexp_extract("Name", r"_(bucket|sum|count)$", 1), "_resource": F.to_json(sorted_map(resource_attributes())),
+        "_role": F.regexp_extract("Name", SUFFIX, 1), "_resource": F.to_json(sorted_map(resource_attributes())),
     })
     when = lambda role, value: F.when(F.col("_role") == role, value)
     last = lambda role: F.max(when(role, F.struct("LineNumber", "Value")))["Value"]

@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 from pyspark.sql.streaming import DataStreamWriter
 
+from beaconry.functions.times import EPOCH, add_us, epoch_us, ntz
 from beaconry.operators.alerts import evaluate_alerts
 from beaconry.operators.filters import (
     LOG_BAGS, attribute_present_and_equals, body_contains, equals, one_of,
@@ -64,9 +65,15 @@ def live_tail(stream: DataFrame, services=None, severities=None, trace_id=None,
 
 def ingest_buckets_stream(requests: DataFrame, late: str = LATE_DATA) -> DataFrame:
     """Per-minute counters for each signal and protocol, updated as requests arrive."""
-    minute = F.window("ReceivedAt", "60 seconds")
-    counted = requests.withWatermark("ReceivedAt", late).groupBy(minute.alias("w"), "Signal", "Protocol").agg(*minute_counters())
-    return counted.select(F.col("w.start").alias("BucketStart"), "Signal", "Protocol", "Requests", "Records", "Bytes", "Rejected")
+    timed = requests.withColumn("_at", _instant("ReceivedAt")).withWatermark("_at", late)
+    counted = timed.groupBy(F.window("_at", "60 seconds").alias("w"), "Signal", "Protocol").agg(*minute_counters())
+    start = add_us(ntz(EPOCH), F.unix_micros("w.start")).alias("BucketStart")
+    return counted.select(start, "Signal", "Protocol", "Requests", "Records", "Bytes", "Rejected")
+
+
+def _instant(column: str):
+    """A watermark needs an instant: the UTC wall-clock time as TIMESTAMP, in any session zone."""
+    return F.timestamp_micros(epoch_us(F.col(column)))
 
 
 def dedupe_events(df: DataFrame, key: str = "EventId", time: str = "Timestamp", late: str = LATE_DATA) -> DataFrame:
@@ -76,7 +83,8 @@ def dedupe_events(df: DataFrame, key: str = "EventId", time: str = "Timestamp",
     earliest row wins, by a partial top-1 per id.
     """
     if df.isStreaming:
-        return df.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
+        timed = df.withColumn("_at", _instant(time)).withWatermark("_at", late)
+        return timed.dropDuplicatesWithinWatermark([key]).drop("_at")
     first = F.row_number().over(Window.partitionBy(key).orderBy(time))
     return df.withColumn("_rank", first).where(F.col("_rank") == 1).drop("_rank")
 
