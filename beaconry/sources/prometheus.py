@@ -25,6 +25,8 @@ DIRECTIVE_LINE = r"^#\s*(TYPE|HELP) \s*([^ ]+) (.*)$"
 # Declared metric types; anything else reads as untyped.
 METRIC_TYPES = ("counter", "gauge", "histogram", "summary", "untyped")
 CUMULATIVE = "AGGREGATION_TEMPORALITY_CUMULATIVE"
+_CUT = "\ufffe"
+_PARTS = _CUT.join(("$1", "$2", "$3", "$4"))
 _PARKED = "￿"
 
 
@@ -94,25 +96,30 @@ def prometheus_samples(scrapes: DataFrame) -> DataFrame:
     scrapes = _with_directives(scrapes)
     samples = F.filter("_lines", lambda l: (l != "") & ~l.startswith("#"))
 
+    # One pass of the line pattern cuts out all parts; a malformed line stays in one piece.
+    parts_of = lambda line: F.split(F.regexp_replace(line, SAMPLE_LINE, _PARTS), _CUT)
+
     def looked_up(line, i):
-        # The name and its family are cut out once per line.
-        name = F.regexp_extract(line, r"^([^{\s]+)", 1)
-        return let(F.named_struct(F.lit("n"), name, F.lit("f"), F.regexp_replace(name, SUFFIX, "")), lambda k: F.named_struct(
-            F.lit("line"), line, F.lit("LineNumber"), i,
+        family = lambda p: F.regexp_replace(F.get(p, 0), SUFFIX, "")
+        return let(parts_of(line), lambda p: let(F.named_struct(F.lit("n"), F.get(p, 0), F.lit("f"), family(p)), lambda k: F.named_struct(
+            F.lit("parts"), p, F.lit("LineNumber"), i, F.lit("Name"), k["n"],
             F.lit("Type"), F.coalesce(F.col("_types")[k["n"]], F.lit("untyped")), F.lit("Help"), F.col("_help")[k["n"]],
             F.lit("Family"), k["f"], F.lit("FamilyType"), F.col("_types")[k["f"]], F.lit("FamilyHelp"), F.col("_help")[k["f"]],
-        ))
+        )))
 
     kept = [c for c in scrapes.columns if c not in ("Body", "_lines", "_types", "_help")]
-    rows = scrapes.select(*kept, F.inline(F.transform(samples, looked_up)))
-    part = lambda n: F.regexp_extract("line", SAMPLE_LINE, n)
-    parsed = rows.where(F.col("line").rlike(SAMPLE_LINE)).select(
-        *kept, "LineNumber", part(1).alias("Name"), label_map(part(2)).alias("Labels"), sample_value(part(3)).alias("Value"),
-        F.when(part(4) != "", part(4).try_cast("bigint")).alias("TimestampMs"), (part(4) != "").alias("_timed"),
+    rows = scrapes.select(*kept, F.inline(F.transform(samples, looked_up))).where(F.size("parts") == 4)
+    part = lambda n: F.get("parts", n)
+    parsed = rows.select(
+        *kept, "LineNumber", "Name", part(1).alias("_block"), sample_value(part(2)).alias("Value"), part(3).alias("_time"),
+        "Type", "Help", "Family", "FamilyType", "FamilyHelp",
+    )
+    stamp = F.when(F.col("_time") != "", F.col("_time").try_cast("bigint"))
+    usable = F.col("Value").isNotNull() & ((F.col("_time") == "") | stamp.isNotNull())
+    return parsed.where(usable).select(
+        *kept, "LineNumber", "Name", label_map(F.col("_block")).alias("Labels"), "Value", stamp.alias("TimestampMs"),
         "Type", "Help", "Family", "FamilyType", "FamilyHelp",
     )
-    usable = F.col("Value").isNotNull() & (~F.col("_timed") | F.col("TimestampMs").isNotNull())
-    return parsed.where(usable).drop("_timed")
 
 
 def resource_attributes() -> Column:
