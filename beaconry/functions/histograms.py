@@ -5,70 +5,51 @@ from pyspark.sql import Column, functions as F
 from beaconry.functions.columns import as_column
 
 
-def _usable(counts: Column, bounds: Column) -> Column:
-    sized = (F.coalesce(F.size(counts), F.lit(0)) > 0) & (F.coalesce(F.size(bounds), F.lit(0)) > 0)
-    return sized
+def _usable(counts: str, bounds: str) -> str:
+    return f"coalesce(size({counts}), 0) > 0 AND coalesce(size({bounds}), 0) > 0"
 
 
-def histogram_total(counts) -> Column:
-    return F.aggregate(as_column(counts), F.lit(0).cast("bigint"), lambda acc, n: acc + n)
-
-
-def histogram_quantile(counts, bounds, q) -> Column:
+def histogram_quantile(counts: str, bounds: str, q: float | str) -> Column:
     """Linear interpolation inside the first bucket whose cumulative count reaches q·total.
 
     The open first and last buckets collapse to their one finite bound, an empty bucket
     gives its upper bound. NULL for no data, no bounds, q outside [0, 1], or a bucket
-    without any bound (lengths that do not fit together).
+    without any bound (lengths that do not fit together). Arguments are SQL names.
     """
-    counts, bounds = as_column(counts), as_column(bounds)
-    q = F.lit(q).cast("double") if isinstance(q, (int, float)) else q
-    total = histogram_total(counts)
-    target = q * total.cast("double")
-
-    start = F.struct(
-        F.lit(0).alias("i"), F.lit(0.0).alias("cum"), F.lit(-1).alias("hit"),
-        F.lit(0.0).alias("before"), F.lit(0).cast("bigint").alias("n"),
+    total = f"aggregate({counts}, 0L, (t, n) -> t + n)"
+    # One pass over the buckets remembers the bucket hit, and what was counted before it.
+    start = "named_struct('i', 0, 'cum', 0D, 'hit', -1, 'before', 0D, 'n', 0L)"
+    reached = "a.hit < 0 AND a.cum + n >= target"
+    step = (
+        f"named_struct('i', a.i + 1, 'cum', a.cum + n, 'hit', IF({reached}, a.i, a.hit), "
+        f"'before', IF({reached}, a.cum, a.before), 'n', IF({reached}, n, a.n))"
+    )
+    lower = f"get({bounds}, greatest(a.hit - 1, 0))"
+    upper = f"coalesce(get({bounds}, a.hit), {lower})"
+    finish = (
+        f"CASE WHEN a.hit < 0 THEN element_at({bounds}, -1) WHEN a.hit > 0 AND a.hit - 1 >= size({bounds}) THEN NULL "
+        f"WHEN a.n = 0 THEN {upper} ELSE {lower} + (target - a.before) / a.n * ({upper} - {lower}) END"
+    )
+    walk = f"aggregate({counts}, {start}, (a, n) -> {step}, a -> {finish})"
+    q = f"CAST({q} AS DOUBLE)"
+    return F.expr(
+        f"CASE WHEN {q} BETWEEN 0 AND 1 AND {_usable(counts, bounds)} THEN get(transform(array({total}), "
+        f"total -> IF(total > 0, get(transform(array({q} * total), target -> {walk}), 0), NULL)), 0) END"
     )
 
-    def step(acc, n):
-        after = acc["cum"] + n.cast("double")
-        reached = (acc["hit"] < 0) & (after >= target)
-        return F.struct(
-            (acc["i"] + 1).alias("i"), after.alias("cum"),
-            F.when(reached, acc["i"]).otherwise(acc["hit"]).alias("hit"),
-            F.when(reached, acc["cum"]).otherwise(acc["before"]).alias("before"),
-            F.when(reached, n).otherwise(acc["n"]).alias("n"),
-        )
-
-    def finish(acc):
-        i = acc["hit"]
-        lower = F.get(bounds, F.greatest(i - 1, F.lit(0)))
-        upper = F.coalesce(F.get(bounds, i), lower)
-        inside = lower + (target - acc["before"]) / F.nullif(acc["n"], F.lit(0)) * (upper - lower)
-        return (
-            F.when(i < 0, F.element_at(bounds, -1))
-            .when((i > 0) & (i - 1 >= F.size(bounds)), F.lit(None).cast("double"))
-            .when(acc["n"] == 0, upper)
-            .otherwise(inside)
-        )
-
-    value = F.aggregate(counts, start, step, finish)
-    return F.when(_usable(counts, bounds) & q.between(0, 1) & (total > 0), value)
 
+def histogram_max(counts: str, bounds: str) -> Column:
+    """Upper bound of the highest non-empty bucket; the last bucket gives the last bound.
 
-def histogram_max(counts, bounds) -> Column:
-    """Upper bound of the highest non-empty bucket; the last bucket gives the last bound."""
-    counts, bounds = as_column(counts), as_column(bounds)
-    flags = F.transform(counts, lambda n: n > 0)
-    from_end = F.array_position(F.reverse(flags), F.lit(True)).cast("int")
-    last = F.size(counts) - from_end
-    value = (
-        F.when(from_end == 0, F.lit(None).cast("double"))
-        .when(last < F.size(bounds), F.get(bounds, last))
-        .when(from_end == 1, F.element_at(bounds, -1))
+    NULL without data or bounds, or when that bucket has no bound. Arguments are SQL names.
+    """
+    # Buckets empty from the end; the highest non-empty one is the last of the rest.
+    from_end = f"array_position(reverse(transform({counts}, n -> n > 0)), true)"
+    last = f"CAST(size({counts}) - e AS INT)"
+    return F.expr(
+        f"CASE WHEN {_usable(counts, bounds)} THEN get(transform(array({from_end}), e -> CASE WHEN e = 0 THEN NULL "
+        f"WHEN {last} < size({bounds}) THEN get({bounds}, {last}) WHEN e = 1 THEN element_at({bounds}, -1) END), 0) END"
     )
-    return F.when(_usable(counts, bounds), value)
 
 
 def histogram_mean(total_sum, total_count) -> Column:

@@ -23,14 +23,12 @@ def metric_names(gauge: DataFrame, sums: DataFrame, histogram: DataFrame) -> Dat
     parts = []
     for kind, df in (("gauge", gauge), ("sum", sums), ("histogram", histogram)):
         series = df.select(
-            "MetricName", "ServiceName", "Unit", "Description", sorted_map("DataPointAttributes").alias("a")
-        ).groupBy("MetricName", "ServiceName", "Unit", "Description", "a").agg(F.lit(1).alias("_one"))
-        per_metric = (
-            series.withColumn("a", F.to_json("a"))
-            .groupBy("MetricName", "ServiceName", "a").agg(F.min("Unit").alias("Unit"), F.min("Description").alias("Description"))
-            .groupBy("MetricName", "ServiceName")
-            .agg(F.min("Unit").alias("Unit"), F.min("Description").alias("Description"), F.count(F.lit(1)).alias("SeriesCount"))
-        )
+            "MetricName", "ServiceName", "Unit", "Description", F.sort_array(F.map_entries("DataPointAttributes")).alias("a")
+        ).distinct()
+        per_series = series.groupBy("MetricName", "ServiceName", "a").agg(
+            F.min("Unit").alias("Unit"), F.min("Description").alias("Description"))
+        per_metric = per_series.groupBy("MetricName", "ServiceName").agg(
+            F.min("Unit").alias("Unit"), F.min("Description").alias("Description"), F.count(F.lit(1)).alias("SeriesCount"))
         parts.append(per_metric.select("MetricName", "ServiceName", F.lit(kind).alias("Type"), "Unit", "Description", "SeriesCount"))
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).orderBy("MetricName", "ServiceName", "Type")
 
@@ -45,10 +43,10 @@ def metric_attribute_keys(df: DataFrame, metric: str, approximate: bool = False)
 def _points(df: DataFrame, metric: str, width_s: int, group_key: str | None, *measures: str) -> DataFrame:
     """Rows of one metric with bucket, service and series identity ``_series``.
 
-    Grouping happens on the map (or the one value) itself; the key text is only built for
-    the aggregated rows.
+    Grouping happens on the sorted attribute entries (or the one value); map and key text
+    are only built for the aggregated rows.
     """
-    series = attribute("DataPointAttributes", group_key) if group_key else sorted_map("DataPointAttributes")
+    series = attribute("DataPointAttributes", group_key) if group_key else F.sort_array(F.map_entries("DataPointAttributes"))
     return (
         df.where(F.col("MetricName") == metric)
         .select("Time", "ServiceName", series.alias("_series"), *measures)
@@ -63,7 +61,8 @@ def _named(df: DataFrame, group_key: str | None, *measures: str) -> DataFrame:
     if group_key:
         attributes, key = F.create_map(F.lit(group_key), F.col("_series")), F.col("_series")
     else:
-        attributes, key = F.col("_series"), F.to_json("_series")
+        attributes = F.map_from_entries("_series")
+        key = F.to_json(attributes)
     return df.select(
         "BucketStart", "ServiceName", key.alias("SeriesKey"), attributes.alias("SeriesAttributes"), *measures
     )
@@ -106,16 +105,18 @@ def histogram_series(df: DataFrame, metric: str, width_s: int, group_key: str |
     bounds differ are folded afterwards, on the aggregated rows, padded to the longest.
     """
     points = _points(df, metric, width_s, group_key, "Count", "Sum", "BucketCounts", "ExplicitBounds")
+    # The bounds travel as text: an array of doubles would be normalized for every exploded row.
+    points = points.withColumn("_layout", F.array_join(F.col("ExplicitBounds").cast("array<string>"), ","))
     zero = F.lit(0.0)
     head = F.array(F.struct(F.lit(-1).alias("p"), F.col("Count").alias("n"), F.coalesce("Sum", zero).alias("s")))
     cells = F.transform(
         F.coalesce("BucketCounts", F.array().cast("array<bigint>")),
         lambda n, i: F.struct(i.alias("p"), n.alias("n"), zero.alias("s")),
     )
-    exploded = points.select(*_KEYS, "ExplicitBounds", F.inline(F.concat(head, cells)))
-    summed = exploded.groupBy(*_KEYS, "ExplicitBounds", "p").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    exploded = points.select(*_KEYS, "_layout", F.inline(F.concat(head, cells)))
+    summed = exploded.groupBy(*_KEYS, "_layout", "p").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     folded = summed.groupBy(*_KEYS).agg(
-        F.max(F.struct(F.size("ExplicitBounds"), F.col("ExplicitBounds").alias("b")))["b"].alias("ExplicitBounds"),
+        F.max(F.struct(F.length(F.translate("_layout", "0123456789.E-", "")), F.col("_layout").alias("b")))["b"].alias("_layout"),
         F.sum(F.when(F.col("p") == -1, F.col("n"))).alias("Count"),
         F.sum("s").alias("Sum"),
         F.sort_array(F.collect_list(F.when(F.col("p") >= 0, F.struct("p", "n")))).alias("_cells"),
@@ -133,7 +134,10 @@ def histogram_series(df: DataFrame, metric: str, width_s: int, group_key: str |
         .when(F.size("_cells") == longest + 1, one_layout)
         .otherwise(many_layouts)
     )
-    return _named(folded.withColumn("BucketCounts", counts), group_key, "Count", "Sum", "BucketCounts", "ExplicitBounds")
+    bounds = F.when(F.coalesce("_layout", F.lit("")) == "", F.array().cast("array<double>")).otherwise(
+        F.split("_layout", ",").cast("array<double>"))
+    folded = folded.withColumns({"BucketCounts": counts, "ExplicitBounds": bounds})
+    return _named(folded, group_key, "Count", "Sum", "BucketCounts", "ExplicitBounds")
 
 
 def with_histogram_estimates(series: DataFrame) -> DataFrame:

@@ -39,13 +39,13 @@ def masked_texts(logs: DataFrame, body: str = "Body", max_chars: int | None = No
 
 
 def distinct_texts(logs: DataFrame, body: str = "Body", time: str = "Timestamp", max_chars: int | None = None) -> DataFrame:
-    """Distinct masked texts with bucket, first sighting and number of rows."""
+    """Distinct masked texts with bucket, first sighting and number of rows, materialized once."""
     texts = masked_texts(logs, body, max_chars).where(F.col("text") != "").groupBy("text").agg(
         F.min(time).alias("first_seen"), F.count(F.lit(1)).alias("rows")
     )
-    return texts.select(
+    return cut(texts.select(
         "text", "first_seen", "rows", F.size(_tokens()).alias("n_tokens"), F.substring_index("text", " ", 1).alias("first_token")
-    )
+    ))
 
 
 def _mine_bucket(similarity: float):
@@ -111,7 +111,7 @@ def drain_templates(texts: DataFrame, known: DataFrame | None = None, similarity
 
     Returns (n_tokens, first_token, ordinal, template), ordinals in order of creation.
     """
-    pending = cut(texts.select("text", "first_seen", *BUCKET))
+    pending = texts.select("text", "first_seen", *BUCKET)
     clusters = known
     if clusters is not None:
         pending = cut(_unmatched(pending, clusters))
@@ -162,7 +162,7 @@ def annotate_patterns(logs: DataFrame, body: str = "Body", time: str = "Timestam
     logs = logs.drop("PatternId", "PatternTemplate")
     if not enabled:
         return logs.withColumns({"PatternId": F.lit(""), "PatternTemplate": F.lit("")})
-    texts = cut(distinct_texts(logs, body, time, max_chars))
+    texts = distinct_texts(logs, body, time, max_chars)
     if clusters is None:
         clusters = drain_templates(texts, texts_per_round=texts_per_round)
     # Long texts are joined by digest; rows of one frequent text stay spread over tasks when

@@ -139,7 +139,7 @@ def drain_stream(logs: DataFrame, clusters_path: str, out_path: str, checkpoint:
     def annotate(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         known = _version_before(spark, clusters_path, batch_id)
-        texts = cut(distinct_texts(batch, body, time))
+        texts = distinct_texts(batch, body, time)
         mined = drain_templates(texts, None if known is None else known.select(*CLUSTERS.names))
         annotated = annotate_patterns(batch, body, time, clusters=mined)
         annotated.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")

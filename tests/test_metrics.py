@@ -19,7 +19,7 @@ MAXIMA = [
 def test_quantiles(spark):
     rows = [(i, c, [float(b) for b in bs] if bs is not None else None, q) for i, (c, bs, q, _) in enumerate(QUANTILES)]
     df = spark.createDataFrame(rows, "i int, c array<bigint>, b array<double>, q double")
-    got = {r.i: r.v for r in df.select("i", histogram_quantile("c", "b", F.col("q")).alias("v")).collect()}
+    got = {r.i: r.v for r in df.select("i", histogram_quantile("c", "b", "q").alias("v")).collect()}
     assert got == {i: (None if e is None else pytest.approx(e)) for i, (_, _, _, e) in enumerate(QUANTILES)}
 
 
