@@ -162,11 +162,14 @@ register(
     (PARTITION BY TraceId ORDER BY DurationNano DESC, StartTime, SpanId) AS INT) AS Rank FROM spans) WHERE Rank <= 5""",
 )
 # Every third log loses its trace context, so the no-ids path is exercised too.
-_BARE = F.when(F.col("EventId") % 3 == 0, "").otherwise(F.col("SpanId"))
+def _bare(logs):
+    return logs.withColumn("SpanId", F.when(F.col("EventId") % 3 == 0, "").otherwise(F.col("SpanId")))
+
+
 register(
     "j1_with_span_duration",
     lambda spark, d: search.with_span_duration(
-        t.logs(spark, d).withColumn("SpanId", _BARE), t.spans(spark, d)
+        _bare(t.logs(spark, d)), t.spans(spark, d)
     ).select("EventId", "TraceId", "SpanId", "SpanDurationNano"),
     "logs spans",
     """+l AS (SELECT EventId, TraceId, CASE WHEN EventId % 3 = 0 THEN '' ELSE SpanId END AS SpanId FROM logs)
