@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from beaconry.functions.times import ntz
 from beaconry.operators.filters import log_filter, span_filter
+from beaconry.plans.skew import HOT_ROWS, join_unique
 
 DEFAULT_PAGE_SIZE = 200
 MAX_PAGE_SIZE = 1000
@@ -50,7 +51,7 @@ def slowest_spans(df: DataFrame, n: int = 5) -> DataFrame:
     return df.withColumn("Rank", F.row_number().over(order)).where(F.col("Rank") <= n)
 
 
-def with_span_duration(logs: DataFrame, spans: DataFrame) -> DataFrame:
+def with_span_duration(logs: DataFrame, spans: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Logs with the duration of their enclosing span (NULL when there is none).
 
     Logs without ids can never match. They are spread over salts, which no span carries,
@@ -64,7 +65,7 @@ def with_span_duration(logs: DataFrame, spans: DataFrame) -> DataFrame:
     )
     spread = F.pmod(F.hash("EventId"), F.lit(SKEW_SALTS)) + 1
     salted = logs.withColumn("_salt", F.when(has_ids(), F.lit(0)).otherwise(spread))
-    return salted.join(durations, ["TraceId", "SpanId", "_salt"], "left").drop("_salt")
+    return join_unique(salted, durations, ["TraceId", "SpanId", "_salt"], hot_rows=hot_rows).drop("_salt")
 
 
 def with_span_count(roots: DataFrame, spans: DataFrame) -> DataFrame:

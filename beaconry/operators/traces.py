@@ -15,6 +15,7 @@ from beaconry.plans.grouped import map_groups
 from beaconry.plans.lineage import cut
 from beaconry.plans.ordered import position_in_group, preceding_min
 from beaconry.plans.sizing import broadcast_if_small
+from beaconry.plans.skew import HOT_ROWS, join_unique
 
 MAX_SPANS_PER_TASK = 20_000
 ERROR_STATUS = "STATUS_CODE_ERROR"
@@ -27,15 +28,18 @@ def effective_service(prefix: str = "") -> Column:
     return F.when(peer != "", peer).when(F.coalesce(own, F.lit("")) != "", own).otherwise(F.lit("unknown"))
 
 
-def parent_child(spans: DataFrame) -> DataFrame:
+def parent_child(spans: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Every span with its resolved parent; ``IsRoot`` when no such parent exists."""
     parents = (
         spans.where(F.col("SpanId") != "")
         .groupBy("TraceId", F.col("SpanId").alias("ParentSpanId"))
         .agg(F.min(F.struct("StartTime", "ServiceName", "Name")).alias("p"))
     )
-    joined = spans.join(parents, ["TraceId", "ParentSpanId"], "left")
-    return joined.select(
+    # Root spans name no parent: they need no partner and no shuffle.
+    named = F.coalesce("ParentSpanId", F.lit("")) != ""
+    roots = spans.where(~named).withColumn("p", F.lit(None).cast(parents.schema["p"].dataType))
+    children = join_unique(spans.where(named), parents, ["TraceId", "ParentSpanId"], hot_rows=hot_rows)
+    return roots.unionByName(children).select(
         *[F.col(c) for c in spans.columns],
         F.col("p").isNull().alias("IsRoot"),
         F.col("p")["ServiceName"].alias("ParentService"), F.col("p")["Name"].alias("ParentName"),
@@ -72,7 +76,11 @@ def service_nodes(spans: DataFrame, by_trace: bool = False) -> DataFrame:
 def service_edges(spans: DataFrame, by_trace: bool = False) -> DataFrame:
     """Calls and summed child duration between different effective services."""
     slim = spans.select("TraceId", "SpanId", "ParentSpanId", "DurationNano", effective_service().alias("Target"))
-    children = slim.where(F.col("ParentSpanId") != "").select("TraceId", "ParentSpanId", "DurationNano", "Target")
+    # Children are counted per parent and service first, so a parent with very many of them
+    # reaches the join as a few rows.
+    children = slim.where(F.col("ParentSpanId") != "").groupBy("TraceId", "ParentSpanId", "Target").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("DurationNano").alias("d")
+    )
     # One parent per id: a repeated id must not multiply its children.
     parents = (
         slim.where(F.col("SpanId") != "")
@@ -80,9 +88,7 @@ def service_edges(spans: DataFrame, by_trace: bool = False) -> DataFrame:
     )
     crossing = children.join(parents, ["TraceId", "ParentSpanId"]).where(F.col("Source") != F.col("Target"))
     keys = ["TraceId", "Source", "Target"] if by_trace else ["Source", "Target"]
-    return crossing.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("CallCount"), F.sum("DurationNano").alias("TotalDurationNano")
-    )
+    return crossing.groupBy(*keys).agg(F.sum("n").alias("CallCount"), F.sum("d").alias("TotalDurationNano"))
 
 
 def _split_oversized(spans: DataFrame, limit: int):

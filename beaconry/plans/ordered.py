@@ -1,83 +1,78 @@
 """Ordered computations over keys that may be hot.
 
-A window over one key runs in one task. Here every key is cut into time slices: the
-window runs per (key, slice), the per-slice summaries (a handful of rows per key) are
-combined in a second, tiny window, and joined back. The result is exact.
+A window over one key runs in one task. Here every key is cut into time slices. What a
+slice needs from the slices before it (a sum, a last row, a minimum) is computed from
+per-slice summaries, a handful of rows per key, and enters the slice as one extra row in
+front of it. The rows themselves are shuffled once, per (key, slice); the result is exact.
 """
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from beaconry.functions.times import bucket_start
 from beaconry.plans.lineage import cut
 from beaconry.plans.sizing import broadcast_if_small
 
+_SLICE, _ROW = "_slice", "_row"
+
 
 def _sliced(df: DataFrame, ts: str, slice_s: int) -> DataFrame:
-    return df.withColumn("_slice", bucket_start(F.col(ts), slice_s))
+    return df.withColumns({_SLICE: bucket_start(F.col(ts), slice_s), _ROW: F.lit(1)})
+
+
+def _with_carry(sliced: DataFrame, carry: DataFrame) -> DataFrame:
+    """Rows plus the carry rows (``_row`` 0), which sort first in their slice."""
+    return sliced.unionByName(carry.withColumn(_ROW, F.lit(0)), allowMissingColumns=True)
+
 
+def _within(keys: list[str], order: list) -> Window:
+    return Window.partitionBy(*keys, _SLICE).orderBy(_ROW, *order)
 
-def _null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Left join on keys that may be NULL; ``right`` holds its keys as ``_k0``, ``_k1``, ..."""
-    condition = None
-    for i, key in enumerate(keys):
-        part = left[key].eqNullSafe(right[f"_k{i}"])
-        condition = part if condition is None else condition & part
-    return left.join(right, condition, "left").drop(*[f"_k{i}" for i in range(len(keys))])
 
+def _rows_only(df: DataFrame) -> DataFrame:
+    return df.where(F.col(_ROW) == 1).drop(_SLICE, _ROW)
 
-def _renamed(df: DataFrame, keys: list[str]) -> DataFrame:
-    return df.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)})
+
+def _before(keys: list[str], newest_first: bool = False) -> Window:
+    order = F.desc(_SLICE) if newest_first else F.col(_SLICE)
+    return Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
 
 
 def running_total(df: DataFrame, keys: list[str], ts: str, order: list, value: str, out: str,
                   slice_s: int = 86_400) -> DataFrame:
     """Cumulative sum of ``value`` per key in ``order`` (which starts with ``ts``)."""
-    sliced = _sliced(df, ts, slice_s)
-    group = [*keys, "_slice"]
-    per_slice = sliced.groupBy(*group).agg(F.sum(value).alias("_sum"))
-    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_slice.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
-    inside = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = sliced.withColumn(out, F.sum(value).over(inside))
-    joined = _null_safe(local, _renamed(offsets, group), group)
-    return joined.withColumn(out, F.col(out) + F.col("_before")).drop("_before", "_slice")
+    sliced = _sliced(df, ts, slice_s).withColumn(out, F.col(value))
+    per_slice = sliced.groupBy(*keys, _SLICE).agg(F.sum(value).alias("_sum"))
+    carry = per_slice.select(*keys, _SLICE, F.sum("_sum").over(_before(keys)).alias(out)).where(F.col(out).isNotNull())
+    upto = _within(keys, order).rowsBetween(Window.unboundedPreceding, 0)
+    return _rows_only(_with_carry(sliced, carry).withColumn(out, F.sum(out).over(upto)))
 
 
 def previous_row(df: DataFrame, keys: list[str], ts: str, order: list[str], columns: list[str],
                  slice_s: int = 86_400, prefix: str = "prev_") -> DataFrame:
     """``lag(columns)`` per key in ``order`` (which starts with ``ts``), as ``prev_<name>``."""
-    sliced = _sliced(df, ts, slice_s)
-    group = [*keys, "_slice"]
-    carried = F.struct(*columns)
-    last = F.max_by(carried, F.struct(*order)).alias("_last")
-    per_slice = sliced.groupBy(*group).agg(last)
-    offsets = per_slice.withColumn(
-        "_carry", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_slice"))
-    ).drop("_last")
-    inside = Window.partitionBy(*group).orderBy(*order)
-    local = sliced.withColumns({"_lag": F.lag(carried).over(inside), "_first": F.row_number().over(inside) == 1})
-    joined = _null_safe(local, _renamed(offsets, group), group)
-    before = F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_lag"))
-    joined = joined.withColumn("_before", before)
-    named = {f"{prefix}{c}": F.col("_before").getField(c) for c in columns}
-    return joined.withColumns(named).drop("_before", "_lag", "_first", "_carry", "_slice")
-
-
-def preceding_min(df: DataFrame, keys: list[str], ts: str, order: list, value: str, out: str,
+    sliced = _sliced(df, ts, slice_s).withColumn("_carried", F.struct(*columns))
+    per_slice = sliced.groupBy(*keys, _SLICE).agg(F.max_by("_carried", F.struct(*order)).alias("_last"))
+    carry = per_slice.select(
+        *keys, _SLICE, F.lag("_last").over(Window.partitionBy(*keys).orderBy(_SLICE)).alias("_carried")
+    ).where(F.col("_carried").isNotNull())
+    lagged = _with_carry(sliced, carry).withColumn("_prev", F.lag("_carried").over(_within(keys, order)))
+    named = {f"{prefix}{c}": F.col("_prev").getField(c) for c in columns}
+    return _rows_only(lagged.withColumns(named)).drop("_prev", "_carried")
+
+
+def preceding_min(df: DataFrame, keys: list[str], ts: str, order: list[str | Column], value: str, out: str,
                   slice_s: int = 60) -> DataFrame:
     """Minimum of ``value`` over the rows before each row, per key, latest ``ts`` first.
 
     ``order`` starts with ``ts`` descending; the first row of a key gets NULL.
     """
-    sliced = _sliced(df, ts, slice_s)
-    group = [*keys, "_slice"]
-    per_slice = sliced.groupBy(*group).agg(F.min(value).alias("_min"))
-    later = Window.partitionBy(*keys).orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_slice.withColumn("_before", F.min("_min").over(later)).drop("_min")
-    inside = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    local = sliced.withColumn(out, F.min(value).over(inside))
-    joined = _null_safe(local, _renamed(offsets, group), group)
-    return joined.withColumn(out, F.least(out, "_before")).drop("_before", "_slice")
+    sliced = _sliced(df, ts, slice_s).withColumn("_value", F.col(value))
+    per_slice = sliced.groupBy(*keys, _SLICE).agg(F.min(value).alias("_min"))
+    carry = per_slice.select(
+        *keys, _SLICE, F.min("_min").over(_before(keys, newest_first=True)).alias("_value")
+    ).where(F.col("_value").isNotNull())
+    earlier = _within(keys, order).rowsBetween(Window.unboundedPreceding, -1)
+    return _rows_only(_with_carry(sliced, carry).withColumn(out, F.min("_value").over(earlier))).drop("_value")
 
 
 def position_in_group(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:

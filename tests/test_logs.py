@@ -101,8 +101,9 @@ def test_live_tail_differs_from_history(logs):
 def test_spans_without_ids_never_match(spark):
     logs = spark.sql("SELECT 1 AS EventId, '' AS TraceId, '' AS SpanId UNION ALL SELECT 2, 't', 's' UNION ALL SELECT 3, 't', ''")
     spans = spark.sql("SELECT '' AS TraceId, '' AS SpanId, 9L AS DurationNano UNION ALL SELECT 't', 's', 5L UNION ALL SELECT 't', 's', 7L")
-    got = {r.EventId: r.SpanDurationNano for r in search.with_span_duration(logs, spans).collect()}
-    assert got == {1: None, 2: 7, 3: None}
+    for hot_rows in (10, 0):
+        got = {r.EventId: r.SpanDurationNano for r in search.with_span_duration(logs, spans, hot_rows).collect()}
+        assert got == {1: None, 2: 7, 3: None}
 
 
 def samples(spark):

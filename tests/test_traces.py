@@ -69,6 +69,14 @@ def test_both_ways_agree_on_random_trees(spark):
         assert inside == levels and inside
 
 
+@pytest.mark.parametrize("hot_rows", [1000, 1])
+def test_parents_with_many_children(spark, hot_rows):
+    df = spans(spark, CASES).withColumns({"ServiceName": F.concat(F.lit("s-"), "SpanId"), "Name": F.col("SpanId")})
+    got = {(r.TraceId, r.SpanId): (r.IsRoot, r.ParentName) for r in traces.parent_child(df, hot_rows).collect()}
+    ids = {(t, i) for t, i, *_ in CASES}
+    assert got == {(t, i): ((t, p) not in ids, p if (t, p) in ids else None) for t, i, p, *_ in CASES}
+
+
 def test_contributions_add_up_to_the_root(spark):
     """With children inside their parents' start, shares sum to the root's duration."""
     rng, rows = random.Random(5), []
