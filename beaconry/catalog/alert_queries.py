@@ -96,6 +96,27 @@ register(
 )
 
 
+# With no cooldown every breached tick fires, which SQL can count with two as-of lookups.
+register(
+    "h8_backtest_every_tick",
+    lambda spark, d: ops.backtest_alerts(
+        current_rules(spark, d).withColumn("CooldownSeconds", F.lit(0)), t.logs(spark, d), "2024-01-01", "2024-01-31", 3600
+    ).groupBy("RuleId").agg(
+        F.count(F.lit(1)).alias("Fired"), F.sum("ObservedCount").alias("Observed"),
+        F.min("FiredAt").alias("FirstFired"), F.max("FiredAt").alias("LastFired"),
+    ),
+    "rule_versions logs",
+    RULES + """, n0 AS (SELECT ServiceName, Timestamp, count(*) AS n FROM logs GROUP BY 1,2),
+    n AS (SELECT ServiceName, Timestamp, sum(n) OVER (PARTITION BY ServiceName ORDER BY Timestamp) AS n FROM n0),
+    k AS (SELECT r.*, TIMESTAMP '2024-01-01' + to_hours(CAST(h AS INT)) AS at_, TIMESTAMP '2024-01-01' + to_hours(CAST(h AS INT)) - to_seconds(WindowSeconds) AS from_
+      FROM r, range(0, 720) x(h)),
+    a AS (SELECT k.*, coalesce(n.n, 0) AS upto FROM k ASOF LEFT JOIN n ON k.ConditionService=n.ServiceName AND k.at_ > n.Timestamp),
+    b AS (SELECT a.*, upto - coalesce(n.n, 0) AS c FROM a ASOF LEFT JOIN n ON a.ConditionService=n.ServiceName AND a.from_ > n.Timestamp)
+    SELECT Id AS RuleId, count(*) AS Fired, CAST(sum(c) AS BIGINT) AS Observed, min(at_) AS FirstFired, max(at_) AS LastFired
+    FROM b WHERE CASE WHEN ThresholdComparator='LessThan' THEN c < ThresholdCount ELSE c >= ThresholdCount END GROUP BY 1""",
+)
+
+
 def _counters(spark, d):
     """Bytes seen so far per service: a growing counter sampled at every event."""
     return t.sums(spark, d).select("ServiceName", F.col("DataPointAttributes")["event_type"].alias("EventType"), "Time", "Value")

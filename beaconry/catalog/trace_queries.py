@@ -55,7 +55,7 @@ register(
         F.count_if("IsTop").alias("Tops"),
     ),
     "spans",
-    """SELECT TraceId, max(DurationNano // 1000) AS TotalUs, max(SpanId) AS RootSpanId, 1 AS Tops FROM spans
+    """SELECT TraceId, max(DurationNano // 1000) AS TotalUs, max(SpanId) AS RootSpanId, CAST(1 AS BIGINT) AS Tops FROM spans
     WHERE ParentSpanId='' AND DurationNano > 0 GROUP BY 1""",
 )
 register(

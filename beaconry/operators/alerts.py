@@ -207,15 +207,17 @@ def _tick_counts(rules: DataFrame, logs: DataFrame, start, end, poll_s: int, tic
     floor_div = lambda c: F.floor(c / poll).cast("bigint")
     per_second = matched.groupBy("_condition", second.alias("s")).agg(F.count(F.lit(1)).alias("n"))
     pairs = rules.select("_condition", "_w").distinct()
-    pairs = pairs.withColumn("_r", F.col("_w") % poll)
+    # Joining ticks to windows multiplies rows, so the windows are spread over all tasks first.
+    width = int(rules.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = pairs.withColumn("_r", F.col("_w") % poll).repartition(width, "_condition", "_w")
     entering = per_second.groupBy("_condition", (floor_div(F.col("s")) + 1).alias("k")).agg(F.sum("n").alias("n"))
     leaving = (
         per_second.join(pairs.select("_condition", "_r").distinct(), "_condition")
         .groupBy("_condition", "_r", (floor_div(F.col("s") + F.col("_r")) + 1).alias("k")).agg(F.sum("n").alias("n"))
     )
     edges = (
-        pairs.join(entering, "_condition").select("_condition", "_w", "k", "n")
-        .unionByName(pairs.join(leaving, ["_condition", "_r"]).select(
+        pairs.join(broadcast_if_small(cut(entering)), "_condition").select("_condition", "_w", "k", "n")
+        .unionByName(pairs.join(broadcast_if_small(cut(leaving)), ["_condition", "_r"]).select(
             "_condition", "_w", (F.col("k") + floor_div(F.col("_w") - F.col("_r"))).alias("k"), (-F.col("n")).alias("n")
         ))
         .unionByName(pairs.select("_condition", "_w", F.lit(0).cast("bigint").alias("k"), F.lit(0).cast("bigint").alias("n")))
