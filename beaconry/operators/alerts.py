@@ -243,11 +243,7 @@ def backtest_alerts(rules: DataFrame, logs: DataFrame, start, end, poll_s: int =
     keyed = _usable(rules)
     stretches = _tick_counts(keyed, logs, start, end, poll_s, ticks)
     breached = keyed.join(stretches, ["_condition", "_w"]).where(is_breached())
-    schema = T.StructType([
-        *[rules.schema[c] for c in ("Id", "Name", "ThresholdComparator", "ThresholdCount", "WindowSeconds")],
-        T.StructField("_k", T.LongType()), T.StructField("ObservedCount", T.LongType()),
-    ])
-    copied = [f.name for f in schema.fields if f.name not in ("_k", "ObservedCount")]
+    schema = T.StructType([rules.schema["Id"], T.StructField("_k", T.LongType()), T.StructField("ObservedCount", T.LongType())])
 
     def fire(columns, first, last, out):
         ready = 0
@@ -255,14 +251,14 @@ def backtest_alerts(rules: DataFrame, logs: DataFrame, start, end, poll_s: int =
             wait = max(1, -(-columns["CooldownSeconds"][i] // poll_s))
             tick = max(columns["k"][i], ready)
             while tick < columns["k_end"][i]:
-                for name in copied:
-                    out[name].append(columns[name][i])
+                out["Id"].append(columns["Id"][i])
                 out["_k"].append(tick)
                 out["ObservedCount"].append(columns["ObservedCount"][i])
-                ready = tick + wait
-                tick = ready
+                tick = ready = tick + wait
 
-    slim = breached.select(*copied, "CooldownSeconds", "k", "k_end", "ObservedCount")
-    fired = map_groups(slim, ["Id"], ["k"], fire, schema)
+    slim = breached.select("Id", "CooldownSeconds", "k", "k_end", "ObservedCount")
+    fired = map_groups(slim, ["Id"], ["k"], fire, schema).join(
+        broadcast_if_small(keyed.select("Id", "Name", "ThresholdComparator", "ThresholdCount", "WindowSeconds")), "Id"
+    )
     at = add_seconds(ntz(start), F.col("_k") * F.lit(poll_s))
     return fired.select(*_firing(at))
