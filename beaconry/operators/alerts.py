@@ -148,6 +148,7 @@ def with_cooldown(rules: DataFrame, events: DataFrame, now) -> DataFrame:
 
 
 def message() -> Column:
+    # The wording of a fired alert.
     symbol = F.when(F.col("ThresholdComparator") == "LessThan", "<").otherwise(">=")
     return F.concat(
         F.lit(':rotating_light: Alert "'), F.col("Name"), F.lit('" fired: '), F.col("ObservedCount").cast("string"),

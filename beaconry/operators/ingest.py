@@ -257,6 +257,7 @@ def ingest_verdict(health: DataFrame, backlog: DataFrame, buckets: DataFrame, to
     available, stuck = F.coalesce("Available", F.lit(False)), F.coalesce(_stuck(), F.lit(False))
     order = F.array_position(F.array(*map(F.lit, SIGNALS)), F.col("Signal"))
     full = F.coalesce(percent >= DOWN_PERCENT, F.lit(False))
+    # The wording of the reasons, here and in the two texts below.
     writer_down = F.when(is_down, text(F.col("Signal"), " exporter unavailable"))
     writer_degraded = F.when(retrying, text(F.col("Signal"), " flush retrying (", number("ConsecutiveErrors"), " errors)")).when(
         stale, text(F.col("Signal"), " flush stale, still receiving traffic")

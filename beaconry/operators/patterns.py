@@ -18,6 +18,7 @@ from beaconry.functions.masking import WILDCARD, mask_body, normalized, pattern_
 from beaconry.plans.grouped import map_groups
 from beaconry.plans.lineage import cut
 from beaconry.plans.sizing import broadcast_if_small, is_small
+from beaconry.plans.skew import join_unique
 
 SIMILARITY = 0.5
 TEXTS_PER_ROUND = 10_000
@@ -95,10 +96,12 @@ def _fits(texts: DataFrame, clusters: DataFrame, keep: list[str]) -> DataFrame:
     blanked = lambda: F.array_join(
         F.transform(_tokens(), lambda t, i: F.when(F.get("w", i), WILDCARD).otherwise(t)), " "
     )
-    if is_small(clusters):  # the shapes are a projection of the clusters
-        shapes, clusters = F.broadcast(shapes), F.broadcast(clusters)
+    if is_small(clusters):  # and so are the shapes, a projection of the clusters
+        shaped, clusters = texts.join(F.broadcast(shapes), BUCKET), F.broadcast(clusters)
+    else:
+        shaped = join_unique(texts, shapes, BUCKET, "inner")
     candidates = (
-        texts.join(shapes, BUCKET)
+        shaped
         .select(*keep, *[c for c in [*BUCKET, "text"] if c not in keep], F.explode("shapes").alias("w"))
         .withColumn("template", blanked())
     )

@@ -72,7 +72,7 @@ def with_span_count(roots: DataFrame, spans: DataFrame) -> DataFrame:
     """Rows with the number of spans their trace holds over the whole table (default 1)."""
     counts = spans.groupBy("TraceId").agg(F.count(F.lit(1)).alias("SpanCount"))
     return (
-        roots.join(counts, "TraceId", "left")
+        join_unique(roots, counts, ["TraceId"])
         .withColumn("SpanCount", F.coalesce("SpanCount", F.lit(1).cast("bigint")))
     )
 
@@ -84,4 +84,4 @@ def trace_logs(logs: DataFrame, spans: DataFrame, by_span: bool = False) -> Data
     for key in keys:
         wanted = wanted.where(F.col(key) != "")
         logs = logs.where(F.col(key) != "")
-    return logs.join(wanted.distinct(), keys, "left_semi")
+    return join_unique(logs, wanted.distinct(), keys, "left_semi")
