@@ -8,6 +8,7 @@ from beaconry.operators import filters, logs as ops, search
 from beaconry.plans.ordered import position_in_group, previous_row, running_total
 from beaconry.plans.quantiles import exact_quantiles
 from beaconry.plans.sizing import is_small
+from beaconry.plans.skew import join_unique
 from beaconry.streaming.jobs import live_tail
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -146,3 +147,12 @@ def test_broadcast_check(spark):
     assert is_small(spark.range(10), max_rows=10)
     assert not is_small(spark.range(11), max_rows=10)
     assert not is_small(spark.range(10), max_bytes=20)
+
+
+def test_hot_keys_take_the_same_rows(spark):
+    left = samples(spark).withColumn("key", F.col("id") % 7)
+    right = spark.range(5).select(F.col("id").alias("key"), (F.col("id") * 10).alias("w"))
+    for how in ("left", "inner", "left_semi"):
+        plain = sorted(map(str, left.join(right, ["key"], how).collect()))
+        for hot_rows in (0, 71, 10_000):
+            assert sorted(map(str, join_unique(left, right, ["key"], how, hot_rows).collect())) == plain

@@ -85,3 +85,12 @@ def test_known_templates_are_kept_and_widened(spark):
     first = patterns.drain_templates(patterns.distinct_texts(logs(spark, ["job x done ok", "job y done ok"])))
     again = patterns.drain_templates(patterns.distinct_texts(logs(spark, ["job z done bad", "task new"])), first)
     assert sorted((r.template, r.ordinal) for r in again.collect()) == [("job <*> done <*>", 0), ("task new", 0)]
+
+
+def test_without_broadcasts(spark, monkeypatch):
+    """Large template tables take the shuffle joins; the result is the same."""
+    bodies = ["go a b c d", "go a b c e", "go x y z w", "stop now please", "stop later please"]
+    expected = templates(spark, bodies)
+    for name in ("is_small", "broadcast_if_small"):
+        monkeypatch.setattr(patterns, name, (lambda df, **_: False) if name == "is_small" else (lambda df, **_: df))
+    assert templates(spark, bodies, texts_per_round=1) == expected
