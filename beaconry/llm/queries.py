@@ -2,13 +2,42 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as doubles; null where the vector is null or holds a null or non-finite component."""
+    vector = F.col("embedding").cast("array<double>")
+    bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.when(~bad, vector).alias("vector"))
+
+
+def is_query() -> Column:
+    return F.col("vec_id") % 100 == 0
+
+
+def kept_digest(text: Column) -> Column:
+    return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
+
+
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from beaconry.llm.topk import top_k_inner_product
+
+    scaled = F.transform("vector", lambda x: F.floor(x * 1024)).alias("vector")
+    return top_k_inner_product(embeddings(spark, sf_dir).select("vec_id", scaled), is_query())
+
+
+def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from beaconry.llm.lines import drop_frequent_lines
+
+    out = drop_frequent_lines(documents(spark, sf_dir))
+    return out.select("doc_id", "n_lines", "n_dropped", kept_digest(F.col("text")).alias("kept_sha256"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -19,6 +48,39 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_topk": op2_topk,
+    "op6_lines": op6_lines,
     "op10_packing": op10_packing,
 }
-ORACLES: dict[str, str] = {}
+
+_VECTORS = """
+    vectors AS (
+        SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+        FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    )"""
+
+ORACLES: dict[str, str] = {
+    "op2_topk": f"""
+        WITH {_VECTORS},
+        scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id, max(CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT)) AS score
+            FROM (SELECT vec_id, min(v) AS v FROM vectors WHERE vec_id % 100 = 0 GROUP BY 1) q
+            JOIN vectors c ON c.vec_id <> q.vec_id AND len(c.v) = len(q.v) GROUP BY 1, 2
+        ),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 10""",
+    "op6_lines": r"""
+        WITH numbered AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+        lines AS (
+            SELECT r, doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM numbered
+        ),
+        keyed AS (
+            SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines
+        ),
+        frequent AS (SELECT key FROM keyed WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT r) >= 10),
+        marked AS (SELECT k.*, f.key IS NOT NULL AS dropped FROM keyed k LEFT JOIN frequent f USING (key))
+        SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256
+        FROM marked GROUP BY r""",
+}
