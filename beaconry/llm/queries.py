@@ -31,6 +31,13 @@ def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k_inner_product(embeddings(spark, sf_dir).select("vec_id", scaled), is_query())
 
 
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from beaconry.llm.substrings import remove_repeated_windows
+
+    out = remove_repeated_windows(documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", kept_digest(F.col("text")).alias("kept_sha256"))
+
+
 def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from beaconry.llm.lines import drop_frequent_lines
 
@@ -38,6 +45,13 @@ def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", kept_digest(F.col("text")).alias("kept_sha256"))
 
 
+def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from beaconry.llm.suffixes import remove_repeated_bytes
+
+    out = remove_repeated_bytes(documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -49,7 +63,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_topk": op2_topk,
+    "op3_substrings": op3_substrings,
     "op6_lines": op6_lines,
+    "op9_suffixes": op9_suffixes,
     "op10_packing": op10_packing,
 }
 

@@ -83,18 +83,30 @@ def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int
     return h
 
 
+def prefix_hashes(values: np.ndarray, multiplier: int = 0x9E3779B97F4A7C15) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums of ``values`` times powers of an odd number, modulo 2**64, and the inverse powers."""
+    def powers(base: int) -> np.ndarray:
+        out = np.full(len(values) + 1, base, np.uint64)
+        out[0] = 1
+        return np.multiply.accumulate(out)
+
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * powers(multiplier)[:-1], out=sums[1:])
+    return sums, powers(pow(multiplier, -1, 1 << 64))
+
+
+def span_hashes(prefix: tuple[np.ndarray, np.ndarray], starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A mixed hash of the values in each [start, end); it does not depend on where the span lies."""
+    sums, inverse = prefix
+    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+
+
 def rolling(values: np.ndarray, width: int, multiplier: int = 0x9E3779B97F4A7C15) -> np.ndarray:
-    """A mixed hash of every ``width`` consecutive values (polynomial, modulo 2**64)."""
+    """A mixed hash of every ``width`` consecutive values."""
     if len(values) < width:
         return np.zeros(0, np.uint64)
-    modulus = 1 << 64
-    powers = np.full(len(values), multiplier | 1, np.uint64)
-    powers[0] = 1
-    powers = np.multiply.accumulate(powers)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values.astype(np.uint64) * powers)])
-    inverse = np.full(len(values) - width + 1, pow(multiplier | 1, -1, modulus), np.uint64)
-    inverse[0] = 1
-    return mix((sums[width:] - sums[:-width]) * np.multiply.accumulate(inverse))
+    sums, inverse = prefix_hashes(values, multiplier)
+    return mix((sums[width:] - sums[:-width]) * inverse[:-width] + np.uint64(width))
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
