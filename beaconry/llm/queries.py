@@ -45,6 +45,12 @@ def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", kept_digest(F.col("text")).alias("kept_sha256"))
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from beaconry.llm.neighbours import nearest_neighbours
+
+    return nearest_neighbours(embeddings(spark, sf_dir), is_query())
+
+
 def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from beaconry.llm.suffixes import remove_repeated_bytes
 
@@ -65,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_topk": op2_topk,
     "op3_substrings": op3_substrings,
     "op6_lines": op6_lines,
+    "op7_neighbours": op7_neighbours,
     "op9_suffixes": op9_suffixes,
     "op10_packing": op10_packing,
 }
