@@ -24,6 +24,14 @@ def kept_digest(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from beaconry.llm.language import fit_language, held_out, identify_language
+
+    docs = documents(spark, sf_dir)
+    model = fit_language(docs.where(F.col("doc_id").isNotNull() & ~held_out("doc_id", 4, 2)))
+    return identify_language(docs.select("doc_id", "text"), model).select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
+
+
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from beaconry.llm.topk import top_k_inner_product
 
@@ -68,6 +76,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language": op1_language,
     "op2_topk": op2_topk,
     "op3_substrings": op3_substrings,
     "op6_lines": op6_lines,

@@ -5,9 +5,14 @@ linear in the bytes given; callers cut batches with :func:`slices` so that the a
 one call stay bounded, except for a single text that is longer than the bound.
 """
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 # Fixed value: the white space of the word contract, [\x20\x09-\x0D].
 SPACE = np.zeros(256, dtype=bool)
@@ -136,3 +141,21 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     total = int(counts.sum())
     before = np.cumsum(counts) - counts
     return np.repeat(starts - before, counts) + np.arange(total)
+
+
+def add_columns(docs: DataFrame, text_col: str, fn: Callable, ddl: str, max_bytes: int = 4 << 20) -> DataFrame:
+    """``docs`` with the columns of ``ddl``, which ``fn(texts)`` gives as arrays; columns of these names are replaced."""
+    added = StructType.fromDDL(ddl)
+    kept = [f for f in docs.schema.fields if f.name not in added.names or f.name == text_col]
+    inner = docs.select(*[F.col(f"`{f.name}`") for f in kept])
+    at = inner.columns.index(text_col)
+    types = to_arrow_schema(added).types
+
+    def run(batches):
+        for batch in batches:
+            for first, last in slices(batch.column(at), max_bytes):
+                part = batch.slice(first, last - first)
+                new = [pa.array(c, type=t) for c, t in zip(fn(part.column(at)), types)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*part.schema.names, *added.names])
+
+    return inner.mapInArrow(run, StructType([*kept, *added.fields]))
