@@ -24,7 +24,7 @@ from beaconry.llm.text import joined, mix, prefix_hashes, ranges, rolling, slidi
 GRAM, PIECE = 32, 4
 # Anchors of more runs than this are cut into pieces.
 HOT_RUNS = 1000
-BLOCK_BYTES, SHARD_BYTES, SLICE_BYTES, SORT_BYTES = 12 << 20, 24 << 20, 1 << 20, 1 << 18
+BLOCK_BYTES, SHARD_BYTES, SLICE_BYTES, SORT_BYTES = 4 << 20, 12 << 20, 1 << 19, 1 << 18
 # Random 64-bit value of each byte, from a rule.
 _VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _FIRST, _SECOND = 0x9E3779B97F4A7C15, 0xE7037ED1A0B428DB
@@ -316,7 +316,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 400, id_col: str = "doc
         n = len(runs.buf)
         begun = np.zeros(n + 1, np.int32)
         begun[ranges(lo, hi - lo + 1)] = flags[ranges((np.cumsum(starts) - starts)[kind], hi - lo + 1)]
-        upto = np.cumsum(begun)
+        upto = np.cumsum(begun, dtype=np.int32)
         gone = upto[:n].copy()
         gone[length:] -= upto[:n - length] if n > length else 0
         gone = gone > 0
