@@ -59,6 +59,16 @@ def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(embeddings(spark, sf_dir), is_query())
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from beaconry.llm.language import held_out
+    from beaconry.llm.toxicity import fit_toxicity, score_toxicity
+
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out("doc_id", 3, 1)))
+    return score_toxicity(docs, model).select(
+        "doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from beaconry.llm.suffixes import remove_repeated_bytes
 
@@ -81,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_substrings": op3_substrings,
     "op6_lines": op6_lines,
     "op7_neighbours": op7_neighbours,
+    "op8_toxicity": op8_toxicity,
     "op9_suffixes": op9_suffixes,
     "op10_packing": op10_packing,
 }
