@@ -46,6 +46,20 @@ def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", kept_digest(F.col("text")).alias("kept_sha256"))
 
 
+def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text, and whether they decode to it."""
+    import public_tokenizers
+
+    from beaconry.llm.pieces import PieceModel, decode_pieces, encode_pieces
+
+    model = PieceModel.load(public_tokenizers.path("piece_bpe_32k.model"))
+    coded = decode_pieces(encode_pieces(documents(spark, sf_dir).select("doc_id", "text"), model), model)
+    return coded.select(
+        "doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_ids"), F.crc32("ids").alias("ids_crc32"),
+        kept_digest(F.col("decoded")).alias("decoded_sha256"),
+        (F.col("decoded") == F.replace(F.coalesce("text", F.lit("")), F.lit("\u2581"), F.lit(" "))).alias("round_trip"))
+
+
 def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from beaconry.llm.lines import drop_frequent_lines
 
@@ -89,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_topk": op2_topk,
     "op3_substrings": op3_substrings,
+    "op4_pieces": op4_pieces,
     "op6_lines": op6_lines,
     "op7_neighbours": op7_neighbours,
     "op8_toxicity": op8_toxicity,
