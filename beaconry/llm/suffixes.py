@@ -23,7 +23,7 @@ from beaconry.llm.text import joined, mix, prefix_hashes, ranges, rolling, slidi
 
 GRAM, PIECE = 32, 4
 # Anchors of more runs than this are cut into pieces.
-HOT_RUNS = 1000
+HOT_RUNS = 4000
 BLOCK_BYTES, SHARD_BYTES, SLICE_BYTES, SORT_BYTES = 4 << 20, 12 << 20, 1 << 19, 1 << 18
 # Random 64-bit value of each byte, from a rule.
 _VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -40,7 +40,12 @@ def suffix_order(text: bytes, depth: int) -> np.ndarray:
     change = np.append(np.diff(t.astype(np.int16)), -1)
     at = np.where(change != 0, np.arange(n), n)
     small = change[np.minimum.accumulate(at[::-1])[::-1]] > 0
-    direct = np.array(sorted(np.flatnonzero(small).tolist(), key=lambda p: text[p:p + depth]), np.int64)
+    # By their first two bytes, then within each such bucket, so that few keys are held at once.
+    direct = np.flatnonzero(small)
+    pairs = t[direct].astype(np.int32) << 8 | t[direct + 1]
+    order = np.argsort(pairs, kind="stable")
+    parts = np.split(direct[order], np.flatnonzero(np.diff(pairs[order])) + 1)
+    direct = np.concatenate([np.array(sorted(part.tolist(), key=lambda p: text[p:p + depth]), np.int64) for part in parts])
     first = t[direct]
     edges = np.searchsorted(first, np.arange(257))
     induced: list[list[np.ndarray]] = [[] for _ in range(256)]
@@ -149,11 +154,12 @@ class _Runs:
         return self.buf[lo:hi + self.length].tobytes()
 
     def pieces(self, runs: np.ndarray):
-        """(index into ``runs``, first start from the run's, number of further starts, core hash) of all pieces."""
-        owner, first, span, cores = [], [], [], []
+        """(index into ``runs``, first start from the run's, number of further starts, core hash, two digests) of all pieces."""
+        owner, first, span, cores, one, two = [], [], [], [], [], []
         for i, run in enumerate(runs):
             a, b = self.lo[run], self.hi[run]
-            prefix = prefix_hashes(_VALUES[self.buf[a:b + self.length]], _FIRST)
+            values = _VALUES[self.buf[a:b + self.length]]
+            prefix = prefix_hashes(values, _FIRST)
             at = np.arange(b - a + self.length - GRAM + 1)
             places = np.flatnonzero(span_hashes(prefix, at, at + GRAM) == self.anchor[run])
             starts = np.arange(b - a + 1)
@@ -164,17 +170,12 @@ class _Runs:
             cores.append(span_hashes(prefix, core, core - PIECE + 1 + self.length))
             owner.append(np.full(len(new), i))
             first.append(new)
-            span.append(np.append(new[1:] - 1, len(starts) - 1) - new)
+            last = np.append(new[1:] - 1, len(starts) - 1)
+            span.append(last - new)
+            one.append(span_hashes(prefix, new, last + self.length))
+            two.append(span_hashes(prefix_hashes(values, _SECOND), new, last + self.length))
         join = lambda parts, kind=np.int64: np.concatenate(parts) if parts else np.zeros(0, kind)
-        return join(owner), join(first), join(span), join(cores, np.uint64)
-
-    def digests(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        out = np.zeros((2, len(lo)), np.uint64)
-        for i, (a, b) in enumerate(zip(lo, hi)):
-            values = _VALUES[self.buf[a:b + self.length]]
-            for k, multiplier in enumerate((_FIRST, _SECOND)):
-                out[k, i] = span_hashes(prefix_hashes(values, multiplier), np.array([0]), np.array([len(values)]))[0]
-        return out[0], out[1]
+        return join(owner), join(first), join(span), *(join(x, np.uint64) for x in (cores, one, two))
 
 
 def _distinct(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -236,7 +237,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 400, id_col: str = "doc
 
     def core_keys(table: pa.Table, replies: dict) -> dict[int, bytes]:
         runs = _Runs(table[text_at].combine_chunks(), length)
-        *_, times, (owner, _, _, cores) = hot_pieces(runs, replies)
+        *_, times, (owner, _, _, cores, _, _) = hot_pieces(runs, replies)
         keys, at = np.unique(cores, return_inverse=True)
         counts = np.bincount(at, weights=times[owner], minlength=len(keys))
         return {s + shards: _count_payload(keys[a:b], counts[a:b]) for s, a, b in cuts(keys, shards)}
@@ -247,12 +248,10 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 400, id_col: str = "doc
     def items(table: pa.Table, replies: dict):
         """What may repeat: (lo, hi) and kind of every occurrence, and a sample, key and count of each kind, by key."""
         runs = _Runs(table[text_at].combine_chunks(), length)
-        plain, hot, sample, of, _, (owner, first, span, cores) = hot_pieces(runs, replies)
+        plain, hot, sample, of, _, (owner, first, span, cores, one, two) = hot_pieces(runs, replies)
         keys, at = np.unique(cores, return_inverse=True)
         keep = (_codes(replies, keys, shards, shards)[at] if len(keys) else cores) > 0
-        owner, first, span, cores = owner[keep], first[keep], span[keep], cores[keep]
-        base = runs.lo[hot[sample]][owner] + first
-        one, two = runs.digests(base, base + span)
+        owner, first, span, cores, one, two = (x[keep] for x in (owner, first, span, cores, one, two))
         # A run has the pieces of the run it equals.
         pieces = np.bincount(owner, minlength=len(sample))
         counts = pieces[of]
