@@ -60,6 +60,13 @@ def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("decoded") == F.replace(F.coalesce("text", F.lit("")), F.lit("\u2581"), F.lit(" "))).alias("round_trip"))
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of every document: the smallest doc_id among its near duplicates."""
+    from beaconry.llm.minhash import near_duplicate_classes
+
+    return near_duplicate_classes(documents(spark, sf_dir)).select("doc_id", "class_id")
+
+
 def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from beaconry.llm.lines import drop_frequent_lines
 
@@ -104,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_topk": op2_topk,
     "op3_substrings": op3_substrings,
     "op4_pieces": op4_pieces,
+    "op5_minhash": op5_minhash,
     "op6_lines": op6_lines,
     "op7_neighbours": op7_neighbours,
     "op8_toxicity": op8_toxicity,
