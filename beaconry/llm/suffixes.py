@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from beaconry.llm.routed import Blocks, answer, cuts
-from beaconry.llm.text import joined, mix, prefix_hashes, ranges, rolling, sliding_max, sliding_min, slices, span_hashes
+from beaconry.llm.text import add_columns, joined, mix, prefix_hashes, ranges, rolling, sliding_max, sliding_min, slices, span_hashes
 
 GRAM, PIECE = 32, 4
 # Anchors of more runs than this are cut into pieces.
@@ -27,6 +27,7 @@ HOT_RUNS = 4000
 BLOCK_BYTES, SHARD_BYTES, SLICE_BYTES, SORT_BYTES = 4 << 20, 12 << 20, 1 << 19, 1 << 18
 # Random 64-bit value of each byte, from a rule.
 _VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_RESULTS = ("kept", "n_bytes", "n_removed", "n_spans")
 _FIRST, _SECOND = 0x9E3779B97F4A7C15, 0xE7037ED1A0B428DB
 
 
@@ -332,3 +333,15 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 400, id_col: str = "doc
     known = known.unionByName(answer(blocks.ask(core_keys, known), core_codes))
     known = known.unionByName(answer(blocks.ask(send, known), sort_shard))
     return blocks.finish(remove, known, "kept binary, n_bytes bigint, n_removed bigint, n_spans bigint")
+
+
+def drop_repeated_text(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with the text that :func:`remove_repeated_bytes` keeps, without characters cut in two.
+
+    Null texts become empty. Columns named like the four results are left out.
+    """
+    columns = docs.columns
+    kept = remove_repeated_bytes(docs, text_col=text_col, **options)
+    decode = lambda parts: [pa.array([p.as_py().decode("utf-8", "ignore") for p in parts], pa.string())]
+    text = add_columns(kept.select(*[c for c in columns if c not in (text_col, *_RESULTS)], "kept"), "kept", decode, f"`{text_col}` string")
+    return text.select(*[c for c in columns if c not in _RESULTS])
