@@ -2,7 +2,8 @@
 
 Walks over a trace run next to each other in Python tasks as long as the trace has at
 most ``MAX_SPANS_PER_TASK`` spans. Larger traces (found by a count per trace) are walked
-level by level with joins instead, with the same result.
+level by level with joins instead, with the same result. Both ways see one row of a
+repeated span id, the first by (StartTime, ParentSpanId, EndTime).
 """
 
 from functools import reduce
@@ -28,13 +29,18 @@ def effective_service(prefix: str = "") -> Column:
     return F.when(peer != "", peer).when(F.coalesce(own, F.lit("")) != "", own).otherwise(F.lit("unknown"))
 
 
+def unique_spans(spans: DataFrame, **columns: Column) -> DataFrame:
+    """(TraceId, SpanId, columns) of the first row of every span id, by (StartTime, ParentSpanId, EndTime)."""
+    order = ["StartTime", F.coalesce("ParentSpanId", F.lit("")).alias("parent"), "EndTime"]
+    first = F.min(F.struct(*order, *[c.alias(name) for name, c in columns.items()])).alias("_first")
+    return spans.where(F.col("SpanId") != "").groupBy("TraceId", "SpanId").agg(first).select(
+        "TraceId", "SpanId", *[F.col(f"_first.{name}") for name in columns]
+    )
+
+
 def parent_child(spans: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Every span with its resolved parent; ``IsRoot`` when no such parent exists."""
-    parents = (
-        spans.where(F.col("SpanId") != "")
-        .groupBy("TraceId", F.col("SpanId").alias("ParentSpanId"))
-        .agg(F.min(F.struct("StartTime", "ServiceName", "Name")).alias("p"))
-    )
+    parents = unique_spans(spans, p=F.struct("ServiceName", "Name")).withColumnRenamed("SpanId", "ParentSpanId")
     # Root spans name no parent: they need no partner and no shuffle.
     named = F.coalesce("ParentSpanId", F.lit("")) != ""
     roots = spans.where(~named).withColumn("p", F.lit(None).cast(parents.schema["p"].dataType))
@@ -75,17 +81,14 @@ def service_nodes(spans: DataFrame, by_trace: bool = False) -> DataFrame:
 
 def service_edges(spans: DataFrame, by_trace: bool = False) -> DataFrame:
     """Calls and summed child duration between different effective services."""
-    slim = spans.select("TraceId", "SpanId", "ParentSpanId", "DurationNano", effective_service().alias("Target"))
+    slim = spans.select("TraceId", "ParentSpanId", "DurationNano", effective_service().alias("Target"))
     # Children are counted per parent and service first, so a parent with very many of them
     # reaches the join as a few rows.
     children = slim.where(F.col("ParentSpanId") != "").groupBy("TraceId", "ParentSpanId", "Target").agg(
         F.count(F.lit(1)).alias("n"), F.sum("DurationNano").alias("d")
     )
     # One parent per id: a repeated id must not multiply its children.
-    parents = (
-        slim.where(F.col("SpanId") != "")
-        .groupBy("TraceId", F.col("SpanId").alias("ParentSpanId")).agg(F.max("Target").alias("Source"))
-    )
+    parents = unique_spans(spans, Source=effective_service()).withColumnRenamed("SpanId", "ParentSpanId")
     crossing = children.join(parents, ["TraceId", "ParentSpanId"]).where(F.col("Source") != F.col("Target"))
     keys = ["TraceId", "Source", "Target"] if by_trace else ["Source", "Target"]
     return crossing.groupBy(*keys).agg(F.sum("n").alias("CallCount"), F.sum("d").alias("TotalDurationNano"))
@@ -108,11 +111,18 @@ def _slim(spans: DataFrame) -> DataFrame:
     )
 
 
+# The first row of an id in this order is the one _one_per_id keeps.
+_WALK_ORDER = ["s", "SpanId", "ParentSpanId", "e"]
+
+
 def _tree(ids, parents, first, last):
-    """Row numbers of the roots, and of the children of every span id, in row order."""
+    """Row numbers of the roots, and of the children of every span id, in row order; one row per id."""
     known = set(ids[first:last])
-    roots, children = [], {}
+    roots, children, seen = [], {}, set()
     for i in range(first, last):
+        if ids[i] in seen:
+            continue
+        seen.add(ids[i])
         parent = parents[i]
         if parent and parent in known:
             children.setdefault(parent, []).append(i)
@@ -187,7 +197,7 @@ def trace_waterfall(spans: DataFrame, max_spans: int = MAX_SPANS_PER_TASK) -> Da
     Spans that no root reaches (a parent cycle) have no place in the tree and are left out.
     """
     usual, oversized = _split_oversized(_slim(spans), max_spans)
-    rows = map_groups(usual.drop("e"), ["TraceId"], ["s", "SpanId"], _waterfall_of_trace, WATERFALL)
+    rows = map_groups(usual, ["TraceId"], _WALK_ORDER, _waterfall_of_trace, WATERFALL)
     return rows if oversized is None else rows.unionByName(_waterfall_by_levels(oversized))
 
 
@@ -249,7 +259,7 @@ def _critical_path_by_levels(slim: DataFrame) -> DataFrame:
     of the children before it, so no sequential walk is needed.
     """
     spans = cut(_rooted(_one_per_id(slim)))
-    latest = F.max_by(F.struct("SpanId", "s", "e"), F.struct("e", (-F.col("s")).alias("o"))).alias("r")
+    latest = F.min_by(F.struct("SpanId", "s", "e"), F.struct((-F.col("e")).alias("o"), "s", "SpanId")).alias("r")
     roots = cut(spans.where("_root").groupBy("TraceId").agg(latest).select(
         "TraceId", F.col("r.SpanId").alias("SpanId"), F.col("r.s").alias("s"), F.col("r.e").alias("e")
     ))
@@ -298,5 +308,5 @@ def critical_path(spans: DataFrame, max_spans: int = MAX_SPANS_PER_TASK) -> Data
     a child's end is the parent's own time; a child counts only up to the cursor.
     """
     usual, oversized = _split_oversized(_slim(spans), max_spans)
-    rows = map_groups(usual, ["TraceId"], ["s", "SpanId"], _critical_path_of_trace, CRITICAL)
+    rows = map_groups(usual, ["TraceId"], _WALK_ORDER, _critical_path_of_trace, CRITICAL)
     return rows if oversized is None else rows.unionByName(_critical_path_by_levels(oversized))

@@ -69,6 +69,23 @@ def test_both_ways_agree_on_random_trees(spark):
         assert inside == levels and inside
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_both_ways_agree_on_repeated_ids_and_ties(spark, seed):
+    rng = random.Random(seed)
+    rows = [("same", "a", "", 0, 10), ("same", "b", "", 0, 10), ("twice", "r", "", 0, 100), ("twice", "q", "r", 1, 90), ("twice", "k", "q", 4, 8),
+            ("twice", "k", "r", 2, 76), ("twice", "k", "r", 2, 60), ("twice", "j", "k", 3, 9)]
+    for t in range(10):
+        for _ in range(25):
+            start = rng.randrange(0, 12)
+            rows.append((f"t{t}", f"s{rng.randrange(14)}", rng.choice(["", *[f"s{i}" for i in range(14)]]), start, start + rng.randrange(0, 9)))
+    df = spans(spark, rows)
+    for op in (traces.trace_waterfall, traces.critical_path):
+        inside, levels = (sorted(tuple(r) for r in op(df, limit).collect()) for limit in (20_000, 0))
+        assert inside == levels and inside
+    roots = {r.TraceId: r.RootSpanId for r in traces.critical_path(df, 0).collect()}
+    assert roots["same"] == "a" and roots["twice"] == "r"
+
+
 @pytest.mark.parametrize("hot_rows", [1000, 1])
 def test_parents_with_many_children(spark, hot_rows):
     df = spans(spark, CASES).withColumns({"ServiceName": F.concat(F.lit("s-"), "SpanId"), "Name": F.col("SpanId")})
