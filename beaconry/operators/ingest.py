@@ -25,14 +25,15 @@ TOP_SERVICES = 5
 DEFAULT_CAPACITY = 1_000_000
 
 
-def clamp_minutes(minutes: int | None) -> int:
-    return min(max(minutes if minutes and minutes > 0 else 60, 1), 1440)
+def window_minutes(minutes: int | None) -> int:
+    """The asked number of minutes; an hour where none, or none above 0, is given."""
+    return minutes if minutes and minutes > 0 else 60
 
 
 def minute_window(now, minutes):
     """First and last minute of the window that ends with the current minute."""
     current = as_datetime(now).replace(second=0, microsecond=0)
-    return current - dt.timedelta(minutes=clamp_minutes(minutes) - 1), current
+    return current - dt.timedelta(minutes=window_minutes(minutes) - 1), current
 
 
 def in_window(requests: DataFrame, now, minutes) -> DataFrame:
@@ -54,7 +55,7 @@ def minute_counters() -> list[Column]:
 def dense_grid(spark: SparkSession, now, minutes) -> DataFrame:
     """Every (minute, signal, protocol) of the window."""
     first, _ = minute_window(now, minutes)
-    offsets = F.explode(F.sequence(F.lit(0), F.lit(clamp_minutes(minutes) - 1)))
+    offsets = F.explode(F.sequence(F.lit(0), F.lit(window_minutes(minutes) - 1)))
     return (
         spark.range(1).select(offsets.alias("m"))
         .select(add_seconds(ntz(first), F.col("m") * 60).alias("BucketStart"),

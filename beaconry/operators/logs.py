@@ -10,7 +10,6 @@ from beaconry.functions.times import bucket_start, ntz, seconds_between
 from beaconry.operators.filters import resolve_range, time_bound
 
 DEFAULT_TOP_PATTERNS = 200
-MAX_TOP_PATTERNS = 1000
 DEFAULT_SAMPLE = 4000
 COLUMN_TABLE_ROWS = 100
 VALUE_BINS = 24
@@ -58,7 +57,9 @@ def log_patterns(df: DataFrame, top_n: int = DEFAULT_TOP_PATTERNS) -> DataFrame:
     The raw rows are grouped by (id, template) so that the first aggregation keeps
     fixed-width buffers; folding the few templates of an id comes second.
     """
-    top_n = min(max(top_n or DEFAULT_TOP_PATTERNS, 1), MAX_TOP_PATTERNS)
+    top_n = top_n or DEFAULT_TOP_PATTERNS
+    if top_n < 1:
+        raise ValueError("top_n is at least 1")
     per_template = (
         df.where(F.col("PatternId") != "")
         .groupBy("PatternId", "PatternTemplate")
@@ -178,13 +179,14 @@ def column_table(df: DataFrame, columns: list[str], rows: int = COLUMN_TABLE_ROW
 
 
 def log_query(df: DataFrame, select="*", where: str | None = None, group_time: int | None = None,
-              group_by: str = "none", frm=None, to=None, now=None) -> DataFrame:
+              group_by: str = "none", frm=None, to=None, now=None, rows: int = COLUMN_TABLE_ROWS) -> DataFrame:
     """One ad-hoc query over the log stream.
 
     ``select`` is ``"*"`` (full rows), a list of column names (column table), or an
     aggregate: ``"count"``, ``("avg", column)``, ``("sum", column)``. With ``group_time``
     seconds an aggregate becomes a time series. ``where`` is a Spark SQL predicate over
     service, level, body, traceid, spanid and severitynumber, ``like`` ignoring case.
+    Rows and column tables show ``rows`` rows and one more if there are more.
     """
     matched = query_where(time_bound(df, "Timestamp", frm, to, now), where)
     if select == "count" or isinstance(select, tuple):
@@ -196,5 +198,5 @@ def log_query(df: DataFrame, select="*", where: str | None = None, group_time: i
     if group_time:
         raise ValueError("grouping needs an aggregate select")
     if select == "*":
-        return matched.orderBy(F.desc("Timestamp"), F.desc("EventId")).limit(COLUMN_TABLE_ROWS + 1)
-    return column_table(matched, select)
+        return matched.orderBy(F.desc("Timestamp"), F.desc("EventId")).limit(rows + 1)
+    return column_table(matched, select, rows)

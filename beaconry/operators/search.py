@@ -7,13 +7,12 @@ from beaconry.operators.filters import log_filter, span_filter
 from beaconry.plans.skew import HOT_ROWS, join_unique
 
 DEFAULT_PAGE_SIZE = 200
-MAX_PAGE_SIZE = 1000
-MAX_TRACE_SPANS = 10_000
-SKEW_SALTS = 256
 
 
 def page_limit(page_size) -> int:
-    return min(max(page_size or DEFAULT_PAGE_SIZE, 1), MAX_PAGE_SIZE)
+    if (page_size or DEFAULT_PAGE_SIZE) < 1:
+        raise ValueError("a page has at least one row")
+    return page_size or DEFAULT_PAGE_SIZE
 
 
 def keyset_page(df: DataFrame, keys: list[str], cursor, page_size) -> DataFrame:
@@ -40,9 +39,10 @@ def span_search(df: DataFrame, cursor=None, page_size=None, **predicates) -> Dat
     return keyset_page(span_filter(df, **predicates), ["StartTime", "TraceId", "SpanId"], cursor, page_size)
 
 
-def trace_by_id(df: DataFrame, trace_id: str, cap: int = MAX_TRACE_SPANS) -> DataFrame:
-    """The spans of one trace by start time, with no time bound."""
-    return df.where(F.col("TraceId") == trace_id).orderBy("StartTime", "SpanId").limit(cap)
+def trace_by_id(df: DataFrame, trace_id: str, cap: int | None = None) -> DataFrame:
+    """The spans of one trace by start time, with no time bound; the first ``cap`` if one is given."""
+    spans = df.where(F.col("TraceId") == trace_id).orderBy("StartTime", "SpanId")
+    return spans if cap is None else spans.limit(cap)
 
 
 def slowest_spans(df: DataFrame, n: int = 5) -> DataFrame:
@@ -54,27 +54,19 @@ def slowest_spans(df: DataFrame, n: int = 5) -> DataFrame:
 def with_span_duration(logs: DataFrame, spans: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Logs with the duration of their enclosing span (NULL when there is none).
 
-    Logs without ids can never match. They are spread over salts, which no span carries,
-    so that they do not pile up on one shuffle partition.
+    Logs without ids can never match and pass the join by.
     """
-    has_ids = lambda: (F.col("TraceId") != "") & (F.col("SpanId") != "")
-    durations = (
-        spans.where(has_ids())
-        .groupBy("TraceId", "SpanId").agg(F.max("DurationNano").alias("SpanDurationNano"))
-        .withColumn("_salt", F.lit(0))
-    )
-    spread = F.pmod(F.hash("EventId"), F.lit(SKEW_SALTS)) + 1
-    salted = logs.withColumn("_salt", F.when(has_ids(), F.lit(0)).otherwise(spread))
-    return join_unique(salted, durations, ["TraceId", "SpanId", "_salt"], hot_rows=hot_rows).drop("_salt")
+    has_ids = F.coalesce((F.col("TraceId") != "") & (F.col("SpanId") != ""), F.lit(False))
+    durations = spans.where(has_ids).groupBy("TraceId", "SpanId").agg(F.max("DurationNano").alias("SpanDurationNano"))
+    matched = join_unique(logs.where(has_ids), durations, ["TraceId", "SpanId"], hot_rows=hot_rows)
+    unmatched = logs.where(~has_ids).withColumn("SpanDurationNano", F.lit(None).cast(durations.schema["SpanDurationNano"].dataType))
+    return matched.unionByName(unmatched)
 
 
 def with_span_count(roots: DataFrame, spans: DataFrame) -> DataFrame:
     """Rows with the number of spans their trace holds over the whole table (default 1)."""
     counts = spans.groupBy("TraceId").agg(F.count(F.lit(1)).alias("SpanCount"))
-    return (
-        join_unique(roots, counts, ["TraceId"])
-        .withColumn("SpanCount", F.coalesce("SpanCount", F.lit(1).cast("bigint")))
-    )
+    return roots.join(counts, ["TraceId"], "left").withColumn("SpanCount", F.coalesce("SpanCount", F.lit(1).cast("bigint")))
 
 
 def trace_logs(logs: DataFrame, spans: DataFrame, by_span: bool = False) -> DataFrame:

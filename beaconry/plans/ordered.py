@@ -16,7 +16,10 @@ _SLICE, _ROW = "_slice", "_row"
 
 
 def _sliced(df: DataFrame, ts: str, slice_s: int) -> DataFrame:
-    return df.withColumns({_SLICE: bucket_start(F.col(ts), slice_s), _ROW: F.lit(1)})
+    # Rows without a time are a slice of their own, before all others.
+    never = F.lit("1970-01-01").cast("timestamp_ntz")
+    known = bucket_start(F.coalesce(F.col(ts).cast("timestamp_ntz"), never), slice_s)
+    return df.withColumns({_SLICE: F.when(F.col(ts).isNotNull(), known), _ROW: F.lit(1)})
 
 
 def _with_carry(sliced: DataFrame, carry: DataFrame) -> DataFrame:

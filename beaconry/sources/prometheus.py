@@ -168,6 +168,12 @@ class PrometheusFrames(NamedTuple):
     unsupported: DataFrame
 
 
+def _count(value: Column) -> Column:
+    """A count from a double: 0 for NaN and negative values, infinity as the largest bigint a double can be."""
+    capped = F.least(F.rint(value), F.lit(float((1 << 63) - 1024)))
+    return F.when(F.isnan(value) | (value < 0), F.lit(0).cast("bigint")).otherwise(capped.cast("bigint"))
+
+
 def prometheus_histograms(samples: DataFrame) -> DataFrame:
     """Bucket, sum and count lines folded per (scrape, family, labels without ``le``).
 
@@ -192,13 +198,13 @@ def prometheus_histograms(samples: DataFrame) -> DataFrame:
     )
     folded = folded.withColumn("ResourceAttributes", F.from_json("_resource", "map<string,string>"))
     delta = lambda x, i: x["v"] - F.when(i == 0, 0.0).otherwise(F.get("b", i - 1)["v"])
-    counts = F.transform("b", lambda x, i: F.when(delta(x, i) > 0, F.rint(delta(x, i)).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
+    counts = F.transform("b", lambda x, i: _count(delta(x, i)))
     bounds = F.filter(F.transform("b", lambda x: x["le"]), lambda le: le != float("inf"))
     count = F.coalesce("_count", F.get("b", F.size("b") - 1)["v"], F.lit(0.0))
     time = F.coalesce(from_unix_milli(F.col("_ms")), F.col("ScrapeTime"))
     return folded.select(
         *_common(F.col("Family"), F.col("_help"), F.col("_labels"), time), F.lit(CUMULATIVE).alias("AggregationTemporality"),
-        F.when(count < 0, F.lit(0).cast("bigint")).otherwise(F.rint(count).cast("bigint")).alias("Count"),
+        _count(count).alias("Count"),
         F.coalesce("_sum", F.lit(0.0)).alias("Sum"), counts.alias("BucketCounts"), bounds.alias("ExplicitBounds"),
     )
 

@@ -1,4 +1,10 @@
-"""Stored telemetry tables: layout, reading, writing and export."""
+"""Stored telemetry tables: layout, reading, writing and export.
+
+A table has a folder per month and, in it, one per load (a batch write or a micro-batch), so
+streams and batches add to the same table and a repeated micro-batch replaces itself.
+"""
+
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -13,7 +19,9 @@ LAYOUT = {
     "metrics_sum": ("Time", ["MetricName", "ServiceName", "Time"], []),
     "metrics_histogram": ("Time", ["MetricName", "ServiceName", "Time"], []),
 }
-EXPORT_CAP = 25_000
+
+
+LOAD = "load"
 
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
@@ -38,7 +46,8 @@ def read_histograms(spark: SparkSession, path: str) -> DataFrame:
 
 def read_telemetry(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """A stored table with its fixed schema; ``month`` prunes partitions."""
-    return spark.read.schema(_with_month(kind)).parquet(path)
+    schema = _with_month(kind)
+    return spark.read.schema(schema.add(LOAD, T.StringType())).parquet(path).drop(LOAD)
 
 
 def _with_month(kind: str) -> T.StructType:
@@ -49,24 +58,31 @@ def with_month(df: DataFrame, time_column: str) -> DataFrame:
     return df.withColumn(MONTH, F.date_format(time_column, "yyyy-MM"))
 
 
-def write_telemetry(df: DataFrame, path: str, kind: str, mode: str = "append", partitions: int | None = None) -> None:
-    """Write one table: a folder per month, files sorted by the table's key.
+def write_telemetry(df: DataFrame, path: str, kind: str, mode: str = "append", partitions: int | None = None,
+                    max_records_per_file: int = 5_000_000, load: str | None = None) -> None:
+    """Add to one table: a folder per month and load, files sorted by the table's key.
+
+    ``mode`` append adds a load, named ``load`` or a new name; a load of that name is replaced in
+    the months that it has rows of. ``mode`` overwrite replaces the table.
 
     Rows are range-partitioned by (month, key), so a busy month is spread over many tasks
-    and files, each covering a narrow key range that row-group statistics can skip.
+    and files, each covering a narrow key range that row-group statistics can skip. A task
+    starts a new file after ``max_records_per_file`` rows, so files do not grow with the table.
     """
     time_column, key, bloom = LAYOUT[kind]
     order = [MONTH, *[k for k in key if k in df.columns]]
     dated = with_month(df, time_column)
     ranged = dated.repartitionByRange(partitions, *order) if partitions else dated.repartitionByRange(*order)
-    writer = ranged.sortWithinPartitions(*order).write.mode(mode).partitionBy(MONTH)
+    loaded = ranged.sortWithinPartitions(*order).withColumn(LOAD, F.lit(load or uuid.uuid4().hex))
+    writer = loaded.write.mode("overwrite").option("partitionOverwriteMode", "static" if mode == "overwrite" else "dynamic")
+    writer = writer.option("maxRecordsPerFile", max_records_per_file).partitionBy(MONTH, LOAD)
     for column in bloom:
         writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
     writer.parquet(path)
 
 
-def export_logs(df: DataFrame, cap: int | None = EXPORT_CAP) -> DataFrame:
-    """The export columns in search order, one row more than ``cap`` (was it truncated?)."""
+def export_logs(df: DataFrame, cap: int | None = None) -> DataFrame:
+    """The export columns in search order: all rows, or one row more than ``cap`` (was it truncated?)."""
     ordered = df.orderBy(F.desc("Timestamp"), F.desc("EventId"))
     if cap is not None:
         ordered = ordered.limit(cap + 1)

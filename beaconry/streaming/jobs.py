@@ -5,6 +5,7 @@ job restarted on other executors goes on from its checkpoint. ``foreachBatch`` w
 write to a folder per batch id in overwrite mode: a repeated batch replaces itself.
 """
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
@@ -18,12 +19,10 @@ from beaconry.operators.filters import (
 from beaconry.operators.ingest import minute_counters
 from beaconry.operators.patterns import BUCKET, CLUSTERS, annotate_patterns, distinct_texts, drain_templates
 from beaconry.plans.lineage import cut
-from beaconry.sources.tables import LAYOUT, with_month
+from beaconry.sources.tables import write_telemetry
 from beaconry.schemas import ALERT_EVENTS
 
 FLUSH_INTERVAL = "2 seconds"
-LATE_DATA = "10 minutes"
-MAX_TEMPLATES = 10_000
 
 
 def read_requests(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
@@ -36,19 +35,18 @@ def _triggered(writer: DataStreamWriter, drain: bool, every: str = FLUSH_INTERVA
     return writer.trigger(availableNow=True) if drain else writer.trigger(processingTime=every)
 
 
-def append_telemetry(stream: DataFrame, path: str, checkpoint: str, kind: str, drain: bool = False):
-    """Append flat rows to a stored table, exactly once through the file sink's log."""
-    dated = with_month(stream, LAYOUT[kind][0])
-    writer = dated.writeStream.format("parquet").outputMode("append").partitionBy("month")
-    writer = writer.option("path", path).option("checkpointLocation", checkpoint)
-    return _triggered(writer, drain).start()
-
-
 def each_batch(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, drain: bool = False):
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return _triggered(writer, drain).start()
 
 
+def append_telemetry(stream: DataFrame, path: str, checkpoint: str, kind: str, drain: bool = False):
+    """Append flat rows to a stored table, in its layout; a repeated micro-batch replaces its load."""
+    name = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+    write = lambda batch, batch_id: write_telemetry(batch, path, kind, load=f"{name}-{batch_id}")
+    return each_batch(stream, write, checkpoint, drain)
+
+
 def live_tail(stream: DataFrame, services=None, severities=None, trace_id=None, search=None, attributes=None) -> DataFrame:
     """New events that match: literal case-insensitive text, present attributes only.
 
@@ -63,9 +61,14 @@ def live_tail(stream: DataFrame, services=None, severities=None, trace_id=None,
     return stream
 
 
-def ingest_buckets_stream(requests: DataFrame, late: str = LATE_DATA) -> DataFrame:
-    """Per-minute counters for each signal and protocol, updated as requests arrive."""
-    timed = requests.withColumn("_at", _instant("ReceivedAt")).withWatermark("_at", late)
+def ingest_buckets_stream(requests: DataFrame, late: str | None = None) -> DataFrame:
+    """Per-minute counters for each signal and protocol, updated as requests arrive.
+
+    Late requests always count. The state is a few counters a minute; with ``late`` given,
+    minutes that the watermark has passed by that much are forgotten and their late rows dropped.
+    """
+    timed = requests.withColumn("_at", _instant("ReceivedAt"))
+    timed = timed if late is None else timed.withWatermark("_at", late)
     counted = timed.groupBy(F.window("_at", "60 seconds").alias("w"), "Signal", "Protocol").agg(*minute_counters())
     start = add_us(ntz(EPOCH), F.unix_micros("w.start")).alias("BucketStart")
     return counted.select(start, "Signal", "Protocol", "Requests", "Records", "Bytes", "Rejected")
@@ -76,12 +79,15 @@ def _instant(column: str):
     return F.timestamp_micros(epoch_us(F.col(column)))
 
 
-def dedupe_events(df: DataFrame, key: str = "EventId", time: str = "Timestamp", late: str = LATE_DATA) -> DataFrame:
+def dedupe_events(df: DataFrame, key: str = "EventId", time: str = "Timestamp", late: str | None = None) -> DataFrame:
     """First occurrence of every event id.
 
-    A stream forgets ids once the watermark has passed them by ``late``. In batch the
-    earliest row wins, by a partial top-1 per id.
+    A stream remembers all ids (use a state store on disk), so nothing is lost however late;
+    with ``late`` given it forgets ids, and drops rows, that the watermark has passed by that
+    much. In batch the earliest row wins, by a partial top-1 per id.
     """
+    if df.isStreaming and late is None:
+        return df.dropDuplicates([key])
     if df.isStreaming:
         timed = df.withColumn("_at", _instant(time)).withWatermark("_at", late)
         return timed.dropDuplicatesWithinWatermark([key]).drop("_at")
@@ -129,12 +135,12 @@ STORED_CLUSTERS = T.StructType([*CLUSTERS.fields, T.StructField("last_used", T.L
 
 
 def drain_stream(logs: DataFrame, clusters_path: str, out_path: str, checkpoint: str, body: str = "Body",
-                 time: str = "Timestamp", max_templates: int = MAX_TEMPLATES, drain: bool = False):
+                 time: str = "Timestamp", max_templates: int | None = None, drain: bool = False):
     """Annotate arriving logs with the template known at their micro-batch.
 
     Templates live in a small table with one version per batch. A batch first matches its
     distinct texts against it with joins; only texts of unknown shape reach the sequential
-    step. A bucket keeps its ``max_templates`` most recently used templates.
+    step. A bucket keeps all its templates, or its ``max_templates`` most recently used ones.
     """
     def annotate(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -152,7 +158,7 @@ def drain_stream(logs: DataFrame, clusters_path: str, out_path: str, checkpoint:
         stamped = stamped.withColumn("last_used", F.coalesce("now", "last_used", F.lit(batch_id).cast("bigint")))
         recent = F.row_number().over(Window.partitionBy(*BUCKET).orderBy(F.desc("last_used"), F.desc("ordinal")))
         order = F.row_number().over(Window.partitionBy(*BUCKET).orderBy("ordinal"))
-        kept = stamped.withColumn("r", recent).where(F.col("r") <= max_templates)
+        kept = stamped if max_templates is None else stamped.withColumn("r", recent).where(F.col("r") <= max_templates)
         kept = kept.withColumn("ordinal", order - 1).select(*STORED_CLUSTERS.names)
         kept.write.mode("overwrite").parquet(f"{clusters_path}/version={batch_id}")
 

@@ -30,7 +30,7 @@ def ago(seconds):
 
 
 def test_minutes_clamp():
-    assert [ingest.clamp_minutes(m) for m in (None, 0, -5, 1, 60, 9999)] == [60, 60, 60, 1, 60, 1440]
+    assert [ingest.window_minutes(m) for m in (None, 0, -5, 1, 60, 9999)] == [60, 60, 60, 1, 60, 9999]
 
 
 def test_dense_grid_without_data(spark):

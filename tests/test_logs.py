@@ -34,8 +34,10 @@ def test_pages_concatenate_to_the_whole_order(logs):
     assert pages > 3
 
 
-def test_page_size_is_clamped():
-    assert [search.page_limit(n) for n in (None, 0, -3, 50, 5000)] == [200, 200, 1, 50, 1000]
+def test_page_size_is_honoured():
+    assert [search.page_limit(n) for n in (None, 0, 50, 5000)] == [200, 200, 50, 5000]
+    with pytest.raises(ValueError):
+        search.page_limit(-3)
 
 
 def test_absent_predicates_do_not_filter(logs):
