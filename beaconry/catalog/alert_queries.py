@@ -88,15 +88,34 @@ register(
     lambda spark, d: ops.alert_history(t.alert_events(spark, d), 7),
     "alert_events", "SELECT * FROM alert_events WHERE RuleId=7 ORDER BY FiredAt DESC, EventId DESC LIMIT 50",
 )
+# The count of every rule at every hourly tick, by two as-of lookups.
+TICKS = RULES + """, n0 AS (SELECT ServiceName, Timestamp, count(*) AS n FROM logs GROUP BY 1,2),
+    n AS (SELECT ServiceName, Timestamp, sum(n) OVER (PARTITION BY ServiceName ORDER BY Timestamp) AS n FROM n0),
+    k AS (SELECT r.*, h, TIMESTAMP '2024-01-01' + to_hours(CAST(h AS INT)) AS at_, TIMESTAMP '2024-01-01' + to_hours(CAST(h AS INT)) - to_seconds(WindowSeconds) AS from_
+      FROM r, range(0, 720) x(h)),
+    a AS (SELECT k.*, coalesce(n.n, 0) AS upto FROM k ASOF LEFT JOIN n ON k.ConditionService=n.ServiceName AND k.at_ > n.Timestamp),
+    b AS (SELECT a.*, CAST(upto - coalesce(n.n, 0) AS BIGINT) AS c FROM a ASOF LEFT JOIN n ON a.ConditionService=n.ServiceName AND a.from_ > n.Timestamp),
+    hit AS (SELECT * FROM b WHERE CASE WHEN ThresholdComparator='LessThan' THEN c < ThresholdCount ELSE c >= ThresholdCount END)"""
+# The next firing is the first breached tick after the cooldown.
 register(
     "h8_backtest_alerts",
     lambda spark, d: ops.backtest_alerts(
         current_rules(spark, d), t.logs(spark, d), "2024-01-01", "2024-01-31", 3600
-    ).drop("Message"),
+    ),
+    "rule_versions logs",
+    TICKS + """, fired AS (WITH RECURSIVE f AS (
+        SELECT Id, min(h) AS h, any_value(CooldownSeconds) AS wait FROM hit GROUP BY 1
+        UNION ALL SELECT f.Id, min(hit.h), any_value(f.wait) FROM f JOIN hit ON hit.Id=f.Id
+          AND hit.h >= f.h + greatest(1, CAST(ceil(f.wait / 3600.0) AS BIGINT)) GROUP BY 1) SELECT Id, h FROM f)
+    SELECT md5(concat(Id, '|', strftime(at_, '%Y-%m-%d %H:%M:%S'), '.000')) AS EventId, Id AS RuleId, Name AS RuleName, at_ AS FiredAt,
+    c AS ObservedCount, ThresholdCount, WindowSeconds, 'Pending' AS NotificationStatus, 0 AS NotificationStatusCode,
+    '' AS NotificationError, concat(':rotating_light: Alert "', Name, '" fired: ', c, ' events (',
+    CASE WHEN ThresholdComparator='LessThan' THEN '<' ELSE '>=' END, ' ', ThresholdCount, ') in the last ', WindowSeconds, 's') AS Message
+    FROM hit JOIN fired USING (Id, h)""",
 )
 
 
-# With no cooldown every breached tick fires, which SQL can count with two as-of lookups.
+# With no cooldown every breached tick fires.
 register(
     "h8_backtest_every_tick",
     lambda spark, d: ops.backtest_alerts(
@@ -106,14 +125,8 @@ register(
         F.min("FiredAt").alias("FirstFired"), F.max("FiredAt").alias("LastFired"),
     ),
     "rule_versions logs",
-    RULES + """, n0 AS (SELECT ServiceName, Timestamp, count(*) AS n FROM logs GROUP BY 1,2),
-    n AS (SELECT ServiceName, Timestamp, sum(n) OVER (PARTITION BY ServiceName ORDER BY Timestamp) AS n FROM n0),
-    k AS (SELECT r.*, TIMESTAMP '2024-01-01' + to_hours(CAST(h AS INT)) AS at_, TIMESTAMP '2024-01-01' + to_hours(CAST(h AS INT)) - to_seconds(WindowSeconds) AS from_
-      FROM r, range(0, 720) x(h)),
-    a AS (SELECT k.*, coalesce(n.n, 0) AS upto FROM k ASOF LEFT JOIN n ON k.ConditionService=n.ServiceName AND k.at_ > n.Timestamp),
-    b AS (SELECT a.*, upto - coalesce(n.n, 0) AS c FROM a ASOF LEFT JOIN n ON a.ConditionService=n.ServiceName AND a.from_ > n.Timestamp)
-    SELECT Id AS RuleId, count(*) AS Fired, CAST(sum(c) AS BIGINT) AS Observed, min(at_) AS FirstFired, max(at_) AS LastFired
-    FROM b WHERE CASE WHEN ThresholdComparator='LessThan' THEN c < ThresholdCount ELSE c >= ThresholdCount END GROUP BY 1""",
+    TICKS + """ SELECT Id AS RuleId, count(*) AS Fired, CAST(sum(c) AS BIGINT) AS Observed, min(at_) AS FirstFired, max(at_) AS LastFired
+    FROM hit GROUP BY 1""",
 )
 
 

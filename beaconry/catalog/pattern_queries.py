@@ -31,6 +31,30 @@ register(
     # No hex word of six or more digits occurs in these bodies, and every number is delimited.
     r"""SELECT EventId, regexp_replace(Body, '\b\d+(\.\d+)?\b', '<*>', 'g') AS Masked FROM logs""",
 )
+def ids(spark, d):
+    """Bodies with UUIDs, hex words with and without a digit, short ones, and decimal numbers."""
+    h = F.md5(F.col("event_id").cast("string").cast("binary"))
+    part = lambda a, n: F.substring(h, a, n)
+    uuid = F.concat_ws("-", part(1, 8), part(9, 4), part(13, 4), part(17, 4), part(21, 12))
+    return t.read(spark, d, "events").select(F.col("event_id").alias("EventId"), F.concat_ws(
+        " ", F.lit("req"), uuid, F.concat(F.lit("h="), part(1, 8)), part(9, 6), part(15, 5), F.upper(part(20, 7)), F.lit("decade facade"),
+        F.concat("event_id", F.lit("."), "user_id"), F.concat(F.lit("x"), "user_id"), F.concat(F.lit("v"), part(2, 9), F.lit("-1")),
+    ).alias("Body"))
+
+
+# SQL has no look-ahead: a hex word with a digit is spelt out by the place of its first digit.
+HEX_WORD = "|".join(rf"[a-fA-F]{{{n}}}[0-9][0-9a-fA-F]{{{5 - n},}}" for n in range(5)) + "|[a-fA-F]{5,}[0-9][0-9a-fA-F]*"
+register(
+    "p1_mask_ids",
+    lambda spark, d: ids(spark, d).select("EventId", mask_body("Body").alias("Masked")),
+    "",
+    rf"""WITH h AS (SELECT *, md5(CAST(event_id AS VARCHAR)) AS h FROM events),
+    b AS (SELECT event_id AS EventId, concat_ws(' ', 'req', concat_ws('-', substr(h,1,8), substr(h,9,4), substr(h,13,4), substr(h,17,4), substr(h,21,12)),
+      'h=' || substr(h,1,8), substr(h,9,6), substr(h,15,5), upper(substr(h,20,7)), 'decade facade', concat(event_id, '.', user_id),
+      concat('x', user_id), concat('v', substr(h,2,9), '-1')) AS Body FROM h)
+    SELECT EventId, regexp_replace(regexp_replace(regexp_replace(Body, '\b[0-9a-fA-F]{{8}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{12}}\b', '<*>', 'g'),
+      '\b({HEX_WORD})\b', '<*>', 'g'), '\b\d+(\.\d+)?\b', '<*>', 'g') AS Masked FROM b""",
+)
 register(
     "p1_mask_documents",
     lambda spark, d: documents(spark, d).select("EventId", F.length(mask_body("Body")).alias("MaskedLength")),

@@ -44,7 +44,7 @@ def table_storage(files: DataFrame) -> DataFrame:
 
 def storage_growth(files: DataFrame, now=None, days: int = 30) -> DataFrame:
     """Bytes and rows of the files written per day and table over the last ``days`` days."""
-    end = F.current_timestamp() if now is None else F.lit(as_datetime(now))
+    end = F.current_timestamp() if now is None else ntz(as_datetime(now)).cast("timestamp")
     recent = files.where(F.col("Modified") >= end - F.make_dt_interval(days=F.lit(days)))
     return (
         recent.groupBy(F.to_date("Modified").alias("Day"), "TableName")
