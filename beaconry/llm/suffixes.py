@@ -23,10 +23,11 @@ from beaconry.llm.text import add_columns, joined, mix, prefix_hashes, ranges, r
 
 GRAM, PIECE = 32, 4
 # Anchors of more runs than this are cut into pieces.
-HOT_RUNS = 4000
+HOT_RUNS = 1000
 BLOCK_BYTES, SHARD_BYTES, SLICE_BYTES, SORT_BYTES = 4 << 20, 12 << 20, 1 << 19, 1 << 18
 # Random 64-bit value of each byte, from a rule.
 _VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_RESPREAD = np.uint64(0x5851F42D4C957F2D)
 _RESULTS = ("kept", "n_bytes", "n_removed", "n_spans")
 _FIRST, _SECOND = 0x9E3779B97F4A7C15, 0xE7037ED1A0B428DB
 
@@ -36,21 +37,25 @@ def suffix_order(text: bytes, depth: int) -> np.ndarray:
     t = np.frombuffer(text, np.uint8)
     n = len(t)
     if not n:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int32)
     # A suffix is small if its first byte that differs from the next one is smaller; the last one is not.
-    change = np.append(np.diff(t.astype(np.int16)), -1)
-    at = np.where(change != 0, np.arange(n), n)
-    small = change[np.minimum.accumulate(at[::-1])[::-1]] > 0
+    at = np.full(n, n, np.int32)
+    differs = np.flatnonzero(t[1:] != t[:-1])
+    at[differs] = differs
+    at[-1] = n - 1
+    at = np.minimum.accumulate(at[::-1])[::-1]
+    small = (t[at] < np.append(t[1:], np.uint8(0))[at]) & (at < n - 1)
+    del at, differs
     # By their first two bytes, then within each such bucket, so that few keys are held at once.
-    direct = np.flatnonzero(small)
-    pairs = t[direct].astype(np.int32) << 8 | t[direct + 1]
+    direct = np.flatnonzero(small).astype(np.int32)
+    pairs = t[direct].astype(np.uint16) << np.uint16(8) | t[direct + 1]
     order = np.argsort(pairs, kind="stable")
     parts = np.split(direct[order], np.flatnonzero(np.diff(pairs[order])) + 1)
-    direct = np.concatenate([np.array(sorted(part.tolist(), key=lambda p: text[p:p + depth]), np.int64) for part in parts])
+    direct = np.concatenate([np.array(sorted(part.tolist(), key=lambda p: text[p:p + depth]), np.int32) for part in parts])
     first = t[direct]
     edges = np.searchsorted(first, np.arange(257))
     induced: list[list[np.ndarray]] = [[] for _ in range(256)]
-    induced[t[-1]].append(np.array([n - 1]))
+    induced[t[-1]].append(np.array([n - 1], np.int32))
     out = []
 
     def scan(placed: np.ndarray, byte: int) -> np.ndarray:
@@ -149,7 +154,9 @@ class _Runs:
         u8 = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.uint64)
         self.lo, self.hi = u8(lo).astype(np.int64), u8(hi).astype(np.int64)
         self.anchor, self.one, self.two = u8(anchors), u8(one), u8(two)
-        self.keys, self.counts = np.unique(u8(places), return_counts=True)
+        # Anchors are minima and so all small; mixed anew, they spread evenly over key ranges.
+        self.key = mix(self.anchor + _RESPREAD)
+        self.keys, self.counts = np.unique(mix(u8(places) + _RESPREAD), return_counts=True)
 
     def bytes_of(self, lo: int, hi: int) -> bytes:
         return self.buf[lo:hi + self.length].tobytes()
@@ -231,7 +238,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 400, id_col: str = "doc
 
     def hot_pieces(runs: _Runs, replies: dict):
         """Runs with a repeated anchor; runs with a hot one, how they are alike, and the pieces of each distinct one."""
-        code = _codes(replies, runs.keys, shards, 0)[np.searchsorted(runs.keys, runs.anchor)] if len(runs.lo) else np.zeros(0, np.uint8)
+        code = _codes(replies, runs.keys, shards, 0)[np.searchsorted(runs.keys, runs.key)] if len(runs.lo) else np.zeros(0, np.uint8)
         hot = np.flatnonzero(code == 2)
         sample, of, times = _distinct(runs.one[hot], runs.two[hot])
         return np.flatnonzero(code == 1), hot, sample, of, times, runs.pieces(hot[sample])
@@ -259,7 +266,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 400, id_col: str = "doc
         piece = ranges((np.cumsum(pieces) - pieces)[of], counts)
         lo = np.concatenate([runs.lo[plain], np.repeat(runs.lo[hot], counts) + first[piece]])
         hi = lo + np.concatenate([runs.hi[plain] - runs.lo[plain], span[piece]])
-        keys = np.concatenate([runs.anchor[plain], cores[piece]])
+        keys = np.concatenate([runs.key[plain], cores[piece]])
         one, two = np.concatenate([runs.one[plain], one[piece]]), np.concatenate([runs.two[plain], two[piece]])
         kinds, kind, times = _distinct(one, two)
         order = np.argsort(keys[kinds], kind="stable")
