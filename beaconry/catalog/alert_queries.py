@@ -1,6 +1,6 @@
 """Registered queries over alert rules, alert events and counters."""
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from beaconry.catalog import tables as t
 from beaconry.catalog.tables import oracle
@@ -25,6 +25,16 @@ def current_rules(spark, d):
     )
 
 
+def _with_version(events, versions):
+    """Firings with the version of their rule that was current then."""
+    version = F.struct("ThresholdCount", "ThresholdComparator")
+    changes = versions.select(F.col("Id").alias("RuleId"), F.col("UpdatedAt").cast("timestamp_ntz").alias("at"), F.col("InsertOrdinal").alias("o"), version.alias("v"))
+    firings = events.select("RuleId", F.col("FiredAt").alias("at"), F.lit((1 << 63) - 1).alias("o"), "EventId", "ObservedCount")
+    along = Window.partitionBy("RuleId").orderBy("at", "o").rowsBetween(Window.unboundedPreceding, 0)
+    both = changes.unionByName(firings, allowMissingColumns=True).withColumn("v", F.last("v", ignorenulls=True).over(along))
+    return both.where(F.col("EventId").isNotNull() & F.col("v").isNotNull()).select("EventId", "RuleId", "ObservedCount", "v.*")
+
+
 RULES = """+r0 AS (SELECT *, row_number() OVER (PARTITION BY Id ORDER BY UpdatedAt DESC, InsertOrdinal DESC) AS rn FROM rule_versions),
     r AS (SELECT * REPLACE (CAST(3600*(Id % 96) AS INT) AS CooldownSeconds) FROM r0 WHERE rn=1 AND NOT IsDeleted AND Enabled)"""
 COUNTED = f""", c AS (SELECT r.Id, count(l.EventId) AS n FROM r LEFT JOIN logs l ON l.ServiceName=r.ConditionService
@@ -34,7 +44,7 @@ COUNTED = f""", c AS (SELECT r.Id, count(l.EventId) AS n FROM r LEFT JOIN logs l
 
 register(
     "h1_latest_versions",
-    lambda spark, d: ops.latest_versions(t.rule_versions(spark, d), tiebreak="InsertOrdinal"),
+    lambda spark, d: ops.latest_versions(t.rule_versions(spark, d), tiebreak="InsertOrdinal").orderBy("Name", "Id"),
     "rule_versions",
     """SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY Id ORDER BY UpdatedAt DESC, InsertOrdinal DESC) AS rn
     FROM rule_versions) WHERE rn=1 AND NOT IsDeleted""",
@@ -46,13 +56,13 @@ register(
 )
 register(
     "h3_is_breached",
-    lambda spark, d: t.alert_events(spark, d).join(
-        t.rule_versions(spark, d).select("Id", "InsertOrdinal", "ThresholdCount", "ThresholdComparator"),
-        F.col("RuleId") == F.col("Id"),
-    ).groupBy("ThresholdComparator", ops.is_breached().alias("Breached")).agg(F.count(F.lit(1)).alias("n")),
+    lambda spark, d: _with_version(t.alert_events(spark, d), t.rule_versions(spark, d)).select(
+        "EventId", "RuleId", "ThresholdCount", "ThresholdComparator", ops.is_breached().alias("Breached")),
     "alert_events rule_versions",
-    """SELECT ThresholdComparator, CASE WHEN ThresholdComparator='LessThan' THEN ObservedCount < ThresholdCount
-    ELSE ObservedCount >= ThresholdCount END AS Breached, count(*) AS n FROM alert_events JOIN rule_versions ON RuleId=Id GROUP BY 1,2""",
+    """SELECT EventId, RuleId, ThresholdCount, ThresholdComparator, CASE WHEN ThresholdComparator='LessThan' THEN ObservedCount < ThresholdCount
+    ELSE ObservedCount >= ThresholdCount END AS Breached FROM (
+      SELECT e.*, v.ThresholdCount, v.ThresholdComparator, row_number() OVER (PARTITION BY e.EventId ORDER BY v.UpdatedAt DESC, v.InsertOrdinal DESC) AS n
+      FROM alert_events e JOIN rule_versions v ON e.RuleId=v.Id AND v.UpdatedAt <= e.FiredAt) WHERE n=1""",
 )
 LAST = """, f AS (SELECT RuleId, max(FiredAt) AS LastFired FROM alert_events GROUP BY 1)"""
 COOLING = f"coalesce(TIMESTAMP '{AT}' - f.LastFired < to_seconds(CooldownSeconds), false)"

@@ -13,10 +13,12 @@ from beaconry.functions.times import add_seconds, ntz, seconds_between
 from beaconry.operators.filters import LOG_BAGS, as_datetime, time_bound
 from beaconry.plans.grouped import map_groups
 from beaconry.plans.lineage import cut
-from beaconry.plans.sizing import broadcast_if_small
+from beaconry.plans.sizing import broadcast_if_small, is_small
 from beaconry.schemas import LOG_FILTER
 
 HISTORY_LIMIT = 50
+# Parts that the logs of a service are cut into where the rules are too many to broadcast.
+SCOPE_SALTS = 64
 ANY_SERVICE = "\u0000any"
 _CORRUPT = "_corrupt"
 
@@ -31,7 +33,7 @@ def latest_versions(df: DataFrame, key: str = "Id", version: str = "UpdatedAt",
         df = df.where(F.col("Enabled").cast("boolean"))
     if page_type:
         df = df.where(F.col("PageType") == page_type)
-    return df.orderBy("Name", key)
+    return df
 
 
 def with_condition(rules: DataFrame, column: str = "ConditionJson") -> DataFrame:
@@ -44,6 +46,11 @@ def with_condition(rules: DataFrame, column: str = "ConditionJson") -> DataFrame
     return rules.withColumn("Condition", F.when(usable, fields)).drop("_c")
 
 
+def undecodable_conditions(rules: DataFrame, column: str = "ConditionJson") -> DataFrame:
+    """The rules that ``with_condition`` cannot decode and evaluation leaves out, as they came."""
+    return with_condition(rules, column).where(F.col("Condition").isNull() & F.col(column).isNotNull()).drop("Condition")
+
+
 def condition(services=None, **predicates) -> Column:
     """A ``Condition`` column from column expressions or literals for its fields."""
     given = {"services": services, **predicates}
@@ -83,7 +90,13 @@ def _matching(logs: DataFrame, rules: DataFrame, start, to) -> DataFrame:
     scope = F.explode(F.array("ServiceName", F.lit(ANY_SERVICE))) if used["any_service"] else F.col("ServiceName")
     frm = start - dt.timedelta(seconds=used["longest"])
     bounded = time_bound(logs, "Timestamp", frm, to).withColumn("_scope", scope)
-    joined = bounded.join(broadcast_if_small(conditions), "_scope")
+    if is_small(conditions):
+        joined = bounded.join(F.broadcast(conditions), "_scope")
+    else:
+        # A service may hold a third of all logs, and rules for any service meet every log.
+        salts = F.sequence(F.lit(0), F.lit(SCOPE_SALTS - 1))
+        spread = bounded.withColumn("_salt", F.pmod(F.hash("EventId"), F.lit(SCOPE_SALTS)))
+        joined = spread.join(conditions.withColumn("_salt", F.explode(salts)), ["_scope", "_salt"])
     for field, column in (("traceId", "TraceId"), ("spanId", "SpanId"), ("patternId", "PatternId")):
         if used[field]:
             joined = joined.where(~text(field) | (F.col(column) == c[field]))

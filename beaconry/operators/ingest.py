@@ -264,7 +264,8 @@ def ingest_verdict(health: DataFrame, backlog: DataFrame, buckets: DataFrame, to
         stale, text(F.col("Signal"), " flush stale, still receiving traffic")
     )
     buffer_down = (
-        F.when(is_down, F.when(F.col("Length") > 0, text(number("Length"), " buffered (", number("UtilizationPercent"), "%)")))
+        F.when(is_down, F.when(F.col("Length") > 0, F.coalesce(
+            text(number("Length"), " buffered (", number("UtilizationPercent"), "%)"), text(number("Length"), " buffered"))))
         .when(full, text(F.col("Signal"), " buffer at ", number("UtilizationPercent"), "% capacity, oldest entries at risk of being dropped"))
         .when(stuck, text(F.col("Signal"), " pipeline backlog stuck (", number("Pending"), " pending)"))
     )
