@@ -71,6 +71,36 @@ register(
     "logs",
     MINED + " SELECT n AS n_tokens, f AS first_token, CAST(0 AS INT) AS ordinal, template FROM tp",
 )
+# Five families in one bucket. Two of them agree in three of twelve tokens and in both variable ones,
+# five twelfths, just below the half that would join them.
+FAMILIES = {
+    "click": "evt open page main left top bar menu item link", "signup": "evt open page form user mail name pass code send",
+    "view": "evt read feed text long view auto play next stop", "error": "evt fail disk full sync lost node down warn halt",
+    "purchase": "evt paid cart sum tax ship home fast gift wrap",
+}
+
+
+def families(spark, d):
+    words = F.create_map(*[F.lit(x) for pair in FAMILIES.items() for x in pair])[F.col("event_type")]
+    color, switch = (F.element_at(F.array(*map(F.lit, names)), (F.col("user_id") % len(names) + 1).cast("int")) for names in (("red", "green", "blue"), ("on", "off")))
+    return t.read(spark, d, "events").select(
+        F.col("event_id").alias("EventId"), F.col("ts").alias("Timestamp"), F.concat_ws(" ", words, color, switch).alias("Body"))
+
+
+FAMILY_SQL = "WITH f AS (SELECT *, CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in FAMILIES.items()) + """ END AS words FROM events),
+    b AS (SELECT *, concat_ws(' ', words, ['red','green','blue'][user_id % 3 + 1], ['on','off'][user_id % 2 + 1]) AS body FROM f),
+    x AS (SELECT words, body, min(ts) AS seen FROM b GROUP BY 1,2),
+    o AS (SELECT words, row_number() OVER (ORDER BY min((seen, body))) - 1 AS ordinal FROM x GROUP BY 1)"""
+register(
+    "p2_drain_families",
+    lambda spark, d: ops.drain_templates(ops.distinct_texts(families(spark, d))),
+    "", FAMILY_SQL + " SELECT CAST(12 AS INT) AS n_tokens, 'evt' AS first_token, CAST(ordinal AS INT) AS ordinal, words || ' <*> <*>' AS template FROM o",
+)
+register(
+    "p4_annotate_families",
+    lambda spark, d: ops.annotate_patterns(families(spark, d)).select("EventId", "PatternId", "PatternTemplate"),
+    "", FAMILY_SQL + " SELECT event_id AS EventId, words || ' <*> <*>' AS PatternTemplate, substr(sha256(words || ' <*> <*>'),1,16) AS PatternId FROM b",
+)
 register("p2_drain_documents", lambda spark, d: ops.drain_templates(ops.distinct_texts(documents(spark, d))))
 register(
     "p3_pattern_id",
@@ -84,4 +114,4 @@ register(
     MINED + """ SELECT EventId, template AS PatternTemplate, substr(sha256(template),1,16) AS PatternId
     FROM m JOIN tp ON len(w)=n AND w[1]=f""",
 )
-register("p4_annotate_documents", lambda spark, d: ops.annotate_patterns(documents(spark, d)).select("EventId", "PatternId"))
+register("p4_annotate_documents", lambda spark, d: ops.annotate_patterns(documents(spark, d)).select("EventId", "PatternId", "PatternTemplate"))

@@ -192,12 +192,20 @@ MS = "date_trunc('millisecond', ts)"
 AT = "(SELECT event_id // 8 AS g, min(ts) AS t0 FROM events GROUP BY 1) a"
 register(
     "s5_prometheus_samples",
-    lambda spark, d: prometheus.prometheus_samples(scrapes(spark, d)).where(F.col("Name").isin("app_value", "plain", "app_hits")).select(
-        "ScrapeId", "Name", F.col("Labels")["id"].alias("Id"), F.col("Labels")["t"].alias("T"), "Value", "TimestampMs", "Type", "Help"),
-    "", f"""SELECT event_id // 8 AS ScrapeId, 'app_value' AS Name, CAST(event_id AS VARCHAR) AS Id, 'a"b\\' AS T, value AS Value,
-    epoch_ms({MS}) AS TimestampMs, 'gauge' AS Type, 'Value' || chr(10) || 'per event' AS Help FROM events
-    UNION ALL SELECT event_id // 8, 'app_hits', CAST(event_id AS VARCHAR), NULL, CAST(json_extract_string(props,'$.k') AS DOUBLE), NULL, 'counter', NULL FROM events
-    UNION ALL SELECT event_id // 8, 'plain', NULL, NULL, event_id, NULL, 'untyped', NULL FROM events""",
+    lambda spark, d: prometheus.prometheus_samples(scrapes(spark, d)).select(
+        "ScrapeId", "Name", F.col("Labels")["id"].alias("Id"), F.col("Labels")["t"].alias("T"), F.col("Labels")["le"].alias("Le"),
+        F.col("Labels")["quantile"].alias("Quantile"), "Value", "TimestampMs", "Type", "Help", "Family", "FamilyType"),
+    "", f"""WITH e AS (SELECT *, event_id // 8 AS g, CAST(event_id AS VARCHAR) AS id FROM events)
+    SELECT g AS ScrapeId, 'app_value' AS Name, id AS Id, 'a"b\\' AS T, NULL AS Le, NULL AS Quantile, value AS Value,
+    epoch_ms({MS}) AS TimestampMs, 'gauge' AS Type, 'Value' || chr(10) || 'per event' AS Help, 'app_value' AS Family, 'gauge' AS FamilyType FROM e
+    UNION ALL SELECT g, 'app_hits', id, NULL, NULL, NULL, CAST(json_extract_string(props,'$.k') AS DOUBLE), NULL, 'counter', NULL, 'app_hits', 'counter' FROM e
+    UNION ALL SELECT g, 'plain', NULL, NULL, NULL, NULL, event_id, NULL, 'untyped', NULL, 'plain', NULL FROM e
+    UNION ALL SELECT g, 'lat_bucket', id, NULL, le, NULL, CASE WHEN value <= bound THEN 1 ELSE 0 END, NULL, 'untyped', NULL, 'lat', 'histogram'
+      FROM e, (VALUES ('10', 10.0::DOUBLE), ('50', 50.0::DOUBLE), ('+Inf', 'inf'::DOUBLE)) b(le, bound)
+    UNION ALL SELECT g, 'lat_sum', id, NULL, NULL, NULL, value, NULL, 'untyped', NULL, 'lat', 'histogram' FROM e
+    UNION ALL SELECT g, 'lat_count', id, NULL, NULL, NULL, 1, NULL, 'untyped', NULL, 'lat', 'histogram' FROM e
+    UNION ALL SELECT g, 'rpc', NULL, NULL, NULL, '0.5', value, NULL, 'summary', NULL, 'rpc', 'summary' FROM e
+    UNION ALL SELECT g, 'rpc_count', NULL, NULL, NULL, NULL, 3, NULL, 'untyped', NULL, 'rpc', 'summary' FROM e""",
 )
 RESOURCE = """'shop' AS ServiceName, 'target.example:8443' AS Instance, 'z1' AS Zone"""
 
