@@ -4,11 +4,12 @@ Every text is a bag of word shingles weighted by their counts. ProbMinHash lets
 arrive at exponential times, faster the larger its weight, at random components; the first
 arrival at a component is its value, and a shingle stops once its next arrival is later than
 all components'. Components agree with the probability Jaccard similarity of two bags.
-Texts that share a band of components are candidates. In each bucket all texts meet its
-smallest one first; only where a bucket is then left with several classes, texts of different
-classes meet each other. So a group of copies costs one comparison a text and bucket, not one
-a pair. Candidates are verified on their whole bags, and links become classes by label
-propagation with pointer jumping.
+Texts that share a band of components are candidates. In each bucket all texts meet one first:
+that with the most bucket mates over all its bands, which is where a group of copies has its
+centre. Only where a bucket is then left with several classes, texts of different classes meet
+each other, each pair in the first bucket it shares and only if its sketches are near. So a group
+of copies costs one comparison a text and bucket, not one a pair. Candidates are verified on
+their whole bags, and links become classes by label propagation with pointer jumping.
 """
 
 import numpy as np
@@ -19,10 +20,10 @@ from beaconry.llm.text import hash_spans, joined, mix, ranges, rolling, slices,
 from beaconry.plans.lineage import cut, scratch_path
 
 SHINGLE, SIMILARITY = 5, 0.8
-COMPONENTS, BANDS, ROWS = 128, 24, 4
-# Bits (one of each component) that differ between candidates, at most. At similarity 0.8 their
-# number has mean 12.8 and deviation 3.4; 32 is 5.6 deviations above.
-FAR_BITS = 32
+COMPONENTS, BANDS, ROWS = 256, 24, 4
+# A sketch has two bits of each component. Of two texts with similarity 0.8, 51.2 of its 512 bits differ
+# on average, with deviation 8.2; candidates differ in no more than 5.3 deviations above.
+SKETCH_WORDS, FAR_BITS = 8, 95
 _GOLD, _SALT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xA0761D6478BD642F)
 
 
@@ -105,29 +106,29 @@ def text_node(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
-def _banded(docs: DataFrame, size: int) -> DataFrame:
-    """(node, bits, bucket) for the buckets of each distinct text."""
+def _signed(docs: DataFrame, size: int) -> DataFrame:
+    """(node, buckets, sketch) of each distinct text."""
 
     def sign(batches):
         for batch in batches:
-            for a, b in slices(batch.column(1), 2 << 20):
+            for a, b in slices(batch.column(1), 8 << 20):
                 part = batch.slice(a, b - a)
                 of, value, times = shingles(part.column(1), size)
                 sig = signatures(of, value, times, b - a)
-                bits = np.packbits((mix(sig) & np.uint64(1)).astype(np.uint8), axis=1).view("<i8")
+                mixed = mix(sig)
+                bits = np.packbits(np.concatenate([mixed & np.uint64(1), mixed >> np.uint64(1) & np.uint64(1)], axis=1).astype(np.uint8), axis=1).view("<i8")
                 bands = np.zeros((b - a, BANDS), np.uint64)
                 for row in range(ROWS):
                     bands = mix(bands + sig[:, row:BANDS * ROWS:ROWS] + np.arange(BANDS, dtype=np.uint64) * _SALT)
-                buckets = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * BANDS, pa.int32()), pa.array(bands.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(bits[:, 0]), pa.array(bits[:, 1]), buckets], names=["node", "s1", "s2", "buckets"])
+                lists = lambda x, n: pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * n, pa.int32()), pa.array(np.ascontiguousarray(x).ravel()))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists(bands.view(np.int64), BANDS), lists(bits, SKETCH_WORDS)], names=["node", "buckets", "sketch"])
 
-    signed = docs.mapInArrow(sign, "node binary, s1 bigint, s2 bigint, buckets array<bigint>")
-    return signed.dropDuplicates(["node"]).select(F.struct("node", "s1", "s2").alias("x"), F.explode("buckets").alias("bucket"))
+    return docs.mapInArrow(sign, "node binary, buckets array<bigint>, sketch array<bigint>").dropDuplicates(["node"])
 
 
 def _near(x: str, y: str) -> Column:
-    differ = lambda c: F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}")))
-    return differ("s1") + differ("s2") <= FAR_BITS
+    differ = [F.bit_count(F.get(x, i).bitwiseXOR(F.get(y, i))) for i in range(SKETCH_WORDS)]
+    return sum(differ[1:], differ[0]) <= FAR_BITS
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
@@ -171,11 +172,16 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
     without words (null and empty ones too) are alike. Texts without a partner are their own root.
     """
     texts = docs.select(text_node(F.col(text_col)).alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    banded = _stored(_banded(texts, shingle), "bands")
-    first = banded.groupBy("bucket").agg(F.min("x").alias("y"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    first = _stored(first, "buckets")
-    star = banded.join(first.hint("merge"), "bucket").where((F.col("x.node") != F.col("y.node")) & _near("x", "y"))
-    star = _stored(star.select(F.col("x.node").alias("u"), F.col("y.node").alias("v")).distinct(), "star")
+    signed = _stored(_signed(texts, shingle), "signed")
+    banded = signed.select("node", F.explode("buckets").alias("bucket"))
+    sizes = _stored(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
+    shared = _stored(banded.join(sizes.hint("merge"), "bucket"), "shared")
+    weights = _stored(shared.groupBy("node").agg(F.sum("n").alias("weight")), "weights")
+    leaders = shared.join(weights, "node").groupBy("bucket").agg(F.max(F.struct("weight", "node")).getField("node").alias("leader"))
+    star = shared.join(_stored(leaders, "leaders").hint("merge"), "bucket").where("node != leader")
+    star = star.select(F.greatest("node", "leader").alias("u"), F.least("node", "leader").alias("v")).distinct()
+    sketch = lambda name, value: signed.select(F.col("node").alias(name), F.col("sketch").alias(value))
+    star = _stored(star.join(sketch("u", "su"), "u").join(sketch("v", "sv"), "v").where(_near("su", "sv")).select("u", "v"), "star")
 
     def texts_of(pairs):
         nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
@@ -185,14 +191,16 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
     labels = components(linked)
 
     # Buckets of more than two texts that still hold several classes.
-    rooted = banded.join(first.where("n > 2").select("bucket").hint("merge"), "bucket").withColumn("node", F.col("x.node"))
-    rooted = _stored(rooted.join(labels, "node", "left").select("bucket", "x", F.coalesce("root", "node").alias("root")), "rooted")
+    rooted = shared.where("n > 2").join(labels, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    rooted = _stored(rooted, "rooted")
     mixed = rooted.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("bucket")
-    rooted = _stored(rooted.join(_stored(mixed, "mixed").hint("merge"), "bucket", "left_semi"), "open")
-    other = rooted.select("bucket", F.col("x").alias("y"), F.col("root").alias("root_y"))
-    pairs = rooted.join(other.hint("merge"), "bucket").where((F.col("x.node") > F.col("y.node")) & (F.col("root") != F.col("root_y")) & _near("x", "y"))
-    pairs = pairs.select(F.col("x.node").alias("u"), F.col("y.node").alias("v")).distinct().join(star, ["u", "v"], "left_anti")
-    pairs = _stored(pairs, "pairs")
+    open_ = _stored(rooted.join(_stored(mixed, "mixed").hint("merge"), "bucket", "left_semi").join(signed, "node"), "open")
+    other = open_.select("bucket", *[F.col(c).alias(f"{c}_y") for c in ("node", "root", "buckets", "sketch")])
+    first = F.element_at("buckets", F.array_position(F.zip_with("buckets", "buckets_y", lambda a, b: a == b), True).cast("int"))
+    pairs = open_.join(other.hint("merge"), "bucket").where(
+        (F.col("node") > F.col("node_y")) & (F.col("root") != F.col("root_y")) & _near("sketch", "sketch_y") & (first == F.col("bucket")))
+    pairs = pairs.select(F.col("node").alias("u"), F.col("node_y").alias("v"))
+    pairs = _stored(pairs.join(star, ["u", "v"], "left_anti"), "pairs")
     if not pairs.isEmpty():
         more = _verified(pairs, _stored(texts_of(pairs), "texts"), shingle, similarity)
         labels = components(linked.unionByName(_stored(more, "linked")))

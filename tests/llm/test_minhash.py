@@ -47,7 +47,7 @@ def test_similarity_and_signatures():
     all_texts = [*texts(rnd, 30), "", None, "a b", "a b a b a b a b a b", "one two three four five", "z"]
     array = pa.array(all_texts)
     own, bags = _bags(array, 5), [bag(t) for t in all_texts]
-    sig = signatures(*shingles(array), len(all_texts))
+    sig = signatures(*shingles(array), len(all_texts), 128)
     for i in range(len(all_texts)):
         for j in range(i):
             want = similarity(bags[i], bags[j])
@@ -56,7 +56,7 @@ def test_similarity_and_signatures():
                 assert abs((sig[i] == sig[j]).mean() - want) < 0.25
     errors = [(sig[i] == sig[j]).mean() - similarity(bags[i], bags[j]) for i in range(30) for j in range(i)]
     assert abs(np.mean(errors)) < 0.02
-    assert (signatures(*shingles(array.slice(3, 1)), 1)[0] == sig[3]).all()
+    assert (signatures(*shingles(array.slice(3, 1)), 1, 128)[0] == sig[3]).all()
 
 
 def test_components(spark):
