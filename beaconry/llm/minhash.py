@@ -6,9 +6,9 @@ arrival at a component is its value, and a shingle stops once its next arrival i
 all components'. Components agree with the probability Jaccard similarity of two bags.
 Texts that share a band of components are candidates. In each bucket all texts meet one first:
 that with the most bucket mates over all its bands, which is where a group of copies has its
-centre. Only where a bucket is then left with several classes, texts of different classes meet
-each other, each pair in the first bucket it shares and only if its sketches are near. So a group
-of copies costs one comparison a text and bucket, not one a pair. Candidates are verified on
+centre. So a group of copies costs one comparison a text and bucket, not one a pair. Only where a
+bucket is then left with several classes, texts of different classes meet each other, chunk by
+chunk, if their sketches are near, and only links leave those tasks. Candidates are verified on
 their whole bags, and links become classes by label propagation with pointer jumping.
 """
 
@@ -24,6 +24,8 @@ COMPONENTS, BANDS, ROWS = 256, 24, 4
 # A sketch has two bits of each component. Of two texts with similarity 0.8, 51.2 of its 512 bits differ
 # on average, with deviation 8.2; candidates differ in no more than 5.3 deviations above.
 SKETCH_WORDS, FAR_BITS = 8, 95
+# Texts of a chunk where a whole group has to be compared.
+CHUNK_TEXTS = 256
 _GOLD, _SALT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xA0761D6478BD642F)
 
 
@@ -72,9 +74,12 @@ def probability_jaccard(x: tuple, y: tuple) -> float:
     (hx, cx), (hy, cy) = x, y
     if not len(hx) or not len(hy):
         return float(len(hx) == len(hy))
-    both, ix, iy = np.intersect1d(hx, hy, assume_unique=True, return_indices=True)
     if (cx == cx[0]).all() and (cy == cy[0]).all():
-        return len(both) / (len(hx) + len(hy) - len(both))
+        at = np.searchsorted(hx, hy)
+        at[at == len(hx)] = 0
+        common = int((hx[at] == hy).sum())
+        return common / (len(hx) + len(hy) - common)
+    _, ix, iy = np.intersect1d(hx, hy, assume_unique=True, return_indices=True)
     a, b = cx[ix].astype(float), cy[iy].astype(float)
     ratio = b / a
     order = np.argsort(ratio, kind="stable")
@@ -147,6 +152,37 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float)
     return both.select("u", "v", "tu", "tv").mapInArrow(check, "u binary, v binary")
 
 
+def _remaining_links(members: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The links (u, v) between texts of different classes, within each group ``g`` of ``members``.
+
+    A group is dealt into chunks, and every two chunks meet in a task of their own, so a group of any
+    size is spread and only links leave a task. Pairs with far sketches are not compared.
+    """
+    sizes = _stored(members.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / CHUNK_TEXTS).cast("int").alias("chunks")), "groups")
+    dealt = members.join(sizes.hint("merge"), "g").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    dealt = dealt.select("g", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"), "chunk", "node", "root", "sketch", "text")
+
+    def link(table: pa.Table) -> pa.Table:
+        nodes, chunk = table["node"].to_pylist(), table["chunk"].to_numpy()
+        roots = table["root"].combine_chunks().dictionary_encode().indices.to_numpy()
+        sketch = table["sketch"].combine_chunks().flatten().to_numpy().reshape(len(nodes), -1).view(np.uint64)
+        bags = _bags(table["text"].combine_chunks(), size)
+        same = table["a"][0] == table["b"][0]
+        left = np.flatnonzero(chunk == table["a"][0].as_py())
+        right = left if same else np.flatnonzero(chunk == table["b"][0].as_py())
+        u, v = [], []
+        for x in left:
+            far = np.bitwise_count(sketch[right] ^ sketch[x]).sum(1)
+            for y in right[(far <= FAR_BITS) & (roots[right] != roots[x]) & ((right > x) | (not same))]:
+                if probability_jaccard(bags[x], bags[y]) >= similarity - 1e-12:
+                    u.append(nodes[x])
+                    v.append(nodes[y])
+        return pa.table({"u": pa.array(u, pa.binary()), "v": pa.array(v, pa.binary())})
+
+    return dealt.groupBy("g", "a", "b").applyInArrow(link, "u binary, v binary")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of all nodes in ``links`` (u, v): the smallest node each can be reached from."""
     edges = _stored(links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "links")
@@ -190,20 +226,16 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
     linked = _stored(_verified(star, _stored(texts_of(star), "texts"), shingle, similarity), "linked")
     labels = components(linked)
 
-    # Buckets of more than two texts that still hold several classes.
+    # Buckets of more than two texts that still hold several classes, and what hangs together through them.
     rooted = shared.where("n > 2").join(labels, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
     rooted = _stored(rooted, "rooted")
-    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("bucket")
-    open_ = _stored(rooted.join(_stored(mixed, "mixed").hint("merge"), "bucket", "left_semi").join(signed, "node"), "open")
-    other = open_.select("bucket", *[F.col(c).alias(f"{c}_y") for c in ("node", "root", "buckets", "sketch")])
-    first = F.element_at("buckets", F.array_position(F.zip_with("buckets", "buckets_y", lambda a, b: a == b), True).cast("int"))
-    pairs = open_.join(other.hint("merge"), "bucket").where(
-        (F.col("node") > F.col("node_y")) & (F.col("root") != F.col("root_y")) & _near("sketch", "sketch_y") & (first == F.col("bucket")))
-    pairs = pairs.select(F.col("node").alias("u"), F.col("node_y").alias("v"))
-    pairs = _stored(pairs.join(star, ["u", "v"], "left_anti"), "pairs")
-    if not pairs.isEmpty():
-        more = _verified(pairs, _stored(texts_of(pairs), "texts"), shingle, similarity)
-        labels = components(linked.unionByName(_stored(more, "linked")))
+    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.min("node").alias("v")).where("a != b")
+    open_ = _stored(rooted.join(_stored(mixed.select("bucket", "v"), "mixed").hint("merge"), "bucket").select(F.col("node").alias("u"), "v", "root"), "open")
+    if not open_.isEmpty():
+        groups = components(open_.select("u", "v").distinct()).withColumnRenamed("root", "g")
+        members = open_.select(F.col("u").alias("node"), "root").distinct().join(groups, "node").join(signed.select("node", "sketch"), "node")
+        members = _stored(members.join(texts_of(open_.select("u", F.col("u").alias("v"))), "node"), "members")
+        labels = components(linked.unionByName(_stored(_remaining_links(members, shingle, similarity), "linked")))
     nodes = texts.select("node").distinct().join(labels, "node", "left")
     return nodes.select("node", F.coalesce("root", "node").alias("root"))
 
