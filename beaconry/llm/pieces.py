@@ -21,7 +21,7 @@ from beaconry.llm.text import add_columns, hash_spans, joined, mix, ranges
 
 _SPACE = "▁"
 # Cells of a lattice (words x places x lengths) held at once, and bytes of text.
-CELLS, CHUNK_BYTES = 4_000_000, 8 << 20
+CELLS, CHUNK_BYTES = 1_000_000, 2 << 20
 _NONE = np.float64(-np.inf)
 
 
@@ -52,7 +52,9 @@ class PieceModel:
         return cls(kind, pieces, np.array([model.get_score(i) for i in ids]), usable, byte_ids, model.unk_id())
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k in self.__dataclass_fields__}
+        """With the tables made from the pieces, so that tasks do not make them again."""
+        self.longest, self.keys, self.alone, self.singles, self.spaces, self.texts
+        return dict(self.__dict__)
 
     @cached_property
     def longest(self) -> int:
