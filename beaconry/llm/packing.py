@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 from beaconry.llm.text import SPACE, hash_spans, joined, ranges, slices, word_spans
 
 # Bytes of text tokenized at once, and words a worker remembers. Neither changes a result.
-CHUNK_BYTES, REMEMBERED = 16 << 20, 400_000
+CHUNK_BYTES, REMEMBERED = 4 << 20, 250_000
 
 _FINAL = np.zeros(256, dtype=bool)
 _FINAL[list(b".,;:?!")] = True

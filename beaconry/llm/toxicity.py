@@ -92,7 +92,7 @@ class Decoder:
             parts = [self.readings(token[i:i + PIECE]) for i in range(0, len(token), PIECE)]
             return [" ".join(p[min(n, len(p) - 1)] for p in parts) for n in range(READINGS)]
         if token not in self.known:
-            if len(self.known) > 100_000:
+            if len(self.known) > 50_000:
                 self.known = {}
             self.known[token] = self._viterbi(token)
         return self.known[token]
