@@ -130,7 +130,7 @@ def fit_language(labelled: DataFrame, lang_col: str = "lang", text_col: str = "t
 
     def features(batches):
         for batch in batches:
-            for a, b in slices(batch.column("text"), 4 << 20):
+            for a, b in slices(batch.column("text"), 1 << 20):
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("lang"), pa.array([r.tobytes() for r in _shares(part.column("text")).astype(np.float16)], pa.binary())], names=["lang", "x"])

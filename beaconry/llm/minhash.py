@@ -116,7 +116,7 @@ def _signed(docs: DataFrame, size: int) -> DataFrame:
 
     def sign(batches):
         for batch in batches:
-            for a, b in slices(batch.column(1), 8 << 20):
+            for a, b in slices(batch.column(1), 3 << 20):
                 part = batch.slice(a, b - a)
                 of, value, times = shingles(part.column(1), size)
                 sig = signatures(of, value, times, b - a)

@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from beaconry.llm.text import SPACE, hash_spans, joined, ranges, slices, word_spans
 
-# Bytes of text tokenized at once, and words a worker remembers. Neither changes a result.
-CHUNK_BYTES, REMEMBERED = 4 << 20, 250_000
+# Bytes of text tokenized at once, and words a task remembers. Neither changes a result.
+CHUNK_BYTES, REMEMBERED = 4 << 20, 200_000
 
 _FINAL = np.zeros(256, dtype=bool)
 _FINAL[list(b".,;:?!")] = True
@@ -34,7 +34,7 @@ def _byte_letters() -> dict[int, int]:
 class WordTokens:
     """Token ids of words, by a ``tokenizers`` file whose pre-tokenizer never crosses white space.
 
-    Words are told apart by a 64-bit hash and encoded once per worker while remembered. Case
+    Words are told apart by a 64-bit hash and encoded once per task while remembered. Case
     is folded for A-Z before that and final punctuation is split off after ASCII letters and
     digits: the lower-casing tokenizer encodes such parts alike on their own.
     """
@@ -94,18 +94,9 @@ class WordTokens:
         return ids, upto[np.searchsorted(cuts, offsets)]
 
 
-_workers: dict[str, WordTokens] = {}
-
-
-def _tokenizer(path: str) -> WordTokens:
-    if path not in _workers:
-        _workers[path] = WordTokens(path)
-    return _workers[path]
-
-
-def tokens_of(texts: pa.Array, path: str, eos: int) -> tuple[np.ndarray, np.ndarray]:
+def tokens_of(texts: pa.Array, words: WordTokens, eos: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts, each closed by ``eos``, and their n + 1 offsets."""
-    ids, offsets = _tokenizer(path).encode(*joined(texts))
+    ids, offsets = words.encode(*joined(texts))
     counts = np.diff(offsets)
     closed = np.full(len(ids) + len(counts), eos, "<u4")
     closed[np.arange(len(ids)) + np.repeat(np.arange(len(counts)), counts)] = ids
@@ -141,10 +132,11 @@ def pack_power_of_two(docs: DataFrame, tokenizer: str, max_len: int = 4096, eos:
     key = docs.schema[id_col].dataType.simpleString()
 
     def pack(batches):
+        words = WordTokens(tokenizer)  # of this task; a reused worker keeps nothing
         for batch in batches:
             for first, last in slices(batch.column(1), CHUNK_BYTES):
                 part = batch.slice(first, last - first)
-                ids, offsets = tokens_of(part.column(1), tokenizer, eos)
+                ids, offsets = tokens_of(part.column(1), words, eos)
                 counts = np.diff(offsets)
                 of, start, length = decompose(counts, max_len)
                 ends = np.concatenate([[0], 4 * np.cumsum(length)])

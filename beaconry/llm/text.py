@@ -143,7 +143,7 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.repeat(starts - before, counts) + np.arange(total)
 
 
-def add_columns(docs: DataFrame, text_col: str, fn: Callable, ddl: str, max_bytes: int = 4 << 20) -> DataFrame:
+def add_columns(docs: DataFrame, text_col: str, fn: Callable, ddl: str, max_bytes: int = 2 << 20) -> DataFrame:
     """``docs`` with the columns of ``ddl``, which ``fn(texts)`` gives as arrays; columns of these names are replaced."""
     added = StructType.fromDDL(ddl)
     kept = [f for f in docs.schema.fields if f.name not in added.names or f.name == text_col]

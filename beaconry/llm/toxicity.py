@@ -20,6 +20,8 @@ from beaconry.plans.lineage import scratch_path
 # Labelled documents the scorer is fitted on, and features it keeps, at most about.
 SAMPLE_DOCS, FEATURES = 20_000, 4096
 READINGS, PIECE = 3, 64
+# Bytes of text looked at together.
+SLICE_BYTES = 1 << 20
 _PREFIXES = (4, 5, 6)
 # How often a word or beginning must be in a text to count once, twice, ...
 LEVELS = np.array([1, 2, 3, 5])
@@ -276,7 +278,7 @@ def character_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     def count(batches):
         total = np.zeros(28 ** 3, np.int64)
         for batch in batches:
-            for a, b in slices(batch.column(0), 4 << 20):
+            for a, b in slices(batch.column(0), SLICE_BYTES):
                 total += trigrams(batch.column(0).slice(a, b - a))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["cell", "n"])
@@ -310,7 +312,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None =
 
     def count(batches):
         for batch in batches:
-            for a, b in slices(batch.column(0), 4 << 20):
+            for a, b in slices(batch.column(0), SLICE_BYTES):
                 of, kind, level = _levels(*decoder.features(batch.column(0).slice(a, b - a)))
                 toxic = batch.column(1).to_numpy()[a:b][of].astype(np.int64)
                 rows = pa.table({"f": kind.view(np.int64), "l": level, "n": np.ones(len(of), np.int64), "t": toxic})
@@ -336,7 +338,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None =
 
     def presence(batches):
         for batch in batches:
-            for a, b in slices(batch.column(0), 4 << 20):
+            for a, b in slices(batch.column(0), SLICE_BYTES):
                 of, feature = model.present(batch.column(0).slice(a, b - a))
                 edges = np.searchsorted(of, np.arange(b - a + 1))
                 rows = [feature[x:y].astype("<u4").tobytes() for x, y in zip(edges, edges[1:])]
@@ -351,4 +353,4 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None =
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text", out: str = "score") -> DataFrame:
     """``docs`` with a score from 0 to 1, which replaces a column of that name. Null and empty texts get the constant's."""
-    return add_columns(docs, text_col, lambda texts: [model.score(texts)], f"`{out}` double")
+    return add_columns(docs, text_col, lambda texts: [model.score(texts)], f"`{out}` double", SLICE_BYTES)
