@@ -19,7 +19,7 @@ def join_unique(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
     are and meet their partners by broadcast, everything else takes the ordinary shuffle
     join. The sample decides the plan only, never a row.
     """
-    share = min(1.0, _SEEN / hot_rows)
+    share = min(1.0, _SEEN / max(1, hot_rows))
     sampled = left.select(*keys) if share == 1.0 else left.select(*keys).sample(share, seed=1)
     counts = sampled.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     hot = cut(counts.where(F.col("_n") > hot_rows * share).select(*keys))
