@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from beaconry.llm.text import add_columns, joined, slices
+from beaconry.llm.text import add_columns, bounded_batches, joined, slices
 
 FEATURES = 4096
 # Labelled rows per language that the machines are fitted on, at most about this many.
@@ -135,6 +135,7 @@ def fit_language(labelled: DataFrame, lang_col: str = "lang", text_col: str = "t
                 yield pa.RecordBatch.from_arrays(
                     [part.column("lang"), pa.array([r.tobytes() for r in _shares(part.column("text")).astype(np.float16)], pa.binary())], names=["lang", "x"])
 
+    bounded_batches(sample.sparkSession)
     found = sample.mapInArrow(features, "lang string, x binary").toArrow()
     langs = np.array(found["lang"].to_pylist())
     x = np.stack([np.frombuffer(v.as_buffer(), np.float16) for v in found["x"]]).astype(np.float32)

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from beaconry.llm.text import hash_spans, joined, mix, ranges, rolling, slices, word_spans
+from beaconry.llm.text import bounded_batches, hash_spans, joined, mix, ranges, rolling, slices, word_spans
 from beaconry.plans.lineage import cut, scratch_path
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -207,6 +207,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
     [^ \\t-\\r]+, unchanged; a text of fewer than ``shingle`` words is one shingle, and texts
     without words (null and empty ones too) are alike. Texts without a partner are their own root.
     """
+    bounded_batches(docs.sparkSession)
     texts = docs.select(text_node(F.col(text_col)).alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     signed = _stored(_signed(texts, shingle), "signed")
     banded = signed.select("node", F.explode("buckets").alias("bucket"))

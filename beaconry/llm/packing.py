@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from beaconry.llm.text import SPACE, hash_spans, joined, ranges, slices, word_spans
+from beaconry.llm.text import bounded_batches, hash_spans, joined, ranges, slices, word_spans
 
 # Bytes of text tokenized at once, and words a task remembers. Neither changes a result.
 CHUNK_BYTES, REMEMBERED = 4 << 20, 200_000
@@ -149,6 +149,7 @@ def pack_power_of_two(docs: DataFrame, tokenizer: str, max_len: int = 4096, eos:
                     binary.cast(pa.binary()), pa.array(counts[of]),
                 ], names=["doc_id", "start", "length", "ids", "doc_tokens"])
 
+    bounded_batches(docs.sparkSession)
     pieces = docs.select(id_col, text_col).mapInArrow(
         pack, f"doc_id {key}, start bigint, length bigint, ids binary, doc_tokens bigint")
     return pieces.withColumns({

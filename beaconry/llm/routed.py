@@ -19,11 +19,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
+from beaconry.llm.text import bounded_batches
+
 
 class Blocks:
     """``docs`` dealt into blocks of about ``block_bytes`` bytes of text."""
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, block_bytes: int):
+        bounded_batches(docs.sparkSession)
         self.names, self.schema = docs.columns, docs.schema
         self.id_at, self.text_at = f"c{self.names.index(id_col)}", f"c{self.names.index(text_col)}"
         docs = docs.toDF(*[f"c{i}" for i in range(len(self.names))])

@@ -10,7 +10,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -22,6 +22,21 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
+# Rows of texts that go to a Python worker at a time, at most.
+BATCH_ROWS = 1000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Send texts to Python in Arrow batches of at most ``BATCH_ROWS`` rows, fewer if the session says so.
+
+    A batch is held whole by the JVM, outside its heap, and by the worker; ten thousand
+    texts, Spark's default, are too many for small executors.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def slices(texts: pa.Array, max_bytes: int):
     """(first, last) row ranges whose texts hold about ``max_bytes`` bytes."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -145,6 +160,7 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def add_columns(docs: DataFrame, text_col: str, fn: Callable, ddl: str, max_bytes: int = 2 << 20) -> DataFrame:
     """``docs`` with the columns of ``ddl``, which ``fn(texts)`` gives as arrays; columns of these names are replaced."""
+    bounded_batches(docs.sparkSession)
     added = StructType.fromDDL(ddl)
     kept = [f for f in docs.schema.fields if f.name not in added.names or f.name == text_col]
     inner = docs.select(*[F.col(f"`{f.name}`") for f in kept])

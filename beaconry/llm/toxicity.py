@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from beaconry.llm.text import add_columns, hash_spans, joined, mix, ranges, slices, word_spans
+from beaconry.llm.text import add_columns, bounded_batches, hash_spans, joined, mix, ranges, slices, word_spans
 from beaconry.plans.lineage import scratch_path
 
 # Labelled documents the scorer is fitted on, and features it keeps, at most about.
@@ -283,6 +283,7 @@ def character_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["cell", "n"])
 
+    bounded_batches(docs.sparkSession)
     rows = docs.select(text_col).mapInArrow(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(28 ** 3)
     for r in rows:
