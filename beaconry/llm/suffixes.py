@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from beaconry.llm.routed import Blocks, answer, cuts
-from beaconry.llm.text import add_columns, joined, mix, prefix_hashes, ranges, rolling, sliding_max, sliding_min, slices, span_hashes
+from beaconry.llm.text import add_columns, joined, mix, prefix_hashes, ranges, rolling, sliding_max, sliding_min, slices, span_hashes, word_spans
 
 GRAM, PIECE = 32, 4
 # Anchors of more runs than this are cut into pieces.
@@ -214,7 +214,7 @@ def _codes(replies: dict[int, bytes], keys: np.ndarray, shards: int, offset: int
 
 
 def remove_repeated_bytes(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text",
-                          block_bytes: int = BLOCK_BYTES, hot_runs: int = HOT_RUNS) -> DataFrame:
+                          block_bytes: int = BLOCK_BYTES, hot_runs: int = HOT_RUNS, least_words: int = 0, least_bytes: int = 0) -> DataFrame:
     """``docs`` with, as binary ``kept``, the bytes of each text outside repeated strings, and n_bytes, n_removed, n_spans.
 
     A byte goes if some ``length`` bytes over it, within one text, also start anywhere else, the
@@ -222,6 +222,8 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 400, id_col: str = "doc
     Null and empty texts have no bytes; rows repeating an id, or without one, are texts of their
     own. Removal may cut a character in two, hence binary. Columns named like the four results
     are replaced. ``id_col`` is an integer column; ``length`` is at least ``GRAM + PIECE``.
+    Bytes covered by consecutive repeated strings stay if they hold fewer than ``least_words`` whole words and
+    are fewer than ``least_bytes``.
     """
     if length < GRAM + PIECE:
         raise ValueError(f"length must be at least {GRAM + PIECE}")
@@ -323,6 +325,13 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 400, id_col: str = "doc
         n = len(runs.buf)
         begun = np.zeros(n + 1, np.int32)
         begun[ranges(lo, hi - lo + 1)] = flags[ranges((np.cumsum(starts) - starts)[kind], hi - lo + 1)]
+        if least_words:
+            edges = np.flatnonzero(np.diff(begun, prepend=0, append=0))
+            first, stop = edges[::2], edges[1::2] - 1 + length
+            begins, ends, _ = word_spans(runs.buf, runs.offsets)
+            words = np.searchsorted(ends, stop, "right") - np.searchsorted(begins, first)
+            few = (words < least_words) & (stop - first < least_bytes)
+            begun[ranges(first[few], (stop - first)[few] - length + 1)] = 0
         upto = np.cumsum(begun, dtype=np.int32)
         gone = upto[:n].copy()
         gone[length:] -= upto[:n - length] if n > length else 0
