@@ -20,6 +20,8 @@ from beaconry.plans.lineage import scratch_path
 # Labelled documents the scorer is fitted on, and features it keeps, at most about.
 SAMPLE_DOCS, FEATURES = 20_000, 4096
 READINGS, PIECE = 3, 64
+# Readings of spaced-out letters, where each gap may end a word.
+SPACED_READINGS = 8
 # Bytes of text looked at together.
 SLICE_BYTES = 1 << 20
 _PREFIXES = (4, 5, 6)
@@ -35,6 +37,9 @@ LOOKALIKES = {
 # plain separators, look-alikes at an end, look-alikes between letters.
 _SWAP, _REPEAT, _BREAK = 1.0, 0.5, 4.0
 _DROP, _DROP_EDGE, _DROP_SIGN = 0.7, 3.0, 6.0
+# Between spaced-out letters: a space that ends a word, wider space that does, wider space dropped.
+_BREAK_SPACE, _BREAK_WIDE, _DROP_WIDE = 3.0, 0.3, 6.0
+_SPACE, _WIDE = " ", "\n"
 # Gained by each letter read, so that short readings are not likelier for being short.
 _LETTER_BONUS = 2.5
 
@@ -92,7 +97,7 @@ class Decoder:
         """
         if len(token) > PIECE:
             parts = [self.readings(token[i:i + PIECE]) for i in range(0, len(token), PIECE)]
-            return [" ".join(p[min(n, len(p) - 1)] for p in parts) for n in range(READINGS)]
+            return [" ".join(p[min(n, len(p) - 1)] for p in parts) for n in range(max(map(len, parts)))]
         if token not in self.known:
             if len(self.known) > 50_000:
                 self.known = {}
@@ -102,12 +107,15 @@ class Decoder:
     def _viterbi(self, token: str) -> list[str]:
         """List Viterbi: the state is the last two codes, and keeps its best few texts."""
         cost, token = self.cost, token.lower()
+        keep = SPACED_READINGS if _SPACE in token or _WIDE in token else READINGS
         states = {(0, 0): [(0.0, "")]}
         for i, c in enumerate(token):
             letters = [(c, 0.0)] if c.isalpha() else [(x, _SWAP) for x in LOOKALIKES.get(c, "")]
             again = i > 0 and token[i - 1] == c
-            noise = inf
-            if not c.isalpha():
+            noise, ended = inf, _BREAK
+            if c in (_SPACE, _WIDE):
+                noise, ended = (_DROP, _BREAK_SPACE) if c == _SPACE else (_DROP_WIDE, _BREAK_WIDE)
+            elif not c.isalpha():
                 noise = _DROP if c not in LOOKALIKES or c == "*" else _DROP_EDGE if i in (0, len(token) - 1) else _DROP_SIGN
             new: dict = {}
             for (a, b), texts in states.items():
@@ -122,10 +130,10 @@ class Decoder:
                         # A sign is noise inside a word, or ends it.
                         new.setdefault((a, b), []).append((spent + noise, text))
                         if b != _BREAK_CODE:
-                            new.setdefault((b, _BREAK_CODE), []).append((spent + _BREAK + row[_BREAK_CODE], text + " "))
-            states = {key: _best(texts) for key, texts in new.items()}
+                            new.setdefault((b, _BREAK_CODE), []).append((spent + ended + row[_BREAK_CODE], text + " "))
+            states = {key: _best(texts, keep) for key, texts in new.items()}
         ends = [(spent + (cost[a][b][0] if b else 0.0), text) for (a, b), texts in states.items() for spent, text in texts]
-        return [text for _, text in _best(ends)]
+        return [text for _, text in _best(ends, keep)]
 
     def features(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(text, feature hash) of the words and word beginnings of the restored texts."""
@@ -151,14 +159,16 @@ class Decoder:
             last[todo] -= 1
         inner = n_letters[last] - n_letters[first]
         odd = ((inner > 0) & ((n_signs[ends] - n_signs[starts] > 0) | (inner < last - first))) | (n_triples[ends] > n_triples[np.minimum(starts + 2, ends)])
-        # Four or more single characters in a row may be one word spaced out.
+        # Three or more single characters in a row may be words spaced out; the gaps between them stay.
         single = (ends - starts == 1) & _SINGLE[buf[np.minimum(starts, max(0, len(buf) - 1))]]
         breaks = np.flatnonzero(np.diff(np.concatenate([[0], single, [0]])) != 0) if len(single) else np.zeros(0, np.int64)
         spaced = []
         for a, b in zip(breaks[::2], breaks[1::2]):
             for c, d in zip(*_same_text(of, a, b)):
-                if d - c >= 4:
-                    spaced.append((of[c], "".join(chr(x) for x in buf[starts[c:d]])))
+                if d - c >= 3:
+                    wide = (starts[c + 1:d] - ends[c:d - 1] > 1) | (buf[ends[c:d - 1]] == 10)
+                    gaps = [*np.where(wide, _WIDE, _SPACE), ""]
+                    spaced.append((of[c], "".join(chr(x) + gap for x, gap in zip(buf[starts[c:d]], gaps))))
         plain = ~odd & (inner > 0)
         docs_of, hashes = [of[plain]], [hash_spans(buf, first[plain], last[plain])]
         padded = np.concatenate([buf, np.zeros(8, np.uint8)])
@@ -190,13 +200,13 @@ class Decoder:
         return np.concatenate(docs_of), np.concatenate(hashes)
 
 
-def _best(texts: list) -> list:
+def _best(texts: list, keep: int) -> list:
     """The cheapest few distinct texts."""
     out: list = []
     for spent, text in sorted(texts):
         if all(text != t for _, t in out):
             out.append((spent, text))
-            if len(out) == READINGS:
+            if len(out) == keep:
                 break
     return out
 

@@ -6,6 +6,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from beaconry.llm.language import held_out
+from beaconry.llm.text import hash_spans, joined
 from beaconry.llm.toxicity import Decoder, ToxicityModel, fit_toxicity, score_toxicity, trigrams
 
 
@@ -52,3 +53,16 @@ def test_odd_rows(spark):
         got = score_toxicity(docs, fit_toxicity(docs, known))
         assert got.columns == ["doc_id", "text", "score"] and all(0 <= r.score <= 1 for r in got.collect())
     assert score_toxicity(docs.limit(0), ToxicityModel(Decoder(trigrams(pa.array([""]))), np.zeros(0, np.uint64), np.zeros((0, 4), int), np.zeros(1), 0.0)).count() == 0
+
+
+def words(model, text):
+    """Of the toxic words, those among the features of a text."""
+    known = ["idiot", "moron", "stupid", "scum", "worthless", "pathetic", "clown", "disgusting", "ass"]
+    _, hashes = model.decoder.features(pa.array([text]))
+    buf, offsets = joined(pa.array(known))
+    return {w for w, h in zip(known, hash_spans(buf, offsets[:-1], offsets[1:])) if h in hashes}
+
+
+@pytest.mark.parametrize("text,want", [("a m o r o n", {"moron"}), ("such a m o r o n he is", {"moron"}), ("y o u i d i o t", {"idiot"}), ("i d i o t  m o r o n", {"idiot", "moron"}), ("p a t h e t i c c l o w n", {"pathetic", "clown"}), ("no a s s here", {"ass"})])
+def test_spaced_words(model, text, want):
+    assert want <= words(model, text), model.decoder.readings(text.replace("  ", "\n"))
