@@ -20,8 +20,8 @@ from beaconry.plans.lineage import scratch_path
 # Labelled documents the scorer is fitted on, and features it keeps, at most about.
 SAMPLE_DOCS, FEATURES = 20_000, 4096
 READINGS, PIECE = 3, 64
-# Readings of spaced-out letters, where each gap may end a word.
-SPACED_READINGS = 8
+# Readings of spaced-out letters, where each gap may end a word, and of pieces of long tokens.
+MORE_READINGS = 8
 # Bytes of text looked at together.
 SLICE_BYTES = 1 << 20
 _PREFIXES = (4, 5, 6)
@@ -93,22 +93,31 @@ class Decoder:
     def readings(self, token: str) -> list[str]:
         """The likeliest distinct readings of a token, best first; breaks between words are spaces.
 
-        A token of more than ``PIECE`` characters is read piece by piece.
+        A token of more than ``PIECE`` characters is read as a whole. So few readings differ in few
+        places only, so pieces of it, each overlapping the next by half, are read as well: their other
+        words are a last reading.
         """
+        token = token.lower()
         if len(token) > PIECE:
-            parts = [self.readings(token[i:i + PIECE]) for i in range(0, len(token), PIECE)]
-            return [" ".join(p[min(n, len(p) - 1)] for p in parts) for n in range(max(map(len, parts)))]
+            whole = self._viterbi(token)
+            pieces = [self._viterbi(token[i:i + PIECE], MORE_READINGS) for i in range(0, len(token) - PIECE // 2, PIECE // 2)]
+            words = {w for text in whole for w in text.split()}
+            others = {w: None for piece in pieces for text in piece for w in text.split() if w not in words}
+            return [*whole, " ".join(others)]
         if token not in self.known:
             if len(self.known) > 50_000:
                 self.known = {}
             self.known[token] = self._viterbi(token)
         return self.known[token]
 
-    def _viterbi(self, token: str) -> list[str]:
-        """List Viterbi: the state is the last two codes, and keeps its best few texts."""
-        cost, token = self.cost, token.lower()
-        keep = SPACED_READINGS if _SPACE in token or _WIDE in token else READINGS
-        states = {(0, 0): [(0.0, "")]}
+    def _viterbi(self, token: str, keep: int = READINGS) -> list[str]:
+        """List Viterbi over a lower-case token: the state is the last two codes, and keeps its best few texts.
+
+        A text is a linked list of (characters before, character), next to a hash that tells it from others.
+        """
+        cost = self.cost
+        keep = MORE_READINGS if _SPACE in token or _WIDE in token else keep
+        states = {(0, 0): [(0.0, 0, None)]}
         for i, c in enumerate(token):
             letters = [(c, 0.0)] if c.isalpha() else [(x, _SWAP) for x in LOOKALIKES.get(c, "")]
             again = i > 0 and token[i - 1] == c
@@ -120,20 +129,20 @@ class Decoder:
             new: dict = {}
             for (a, b), texts in states.items():
                 row = cost[a][b]
-                for spent, text in texts:
+                for spent, known, text in texts:
                     for x, extra in letters:
                         code = ord(x) - 96 if "a" <= x <= "z" else _OTHER_CODE
-                        new.setdefault((b, code), []).append((spent + extra + row[code] - _LETTER_BONUS, text + x))
-                        if again and text and text[-1] == x:
-                            new.setdefault((a, b), []).append((spent + _REPEAT, text))
+                        new.setdefault((b, code), []).append((spent + extra + row[code] - _LETTER_BONUS, _added(known, x), (text, x)))
+                        if again and text and text[1] == x:
+                            new.setdefault((a, b), []).append((spent + _REPEAT, known, text))
                     if noise < inf:
                         # A sign is noise inside a word, or ends it.
-                        new.setdefault((a, b), []).append((spent + noise, text))
+                        new.setdefault((a, b), []).append((spent + noise, known, text))
                         if b != _BREAK_CODE:
-                            new.setdefault((b, _BREAK_CODE), []).append((spent + ended + row[_BREAK_CODE], text + " "))
+                            new.setdefault((b, _BREAK_CODE), []).append((spent + ended + row[_BREAK_CODE], _added(known, " "), (text, " ")))
             states = {key: _best(texts, keep) for key, texts in new.items()}
-        ends = [(spent + (cost[a][b][0] if b else 0.0), text) for (a, b), texts in states.items() for spent, text in texts]
-        return [text for _, text in _best(ends, keep)]
+        ends = [(spent + (cost[a][b][0] if b else 0.0), known, text) for (a, b), texts in states.items() for spent, known, text in texts]
+        return [_spelled(text) for _, _, text in _best(ends, keep)]
 
     def features(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(text, feature hash) of the words and word beginnings of the restored texts."""
@@ -200,12 +209,25 @@ class Decoder:
         return np.concatenate(docs_of), np.concatenate(hashes)
 
 
+def _added(known: int, char: str) -> int:
+    """Hash of a text and one more character, from the text's."""
+    return (known * 1_000_003 + ord(char)) % ((1 << 61) - 1)
+
+
+def _spelled(text: tuple | None) -> str:
+    chars = []
+    while text:
+        text, char = text
+        chars.append(char)
+    return "".join(reversed(chars))
+
+
 def _best(texts: list, keep: int) -> list:
     """The cheapest few distinct texts."""
     out: list = []
-    for spent, text in sorted(texts):
-        if all(text != t for _, t in out):
-            out.append((spent, text))
+    for path in sorted(texts, key=lambda x: x[:2]):
+        if all(path[1] != known for _, known, _ in out):
+            out.append(path)
             if len(out) == keep:
                 break
     return out

@@ -66,3 +66,19 @@ def words(model, text):
 @pytest.mark.parametrize("text,want", [("a m o r o n", {"moron"}), ("such a m o r o n he is", {"moron"}), ("y o u i d i o t", {"idiot"}), ("i d i o t  m o r o n", {"idiot", "moron"}), ("p a t h e t i c c l o w n", {"pathetic", "clown"}), ("no a s s here", {"ass"})])
 def test_spaced_words(model, text, want):
     assert want <= words(model, text), model.decoder.readings(text.replace("  ", "\n"))
+
+
+@pytest.mark.parametrize("word", ["i d i o t", "m 0 r 0 n", "w 0 r t h l 3 s s"])
+def test_long_tokens(model, word):
+    # Wherever the word lies, also over what was a cut at 64 characters.
+    plain = {"i d i o t": "idiot", "m 0 r 0 n": "moron", "w 0 r t h l 3 s s": "worthless"}[word]
+    for n in range(3, 9):
+        for m in range(4):
+            before = "  ".join(" ".join(w) for w in ["that"] * n + ["the"] * m)
+            assert plain in words(model, f"{before}  {word}  a n d  t h a t"), (n, m)
+
+
+def test_very_long_token(model):
+    readings = model.decoder.readings("a n d\nt h a t\n" * 2000 + "m 0 r 0 n")
+    assert any("moron" in r.split() for r in readings)
+    assert len(model.decoder.readings("ab1" * 10_000)[0]) > 15_000
