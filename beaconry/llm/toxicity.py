@@ -1,7 +1,7 @@
 """Toxicity by noisy-channel deobfuscation.
 
-Suspicious tokens (letters mixed with look-alike digits and signs, a letter three times in a
-row, letters spaced out) become lattices: each sign may be a letter it looks like, a repeated
+Suspicious tokens (letters mixed with look-alike digits and signs, look-alikes alone, a letter
+three times in a row, several doubled letters, letters spaced out) become lattices: each sign may be a letter it looks like, a repeated
 letter may be one, a separator may be nothing. Viterbi search under a character trigram model of the
 corpus gives the likeliest readings; all other tokens read as they are. The restored text is
 scored by a logistic model over the words and word beginnings that mark toxic documents.
@@ -9,6 +9,7 @@ scored by a logistic model over the words and word beginnings that mark toxic do
 
 from dataclasses import dataclass, field
 from math import inf
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,10 @@ _CODE[0xC0:] = _OTHER_CODE
 _LETTER = (_CODE > 0) | (np.arange(256) >= 128)
 _SIGN = np.zeros(256, bool)
 _SIGN[[ord(c) for c in LOOKALIKES if ord(c) < 128]] = True
+# Look-alikes that stand for certain letters and are no digits: these alone may be a word.
+_TELLING = _SIGN.copy()
+_TELLING[[*range(48, 58), ord("*")]] = False
+_WIDE_SIGNS = [np.frombuffer(c.encode(), np.uint8) for c in LOOKALIKES if ord(c) >= 128]
 _SINGLE = (_LETTER & (np.arange(256) < 128)) | _SIGN
 
 
@@ -113,36 +118,44 @@ class Decoder:
     def _viterbi(self, token: str, keep: int = READINGS) -> list[str]:
         """List Viterbi over a lower-case token: the state is the last two codes, and keeps its best few texts.
 
-        A text is a linked list of (characters before, character), next to a hash that tells it from others.
+        The text of a long token is a linked list of (characters before, character), next to a hash that
+        tells it from others.
         """
         cost = self.cost
+        # A word of signs alone begins with one that is a letter.
+        edges = (0, len(token) - 1) if any(c.isalpha() for c in token) else (len(token) - 1,)
         keep = MORE_READINGS if _SPACE in token or _WIDE in token else keep
-        states = {(0, 0): [(0.0, 0, None)]}
+        long = len(token) > PIECE
+        states = {(0, 0): [(0.0, 0, None) if long else (0.0, "", "")]}
         for i, c in enumerate(token):
-            letters = [(c, 0.0)] if c.isalpha() else [(x, _SWAP) for x in LOOKALIKES.get(c, "")]
+            letters = [(c, -_LETTER_BONUS)] if c.isalpha() else [(x, _SWAP - _LETTER_BONUS) for x in LOOKALIKES.get(c, "")]
+            letters = [(x, extra, ord(x) - 96 if "a" <= x <= "z" else _OTHER_CODE) for x, extra in letters]
             again = i > 0 and token[i - 1] == c
             noise, ended = inf, _BREAK
             if c in (_SPACE, _WIDE):
                 noise, ended = (_DROP, _BREAK_SPACE) if c == _SPACE else (_DROP_WIDE, _BREAK_WIDE)
             elif not c.isalpha():
-                noise = _DROP if c not in LOOKALIKES or c == "*" else _DROP_EDGE if i in (0, len(token) - 1) else _DROP_SIGN
+                noise = _DROP if c not in LOOKALIKES or c == "*" else _DROP_EDGE if i in edges else _DROP_SIGN
             new: dict = {}
             for (a, b), texts in states.items():
                 row = cost[a][b]
                 for spent, known, text in texts:
-                    for x, extra in letters:
-                        code = ord(x) - 96 if "a" <= x <= "z" else _OTHER_CODE
-                        new.setdefault((b, code), []).append((spent + extra + row[code] - _LETTER_BONUS, _added(known, x), (text, x)))
-                        if again and text and text[1] == x:
+                    for x, extra, code in letters:
+                        more = (spent + extra + row[code], _added(known, x), (text, x)) if long else (spent + extra + row[code], known + x, x)
+                        if (b, code) in new:
+                            new[b, code].append(more)
+                        else:
+                            new[b, code] = [more]
+                        if again and text and (text[1] if long else text) == x:
                             new.setdefault((a, b), []).append((spent + _REPEAT, known, text))
                     if noise < inf:
                         # A sign is noise inside a word, or ends it.
                         new.setdefault((a, b), []).append((spent + noise, known, text))
                         if b != _BREAK_CODE:
-                            new.setdefault((b, _BREAK_CODE), []).append((spent + ended + row[_BREAK_CODE], _added(known, " "), (text, " ")))
+                            new.setdefault((b, _BREAK_CODE), []).append((spent + ended + row[_BREAK_CODE], _added(known, " "), (text, " ")) if long else (spent + ended + row[_BREAK_CODE], known + " ", " "))
             states = {key: _best(texts, keep) for key, texts in new.items()}
         ends = [(spent + (cost[a][b][0] if b else 0.0), known, text) for (a, b), texts in states.items() for spent, known, text in texts]
-        return [_spelled(text) for _, _, text in _best(ends, keep)]
+        return [_spelled(text) if long else known for _, known, text in _best(ends, keep)]
 
     def features(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(text, feature hash) of the words and word beginnings of the restored texts."""
@@ -151,33 +164,46 @@ class Decoder:
         starts, ends, docs = word_spans(buf, offsets)
         of = np.repeat(np.arange(len(texts)), np.diff(docs))
         upto = lambda flags: np.concatenate([[0], np.cumsum(flags)])
-        n_letters, n_signs = upto(_LETTER[buf]), upto(_SIGN[buf])
+        letter, sign, telling = _LETTER[buf], _SIGN[buf], _TELLING[buf]
+        wide_sign = np.zeros(len(buf) + 1, np.int64)
+        for c in _WIDE_SIGNS:
+            at = np.flatnonzero(np.logical_and.reduce([buf[i:len(buf) - len(c) + 1 + i] == x for i, x in enumerate(c)])) if len(buf) >= len(c) else np.zeros(0, np.int64)
+            wide_sign[at] = len(c)
+            sign[at] = telling[at] = True
+            letter[ranges(at, np.full(len(at), len(c)))] = False
+        n_letters, n_signs, n_telling = upto(letter), upto(sign), upto(telling)
         triple = np.zeros(len(buf), bool)
         triple[2:] = (buf[2:] == buf[1:-1]) & (buf[1:-1] == buf[:-2]) & _LETTER[buf[2:]]
         n_triples = upto(triple)
+        double = np.zeros(len(buf), bool)
+        double[1:] = (buf[1:] == buf[:-1]) & (buf[1:] >= 97) & (buf[1:] <= 122)
+        n_doubles = upto(double)
         # Punctuation around a word does not belong to it.
-        word = _LETTER | ((np.arange(256) >= 48) & (np.arange(256) <= 57))
+        word = letter | ((buf >= 48) & (buf <= 57))
         first, last = starts.copy(), ends.copy()
         todo = np.arange(len(starts))
         while len(todo):
-            todo = todo[(first[todo] < last[todo]) & ~word[buf[np.minimum(first[todo], len(buf) - 1)]]]
+            todo = todo[(first[todo] < last[todo]) & ~word[np.minimum(first[todo], len(buf) - 1)]]
             first[todo] += 1
         todo = np.arange(len(starts))
         while len(todo):
-            todo = todo[(last[todo] > first[todo]) & ~word[buf[last[todo] - 1]]]
+            todo = todo[(last[todo] > first[todo]) & ~word[last[todo] - 1]]
             last[todo] -= 1
         inner = n_letters[last] - n_letters[first]
         odd = ((inner > 0) & ((n_signs[ends] - n_signs[starts] > 0) | (inner < last - first))) | (n_triples[ends] > n_triples[np.minimum(starts + 2, ends)])
+        odd |= (inner == 0) & (n_telling[ends] > n_telling[starts]) & (n_signs[ends] - n_signs[starts] > 1)
+        # Many a word has two doubled letters, so that these are also read as they are.
+        doubled = ~odd & (n_doubles[ends] - n_doubles[np.minimum(starts + 1, ends)] > 1)
         # Three or more single characters in a row may be words spaced out; the gaps between them stay.
-        single = (ends - starts == 1) & _SINGLE[buf[np.minimum(starts, max(0, len(buf) - 1))]]
+        single = (ends - starts == 1) & _SINGLE[buf[np.minimum(starts, max(0, len(buf) - 1))]] | (ends - starts == wide_sign[starts])
         breaks = np.flatnonzero(np.diff(np.concatenate([[0], single, [0]])) != 0) if len(single) else np.zeros(0, np.int64)
-        spaced = []
+        spaced, data = [], buf.tobytes()
         for a, b in zip(breaks[::2], breaks[1::2]):
             for c, d in zip(*_same_text(of, a, b)):
                 if d - c >= 3:
                     wide = (starts[c + 1:d] - ends[c:d - 1] > 1) | (buf[ends[c:d - 1]] == 10)
                     gaps = [*np.where(wide, _WIDE, _SPACE), ""]
-                    spaced.append((of[c], "".join(chr(x) + gap for x, gap in zip(buf[starts[c:d]], gaps))))
+                    spaced.append((of[c], "".join(data[x:y].decode() + gap for x, y, gap in zip(starts[c:d], ends[c:d], gaps))))
         plain = ~odd & (inner > 0)
         docs_of, hashes = [of[plain]], [hash_spans(buf, first[plain], last[plain])]
         padded = np.concatenate([buf, np.zeros(8, np.uint8)])
@@ -186,8 +212,7 @@ class Decoder:
             long = plain & (last - first > size)
             docs_of.append(of[long])
             hashes.append(mix((lanes[first[long]] & np.uint64((1 << 8 * size) - 1)) + np.uint64(size << 56)))
-        data = buf.tobytes()
-        tokens = spaced + [(of[i], data[starts[i]:ends[i]].decode("utf-8", "replace")) for i in np.flatnonzero(odd)]
+        tokens = spaced + [(of[i], data[starts[i]:ends[i]].decode("utf-8", "replace")) for i in np.flatnonzero(odd | doubled)]
         owners, words = [], []
         for owner, token in tokens:
             for reading in self.readings(token):
@@ -224,8 +249,10 @@ def _spelled(text: tuple | None) -> str:
 
 def _best(texts: list, keep: int) -> list:
     """The cheapest few distinct texts."""
+    if len(texts) == 1:
+        return texts
     out: list = []
-    for path in sorted(texts, key=lambda x: x[:2]):
+    for path in sorted(texts, key=itemgetter(0, 1)):
         if all(path[1] != known for _, known, _ in out):
             out.append(path)
             if len(out) == keep:

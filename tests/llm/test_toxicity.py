@@ -82,3 +82,17 @@ def test_very_long_token(model):
     readings = model.decoder.readings("a n d\nt h a t\n" * 2000 + "m 0 r 0 n")
     assert any("moron" in r.split() for r in readings)
     assert len(model.decoder.readings("ab1" * 10_000)[0]) > 15_000
+
+
+@pytest.mark.parametrize("text,word", [("c£own", "clown"), ("¡d¡ot", "idiot"), ("the £o$€r", "loser"), ("@$$", "ass"), ("an @$$!", "ass"), ("5#1+", "sit"), ("iiddiioott", "idiot"), ("mmoorroonn", "moron"), ("¡ d ¡ o t", "idiot"), ("c £ o w n", "clown")])
+def test_hidden_words(model, text, word):
+    _, hashes = model.decoder.features(pa.array(["", text, None]))
+    buf, offsets = joined(pa.array([word]))
+    assert hash_spans(buf, offsets[:-1], offsets[1:])[0] in hashes
+
+
+def test_plain_words_stay(model):
+    text = "successful address 1234 ** * é £ e€ 5€"
+    of, hashes = model.decoder.features(pa.array([text]))
+    buf, offsets = joined(pa.array(["successful", "address", "é"]))
+    assert np.isin(hash_spans(buf, offsets[:-1], offsets[1:]), hashes).all() and (of == 0).all()
