@@ -107,6 +107,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from beaconry.llm.lexical import rank_documents
+
+    return rank_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -130,6 +136,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_suffixes": op9_suffixes,
     "op10_packing": op10_packing,
+    "op11_lexical": op11_lexical,
     "op13_alignment": op13_alignment,
     "pipeline": pipeline,
 }
@@ -164,4 +171,31 @@ ORACLES: dict[str, str] = {
         SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256
         FROM marked GROUP BY r""",
+    "op11_lexical": r"""
+        WITH item_terms AS (
+            SELECT item_id, term, count(*) AS times FROM (
+                SELECT item_id, translate(unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')),
+                                          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term
+                FROM (SELECT item_id, min(text) AS text FROM benchmark GROUP BY 1)
+            ) GROUP BY 1, 2
+        ),
+        doc_terms AS (
+            SELECT r, doc_id, translate(unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')),
+                                        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term
+            FROM (SELECT row_number() OVER () AS r, doc_id, text FROM documents)
+        ),
+        sizes AS (SELECT r, doc_id, count(*) AS n FROM doc_terms GROUP BY 1, 2),
+        corpus AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM sizes),
+        counted AS (SELECT r, term, count(*) AS tf FROM doc_terms WHERE term IN (SELECT term FROM item_terms) GROUP BY 1, 2),
+        weights AS (
+            SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w
+            FROM counted CROSS JOIN corpus GROUP BY 1
+        ),
+        impacts AS (
+            SELECT r, doc_id, term, w, (1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // terms)) AS impact
+            FROM counted JOIN weights USING (term) JOIN sizes USING (r) CROSS JOIN corpus
+        ),
+        scored AS (SELECT item_id, r, doc_id, CAST(sum(times * w * impact) AS BIGINT) AS score FROM item_terms JOIN impacts USING (term) GROUP BY 1, 2, 3),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST, r) AS rank FROM scored WHERE score > 0)
+        SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10""",
 }

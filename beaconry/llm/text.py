@@ -59,11 +59,11 @@ def joined(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def word_spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words, and the n + 1 word offsets of the texts."""
+def word_spans(buf: np.ndarray, offsets: np.ndarray, outside: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words, and the n + 1 word offsets of the texts; bytes of ``outside`` part words."""
     n = len(buf)
     inside = np.zeros(n + 2, dtype=bool)
-    inside[1:-1] = ~SPACE[buf]
+    inside[1:-1] = ~outside[buf]
     edge = np.zeros(n + 1, dtype=bool)
     edge[offsets] = True
     starts = np.flatnonzero(inside[1:] & (~inside[:-1] | edge))
