@@ -196,7 +196,7 @@ def _sparse(docs: DataFrame, id_col: str, text_col: str, vocabulary: np.ndarray)
                     [part.column(0), pa.array(n, pa.int64()), *[pa.array(b, pa.binary()) for b in blobs]], names=["id", "n", "terms", "times"]
                 ).filter(pa.array(n > 0))
 
-    return docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`")).mapInArrow(
+    return docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(
         run, "id bigint, n bigint, terms binary, times binary")
 
 

@@ -113,6 +113,12 @@ def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op12_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from beaconry.llm.pages import extract_main_text
+
+    return extract_main_text(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "url", "text", "n_chars")
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -137,6 +143,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_suffixes": op9_suffixes,
     "op10_packing": op10_packing,
     "op11_lexical": op11_lexical,
+    "op12_pages": op12_pages,
     "op13_alignment": op13_alignment,
     "pipeline": pipeline,
 }
@@ -198,4 +205,15 @@ ORACLES: dict[str, str] = {
         scored AS (SELECT item_id, r, doc_id, CAST(sum(times * w * impact) AS BIGINT) AS score FROM item_terms JOIN impacts USING (term) GROUP BY 1, 2, 3),
         ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST, r) AS rank FROM scored WHERE score > 0)
         SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10""",
+    # The supplied pages mark their text as <article>, of headings, paragraphs and inline tags.
+    "op12_pages": r"""
+        WITH article AS (SELECT page_id, url, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS a FROM pages),
+        bare AS (SELECT page_id, url, regexp_replace(regexp_replace(a, '</?(p|h1|br)\b[^>]*>', ' ', 'g'), '<[^>]*>', '', 'g') AS a FROM article),
+        decoded AS (
+            SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+                regexp_replace(a, '&quot;?', '"', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&#39;?|&#x27;?', chr(39), 'g'), '&amp;?', '&', 'g') AS a
+            FROM bare
+        ),
+        texts AS (SELECT page_id, url, coalesce(trim(regexp_replace(a, '\s+', ' ', 'g')), '') AS text FROM decoded)
+        SELECT page_id, url, text, length(text) AS n_chars FROM texts""",
 }
