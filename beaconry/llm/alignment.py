@@ -20,19 +20,24 @@ before they are merged; a lost executor repeats a merge, not the tokenizing.
 
 import hashlib
 import heapq
+import json
 import os
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from beaconry.llm.text import bounded_batches, mix, ranges, slices
+from beaconry.llm.text import bounded_batches, hash_spans, joined, mix, ranges, slices
 from beaconry.plans.lineage import scratch_path
 
 # Text of a run, text tokenized at once, pairs in a frame, pairs merged at once, bytes of text per radix. None changes a result.
 CHUNK_BYTES, TOKENIZE_BYTES, FRAME, SLAB = 3 << 20, 1 << 18, 1 << 13, 1 << 20
+# Parts of texts that a task remembers.
+REMEMBERED = 200_000
 RADIX_BYTES, LEAST_RADICES, MOST_RADICES = 512 << 20, 64, 4096
 # Links made at once; a group of more links than this is counted by its distinct ids.
 LINKS, WIDE_GROUP = 1 << 21, 1 << 14
@@ -40,10 +45,14 @@ _FIELDS = "n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha25
 
 
 class Side:
-    """One tokenizer: ids of texts, and the bytes each id stands for."""
+    """One tokenizer: ids of texts, and the bytes each id stands for.
 
-    def __init__(self, vocabulary: list[bytes], encode):
-        self.encode = encode
+    ``encode`` takes texts that begin with the added space. ``parts`` tells whether parts of a
+    text that single spaces begin are encoded alike on their own.
+    """
+
+    def __init__(self, vocabulary: list[bytes], encode, parts: bool):
+        self.encode, self.parts = encode, parts
         self.size = len(vocabulary)
         self.lengths = np.fromiter(map(len, vocabulary), np.int64, self.size)
         self.starts = np.cumsum(self.lengths) - self.lengths
@@ -66,10 +75,10 @@ class Side:
         for token, i in tokens:
             vocabulary[i] = bytes(map(byte_of.__getitem__, token)) if all(c in byte_of for c in token) else token.encode()
 
-        def encode(texts: list[str]) -> list[list[int]]:
-            return [e.ids for e in tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
-
-        return cls(vocabulary, encode)
+        # The byte-level pattern lets a token hold a space only as its first letter, or white space alone.
+        told = json.loads(tokenizer.to_str())
+        parts = told["normalizer"] is None and told["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+        return cls(vocabulary, lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)], parts)
 
     @classmethod
     def pieces(cls, path: str) -> "Side":
@@ -82,17 +91,71 @@ class Side:
             piece = model.id_to_piece(i)
             return bytes([int(piece[3:5], 16)]) if model.is_byte(i) else piece.replace("▁", " ").encode()
 
-        return cls([meant(i) for i in range(model.get_piece_size())], lambda texts: model.encode(texts, num_threads=1))
-
-    def tokens(self, texts: list[str], spaced: list[bytes]) -> list[np.ndarray | None]:
-        """Ids of every text; None where they do not stand for its bytes."""
+        # No piece crosses the start of a word, and the normaliser changes nothing (looked at on letters it might change).
+        probe = "ﬁ ½ e\u0301 Ａ  x\t\u00a0y \u3000"
+        parts = model.normalize(probe) == "▁" + probe.replace(" ", "▁") and not any(
+            "▁" in model.id_to_piece(i).lstrip("▁") for i in range(model.get_piece_size()))
+        return cls([meant(i) for i in range(model.get_piece_size())], lambda texts: model.encode([t[1:] for t in texts], num_threads=1), parts)
+
+    def tokens(self, texts: list[bytes]) -> list[bytes | None]:
+        """Ids (little-endian int32) of texts that begin with a space; None where they do not stand for the text's bytes."""
+        ids = self.encode([t.decode() for t in texts])
+        flat, counts = np.fromiter(chain.from_iterable(ids), np.int64), np.fromiter(map(len, ids), np.int64, len(ids))
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        held = np.concatenate([[0], np.cumsum(self.lengths[flat])])[ends]
+        given = self.bytes[ranges(self.starts[flat], self.lengths[flat])].tobytes()
+        packed, n = flat.astype("<i4").tobytes(), ends.tolist()
+        return [packed[4 * n[i]:4 * n[i + 1]] if given[s:e] == t else None for i, (s, e, t) in enumerate(zip(held[:-1].tolist(), held[1:].tolist(), texts))]
+
+
+def _parts(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where texts begin, and single spaces with no white space, of any script, on either side."""
+    at = np.flatnonzero(buf[1:-1] == 0x20) + 1
+    before, after = buf[at - 1], buf[at + 1]
+    # The first bytes of white space in UTF-8 beyond ASCII.
+    wide = np.isin(after, [0xC2, 0xE1, 0xE2, 0xE3]) | (buf[at - 2] == 0xC2) | np.isin(buf[at - 3], [0xE1, 0xE2, 0xE3])
+    return np.union1d(at[(before > 0x20) & (after > 0x20) & ~wide], offsets[:-1][np.diff(offsets) > 0])
+
+
+class Tokenizers:
+    """Both sides over whole texts; parts seen before are remembered by a 64-bit hash."""
+
+    def __init__(self, sides: tuple[Side, Side]):
+        self.sides, self.known = sides, {}
+
+    def tokens(self, texts: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids of every text on both sides; none for texts without tokens."""
+        spaced = pc.binary_join_element_wise(pa.scalar("", pa.string()), texts.cast(pa.string()), " ")
+        buf, offsets = joined(pc.if_else(pc.equal(pc.binary_length(texts), 0), pa.scalar(None, pa.string()), spaced))
+        starts = _parts(buf, offsets) if all(s.parts for s in self.sides) else offsets[:-1][np.diff(offsets) > 0]
+        ends = np.append(starts[1:], len(buf)) if len(starts) else starts
+        kinds, sample, kind = np.unique(hash_spans(buf, starts, ends), return_index=True, return_inverse=True)
+        data, keys = buf.tobytes(), kinds.tolist()
+        missing = [i for i, k in enumerate(keys) if k not in self.known]
+        own, todo, size = {}, [], 0
+        for j, i in enumerate(missing):
+            todo.append(data[starts[sample[i]]:ends[sample[i]]])
+            size += len(todo[-1])
+            if size > TOKENIZE_BYTES or j + 1 == len(missing):
+                own |= zip((keys[x] for x in missing[j + 1 - len(todo):j + 1]), zip(*(s.tokens(todo) for s in self.sides)))
+                todo, size = [], 0
+        found = [self.known[k] if k in self.known else own[k] for k in keys]
+        if len(self.known) + len(own) > REMEMBERED:
+            self.known = {}
+        self.known |= own if len(own) <= REMEMBERED else {}
+        good = np.array([x is not None and y is not None for x, y in found], bool)
+        at = np.searchsorted(starts, offsets)
+        bad = np.concatenate([[0], np.cumsum(~good[kind])]) if len(kind) else np.zeros(1, np.int64)
+        empty = bad[at[1:]] > bad[at[:-1]]
         out = []
-        for ids, want in zip(self.encode(texts), spaced):
-            ids = np.array(ids, np.int64)
-            n = self.lengths[ids]
-            same = int(n.sum()) == len(want) and self.bytes[ranges(self.starts[ids], n)].tobytes() == want
-            out.append(ids if same else None)
-        return out
+        for side in range(2):
+            ids = [f[side] if g else b"" for f, g in zip(found, good.tolist())]
+            counts = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            flat = np.frombuffer(b"".join(ids), "<i4")
+            flat = flat[ranges((np.cumsum(counts) - counts)[kind], counts[kind])]
+            cut = np.concatenate([[0], np.cumsum(counts[kind])])[at]
+            out.append([flat[:0] if none else flat[s:e] for none, s, e in zip(empty.tolist(), cut[:-1].tolist(), cut[1:].tolist())])
+        return out[0], out[1]
 
 
 def _decimals(size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -285,6 +348,7 @@ def align_tokenizers(docs: DataFrame, byte_level: str, pieces: str, id_col: str
 
     def runs(batches):
         sides = Side.byte_level(byte_level), Side.pieces(pieces)
+        tokenizers = Tokenizers(sides)  # of this task; a reused worker keeps nothing
         decimals = [_decimals(s.size) for s in sides]
         b_bits = max(1, (sides[1].size - 1).bit_length())
         radix = mix(np.arange(1, sides[0].size + 1, dtype=np.uint64)) % np.uint64(radices)
@@ -297,20 +361,11 @@ def align_tokenizers(docs: DataFrame, byte_level: str, pieces: str, id_col: str
             for first, last in slices(batch.column(1), CHUNK_BYTES):
                 part = batch.slice(first, last - first)
                 run, made = (TaskContext.get().partitionId() << 32) + made, made + 1
-                yield from chunk(part, run, sides, decimals, rank, edges, b_bits)
-
-    def chunk(part, run, sides, decimals, rank, edges, b_bits):
-        a, b = [], []
-        for s, e in slices(part.column(1), TOKENIZE_BYTES):
-            texts = part.column(1).slice(s, e - s).to_pylist()
-            full = [t for t in texts if t]
-            spaced = [b" " + t.encode() for t in full]
-            pairs = iter(zip(sides[0].tokens(full, spaced), sides[1].tokens(full, spaced)))
-            for t in texts:
-                x, y = next(pairs) if t else (None, None)
-                both = x is not None and y is not None
-                a.append(x.astype(np.int32) if both else np.zeros(0, np.int32))
-                b.append(y.astype(np.int32) if both else np.zeros(0, np.int32))
+                yield from chunk(part, run, tokenizers, decimals, rank, edges, b_bits)
+
+    def chunk(part, run, tokenizers, decimals, rank, edges, b_bits):
+        a, b = tokenizers.tokens(part.column(1))
+        sides = tokenizers.sides
         aligned = Aligned(a, b, sides)
         n, texts = len(part), aligned.rendered(decimals)
         tokens = aligned.n_a > 0

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 
 from beaconry.llm import alignment
@@ -81,8 +82,7 @@ def test_odd_texts(spark, monkeypatch):
 def test_records_in_parts(monkeypatch):
     """Wide groups by distinct ids and tiny link batches give the same records."""
     sides = alignment.Side.byte_level(A), alignment.Side.pieces(B)
-    texts = [t for _, t in ODD if t and "▁" not in t and t != ODD[-2][1]]
-    a, b = (side.tokens(texts, [b" " + t.encode() for t in texts]) for side in sides)
+    a, b = alignment.Tokenizers(sides).tokens(pa.array([t for _, t in ODD]))
     aligned = alignment.Aligned(a, b, sides)
     rank = np.random.default_rng(1).permutation(sides[0].size)
     want = aligned.records(rank, 15)
@@ -91,6 +91,21 @@ def test_records_in_parts(monkeypatch):
     assert all((x == y).all() for x, y in zip(want, aligned.records(rank, 15)))
 
 
+def test_parts():
+    """Parts encoded on their own give the ids of the whole text."""
+    sides = alignment.Side.byte_level(A), alignment.Side.pieces(B)
+    assert sides[0].parts and sides[1].parts
+    a, b, *_ = tokenizers()
+    letters = [*"ab1.,'s", " ", " ", "  ", "\u00a0", "\u3000", "\u2003", "\u0085", "\t", "\n", "é", "ñ", "漢", "\u0301", "\x1c", "'ll", "\u1680", "\x00"]
+    rng = np.random.default_rng(2)
+    texts = ["".join(rng.choice(letters, n)) for n in rng.integers(1, 30, 3000)]
+    got = alignment.Tokenizers(sides).tokens(pa.array(texts))
+    for text, x, y in zip(texts, *got):
+        if len(x):
+            assert x.tolist() == a.encode(" " + text, add_special_tokens=False).ids and y.tolist() == b.encode(text), repr(text)
+    assert sum(len(x) > 0 for x in got[0]) > 2900
+
+
 def test_supplied_documents(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
