@@ -94,8 +94,9 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from beaconry.llm.suffixes import remove_repeated_bytes
 
-    out = remove_repeated_bytes(documents(spark, sf_dir).select("doc_id", "text"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    # n_repeated also counts passages of more than 50 words that take fewer than 400 bytes.
+    out = remove_repeated_bytes(documents(spark, sf_dir).select("doc_id", "text"), passage_words=51)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_repeated")
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

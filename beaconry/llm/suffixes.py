@@ -12,6 +12,10 @@ own surroundings) would make one large group. Its runs are cut into pieces of ``
 starts, counted from the anchor. All strings of a piece share a core of ``length - PIECE + 1``
 bytes, and equal strings fall into pieces with equal cores; round 2 asks which cores occur twice, and those
 pieces are sent to the task of their core.
+
+Passages of so many whole words that are shorter than ``length`` go the same way: their starts
+are words instead of bytes, their strings end with their last word, and a hot run of them is
+cut into single strings. Both kinds never meet in one group.
 """
 
 import numpy as np
@@ -19,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from beaconry.llm.routed import Blocks, answer, cuts
-from beaconry.llm.text import add_columns, joined, mix, prefix_hashes, ranges, rolling, sliding_max, sliding_min, slices, span_hashes, word_spans
+from beaconry.llm.text import joined, mix, prefix_hashes, ranges, rolling, sliding_max, sliding_min, slices, span_hashes, word_spans
 
 GRAM, PIECE = 32, 4
 # Anchors of more runs than this are cut into pieces.
@@ -27,8 +31,8 @@ HOT_RUNS = 1000
 BLOCK_BYTES, SHARD_BYTES, SLICE_BYTES, SORT_BYTES = 4 << 20, 12 << 20, 1 << 19, 1 << 18
 # Random 64-bit value of each byte, from a rule.
 _VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_RESPREAD = np.uint64(0x5851F42D4C957F2D)
-_RESULTS = ("kept", "n_bytes", "n_removed", "n_spans")
+_RESPREAD, _PASSAGES = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
+_RESULTS = ("kept", "n_bytes", "n_removed", "n_spans", "n_repeated")
 _FIRST, _SECOND = 0x9E3779B97F4A7C15, 0xE7037ED1A0B428DB
 
 
@@ -122,66 +126,148 @@ def repeated_starts(parts: list[bytes], length: int) -> np.ndarray:
     return twice[starts]
 
 
+def repeated_passages(parts: list[bytes], n_words: int, longest: int) -> np.ndarray:
+    """For all strings of ``n_words`` whole words of all parts, below ``longest`` bytes each: whether it occurs twice."""
+    text = b"".join(parts)
+    offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+    begins, ends, at = word_spans(np.frombuffer(text, np.uint8), offsets)
+    words = ranges(at[:-1], np.maximum(0, np.diff(at) - n_words + 1))
+    starts, sizes = begins[words], ends[words + n_words - 1] - begins[words]
+    string = np.full(len(text), -1)
+    string[starts] = np.arange(len(starts))
+    order = suffix_order(text, longest)
+    order = order[string[order] >= 0]
+    shared, size = common_prefixes(text, order, longest), sizes[string[order]]
+    twice = np.zeros(len(starts), bool)
+    # Next to an equal string may stand longer ones that begin with it; the common prefix with the
+    # first equal one behind is the least on the way.
+    active, step, least = np.arange(len(order) - 1), 1, np.full(max(0, len(order) - 1), longest)
+    while len(active):
+        least = np.minimum(least, shared[active + step])
+        within = least >= size[active]
+        active, least = active[within], least[within]
+        equal = size[active + step] == size[active]
+        twice[string[order[active[equal]]]] = True
+        twice[string[order[active[equal] + step]]] = True
+        on = ~equal & (active + step + 1 < len(order))
+        active, least, step = active[on], least[on], step + 1
+    return twice
+
+
+def _least(values: np.ndarray, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """The minimum of each [first, stop), by two overlapping windows of a power of two."""
+    power = np.frexp((stop - first).astype(float))[1] - 1
+    out = np.zeros(len(first), values.dtype)
+    for p in np.unique(power).tolist():
+        at, table = np.flatnonzero(power == p), sliding_min(values, 1 << p)
+        out[at] = np.minimum(table[first[at]], table[stop[at] - (1 << p)])
+    return out
+
+
 class _Runs:
-    """Runs of starts with one anchor, over the texts of a block."""
+    """Runs of starts with one anchor, over the texts of a block.
 
-    def __init__(self, texts: pa.Array, length: int):
-        self.length = length
+    ``lo`` and ``hi`` are the first and last start: bytes or, where ``by_word``, words of the block.
+    """
+
+    def __init__(self, texts: pa.Array, length: int, n_words: int = 0):
+        self.length, self.n_words = length, n_words
         self.buf, self.offsets = joined(texts)
         width = length - GRAM + 1
-        lo, hi, anchors, one, two, places = [], [], [], [], [], []
+        lo, hi, anchors, by_word, digests, keys, counts, begins, ends, n_before = [], [], [], [], [], [], [], [], [], 0
         for a, b in slices(texts, SLICE_BYTES):
             base = self.offsets[a]
             offsets = self.offsets[a:b + 1] - base
-            values = _VALUES[self.buf[base:base + offsets[-1]]]
-            if len(values) < length:
+            data = self.buf[base:base + offsets[-1]]
+            values = _VALUES[data]
+            if len(values) < GRAM:
                 continue
-            prefix = prefix_hashes(values, _FIRST)
+            prefix, other = prefix_hashes(values, _FIRST), prefix_hashes(values, _SECOND)
             grams = rolling(values, GRAM, _FIRST)
-            anchor = sliding_min(grams, width)
-            valid = np.zeros(len(anchor), bool)
-            valid[ranges(offsets[:-1], np.maximum(0, np.diff(offsets) - length + 1))] = True
-            chosen = np.concatenate([np.zeros(width - 1, np.uint64), np.where(valid, anchor, 0), np.zeros(width - 1, np.uint64)])
-            places.append(grams[sliding_max(chosen, width) == grams])
-            same = valid[1:] & valid[:-1] & (anchor[1:] == anchor[:-1])
-            first = np.flatnonzero(valid & np.concatenate([[True], ~same]))
-            last = np.flatnonzero(valid & np.concatenate([~same, [True]]))
-            one.append(span_hashes(prefix, first, last + length))
-            two.append(span_hashes(prefix_hashes(values, _SECOND), first, last + length))
-            lo.append(first + base)
-            hi.append(last + base)
-            anchors.append(anchor[first])
-        u8 = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-        self.lo, self.hi = u8(lo).astype(np.int64), u8(hi).astype(np.int64)
-        self.anchor, self.one, self.two = u8(anchors), u8(one), u8(two)
+
+            def add(first, last, start, stop, anchor, words):
+                lo.append(first)
+                hi.append(last)
+                anchors.append(anchor)
+                by_word.append(np.full(len(first), words))
+                digests.append((span_hashes(prefix, start, stop), span_hashes(other, start, stop)))
+
+            if len(values) >= length:
+                anchor = sliding_min(grams, width)
+                valid = np.zeros(len(anchor), bool)
+                valid[ranges(offsets[:-1], np.maximum(0, np.diff(offsets) - length + 1))] = True
+                chosen = np.concatenate([np.zeros(width - 1, np.uint64), np.where(valid, anchor, 0), np.zeros(width - 1, np.uint64)])
+                places = grams[sliding_max(chosen, width) == grams]
+                keys.append(mix(places + _RESPREAD))
+                counts.append(np.ones(len(places), np.int64))
+                same = valid[1:] & valid[:-1] & (anchor[1:] == anchor[:-1])
+                first = np.flatnonzero(valid & np.concatenate([[True], ~same]))
+                last = np.flatnonzero(valid & np.concatenate([~same, [True]]))
+                add(first + base, last + base, first, last + length, anchor[first], False)
+            if n_words:
+                begin, end, _ = word_spans(data, offsets)
+                begins.append(begin + base)
+                ends.append(end + base)
+                stop, start = end[n_words - 1:], begin[:max(0, len(begin) - n_words + 1)]
+                of = np.searchsorted(offsets, begin, "right")
+                word = np.flatnonzero((of[:len(start)] == of[n_words - 1:]) & (stop - start < length))
+                start, stop = start[word], stop[word]
+                anchor = _least(grams, start, stop - GRAM + 1)
+                # A run's strings follow each other word by word.
+                new = np.ones(len(word), bool)
+                new[1:] = (anchor[1:] != anchor[:-1]) | (word[1:] != word[:-1] + 1)
+                first = np.flatnonzero(new)
+                last = np.append(first[1:], len(word))[:len(first)] - 1
+                reach = stop[last] - GRAM + 1 - start[first]
+                hits = grams[ranges(start[first], reach)] == np.repeat(anchor[first], reach)
+                keys.append(mix(anchor[first] + _PASSAGES))
+                counts.append(np.add.reduceat(hits, np.cumsum(reach) - reach).astype(np.int64) if len(first) else first)
+                add(word[first] + n_before, word[last] + n_before, start[first], stop[last], anchor[first], True)
+                n_before += len(begin)
+        join = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
+        self.lo, self.hi, self.anchor, self.by_word = join(lo, np.int64), join(hi, np.int64), join(anchors, np.uint64), join(by_word, bool)
+        self.one, self.two = (join([d[i] for d in digests], np.uint64) for i in range(2))
+        self.begins, self.ends = join(begins, np.int64), join(ends, np.int64)
         # Anchors are minima and so all small; mixed anew, they spread evenly over key ranges.
-        self.key = mix(self.anchor + _RESPREAD)
-        self.keys, self.counts = np.unique(mix(u8(places) + _RESPREAD), return_counts=True)
+        self.key = mix(self.anchor + np.where(self.by_word, _PASSAGES, _RESPREAD))
+        self.keys, at = np.unique(join(keys, np.uint64), return_inverse=True)
+        self.counts = np.bincount(at, weights=join(counts, np.int64), minlength=len(self.keys)).astype(np.int64)
 
-    def bytes_of(self, lo: int, hi: int) -> bytes:
-        return self.buf[lo:hi + self.length].tobytes()
+    def extent(self, lo: np.ndarray, hi: np.ndarray, by_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First byte, and the one behind the last, of the strings that start from ``lo`` to ``hi``."""
+        first, stop = lo.copy(), hi + self.length
+        first[by_word] = self.begins[lo[by_word]]
+        stop[by_word] = self.ends[hi[by_word] + self.n_words - 1]
+        return first, stop
 
     def pieces(self, runs: np.ndarray):
         """(index into ``runs``, first start from the run's, number of further starts, core hash, two digests) of all pieces."""
         owner, first, span, cores, one, two = [], [], [], [], [], []
-        for i, run in enumerate(runs):
-            a, b = self.lo[run], self.hi[run]
-            values = _VALUES[self.buf[a:b + self.length]]
+        begin, stop = self.extent(self.lo[runs], self.hi[runs], self.by_word[runs])
+        for i, (run, a, b) in enumerate(zip(runs, begin, stop)):
+            values = _VALUES[self.buf[a:b]]
             prefix = prefix_hashes(values, _FIRST)
-            at = np.arange(b - a + self.length - GRAM + 1)
-            places = np.flatnonzero(span_hashes(prefix, at, at + GRAM) == self.anchor[run])
-            starts = np.arange(b - a + 1)
-            place = places[np.searchsorted(places, starts)]  # the leftmost in each string
-            step = (place - starts) // PIECE
-            new = np.flatnonzero((np.diff(place, prepend=-1) != 0) | (np.diff(step, prepend=-1) != 0))
-            core = place[new] - PIECE * step[new]
-            cores.append(span_hashes(prefix, core, core - PIECE + 1 + self.length))
+            if self.by_word[run]:
+                new = np.arange(self.hi[run] - self.lo[run] + 1)
+                start, end = self.extent(self.lo[run] + new, self.lo[run] + new, np.ones(len(new), bool))
+                start, end, last = start - a, end - a, new
+                cores.append(span_hashes(prefix, start, end) ^ _PASSAGES)
+            else:
+                at = np.arange(b - a - GRAM + 1)
+                places = np.flatnonzero(span_hashes(prefix, at, at + GRAM) == self.anchor[run])
+                starts = np.arange(b - a - self.length + 1)
+                place = places[np.searchsorted(places, starts)]  # the leftmost in each string
+                step = (place - starts) // PIECE
+                new = np.flatnonzero((np.diff(place, prepend=-1) != 0) | (np.diff(step, prepend=-1) != 0))
+                core = place[new] - PIECE * step[new]
+                cores.append(span_hashes(prefix, core, core - PIECE + 1 + self.length))
+                last = np.append(new[1:] - 1, len(starts) - 1)
+                start, end = new, last + self.length
             owner.append(np.full(len(new), i))
             first.append(new)
-            last = np.append(new[1:] - 1, len(starts) - 1)
             span.append(last - new)
-            one.append(span_hashes(prefix, new, last + self.length))
-            two.append(span_hashes(prefix_hashes(values, _SECOND), new, last + self.length))
+            one.append(span_hashes(prefix, start, end))
+            two.append(span_hashes(prefix_hashes(values, _SECOND), start, end))
         join = lambda parts, kind=np.int64: np.concatenate(parts) if parts else np.zeros(0, kind)
         return join(owner), join(first), join(span), *(join(x, np.uint64) for x in (cores, one, two))
 
@@ -214,25 +300,31 @@ def _codes(replies: dict[int, bytes], keys: np.ndarray, shards: int, offset: int
 
 
 def remove_repeated_bytes(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text",
-                          block_bytes: int = BLOCK_BYTES, hot_runs: int = HOT_RUNS, least_words: int = 0, least_bytes: int = 0) -> DataFrame:
+                          block_bytes: int = BLOCK_BYTES, hot_runs: int = HOT_RUNS, passage_words: int = 0, as_text: bool = False) -> DataFrame:
     """``docs`` with, as binary ``kept``, the bytes of each text outside repeated strings, and n_bytes, n_removed, n_spans.
 
     A byte goes if some ``length`` bytes over it, within one text, also start anywhere else, the
     same text included; strings are judged on the input. n_spans counts maximal removed runs.
+    With ``passage_words``, ``n_repeated`` counts the bytes of these strings and of all strings of that
+    many whole words (between white space or ends of the text) that occur twice as such. Each repeated
+    string is judged by itself: passages that overlap or touch and are all shorter do not add up.
     Null and empty texts have no bytes; rows repeating an id, or without one, are texts of their
-    own. Removal may cut a character in two, hence binary. Columns named like the four results
-    are replaced. ``id_col`` is an integer column; ``length`` is at least ``GRAM + PIECE``.
-    Bytes covered by consecutive repeated strings stay if they hold fewer than ``least_words`` whole words and
-    are fewer than ``least_bytes``.
+    own. Removal may cut a character in two, hence binary. ``as_text`` removes the repeated
+    passages too, and gives the text itself instead of ``kept``, without cut characters. Columns
+    named like the results are replaced. ``id_col`` is an integer column; ``length`` is at least
+    ``GRAM + PIECE``, and passages have at least ``GRAM`` bytes (17 words).
     """
-    if length < GRAM + PIECE:
-        raise ValueError(f"length must be at least {GRAM + PIECE}")
+    if length < GRAM + PIECE or passage_words and 2 * passage_words - 1 < GRAM:
+        raise ValueError(f"length must be at least {GRAM + PIECE}, passage_words {GRAM // 2 + 1}")
     blocks = Blocks(docs, id_col, text_col, block_bytes)
     text_at = blocks.text_at
     shards = max(1, -(-blocks.bytes // SHARD_BYTES))
 
+    def runs_of(table: pa.Table) -> _Runs:
+        return _Runs(table[text_at].combine_chunks(), length, passage_words)
+
     def anchors(table: pa.Table, _) -> dict[int, bytes]:
-        runs = _Runs(table[text_at].combine_chunks(), length)
+        runs = runs_of(table)
         return {s: _count_payload(runs.keys[a:b], runs.counts[a:b]) for s, a, b in cuts(runs.keys, shards)}
 
     def anchor_codes(payloads, _) -> list[bytes]:
@@ -242,11 +334,11 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 400, id_col: str = "doc
         """Runs with a repeated anchor; runs with a hot one, how they are alike, and the pieces of each distinct one."""
         code = _codes(replies, runs.keys, shards, 0)[np.searchsorted(runs.keys, runs.key)] if len(runs.lo) else np.zeros(0, np.uint8)
         hot = np.flatnonzero(code == 2)
-        sample, of, times = _distinct(runs.one[hot], runs.two[hot])
+        sample, of, times = _distinct(runs.one[hot] ^ np.where(runs.by_word[hot], _PASSAGES, np.uint64(0)), runs.two[hot])
         return np.flatnonzero(code == 1), hot, sample, of, times, runs.pieces(hot[sample])
 
     def core_keys(table: pa.Table, replies: dict) -> dict[int, bytes]:
-        runs = _Runs(table[text_at].combine_chunks(), length)
+        runs = runs_of(table)
         *_, times, (owner, _, _, cores, _, _) = hot_pieces(runs, replies)
         keys, at = np.unique(cores, return_inverse=True)
         counts = np.bincount(at, weights=times[owner], minlength=len(keys))
@@ -256,8 +348,8 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 400, id_col: str = "doc
         return _counted(payloads, lambda n: n > 1)
 
     def items(table: pa.Table, replies: dict):
-        """What may repeat: (lo, hi) and kind of every occurrence, and a sample, key and count of each kind, by key."""
-        runs = _Runs(table[text_at].combine_chunks(), length)
+        """What may repeat: (lo, hi, by word) and kind of every occurrence, and those, key, digests and count of each kind, by key."""
+        runs = runs_of(table)
         plain, hot, sample, of, _, (owner, first, span, cores, one, two) = hot_pieces(runs, replies)
         keys, at = np.unique(cores, return_inverse=True)
         keep = (_codes(replies, keys, shards, shards)[at] if len(keys) else cores) > 0
@@ -268,96 +360,121 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 400, id_col: str = "doc
         piece = ranges((np.cumsum(pieces) - pieces)[of], counts)
         lo = np.concatenate([runs.lo[plain], np.repeat(runs.lo[hot], counts) + first[piece]])
         hi = lo + np.concatenate([runs.hi[plain] - runs.lo[plain], span[piece]])
+        by_word = np.concatenate([runs.by_word[plain], np.repeat(runs.by_word[hot], counts)])
         keys = np.concatenate([runs.key[plain], cores[piece]])
         one, two = np.concatenate([runs.one[plain], one[piece]]), np.concatenate([runs.two[plain], two[piece]])
+        # Equal bytes are two kinds if their strings start at bytes in one and at words in the other.
+        one = one ^ np.where(by_word, _PASSAGES, np.uint64(0))
         kinds, kind, times = _distinct(one, two)
         order = np.argsort(keys[kinds], kind="stable")
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         kinds = kinds[order]
-        return runs, lo, hi, rank[kind], keys[kinds], one[kinds], two[kinds], lo[kinds], hi[kinds], times[order] > 1
+        return runs, lo, hi, by_word, rank[kind], keys[kinds], one[kinds], two[kinds], kinds, times[order] > 1
 
     def send(table: pa.Table, replies: dict) -> dict[int, bytes]:
-        runs, *_, keys, one, two, lo, hi, often = items(table, replies)
+        runs, lo, hi, by_word, _, keys, one, two, kinds, often = items(table, replies)
+        first, stop = runs.extent(lo[kinds], hi[kinds], by_word[kinds])
+        starts, marks = (hi - lo + 1)[kinds].astype("<u4"), (often | by_word[kinds].astype(np.uint8) << 1).astype(np.uint8)
         sent = {}
         for s, a, b in cuts(keys, shards):
-            parts = [runs.bytes_of(x, y) for x, y in zip(lo[a:b], hi[a:b])]
-            sizes = np.array([len(p) for p in parts], "<u4")
-            columns = (np.array([b - a], "<u4"), keys[a:b].astype("<u8"), one[a:b].astype("<u8"), two[a:b].astype("<u8"), sizes, often[a:b].astype(np.uint8))
+            parts = [runs.buf[x:y].tobytes() for x, y in zip(first[a:b], stop[a:b])]
+            columns = (np.array([b - a], "<u4"), keys[a:b].astype("<u8"), one[a:b].astype("<u8"), two[a:b].astype("<u8"),
+                       (stop - first)[a:b].astype("<u4"), starts[a:b], marks[a:b])
             sent[s + 2 * shards] = b"".join([*(c.tobytes() for c in columns), *parts])
         return sent
 
     def sort_shard(payloads, _) -> list[bytes]:
-        keys, one, two, often, parts, sizes = [], [], [], [], [], []
+        keys, one, two, starts, marks, parts, sizes = [], [], [], [], [], [], []
         for p in payloads:
             n = int(np.frombuffer(p, "<u4", 1)[0])
-            for column, kind, at in ((keys, "<u8", 4), (one, "<u8", 4 + 8 * n), (two, "<u8", 4 + 16 * n), (often, np.uint8, 4 + 28 * n)):
-                column.append(np.frombuffer(p, kind, n, at))
-            ends = 4 + 29 * n + np.cumsum(np.frombuffer(p, "<u4", n, 4 + 24 * n).astype(np.int64))
-            parts += [p[a:b] for a, b in zip([4 + 29 * n, *ends[:-1]], ends)]
+            for column, kind, at in ((keys, "<u8", 0), (one, "<u8", 8), (two, "<u8", 16), (starts, "<u4", 28), (marks, np.uint8, 32)):
+                column.append(np.frombuffer(p, kind, n, 4 + at * n))
+            ends = 4 + 33 * n + np.cumsum(np.frombuffer(p, "<u4", n, 4 + 24 * n).astype(np.int64))
+            parts += [p[a:b] for a, b in zip([4 + 33 * n, *ends[:-1]], ends)]
             sizes.append(n)
-        keys, one, two, often = (np.concatenate(x) for x in (keys, one, two, often))
+        keys, one, two, starts, marks = (np.concatenate(x) for x in (keys, one, two, starts, marks))
         kinds, of, times = _distinct(one, two)
-        whole = (times > 1) | (np.bincount(of, weights=often, minlength=len(kinds)) > 0)
-        starts = np.array([len(parts[i]) - length + 1 for i in kinds])
+        whole = (times > 1) | (np.bincount(of, weights=marks & 1, minlength=len(kinds)) > 0)
+        starts, by_word, keys = starts[kinds].astype(np.int64), (marks[kinds] >> 1).astype(bool), keys[kinds]
         verdict: list = [np.full(n, w) for n, w in zip(starts, whole)]
+        order = np.lexsort((keys, by_word))
+        new = np.flatnonzero((np.diff(keys[order]) != 0) | (np.diff(by_word[order].astype(int)) != 0)) + 1
+        groups = np.split(order, new)
         batch, held = [], 0
-        order = np.argsort(keys[kinds], kind="stable")
-        groups = np.split(order, np.flatnonzero(np.diff(keys[kinds][order])) + 1)
-        for i, group in enumerate(groups):
+
+        def sort() -> None:
+            texts = [parts[kinds[g]] for g in batch]
+            found = repeated_passages(texts, passage_words, length) if by_word[batch[0]] else repeated_starts(texts, length)
+            for g, flags in zip(batch, np.split(found, np.cumsum(starts[batch])[:-1])):
+                verdict[g] = flags | whole[g]
+
+        for group in groups:
+            if batch and (held >= SORT_BYTES or by_word[group[0]] != by_word[batch[0]]):
+                sort()
+                batch, held = [], 0
             # A single text that is repeated as a whole, or has one start, holds nothing to find.
             if len(group) > 1 or (not whole[group[0]] and starts[group[0]] > 1):
                 batch += group.tolist()
                 held += sum(len(parts[kinds[g]]) for g in group)
-            if batch and (held >= SORT_BYTES or i == len(groups) - 1):
-                found = repeated_starts([parts[kinds[g]] for g in batch], length)
-                for g, flags in zip(batch, np.split(found, np.cumsum(starts[batch])[:-1])):
-                    verdict[g] = flags | whole[g]
-                batch, held = [], 0
+        if batch:
+            sort()
         edges = np.cumsum([0, *sizes])
         return [np.packbits(np.concatenate([verdict[k] for k in of[a:b]])).tobytes() for a, b in zip(edges, edges[1:])]
 
     def remove(table: pa.Table, replies: dict):
-        runs, lo, hi, kind, keys, _, _, first, last, _ = items(table, replies)
-        starts = last - first + 1
+        runs, lo, hi, by_word, kind, keys, _, _, kinds, _ = items(table, replies)
+        starts = (hi - lo + 1)[kinds]
         flags = [np.unpackbits(np.frombuffer(replies[s + 2 * shards], np.uint8), count=int(starts[a:b].sum())) for s, a, b in cuts(keys, shards)]
         flags = np.concatenate(flags) if flags else np.zeros(0, np.uint8)
-        n = len(runs.buf)
-        begun = np.zeros(n + 1, np.int32)
-        begun[ranges(lo, hi - lo + 1)] = flags[ranges((np.cumsum(starts) - starts)[kind], hi - lo + 1)]
-        if least_words:
-            edges = np.flatnonzero(np.diff(begun, prepend=0, append=0))
-            first, stop = edges[::2], edges[1::2] - 1 + length
-            begins, ends, _ = word_spans(runs.buf, runs.offsets)
-            words = np.searchsorted(ends, stop, "right") - np.searchsorted(begins, first)
-            few = (words < least_words) & (stop - first < least_bytes)
-            begun[ranges(first[few], (stop - first)[few] - length + 1)] = 0
-        upto = np.cumsum(begun, dtype=np.int32)
-        gone = upto[:n].copy()
-        gone[length:] -= upto[:n - length] if n > length else 0
-        gone = gone > 0
+        found = flags[ranges((np.cumsum(starts) - starts)[kind], hi - lo + 1)].astype(bool)
+        at, word = ranges(lo, hi - lo + 1)[found], np.repeat(by_word, hi - lo + 1)[found]
+        buf, offsets, begins, ends = runs.buf, runs.offsets, runs.begins, runs.ends
+        del runs, lo, hi, by_word, kind, keys, kinds, starts, flags, found, replies
+        n = len(buf)
+
+        def covered(first, stop) -> np.ndarray:
+            edges = np.zeros(n + 1, np.int32)
+            np.add.at(edges, first, 1)
+            np.add.at(edges, stop, -1)
+            return np.cumsum(edges[:n], dtype=np.int32) > 0
+
+        gone = covered(at[~word], at[~word] + length)
+        repeated = gone
+        if passage_words:
+            repeated = gone | covered(begins[at[word]], ends[at[word] + passage_words - 1])
+        gone = repeated if as_text else gone
         edge = np.zeros(n + 1, bool)
-        edge[runs.offsets] = True
+        edge[offsets] = True
         spans = gone & (np.concatenate([[True], ~gone[:-1]]) | edge[:n]) if n else gone
-        per_text = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[runs.offsets])
-        n_bytes, n_removed = np.diff(runs.offsets), per_text(gone)
-        kept = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n_bytes), [
-            None, pa.py_buffer(np.concatenate([[0], np.cumsum(n_bytes - n_removed)]).astype(np.int64)), pa.py_buffer(runs.buf[~gone])])
-        return table[text_at], {"kept": kept.cast(pa.binary()), "n_bytes": pa.array(n_bytes), "n_removed": pa.array(n_removed), "n_spans": pa.array(per_text(spans))}
+        per_text = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[offsets])
+        n_bytes, n_removed = np.diff(offsets), per_text(gone)
+        places = [None, pa.py_buffer(np.concatenate([[0], np.cumsum(n_bytes - n_removed)]).astype(np.int64)), pa.py_buffer(buf[~gone])]
+        kept = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n_bytes), places)
+        columns = {"n_bytes": pa.array(n_bytes), "n_removed": pa.array(n_removed), "n_spans": pa.array(per_text(spans)), "n_repeated": pa.array(per_text(repeated))}
+        return (_readable(kept), columns) if as_text else (table[text_at], {"kept": kept.cast(pa.binary()), **columns})
 
     known = answer(blocks.ask(anchors), anchor_codes)
     known = known.unionByName(answer(blocks.ask(core_keys, known), core_codes))
     known = known.unionByName(answer(blocks.ask(send, known), sort_shard))
-    return blocks.finish(remove, known, "kept binary, n_bytes bigint, n_removed bigint, n_spans bigint")
+    extra = f"{'' if as_text else 'kept binary, '}n_bytes bigint, n_removed bigint, n_spans bigint{', n_repeated bigint' if passage_words else ''}"
+    return blocks.finish(remove, known, extra)
+
+
+def _readable(kept: pa.LargeBinaryArray) -> pa.Array:
+    """As text, without characters cut in two; rows one by one only where some are cut."""
+    text = kept.view(pa.large_string())
+    try:
+        text.validate(full=True)
+    except pa.ArrowInvalid:
+        text = pa.array((p.as_py().decode("utf-8", "ignore") for p in kept), pa.large_string())
+    return text.cast(pa.string())
 
 
 def drop_repeated_text(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """``docs`` with the text that :func:`remove_repeated_bytes` keeps, without characters cut in two.
 
-    Null texts become empty. Columns named like the four results are left out.
+    Null texts become empty. Columns named like the results are left out.
     """
-    columns = docs.columns
-    kept = remove_repeated_bytes(docs, text_col=text_col, **options)
-    decode = lambda parts: [pa.array([p.as_py().decode("utf-8", "ignore") for p in parts], pa.string())]
-    text = add_columns(kept.select(*[c for c in columns if c not in (text_col, *_RESULTS)], "kept"), "kept", decode, f"`{text_col}` string")
-    return text.select(*[c for c in columns if c not in _RESULTS])
+    kept = remove_repeated_bytes(docs, text_col=text_col, as_text=True, **options)
+    return kept.select(*[c for c in docs.columns if c not in _RESULTS])

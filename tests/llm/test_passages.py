@@ -13,6 +13,11 @@ def test_short_words(spark):
     rows = [(10 * i + j, f"{prose()} {p} {prose()}", 0) for i, p in enumerate(passages) for j in range(2)]
     short = " ".join(rnd.choice("abcdefghij") * 6 for _ in range(45))
     few = [(i, f"{prose()} {short} {prose()}", 0) for i in (97, 98)]
+    # Two such passages that overlap in a third text do not add up to a long one.
+    words = [rnd.choice("abcdefghij") * rnd.randrange(4, 9) for _ in range(80)]
+    one, two, both = (f"{prose()} {' '.join(words[a:b])} {prose()}" for a, b in ((0, 45), (35, 80), (0, 80)))
+    assert len(" ".join(words[:45])) < 400 > len(" ".join(words[35:]))
+    few += [(100, one, 0), (101, two, 0), (102, both, 0)]
     docs = spark.createDataFrame([*rows, *few, (99, prose(), 0)], "doc_id long, text string, n_chars long")
     texts = {r.doc_id: r.text for r in corpus_pipeline.dedup_passages(spark, docs, "").collect()}
     for i, p in enumerate(passages):

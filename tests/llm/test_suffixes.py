@@ -1,11 +1,13 @@
 """Suffix arrays and removal of repeated bytes against brute force."""
 
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
 
-from beaconry.llm.suffixes import common_prefixes, remove_repeated_bytes, repeated_starts, suffix_order
+from beaconry.llm.suffixes import common_prefixes, remove_repeated_bytes, repeated_passages, repeated_starts, suffix_order
 
 
 @pytest.mark.parametrize("text", [b"", b"a", b"aaaaaaa", b"banana", b"mississippi\x00\xff\x00\x00", bytes(range(256)) * 2, b"abab" * 50 + b"ba"])
@@ -32,15 +34,21 @@ def test_truncated_order_and_repeats():
     assert repeated_starts(parts, 12).tolist() == [flat.count(w) > 1 for w in flat]
 
 
-def brute(rows, length):
+def brute(rows, length, words=0):
+    """Rows of the operator; with ``words``, passages of so many whole words go too."""
     data = [(t or "").encode() for _, t, *_ in rows]
+    spans = [[(m.start(), m.end()) for m in re.finditer(rb"[^ \t-\r]+", d)] for d in data]
+    passages = [[(s[i][0], s[i + words - 1][1]) for i in range(len(s) - words + 1)] if words else [] for s in spans]
+    held = Counter(d[a:b] for d, ps in zip(data, passages) for a, b in ps)
     seen = {}
     for d in data:
         for s in range(len(d) - length + 1):
             seen[d[s:s + length]] = seen.get(d[s:s + length], 0) + 1
     out = []
-    for row, d in zip(rows, data):
+    for row, d, ps in zip(rows, data, passages):
         gone = np.zeros(len(d), bool)
+        for a, b in ps:
+            gone[a:b] |= held[d[a:b]] > 1
         for s in range(len(d) - length + 1):
             if seen[d[s:s + length]] > 1:
                 gone[s:s + length] = True
@@ -69,6 +77,53 @@ def test_against_brute_force(spark, length, block_bytes, hot_runs):
     assert sorted(((r.doc_id, bytes(r.kept), r.n_bytes, r.n_removed, r.n_spans) for r in got.collect()), key=str) == brute(rows, length)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_repeated_passages(seed):
+    """Among equal strings stand some that go on with the same letters."""
+    rnd = random.Random(seed)
+    parts = []
+    for _ in range(40):
+        words = [rnd.choice(["aa", "aab", "b", "ba\x10", "ba"]) for _ in range(rnd.randrange(20, 26))]
+        words[rnd.randrange(3)] = rnd.choice("ab")
+        parts.append("".join(w + rnd.choice("  \n") for w in words).strip().encode())
+    every = []
+    for p in parts:
+        at = [(m.start(), m.end()) for m in re.finditer(rb"[^ \t-\r]+", p)]
+        every += [p[at[i][0]:at[i + 2][1]] for i in range(len(at) - 2)]
+    counts = Counter(every)
+    assert repeated_passages(parts, 3, 60).tolist() == [counts[w] > 1 for w in every]
+
+
+@pytest.mark.parametrize("words,block_bytes,hot_runs", [(17, 3000, 1000), (17, 3000, 3), (20, 1 << 20, 5)])
+def test_passages_against_brute_force(spark, words, block_bytes, hot_runs):
+    rnd = random.Random(words)
+    word = lambda: "".join(rnd.choice("abcdé日") for _ in range(rnd.randrange(1, 9)))
+    line = lambda n: " ".join(word() for _ in range(n))
+    base, shared = [line(words + 12) for _ in range(5)], line(words - 2)
+    rows = []
+    for i in range(40):
+        ws = rnd.choice(base).split(" ")
+        cut = rnd.randrange(len(ws))
+        rows.append((i, rnd.choice([" ".join(ws), line(3) + " " + " ".join(ws[cut:]) + "x " + line(4), " ".join([*ws[:cut], word(), *ws[cut:]]), line(9) + "\n" + shared + " " + line(5)])))
+    rows += [(50, "ab " * 4 * words), (51, None), (None, ""), (52, "a b c " * words), (3, rows[3][1]), (53, "\u00a0".join(["x"] * 60)), (54, rows[0][1] + "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    both = {"length": 400, "passage_words": words, "block_bytes": block_bytes, "hot_runs": hot_runs}
+    got = remove_repeated_bytes(df, **both).collect()
+    want, plain = brute(rows, 400, words), brute(rows, 400)
+    assert sorted(((r.doc_id, bytes(r.kept), r.n_bytes, r.n_removed, r.n_spans) for r in got), key=str) == plain
+    assert sorted(((r.doc_id, r.n_bytes, r.n_repeated) for r in got), key=str) == sorted(((i, n, gone) for i, _, n, gone, _ in want), key=str)
+    texts = remove_repeated_bytes(df, as_text=True, **both).collect()
+    assert sorted(((r.doc_id, r.text.encode(), r.n_bytes, r.n_removed, r.n_spans) for r in texts), key=str) == want
+
+
+def test_cut_characters(spark):
+    """Readable text where a removed string ends within a character."""
+    text = "é" * 30
+    rows = [(1, "x" + text), (2, text[:-1] + "è")]
+    got = remove_repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string"), 59, as_text=True).collect()
+    assert {r.doc_id: r.text for r in got} == {i: k.decode("utf-8", "ignore") for i, k, *_ in brute(rows, 59)}
+
+
 def test_empty_and_bad_length(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert remove_repeated_bytes(df).count() == 0
