@@ -18,9 +18,8 @@ from beaconry.llm.toxicity import fit_toxicity, score_toxicity
 from beaconry.plans.lineage import scratch_path
 
 TOXIC_SCORE = 0.7
-# A passage repeats from so many words, or bytes, on; 51 words have 101 bytes at least, 51 letters and the 50 spaces between.
+# A passage repeats from so many words on, or so many bytes.
 PASSAGE_WORDS, PASSAGE_BYTES = 51, 400
-SHORTEST_PASSAGE = 2 * PASSAGE_WORDS - 1
 
 
 def _as_documents(out: DataFrame, docs: DataFrame) -> DataFrame:
@@ -48,14 +47,12 @@ def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def dedup_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the passages of more than 50 words, or of 400 bytes or more, that occur twice.
+    """Without the strings of 400 bytes, or of more than 50 whole words, that occur twice.
 
-    Looked for are strings of ``SHORTEST_PASSAGE`` bytes, which any passage of more than 50 words
-    reaches, however short its words; runs of them that stay below both limits are kept. The
-    operator's default of 400 bytes is the contract of op9 alone.
+    Each repeated string is judged by itself: shorter ones that overlap or touch do not add up.
+    The limit in words is the pipeline's; that in bytes is the contract of op9.
     """
-    passages = {"length": SHORTEST_PASSAGE, "least_words": PASSAGE_WORDS, "least_bytes": PASSAGE_BYTES}
-    return _as_documents(drop_repeated_text(docs, **passages), docs)
+    return _as_documents(drop_repeated_text(docs, length=PASSAGE_BYTES, passage_words=PASSAGE_WORDS), docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
