@@ -64,12 +64,22 @@ class Curves:
         return hilbert((np.minimum(at, 0.9999999) * (1 << self.bits)).astype(np.int64), self.bits)
 
 
-def _nearest(queries: np.ndarray, vectors: np.ndarray, k: int):
-    """For each query, the rows that can be among its k nearest (rounding allowed for) and their exact distances."""
+def _nearest(queries: np.ndarray, vectors: np.ndarray, k: int, ids: tuple | None = None):
+    """For each query, the rows that can be among its k nearest (rounding allowed for) and their exact distances.
+
+    ``ids`` (values and n + 1 edges) lists the ids of each row; then the k nearest distinct ids count.
+    """
     norms, own = (vectors ** 2).sum(1), (queries ** 2).sum(1)
+    if ids is not None:
+        owner = np.repeat(np.arange(len(vectors)), np.diff(ids[1]))
+        by_id = np.argsort(ids[0], kind="stable")
+        starts = np.flatnonzero(np.diff(ids[0][by_id], prepend=ids[0][by_id[:1]] - 1))
+        several = owner[by_id] if len(starts) < len(by_id) else None
     for q, query in enumerate(queries):
         rough = norms - 2 * (vectors @ query) + own[q]
-        kth = np.partition(rough, min(k, len(rough)) - 1)[min(k, len(rough)) - 1]
+        # An id with many near vectors is one neighbour, at its nearest.
+        reached = rough if ids is None or several is None else np.minimum.reduceat(rough[several], starts)
+        kth = np.partition(reached, min(k, len(reached)) - 1)[min(k, len(reached)) - 1]
         rows = np.flatnonzero(rough <= kth + 1e-9 * (own[q] + norms.max()))
         yield q, rows, np.sqrt(((vectors[rows] - query) ** 2).sum(1))
 
@@ -162,13 +172,14 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 10, id_col
             ids = held["ids"].combine_chunks()
             values, edges = ids.flatten().to_numpy(), np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy())])
             # The query's own vector may be a candidate, so one more is looked for.
-            for q, found, distance in _nearest(_matrix(asked["v"]), matrix, k + 1):
+            for q, found, distance in _nearest(_matrix(asked["v"]), matrix, k + 1, (values, edges)):
                 counts = edges[found + 1] - edges[found]
                 members = np.concatenate([values[edges[f]:edges[f + 1]] for f in found])
                 far = np.repeat(distance, counts)
                 other = members != query_ids[q]
                 members, far = members[other], far[other]
-                best = np.lexsort((members, far))[:2 * k]
+                best = np.lexsort((members, far))
+                best = best[np.sort(np.unique(members[best], return_index=True)[1])[:k]]
                 out.append((np.full(len(best), query_ids[q]), members[best], far[best]))
         columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table(dict(zip(("query_id", "vec_id", "score"), columns)))

@@ -23,6 +23,8 @@ class ImpactIndex:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.vectors = ids, vectors
+        self.by_id = np.argsort(ids, kind="stable")
+        self.id_starts = np.flatnonzero(np.diff(ids[self.by_id], prepend=ids[self.by_id[:1]] - 1))
         low, span = vectors.min(0), np.ptp(vectors, axis=0) + 1
         levels = ((vectors - low) * LEVELS // span).astype(np.int16)
         self.order = np.argsort(levels, axis=0, kind="stable").T.astype(np.int32).copy()
@@ -33,7 +35,7 @@ class ImpactIndex:
         self.first = np.stack([np.searchsorted(c, np.arange(LEVELS + 1)) for c in self.codes])
 
     def search(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and scores of the k best, ties to the smaller id."""
+        """Rows and scores of the k best ids, each at its best row; ties to the smaller id."""
         n, dims = self.vectors.shape
         ends = np.stack([query[:, None] * self.lowest, query[:, None] * self.highest])
         upper, lower = ends.max(0), ends.min(0)
@@ -41,7 +43,7 @@ class ImpactIndex:
         impact = upper - base  # of each (dimension, level); monotone in the level
         slack = int((upper - lower).max(1).sum())
         own = self.ids == query_id
-        wanted = min(k, n - int(own.sum()))
+        wanted = min(k, len(self.id_starts) - int(own.any()))
         if wanted <= 0:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         sums = np.zeros(n, np.int64)
@@ -59,13 +61,16 @@ class ImpactIndex:
             open_ = np.flatnonzero(done < LEVELS)
             next_level = np.where(rising[open_], LEVELS - 1 - done[open_], done[open_])
             rest = int(impact[open_, next_level].sum())
-            kth = np.partition(sums, n - wanted)[n - wanted]
+            # Rows of one id are one answer: the k-th best id, by what its best row has so far.
+            reached = np.maximum.reduceat(sums[self.by_id], self.id_starts) if len(self.id_starts) < n else sums
+            kth = np.partition(reached, len(reached) - wanted)[len(reached) - wanted]
             possible = np.flatnonzero(sums >= kth - slack - rest)
             if len(possible) <= max(FEW, wanted) or not len(open_):
                 break
         possible = possible[~own[possible]]
         scores = self.vectors[possible] @ query
-        best = np.lexsort((self.ids[possible], -scores))[:k]
+        best = np.lexsort((self.ids[possible], -scores))
+        best = best[np.sort(np.unique(self.ids[possible][best], return_index=True)[1])[:k]]
         return possible[best], scores[best]
 
 

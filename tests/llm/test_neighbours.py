@@ -44,3 +44,17 @@ def test_copies_and_broken_vectors(spark):
     d = sorted((float(np.sqrt(((np.array(v) - rows[100][1]) ** 2).sum())), i) for i, v, _ in rows[:130] if i != 100)[:10]
     assert [(g[2], round(g[3], 12)) for g in got if g[0] == 100] == [(i, round(s, 12)) for s, i in d]
     assert nearest_neighbours(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
+
+
+def test_id_with_many_vectors(spark):
+    """One id holds more than 2k near vectors; each id still counts once."""
+    rng = np.random.default_rng(4)
+    rows = [(0, [1.0, 1.0, 1.0])] + [(5, [1.0 + float(x) for x in rng.normal(size=3) / 1000]) for _ in range(40)]
+    rows += [(i, [1.0 + float(x) for x in rng.normal(size=3)]) for i in range(6, 90)]
+    rows += [(i, [5.0, 5.0, 5.0]) for i in (3, 4)]
+    df = spark.createDataFrame(rows, "vec_id long, vector array<double>")
+    got = [(r["rank"], r.vec_id) for r in nearest_neighbours(df, F.col("vec_id") == 0, 10, window=200).orderBy("rank").collect()]
+    best = {}
+    for i, v in rows[1:]:
+        best[i] = min(best.get(i, 1e9), float(np.sqrt(((np.array(v) - rows[0][1]) ** 2).sum())))
+    assert got == [(n + 1, i) for n, (i, _) in enumerate(sorted(best.items(), key=lambda x: (x[1], x[0]))[:10])]

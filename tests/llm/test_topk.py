@@ -38,3 +38,16 @@ def test_operator(spark):
         want = sorted(best.items(), key=lambda x: (-x[1], x[0]))[:5]
         assert sorted(got.get(q, [])) == [(n + 1, i, s) for n, (i, s) in enumerate(want)], q
     assert top_k_inner_product(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
+
+
+def test_id_with_many_vectors(spark):
+    """One id holds more high vectors than k; each id still counts once."""
+    rng = np.random.default_rng(8)
+    rows = [(0, [3, 4, 5])] + [(5, [int(x) for x in rng.integers(50, 90, 3)]) for _ in range(40)] + [(i, [int(x) for x in rng.integers(-9, 30, 3)]) for i in range(6, 40)]
+    df = spark.createDataFrame(rows, "vec_id long, vector array<long>")
+    for shard_rows in (1000, 20):
+        got = [(r["rank"], r.vec_id, r.score) for r in top_k_inner_product(df, F.col("vec_id") == 0, 10, shard_rows=shard_rows).orderBy("rank").collect()]
+        best = {}
+        for i, v in rows[1:]:
+            best[i] = max(best.get(i, -10**9), int(np.dot(v, rows[0][1])))
+        assert got == [(n + 1, i, s) for n, (i, s) in enumerate(sorted(best.items(), key=lambda x: (-x[1], x[0]))[:10])]
