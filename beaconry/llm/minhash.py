@@ -7,9 +7,11 @@ all components'. Components agree with the probability Jaccard similarity of two
 Texts that share a band of components are candidates. In each bucket all texts meet one first:
 that with the most bucket mates over all its bands, which is where a group of copies has its
 centre. So a group of copies costs one comparison a text and bucket, not one a pair. Only where a
-bucket is then left with several classes, texts of different classes meet each other, chunk by
-chunk, if their sketches are near, and only links leave those tasks. Candidates are verified on
-their whole bags, and links become classes by label propagation with pointer jumping.
+bucket is then left with several classes, texts of different classes meet each other: their
+sketches chunk by chunk, which leaves the texts that are near to one of another class at all, then
+those with their bags, and only links leave those tasks. Candidates are verified on their whole
+bags, and links become classes by label propagation with pointer jumping. Only texts with a
+bucket mate are shuffled as texts, once, whatever the size of the table.
 """
 
 import numpy as np
@@ -24,8 +26,8 @@ COMPONENTS, BANDS, ROWS = 256, 24, 4
 # A sketch has two bits of each component. Of two texts with similarity 0.8, 51.2 of its 512 bits differ
 # on average, with deviation 8.2; candidates differ in no more than 5.3 deviations above.
 SKETCH_WORDS, FAR_BITS = 8, 95
-# Texts of a chunk where a whole group has to be compared.
-CHUNK_TEXTS = 256
+# Sketches, and bytes of text, of a chunk where a whole group has to be compared.
+CHUNK_TEXTS, CHUNK_BYTES = 4096, 1 << 20
 _GOLD, _SALT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xA0761D6478BD642F)
 
 
@@ -147,39 +149,55 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float)
                 keep = [probability_jaccard(x, y) >= similarity - 1e-12 for x, y in zip(left, right)]
                 yield part.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    both = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("tu")), "u")
-    both = both.join(texts.select(F.col("node").alias("v"), F.col("text").alias("tv")), "v")
+    both = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("tu")).hint("merge"), "u")
+    both = both.join(texts.select(F.col("node").alias("v"), F.col("text").alias("tv")).hint("merge"), "v")
     return both.select("u", "v", "tu", "tv").mapInArrow(check, "u binary, v binary")
 
 
-def _remaining_links(members: DataFrame, size: int, similarity: float) -> DataFrame:
+def _dealt(members: DataFrame, chunks: Column) -> DataFrame:
+    """``members`` of each group ``g`` dealt into chunks, once for every two chunks ``a`` <= ``b`` that meet."""
+    sizes = _stored(members.groupBy("g").agg(F.greatest(F.lit(1), chunks).cast("int").alias("chunks")), "groups")
+    dealt = members.join(sizes.hint("merge"), "g").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    return dealt.withColumns({"a": F.least("chunk", "other"), "b": F.greatest("chunk", "other")}).drop("chunks", "other")
+
+
+def _met(table: pa.Table):
+    """For the rows of two chunks: each of the first with those of the second (behind it, if they are one) that are near and of another class."""
+    chunk, sketch = table["chunk"].to_numpy(), table["sketch"].combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1).view(np.uint64)
+    roots = table["root"].combine_chunks().dictionary_encode().indices.to_numpy()
+    same = table["a"][0] == table["b"][0]
+    left = np.flatnonzero(chunk == table["a"][0].as_py())
+    right = left if same else np.flatnonzero(chunk == table["b"][0].as_py())
+    for n, x in enumerate(left):
+        other = right[n + 1:] if same else right
+        other = other[roots[other] != roots[x]]
+        yield x, other[np.bitwise_count(sketch[other] ^ sketch[x]).sum(1) <= FAR_BITS]
+
+
+def _remaining_links(members: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
     """The links (u, v) between texts of different classes, within each group ``g`` of ``members``.
 
     A group is dealt into chunks, and every two chunks meet in a task of their own, so a group of any
-    size is spread and only links leave a task. Pairs with far sketches are not compared.
+    size is spread. Sketches meet first; texts that are far from all of other classes go no further.
     """
-    sizes = _stored(members.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / CHUNK_TEXTS).cast("int").alias("chunks")), "groups")
-    dealt = members.join(sizes.hint("merge"), "g").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = dealt.select("g", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"), "chunk", "node", "root", "sketch", "text")
 
-    def link(table: pa.Table) -> pa.Table:
-        nodes, chunk = table["node"].to_pylist(), table["chunk"].to_numpy()
-        roots = table["root"].combine_chunks().dictionary_encode().indices.to_numpy()
-        sketch = table["sketch"].combine_chunks().flatten().to_numpy().reshape(len(nodes), -1).view(np.uint64)
-        bags = _bags(table["text"].combine_chunks(), size)
-        same = table["a"][0] == table["b"][0]
-        left = np.flatnonzero(chunk == table["a"][0].as_py())
-        right = left if same else np.flatnonzero(chunk == table["b"][0].as_py())
-        u, v = [], []
-        for x in left:
-            far = np.bitwise_count(sketch[right] ^ sketch[x]).sum(1)
-            for y in right[(far <= FAR_BITS) & (roots[right] != roots[x]) & ((right > x) | (not same))]:
-                if probability_jaccard(bags[x], bags[y]) >= similarity - 1e-12:
-                    u.append(nodes[x])
-                    v.append(nodes[y])
-        return pa.table({"u": pa.array(u, pa.binary()), "v": pa.array(v, pa.binary())})
+    def near(table: pa.Table) -> pa.Table:
+        found = np.zeros(table.num_rows, bool)
+        for x, others in _met(table):
+            found[others] = True
+            found[x] |= len(others) > 0
+        return table.select(["g", "node"]).filter(pa.array(found))
 
+    def link(table: pa.Table) -> pa.Table:
+        nodes, bags = table["node"].to_pylist(), _bags(table["text"].combine_chunks(), size)
+        found = [(nodes[x], nodes[y]) for x, others in _met(table) for y in others if probability_jaccard(bags[x], bags[y]) >= similarity - 1e-12]
+        return pa.table({"u": pa.array([u for u, _ in found], pa.binary()), "v": pa.array([v for _, v in found], pa.binary())})
+
+    sketches = _dealt(members.select("g", "node", "root", "sketch"), F.ceil(F.count(F.lit(1)) / CHUNK_TEXTS))
+    close = _stored(sketches.groupBy("g", "a", "b").applyInArrow(near, "g binary, node binary").distinct(), "close")
+    whole = _stored(members.join(close.hint("merge"), ["g", "node"]).join(texts.hint("merge"), "node"), "members")
+    dealt = _dealt(whole, F.ceil(F.sum(F.octet_length("text")) / CHUNK_BYTES))
     return dealt.groupBy("g", "a", "b").applyInArrow(link, "u binary, v binary")
 
 
@@ -220,11 +238,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
     sketch = lambda name, value: signed.select(F.col("node").alias(name), F.col("sketch").alias(value))
     star = _stored(star.join(sketch("u", "su"), "u").join(sketch("v", "sv"), "v").where(_near("su", "sv")).select("u", "v"), "star")
 
-    def texts_of(pairs):
-        nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-        return texts.join(nodes, "node", "left_semi").dropDuplicates(["node"])
-
-    linked = _stored(_verified(star, _stored(texts_of(star), "texts"), shingle, similarity), "linked")
+    # Texts with a bucket mate, for all that follows.
+    held = _stored(texts.join(weights.select("node").hint("merge"), "node", "left_semi").dropDuplicates(["node"]), "texts")
+    linked = _stored(_verified(star, held, shingle, similarity), "linked")
     labels = components(linked)
 
     # Buckets of more than two texts that still hold several classes, and what hangs together through them.
@@ -235,9 +251,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
     if not open_.isEmpty():
         groups = components(open_.select("u", "v").distinct()).withColumnRenamed("root", "g")
         members = open_.select(F.col("u").alias("node"), "root").distinct().join(groups, "node").join(signed.select("node", "sketch"), "node")
-        members = _stored(members.join(texts_of(open_.select("u", F.col("u").alias("v"))), "node"), "members")
-        labels = components(linked.unionByName(_stored(_remaining_links(members, shingle, similarity), "linked")))
-    nodes = texts.select("node").distinct().join(labels, "node", "left")
+        labels = components(linked.unionByName(_stored(_remaining_links(_stored(members, "members"), held, shingle, similarity), "linked")))
+    nodes = signed.select("node").join(labels, "node", "left")
     return nodes.select("node", F.coalesce("root", "node").alias("root"))
 
 

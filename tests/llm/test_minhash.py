@@ -81,6 +81,7 @@ def test_components(spark):
 @pytest.mark.parametrize("chunk", [256, 8])
 def test_classes_against_all_pairs(spark, monkeypatch, chunk):
     monkeypatch.setattr(minhash, "CHUNK_TEXTS", chunk)
+    monkeypatch.setattr(minhash, "CHUNK_BYTES", 100 * chunk)
     rnd = random.Random(4)
     rows = [(i, t, "n", 1) for i, t in enumerate(texts(rnd, 150))]
     rows += [(200, rows[3][1], "n", 1), (200, rows[3][1], "n", 1), (None, rows[5][1], "n", 1), (201, None, "n", 1), (202, "", "n", 1), (203, " \n", "n", 1), (204, "a b", "n", 1), (205, "a b", "n", 1), (206, "b a", "n", 1), (None, "lonely words here", "n", 1)]
