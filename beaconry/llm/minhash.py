@@ -4,10 +4,10 @@ Every text is a bag of word shingles weighted by their counts. ProbMinHash lets
 arrive at exponential times, faster the larger its weight, at random components; the first
 arrival at a component is its value, and a shingle stops once its next arrival is later than
 all components'. Components agree with the probability Jaccard similarity of two bags.
-Texts that share a band of components are candidates. In each bucket all texts meet one first:
-that with the most bucket mates over all its bands, which is where a group of copies has its
-centre. So a group of copies costs one comparison a text and bucket, not one a pair. Only where a
-bucket is then left with several classes, texts of different classes meet each other: their
+Texts that share a band of components are candidates. Every bucket has a leader, the text with
+the most bucket mates over all its bands, which is where a group of copies has its centre. Every
+text meets the strongest leader of its buckets first, then those leaders it hangs together with
+not yet. So a group of copies costs about one comparison a text, not one a pair. Only where a bucket is then left with several classes, texts of different classes meet each other: their
 sketches chunk by chunk, which leaves the texts that are near to one of another class at all, then
 those with their bags, and only links leave those tasks. Candidates are verified on their whole
 bags, and links become classes by label propagation with pointer jumping. Only texts with a
@@ -232,15 +232,26 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
     sizes = _stored(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
     shared = _stored(banded.join(sizes.hint("merge"), "bucket"), "shared")
     weights = _stored(shared.groupBy("node").agg(F.sum("n").alias("weight")), "weights")
-    leaders = shared.join(weights, "node").groupBy("bucket").agg(F.max(F.struct("weight", "node")).getField("node").alias("leader"))
-    star = shared.join(_stored(leaders, "leaders").hint("merge"), "bucket").where("node != leader")
-    star = star.select(F.greatest("node", "leader").alias("u"), F.least("node", "leader").alias("v")).distinct()
-    sketch = lambda name, value: signed.select(F.col("node").alias(name), F.col("sketch").alias(value))
-    star = _stored(star.join(sketch("u", "su"), "u").join(sketch("v", "sv"), "v").where(_near("su", "sv")).select("u", "v"), "star")
-
+    strongest = F.max(F.struct("weight", "node")).alias("l")
+    leaders = _stored(shared.join(weights, "node").groupBy("bucket").agg(strongest).select("bucket", "l.weight", F.col("l.node").alias("leader")), "leaders")
+    led = shared.select("bucket", "node").join(leaders.hint("merge"), "bucket").where("node != leader")
+    first = led.groupBy("node").agg(F.max(F.struct("weight", "leader")).getField("leader").alias("leader"))
+    ordered = (F.greatest("node", "leader").alias("u"), F.least("node", "leader").alias("v"))
     # Texts with a bucket mate, for all that follows.
     held = _stored(texts.join(weights.select("node").hint("merge"), "node", "left_semi").dropDuplicates(["node"]), "texts")
-    linked = _stored(_verified(star, held, shingle, similarity), "linked")
+
+    def links(pairs: DataFrame) -> DataFrame:
+        sketch = lambda name, value: signed.select(F.col("node").alias(name), F.col("sketch").alias(value))
+        near = pairs.join(sketch("u", "su"), "u").join(sketch("v", "sv"), "v").where(_near("su", "sv")).select("u", "v")
+        return _stored(_verified(_stored(near, "star"), held, shingle, similarity), "linked")
+
+    met = _stored(first.select(*ordered).distinct(), "met")
+    linked = links(met)
+    labels = components(linked)
+    root = lambda name, value: labels.select(F.col("node").alias(name), F.col("root").alias(value))
+    rest = led.select("node", "leader").distinct().join(root("node", "r"), "node", "left").join(root("leader", "s"), "leader", "left")
+    rest = rest.where(F.coalesce("r", "node") != F.coalesce("s", "leader")).select(*ordered).distinct().join(met, ["u", "v"], "left_anti")
+    linked = linked.unionByName(links(_stored(rest, "rest")))
     labels = components(linked)
 
     # Buckets of more than two texts that still hold several classes, and what hangs together through them.

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from beaconry.llm.routed import Blocks, answer, cuts
-from beaconry.llm.text import joined, mix, prefix_hashes, ranges, rolling, sliding_max, sliding_min, slices, span_hashes, word_spans
+from beaconry.llm.text import joined, mix, prefix_hashes, ranges, rolled, sliding_max, sliding_min, slices, span_hashes, word_spans
 
 GRAM, PIECE = 32, 4
 # Anchors of more runs than this are cut into pieces.
@@ -154,14 +154,11 @@ def repeated_passages(parts: list[bytes], n_words: int, longest: int) -> np.ndar
     return twice
 
 
-def _least(values: np.ndarray, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """The minimum of each [first, stop), by two overlapping windows of a power of two."""
-    power = np.frexp((stop - first).astype(float))[1] - 1
-    out = np.zeros(len(first), values.dtype)
-    for p in np.unique(power).tolist():
-        at, table = np.flatnonzero(power == p), sliding_min(values, 1 << p)
-        out[at] = np.minimum(table[first[at]], table[stop[at] - (1 << p)])
-    return out
+def _local_minima(values: np.ndarray, width: int) -> np.ndarray:
+    """Places that hold the minimum of some ``width`` consecutive values; any longer stretch has its minimum at one."""
+    lowest = sliding_min(values, width)
+    edge = np.zeros(width - 1, values.dtype)
+    return np.flatnonzero(sliding_max(np.concatenate([edge, lowest, edge]), width) == values)
 
 
 class _Runs:
@@ -170,7 +167,7 @@ class _Runs:
     ``lo`` and ``hi`` are the first and last start: bytes or, where ``by_word``, words of the block.
     """
 
-    def __init__(self, texts: pa.Array, length: int, n_words: int = 0):
+    def __init__(self, texts: pa.Array, length: int, n_words: int = 0, digest: bool = True):
         self.length, self.n_words = length, n_words
         self.buf, self.offsets = joined(texts)
         width = length - GRAM + 1
@@ -182,15 +179,16 @@ class _Runs:
             values = _VALUES[data]
             if len(values) < GRAM:
                 continue
-            prefix, other = prefix_hashes(values, _FIRST), prefix_hashes(values, _SECOND)
-            grams = rolling(values, GRAM, _FIRST)
+            prefix, other = prefix_hashes(values, _FIRST), prefix_hashes(values, _SECOND) if digest else None
+            grams = rolled(prefix, GRAM)
 
             def add(first, last, start, stop, anchor, words):
                 lo.append(first)
                 hi.append(last)
                 anchors.append(anchor)
                 by_word.append(np.full(len(first), words))
-                digests.append((span_hashes(prefix, start, stop), span_hashes(other, start, stop)))
+                if digest:
+                    digests.append((span_hashes(prefix, start, stop), span_hashes(other, start, stop)))
 
             if len(values) >= length:
                 anchor = sliding_min(grams, width)
@@ -212,16 +210,20 @@ class _Runs:
                 of = np.searchsorted(offsets, begin, "right")
                 word = np.flatnonzero((of[:len(start)] == of[n_words - 1:]) & (stop - start < length))
                 start, stop = start[word], stop[word]
-                anchor = _least(grams, start, stop - GRAM + 1)
+                # Passages of words of a letter are the shortest; among their minima are those of all longer ones.
+                low = _local_minima(grams, max(1, 2 * n_words - GRAM)) if len(word) else word
+                least = np.append(grams[low], np.uint64(0))
+                edges = np.stack([np.searchsorted(low, start), np.searchsorted(low, stop - GRAM + 1)], axis=1)
+                anchor = np.minimum.reduceat(least, edges.ravel())[::2] if len(word) else least[:0]
                 # A run's strings follow each other word by word.
                 new = np.ones(len(word), bool)
                 new[1:] = (anchor[1:] != anchor[:-1]) | (word[1:] != word[:-1] + 1)
                 first = np.flatnonzero(new)
                 last = np.append(first[1:], len(word))[:len(first)] - 1
-                reach = stop[last] - GRAM + 1 - start[first]
-                hits = grams[ranges(start[first], reach)] == np.repeat(anchor[first], reach)
+                n_low = edges[last, 1] - edges[first, 0]
+                hits = least[ranges(edges[first, 0], n_low)] == np.repeat(anchor[first], n_low)
                 keys.append(mix(anchor[first] + _PASSAGES))
-                counts.append(np.add.reduceat(hits, np.cumsum(reach) - reach).astype(np.int64) if len(first) else first)
+                counts.append(np.add.reduceat(hits, np.cumsum(n_low) - n_low).astype(np.int64) if len(first) else first)
                 add(word[first] + n_before, word[last] + n_before, start[first], stop[last], anchor[first], True)
                 n_before += len(begin)
         join = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
@@ -320,11 +322,11 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 400, id_col: str = "doc
     text_at = blocks.text_at
     shards = max(1, -(-blocks.bytes // SHARD_BYTES))
 
-    def runs_of(table: pa.Table) -> _Runs:
-        return _Runs(table[text_at].combine_chunks(), length, passage_words)
+    def runs_of(table: pa.Table, digest: bool = True) -> _Runs:
+        return _Runs(table[text_at].combine_chunks(), length, passage_words, digest)
 
     def anchors(table: pa.Table, _) -> dict[int, bytes]:
-        runs = runs_of(table)
+        runs = runs_of(table, digest=False)
         return {s: _count_payload(runs.keys[a:b], runs.counts[a:b]) for s, a, b in cuts(runs.keys, shards)}
 
     def anchor_codes(payloads, _) -> list[bytes]:

@@ -103,16 +103,28 @@ def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int
     return h
 
 
+# Powers of a hash's multiplier are made once per worker for slices of usual size.
+_REMEMBERED_POWERS, _powers = 1 << 20, {}
+
+
+def _powers_of(base: int, n: int) -> np.ndarray:
+    """1, base, base**2, ... modulo 2**64, ``n`` of them."""
+    held = _powers.get(base)
+    if held is None or len(held) < n:
+        held = np.full(n, base, np.uint64)
+        held[0] = 1
+        held = np.multiply.accumulate(held)
+        if n <= _REMEMBERED_POWERS:
+            _powers[base] = held
+    return held[:n]
+
+
 def prefix_hashes(values: np.ndarray, multiplier: int = 0x9E3779B97F4A7C15) -> tuple[np.ndarray, np.ndarray]:
     """Running sums of ``values`` times powers of an odd number, modulo 2**64, and the inverse powers."""
-    def powers(base: int) -> np.ndarray:
-        out = np.full(len(values) + 1, base, np.uint64)
-        out[0] = 1
-        return np.multiply.accumulate(out)
-
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * powers(multiplier)[:-1], out=sums[1:])
-    return sums, powers(pow(multiplier, -1, 1 << 64))
+    n = len(values) + 1
+    sums = np.zeros(n, np.uint64)
+    np.cumsum(values * _powers_of(multiplier, n)[:-1], out=sums[1:])
+    return sums, _powers_of(pow(multiplier, -1, 1 << 64), n)
 
 
 def span_hashes(prefix: tuple[np.ndarray, np.ndarray], starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -123,9 +135,14 @@ def span_hashes(prefix: tuple[np.ndarray, np.ndarray], starts: np.ndarray, ends:
 
 def rolling(values: np.ndarray, width: int, multiplier: int = 0x9E3779B97F4A7C15) -> np.ndarray:
     """A mixed hash of every ``width`` consecutive values."""
-    if len(values) < width:
+    return rolled(prefix_hashes(values, multiplier), width)
+
+
+def rolled(prefix: tuple[np.ndarray, np.ndarray], width: int) -> np.ndarray:
+    """A mixed hash of every ``width`` consecutive values, from their running sums."""
+    sums, inverse = prefix
+    if len(sums) <= width:
         return np.zeros(0, np.uint64)
-    sums, inverse = prefix_hashes(values, multiplier)
     return mix((sums[width:] - sums[:-width]) * inverse[:-width] + np.uint64(width))
 
 
