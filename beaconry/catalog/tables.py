@@ -126,7 +126,7 @@ def sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     cents = _events(spark, sf_dir).selectExpr(
         "event_id", "ts", "event_type", "user_id % 10 AS s", "CAST(round(value*100) AS BIGINT) AS c"
     )
-    total = running_total(cents, ["s", "event_type"], "ts", ["ts", "event_id"], "c", "total", slice_s=86_400)
+    total = running_total(cents, ["s", "event_type"], ["ts", "event_id"], "c", "total")
     return total.selectExpr(
         "'app.total' AS MetricName", "'' AS Description", "'1' AS Unit", "concat('svc-', s) AS ServiceName",
         "map('event_type',event_type) AS DataPointAttributes", "ts AS Time", "CAST(total AS DOUBLE) AS Value",

@@ -8,7 +8,7 @@ from beaconry.plans.ordered import previous_row
 
 def counter_rate(df: DataFrame, keys: list[str], ts: str, value: str, order: list[str] | None = None) -> DataFrame:
     """``max(0, Δvalue / Δseconds)`` to the previous sample of the key; 0 without one."""
-    df = previous_row(df, keys, ts, [ts, *(order or [])], [ts, value])
+    df = previous_row(df, keys, [ts, *(order or [])], [ts, value])
     elapsed = seconds_between(F.col(f"prev_{ts}"), F.col(ts)).cast("double")
     rate = F.greatest(F.lit(0.0), (F.col(value) - F.col(f"prev_{value}")) / F.nullif(elapsed, F.lit(0.0)))
     usable = F.coalesce(elapsed > 0, F.lit(False))
@@ -17,7 +17,7 @@ def counter_rate(df: DataFrame, keys: list[str], ts: str, value: str, order: lis
 
 def busy_percent(df: DataFrame, keys: list[str], ts: str, idle: str, total: str, order: list[str] | None = None) -> DataFrame:
     """100·(1 - Δidle/Δtotal) within 0..100; 0 when the total did not grow."""
-    df = previous_row(df, keys, ts, [ts, *(order or [])], [idle, total])
+    df = previous_row(df, keys, [ts, *(order or [])], [idle, total])
     d_total = F.col(total) - F.col(f"prev_{total}")
     d_idle = F.col(idle) - F.col(f"prev_{idle}")
     percent = (d_total - d_idle) * F.lit(100.0) / F.nullif(d_total, F.lit(0))

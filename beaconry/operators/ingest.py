@@ -188,7 +188,7 @@ def stream_backlog(requests: DataFrame, flushes: DataFrame, now, capacity: int =
         flushes.where(~F.col("Failed") & (F.col("FlushedAt") < ntz(now)) & F.col("Signal").isin(*SIGNALS))
         .groupBy("Signal").agg(F.sum("BatchSize").alias("f"))
     )
-    totals = running_total(arrived, ["Signal"], "ReceivedAt", ["ReceivedAt", "RequestId"], "Records", "_upto", slice_s=3600)
+    totals = running_total(arrived, ["Signal"], ["ReceivedAt", "RequestId"], "Records", "_upto")
     # One row per fixed signal on the broadcast side.
     compared = totals.join(F.broadcast(flushed), "Signal", "left")
     done = F.coalesce("f", F.lit(0).cast("bigint"))

@@ -89,7 +89,7 @@ def sum_series(df: DataFrame, metric: str, width_s: int, group_key: str | None =
         return _named(grown, group_key, "Value", "Count")
     identity = F.to_json(sorted_map("DataPointAttributes"))
     points = df.where(F.col("MetricName") == metric).withColumn("_identity", identity)
-    stepped = previous_row(points, ["ServiceName", "_identity"], "Time", ["Time", "Value"], ["Value"])
+    stepped = previous_row(points, ["ServiceName", "_identity"], ["Time", "Value"], ["Value"])
     delta = F.col("Value") - F.col("prev_Value")
     step = F.when(delta.isNull(), 0.0).when(delta < 0, F.col("Value")).otherwise(delta)
     points = _points(stepped.withColumn("Value", step), metric, width_s, group_key, "Value")

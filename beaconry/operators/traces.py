@@ -1,22 +1,22 @@
 """Trace structure and service dependencies, for all traces of a table at once.
 
 Walks over a trace run next to each other in Python tasks as long as the trace has at
-most ``MAX_SPANS_PER_TASK`` spans. Larger traces (found by a count per trace) are walked
-level by level with joins instead, with the same result. Both ways see one row of a
-repeated span id, the first by (StartTime, ParentSpanId, EndTime).
+most ``MAX_SPANS_PER_TASK`` spans. In larger traces (found by a count per trace) values are
+composed along the paths from the root instead (``plans.trees``), in about log2(depth) joins
+and with the same result. Both ways see one row of a repeated span id, the first by
+(StartTime, ParentSpanId, EndTime).
 """
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from beaconry.functions.attributes import attribute
-from beaconry.functions.times import add_us, epoch_us, us_between
+from beaconry.functions.times import epoch_us, us_between
 from beaconry.plans.grouped import map_groups
 from beaconry.plans.lineage import cut
-from beaconry.plans.ordered import position_in_group, preceding_min
+from beaconry.plans.ordered import preceding_min, running_total
 from beaconry.plans.sizing import broadcast_if_small
 from beaconry.plans.skew import HOT_ROWS, join_unique
+from beaconry.plans.trees import along_paths, tree_sizes
 
 MAX_SPANS_PER_TASK = 20_000
 ERROR_STATUS = "STATUS_CODE_ERROR"
@@ -169,25 +169,21 @@ def _rooted(slim: DataFrame) -> DataFrame:
     ).drop("_found")
 
 
-def _waterfall_by_levels(slim: DataFrame) -> DataFrame:
-    """Breadth-first: a level per round; the path of (start, id) gives the visiting order."""
-    spans = cut(_rooted(_one_per_id(slim)))
-    step = F.struct("s", "SpanId")
-    level = cut(spans.where("_root").select(
-        "TraceId", "SpanId", "ParentSpanId", F.lit(0).alias("Depth"), F.array(step).alias("_path")
-    ))
-    levels = []
-    below = spans.where(~F.col("_root"))
-    while not level.isEmpty():
-        levels.append(level)
-        parents = level.select("TraceId", F.col("SpanId").alias("ParentSpanId"), "Depth", "_path")
-        level = cut(below.join(parents, ["TraceId", "ParentSpanId"]).select(
-            "TraceId", "SpanId", "ParentSpanId", (F.col("Depth") + 1).alias("Depth"),
-            F.concat("_path", F.array(step)).alias("_path"),
-        ))
-    if not levels:
-        levels.append(level)
-    placed = position_in_group(reduce(DataFrame.unionByName, levels), ["TraceId"], ["_path"], "Ordinal")
+def _forest(slim: DataFrame) -> DataFrame:
+    """One row per span id, with the parent's id as ``up``, null for roots."""
+    rooted = _rooted(_one_per_id(slim))
+    return cut(rooted.withColumn("up", F.when(~F.col("_root"), F.col("ParentSpanId"))).drop("_root"))
+
+
+def _waterfall_by_doubling(slim: DataFrame) -> DataFrame:
+    """A span comes behind its parent and the subtrees of its earlier siblings: sizes first, then sums along paths."""
+    spans = _forest(slim)
+    sized = spans.join(tree_sizes(spans, ["TraceId"], "SpanId", "up"), ["TraceId", "SpanId"])
+    # Roots of a trace are siblings of each other.
+    ordered = running_total(sized, ["TraceId", "up"], ["s", "SpanId"], "Size", "_upto")
+    step = F.col("_upto") - F.col("Size") + F.when(F.col("up").isNull(), 0).otherwise(1)
+    steps = ordered.select("TraceId", "SpanId", "up", "ParentSpanId", F.col("Depth").cast("int").alias("Depth"), step.cast("bigint").alias("Ordinal"))
+    placed = along_paths(steps, ["TraceId"], "SpanId", "up", lambda above, own: {"Ordinal": above("Ordinal") + own("Ordinal")})
     return placed.select(*[f.name for f in WATERFALL])
 
 
@@ -198,7 +194,7 @@ def trace_waterfall(spans: DataFrame, max_spans: int = MAX_SPANS_PER_TASK) -> Da
     """
     usual, oversized = _split_oversized(_slim(spans), max_spans)
     rows = map_groups(usual, ["TraceId"], _WALK_ORDER, _waterfall_of_trace, WATERFALL)
-    return rows if oversized is None else rows.unionByName(_waterfall_by_levels(oversized))
+    return rows if oversized is None else rows.unionByName(_waterfall_by_doubling(oversized))
 
 
 CRITICAL = T.StructType([
@@ -252,42 +248,36 @@ def _critical_path_of_trace(columns, first, last, out):
         out["IsTop"].append(span_id == top_id)
 
 
-def _critical_path_by_levels(slim: DataFrame) -> DataFrame:
-    """Level by level from the root: a span's own gaps, then the children it hands over to.
+def _critical_path_by_doubling(slim: DataFrame) -> DataFrame:
+    """Where the cursor enters every span, from conditions along its path; then what each span keeps for itself.
 
-    Among the children, latest end first, the cursor before a child is the smallest start
-    of the children before it, so no sequential walk is needed.
+    Children are visited latest end first, and those before a child can only move the cursor to
+    their smallest start, whether they are visited or not. So the cursor enters a span at the
+    least of the ends, and of these starts, on its path; and a span is visited if, for it and all
+    above it, the cursor enters after its start. Both compose along paths.
     """
-    spans = cut(_rooted(_one_per_id(slim)))
+    spans = _forest(slim)
     latest = F.min_by(F.struct("SpanId", "s", "e"), F.struct((-F.col("e")).alias("o"), "s", "SpanId")).alias("r")
-    roots = cut(spans.where("_root").groupBy("TraceId").agg(latest).select(
-        "TraceId", F.col("r.SpanId").alias("SpanId"), F.col("r.s").alias("s"), F.col("r.e").alias("e")
-    ))
-    kids = spans.where(~F.col("_root") & (F.col("e") > F.col("s")))
-    level = roots.withColumn("cursor", F.col("e"))
-    shares = []
-    while not level.isEmpty():
-        parents = level.select("TraceId", F.col("SpanId").alias("ParentSpanId"), F.col("cursor").alias("c0"))
-        joined = kids.join(parents, ["TraceId", "ParentSpanId"]).withColumn("_end", add_us(F.lit("1970-01-01").cast("timestamp_ntz"), F.col("e")))
-        ordered = preceding_min(
-            joined, ["TraceId", "ParentSpanId"], "_end", [F.desc("_end"), "s", "SpanId"], "s", "m", slice_s=1
-        )
-        before = F.least("c0", "m")
-        visited = cut(
-            ordered.withColumn("c", before).withColumn("until", F.least("e", "c"))
-            .select("TraceId", "ParentSpanId", "SpanId", "s", "e", "c", "until")
-            .where(F.col("until") > F.col("s"))
-        )
-        gaps = visited.groupBy("TraceId", F.col("ParentSpanId").alias("SpanId")).agg(
-            F.sum(F.col("c") - F.col("until")).alias("g"), F.min("s").alias("low")
-        )
-        own = level.join(gaps, ["TraceId", "SpanId"], "left")
-        tail = F.greatest(F.lit(0), F.least("cursor", "low") - F.col("s"))
-        shares.append(own.select("TraceId", "SpanId", "s", (F.coalesce("g", F.lit(0)) + tail).alias("us")))
-        level = visited.select("TraceId", "SpanId", "s", "e", F.col("until").alias("cursor"))
-    if not shares:
-        shares.append(level.select("TraceId", "SpanId", "s", F.col("cursor").alias("us")))
-    share = reduce(DataFrame.unionByName, shares).where(F.col("us") > 0)
+    roots = cut(spans.where(F.col("up").isNull()).groupBy("TraceId").agg(latest).select("TraceId", "r.*"))
+    kids = preceding_min(
+        spans.where(F.col("up").isNotNull() & (F.col("e") > F.col("s"))), ["TraceId", "up"], [F.desc("e"), "s", "SpanId"], "s", "m")
+    enters = F.least("e", "m")
+    nodes = kids.select(
+        "TraceId", "SpanId", "up", F.col("up").alias("parent"), "s", "m", enters.alias("c"), F.col("s").alias("need"), (enters > F.col("s")).alias("ok")
+    ).unionByName(roots.select(
+        "TraceId", "SpanId", F.lit(None).cast("string").alias("up"), F.lit(None).cast("string").alias("parent"), "s",
+        F.lit(None).cast("bigint").alias("m"), F.col("e").alias("c"), F.lit(-(1 << 63)).cast("bigint").alias("need"), F.lit(True).alias("ok")))
+    visited = cut(along_paths(nodes, ["TraceId"], "SpanId", "up", lambda above, own: {
+        "c": F.least(above("c"), own("c")), "need": F.greatest(above("need"), own("need")),
+        "ok": above("ok") & own("ok") & (above("c") > own("need")),
+    }).where("ok"))
+    children = visited.where(F.col("parent").isNotNull()).join(
+        visited.select("TraceId", F.col("SpanId").alias("parent"), F.col("c").alias("c0")), ["TraceId", "parent"])
+    gaps = children.groupBy("TraceId", F.col("parent").alias("SpanId")).agg(
+        F.sum(F.least("c0", "m") - F.col("c")).alias("g"), F.min("s").alias("low"))
+    tail = F.greatest(F.lit(0), F.least("c", "low") - F.col("s"))
+    share = visited.join(gaps, ["TraceId", "SpanId"], "left").select(
+        "TraceId", "SpanId", "s", (F.coalesce("g", F.lit(0)) + tail).alias("us")).where(F.col("us") > 0)
     # The top contributor is the first span, in span order, with the largest share.
     top = share.groupBy("TraceId").agg(
         F.min_by("SpanId", F.struct((-F.col("us")).alias("a"), F.col("s"), F.col("SpanId"))).alias("t")
@@ -309,4 +299,4 @@ def critical_path(spans: DataFrame, max_spans: int = MAX_SPANS_PER_TASK) -> Data
     """
     usual, oversized = _split_oversized(_slim(spans), max_spans)
     rows = map_groups(usual, ["TraceId"], _WALK_ORDER, _critical_path_of_trace, CRITICAL)
-    return rows if oversized is None else rows.unionByName(_critical_path_by_levels(oversized))
+    return rows if oversized is None else rows.unionByName(_critical_path_by_doubling(oversized))

@@ -31,3 +31,11 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialize ``df`` once in the shared folder and drop its lineage."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, name: str = "stored") -> DataFrame:
+    """Like :func:`cut`, as a table read back. For loops: a checkpoint keeps the constraints that the
+    optimizer inferred for its plan, and these multiply from round to round."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

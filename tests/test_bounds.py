@@ -38,9 +38,9 @@ def test_export_is_whole_by_default(spark):
 def test_rows_without_time_stay(spark):
     rows = [("k", None, 5), ("k", T0, 1), ("k", T0 + dt.timedelta(days=2), 2), ("j", None, 7)]
     df = spark.createDataFrame(rows, "k string, ts timestamp_ntz, v int")
-    got = {(r.k, r.ts): (r.prev_v, r.total) for r in running_total(previous_row(df, ["k"], "ts", ["ts"], ["v"]), ["k"], "ts", ["ts"], "v", "total").collect()}
+    got = {(r.k, r.ts): (r.prev_v, r.total) for r in running_total(previous_row(df, ["k"], ["ts"], ["v"]), ["k"], ["ts"], "v", "total").collect()}
     assert got == {("k", None): (None, 5), ("k", T0): (5, 6), ("k", T0 + dt.timedelta(days=2)): (1, 8), ("j", None): (None, 7)}
-    least = {(r.k, r.ts): r.m for r in preceding_min(df, ["k"], "ts", [F.desc("ts")], "v", "m").collect()}
+    least = {(r.k, r.ts): r.m for r in preceding_min(df, ["k"], [F.desc("ts")], "v", "m").collect()}
     assert least == {("k", None): 1, ("k", T0): 2, ("k", T0 + dt.timedelta(days=2)): None, ("j", None): None}
 
 

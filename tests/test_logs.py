@@ -124,8 +124,8 @@ def test_sliced_windows_equal_plain_windows(spark):
     w = Window.partitionBy("k").orderBy("ts", "id")
     expected = {r.id: (r.run, r.prev) for r in df.select(
         "id", F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("run"), F.lag("v").over(w).alias("prev")).collect()}
-    run = {r.id: r.run for r in running_total(df, ["k"], "ts", ["ts", "id"], "v", "run", slice_s=3600).collect()}
-    prev = {r.id: r.prev_v for r in previous_row(df, ["k"], "ts", ["ts", "id"], ["v"], slice_s=3600).collect()}
+    run = {r.id: r.run for r in running_total(df, ["k"], ["ts", "id"], "v", "run").collect()}
+    prev = {r.id: r.prev_v for r in previous_row(df, ["k"], ["ts", "id"], ["v"]).collect()}
     assert {i: (run[i], prev[i]) for i in run} == expected
 
 
@@ -158,3 +158,36 @@ def test_hot_keys_take_the_same_rows(spark):
         plain = sorted(map(str, left.join(right, ["key"], how).collect()))
         for hot_rows in (0, 71, 10_000):
             assert sorted(map(str, join_unique(left, right, ["key"], how, hot_rows).collect())) == plain
+
+
+def test_crowded_bins_are_split(spark):
+    """A third of all rows within a billionth; ranks among equal values, near zero and at huge values."""
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    values = [*(5 + rng.random(2000) * 1e-9).tolist(), *[7.25] * 900, *(rng.random(1500) * 1e-6 - 5e-7).tolist(), *(rng.random(300) * 1.7e308).tolist(), -1.6e308]
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(4)
+    wanted = {f"q{i}": i / 20 for i in range(21)}
+    for small_bin in (100_000, 50, 1):
+        got = {r.Name: r.Value for r in exact_quantiles(df, "v", wanted, small_bin).collect()}
+        assert got == {n: pytest.approx(float(np.quantile(values, q)), rel=1e-12) for n, q in wanted.items()}
+    assert exact_quantiles(df.limit(0), "v", wanted).collect() == []
+
+
+def test_rows_of_one_second_spread_over_tasks(spark):
+    """All rows of one key within one second: several parts hold them, and totals stay exact."""
+    from beaconry.plans import ordered
+
+    df = spark.range(4000).select(F.lit("hot").alias("k"), "id", F.timestamp_add("MICROSECOND", F.col("id"), F.lit("2024-01-01").cast("timestamp_ntz")).alias("ts"),
+                                  (F.col("id") % 7).alias("v"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        parts = [r.n for r in ordered._parted(df, ["k"], ["ts", "id"]).groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()]
+        got = {r.id: r.run for r in running_total(df, ["k"], ["ts", "id"], "v", "run").collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(parts) > 4 and max(parts) < 1000
+    total = 0
+    for i in range(4000):
+        total += i % 7
+        assert got[i] == total

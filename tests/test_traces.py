@@ -108,3 +108,30 @@ def test_contributions_add_up_to_the_root(spark):
     path = traces.critical_path(spans(spark, rows)).groupBy("TraceId").agg(
         F.sum("ContributionUs").alias("total"), F.max("RootDurationUs").alias("root"))
     assert path.where("total <> root").count() == 0 and path.count() == 20
+
+
+def test_deep_chain(spark, monkeypatch):
+    """5000 levels take about log2 of them rounds, and give the rows of the walk in one task."""
+    from beaconry.plans import lineage, trees
+
+    rng, rows = random.Random(11), [("deep", "s0", "", 0, 20_000)]
+    for i in range(1, 5000):
+        rows.append(("deep", f"s{i}", f"s{i - 1}", i, 20_000 - rng.randrange(0, 3 * i)))
+        if i % 10 == 0:
+            rows.append(("deep", f"leaf{i}", f"s{rng.randrange(i)}", i, i + rng.randrange(0, 4000)))
+    df = spans(spark, rows)
+    for op, passes in ((traces.trace_waterfall, 2), (traces.critical_path, 1)):
+        written = []
+        monkeypatch.setattr(trees, "stored", lambda frame: written.append(1) or lineage.stored(frame))
+        inside, joined = (sorted(tuple(r) for r in op(df, limit).collect()) for limit in (20_000, 10))
+        assert inside == joined and inside
+        assert len(written) <= 14 * passes
+
+
+def test_wide_tree(spark):
+    """A root of very many children, and two cycles beside it."""
+    rows = [("w", "r", "", 0, 9000), *[("w", f"c{i}", "r", i % 700, i % 700 + 40) for i in range(3000)], ("w", "p", "q", 1, 3), ("w", "q", "p", 2, 4), ("w", "z", "z", 5, 6)]
+    df = spans(spark, rows)
+    for op in (traces.trace_waterfall, traces.critical_path):
+        inside, joined = (sorted(tuple(r) for r in op(df, limit).collect()) for limit in (20_000, 10))
+        assert inside == joined and inside
