@@ -160,7 +160,10 @@ register(
       WHEN UtilizationPercent >= 90 THEN concat(Signal, ' buffer at ', UtilizationPercent, '% capacity, oldest entries at risk of being dropped')
       WHEN stuck THEN concat(Signal, ' pipeline backlog stuck (', Pending, ' pending)') END FROM o),
     dg AS (SELECT 0 AS stage, o, CASE WHEN ConsecutiveErrors BETWEEN 1 AND 2 THEN concat(Signal, ' flush retrying (', ConsecutiveErrors, ' errors)')
-      WHEN ConsecutiveErrors = 0 AND stale THEN concat(Signal, ' flush stale, still receiving traffic') END AS txt FROM o
+      WHEN ConsecutiveErrors = 0 AND stale THEN concat(Signal, ' flush stale (',
+        CASE WHEN LastFlushAt IS NULL THEN 'Infinityh ago'
+          WHEN epoch_us(TIMESTAMP '{END}' - LastFlushAt) < 3600000000 THEN concat(epoch_us(TIMESTAMP '{END}' - LastFlushAt) // 60000000, 'm ago')
+          ELSE concat(epoch_us(TIMESTAMP '{END}' - LastFlushAt) // 3600000000, 'h ago') END, ' since last flush, still receiving traffic)') END AS txt FROM o
       UNION ALL SELECT 1, o, CASE WHEN NOT Available OR ConsecutiveErrors >= 3 OR UtilizationPercent >= 90 OR stuck OR (ConsecutiveErrors = 0 AND stale) THEN NULL
       WHEN UtilizationPercent >= 70 THEN concat(Signal, ' buffer at ', UtilizationPercent, '% capacity')
       WHEN Pending > 0 THEN concat(Signal, ' backlog building (', Length, ' buffered)') END FROM o),

@@ -312,5 +312,5 @@ register(
     lambda spark, d: stored.export_logs(t.logs(spark, d)),
     "logs",
     """SELECT EventId, Timestamp, SeverityText AS Severity, SeverityNumber, ServiceName AS Service, '' AS EventName, Body AS Message,
-    TraceId, SpanId, CAST(to_json(LogAttributes) AS VARCHAR) AS LogAttributesJson FROM logs ORDER BY Timestamp DESC, EventId DESC LIMIT 25001""",
+    TraceId, SpanId, CAST(to_json(LogAttributes) AS VARCHAR) AS LogAttributesJson FROM logs""",
 )

@@ -225,6 +225,13 @@ def _stale(now) -> Column:
     return F.coalesce("HasTraffic", F.lit(False)) & (age.isNull() | (age >= STALE_SECONDS))
 
 
+def _age(now) -> Column:
+    """Time since the last flush in whole minutes, from an hour on in hours; a writer without one is infinitely late."""
+    age = seconds_between(F.col("LastFlushAt"), ntz(as_datetime(now))).cast("double")
+    whole = lambda unit: F.floor(age / unit).cast("string")
+    return F.when(age.isNull(), "Infinityh ago").when(age < 3600, F.concat(whole(60), F.lit("m ago"))).otherwise(F.concat(whole(3600), F.lit("h ago")))
+
+
 def signal_state(health: DataFrame, backlog: DataFrame, buckets: DataFrame, now) -> DataFrame:
     """Flush health, backlog and traffic of each signal in one row (three small tables)."""
     return health.join(backlog, "Signal", "left").join(recent_traffic(buckets, now), "Signal", "left")
@@ -261,7 +268,7 @@ def ingest_verdict(health: DataFrame, backlog: DataFrame, buckets: DataFrame, to
     # The wording of the reasons, here and in the two texts below.
     writer_down = F.when(is_down, text(F.col("Signal"), " exporter unavailable"))
     writer_degraded = F.when(retrying, text(F.col("Signal"), " flush retrying (", number("ConsecutiveErrors"), " errors)")).when(
-        stale, text(F.col("Signal"), " flush stale, still receiving traffic")
+        stale, text(F.col("Signal"), " flush stale (", _age(now), " since last flush, still receiving traffic)")
     )
     buffer_down = (
         F.when(is_down, F.when(F.col("Length") > 0, F.coalesce(

@@ -2,7 +2,8 @@
 
 import re
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.errors import AnalysisException, ParseException
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from beaconry.functions.attributes import attribute, numeric_or_null
 from beaconry.functions.severity import ERROR_FLOOR
@@ -162,11 +163,24 @@ def _case_insensitive_like(where: str) -> str:
 
 
 def query_where(df: DataFrame, where: str | None) -> DataFrame:
-    """Rows satisfying a Spark SQL predicate that may name the short query columns."""
+    """Rows satisfying a Spark SQL predicate over the short query columns and nothing else.
+
+    The predicate is analysed on a table of those columns first; other columns, subqueries and
+    text that is no predicate raise ValueError.
+    """
     if not where:
         return df
+    predicate = _case_insensitive_like(where)
+    if re.search(r"\bselect\b", re.sub(r"'(?:[^']|'')*'", "''", where), flags=re.I):
+        raise ValueError(f"subqueries are not allowed in {where!r}")
+    try:
+        # An empty table: a projection would still let a filter see the columns below it.
+        allowed = T.StructType([T.StructField(n, df.schema[c].dataType) for n, c in QUERY_COLUMNS.items() if c in df.columns])
+        df.sparkSession.createDataFrame([], allowed).where(F.expr(predicate))
+    except (AnalysisException, ParseException) as error:
+        raise ValueError(f"{where!r} is no predicate over {sorted(QUERY_COLUMNS)}") from error
     short = {n: F.col(c) for n, c in QUERY_COLUMNS.items() if n != c.lower()}
-    return df.withColumns(short).where(F.expr(_case_insensitive_like(where))).drop(*short)
+    return df.withColumns(short).where(F.expr(predicate)).drop(*short)
 
 
 def column_table(df: DataFrame, columns: list[str], rows: int = COLUMN_TABLE_ROWS) -> DataFrame:

@@ -49,12 +49,14 @@ def _unescape(text: Column, quotes: bool) -> Column:
 
 
 def _last_wins(entries: Column) -> Column:
-    """Key-value entries to a map; of repeated keys the last one stays."""
+    """Key-value entries to a map; of repeated keys the last one stays. Sorted, so that an entry is only held against the next."""
+    numbered = F.array_sort(F.transform(entries, lambda e, i: F.named_struct(F.lit("key"), e["key"], F.lit("i"), i, F.lit("value"), e["value"])))
+
     def keep(es):
-        later = lambda e, i: F.exists(F.slice(es, i + 2, F.size(es)), lambda o: o["key"] == e["key"])
-        return F.map_from_entries(F.filter(es, lambda e, i: ~later(e, i)))
+        last = F.filter(es, lambda e, i: F.coalesce(F.get(es, i + 1)["key"] != e["key"], F.lit(True)))
+        return F.map_from_entries(F.transform(last, lambda e: F.named_struct(F.lit("key"), e["key"], F.lit("value"), e["value"])))
 
-    return let(entries, keep)
+    return let(numbered, keep)
 
 
 def label_map(block: Column) -> Column:

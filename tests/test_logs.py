@@ -191,3 +191,11 @@ def test_rows_of_one_second_spread_over_tasks(spark):
     for i in range(4000):
         total += i % 7
         assert got[i] == total
+
+
+def test_query_columns_only(spark):
+    df = spark.sql("SELECT 'a' AS ServiceName, 'Error' AS SeverityText, 'x select y' AS Body, '' AS TraceId, '' AS SpanId, 17 AS SeverityNumber, map('k', 'v') AS LogAttributes")
+    assert ops.query_where(df, "service = 'a' and body like '%SELECT%' and severitynumber > 9").count() == 1
+    for bad in ("LogAttributes['k'] = 'v'", "ServiceName = 'a'", "service in (select 'a')", "service = = 'a'", "body"):
+        with pytest.raises(ValueError):
+            ops.query_where(df, bad).count()

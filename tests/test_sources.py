@@ -194,3 +194,10 @@ def test_prometheus_points(spark):
     assert {r.MetricName for r in frames.unsupported.collect()} == {"lat", "rpc"}
     for name, frame in (("metrics_gauge", frames.gauge), ("metrics_sum", frames.sum), ("metrics_histogram", frames.histogram)):
         assert frame.columns == schemas.TABLES[name].fieldNames()
+
+
+def test_many_directives(spark):
+    """Ten thousand directives in one scrape, half of them repeated: the last one counts."""
+    lines = [f"# TYPE m{i % 5000} {'gauge' if i < 5000 else 'counter'}" for i in range(10_000)] + ["m0 1", "m4999 2"]
+    rows = {r.Name: r.Type for r in prometheus.prometheus_samples(scrape(spark, "\n".join(lines))).collect()}
+    assert rows == {"m0": "counter", "m4999": "counter"}
