@@ -146,11 +146,15 @@ register("s3_otlp_unsupported", lambda spark, d: otlp.otlp_metrics(metric_reques
 
 
 def _flattened(spark, d):
+    """Typed values of all kinds; lists within lists as many as the id says, up to twelve."""
+    levels = (F.col("event_id") % 13).cast("int")
     text = F.format_string(
         '[{"key":"arr","value":{"arrayValue":{"values":[{"intValue":"%s"},{"stringValue":"%s"},{}]}}},'
         '{"key":"kv","value":{"kvlistValue":{"values":[{"key":"v","value":{"doubleValue":%s}},{"key":"in","value":{"arrayValue":{"values":[{"boolValue":true}]}}}]}}},'
+        '{"key":"deep","value":%s{"kvlistValue":{"values":[{"key":"id","value":{"intValue":"%s"}}]}}%s},'
         '{"key":"dup","value":{"stringValue":"first"}},{"key":"dup","value":{"stringValue":"%s"}},{"key":"none","value":{}}]',
-        F.col("event_id").cast("string"), F.col("event_type"), F.col("value").cast("string"), F.col("user_id").cast("string"))
+        F.col("event_id").cast("string"), F.col("event_type"), F.col("value").cast("string"),
+        F.repeat(F.lit('{"arrayValue":{"values":['), levels), F.col("event_id").cast("string"), F.repeat(F.lit("]}}"), levels), F.col("user_id").cast("string"))
     return t.read(spark, d, "events").select("event_id", F.from_json(text, otlp.ATTRIBUTE_LIST).alias("a")).select(
         "event_id", otlp.flatten_attributes("a").alias("m"))
 
@@ -158,9 +162,10 @@ def _flattened(spark, d):
 register(
     "s4_flatten_attributes",
     lambda spark, d: _flattened(spark, d).select(
-        "event_id", *[F.col("m")[k].alias(k) for k in ("arr", "kv", "dup")], F.size("m").alias("keys")),
+        "event_id", *[F.col("m")[k].alias(k) for k in ("arr", "kv", "deep", "dup")], F.size("m").alias("keys")),
     "", r"""SELECT event_id, concat('[', event_id, ',', event_type, ',]') AS arr,
-    concat('{v=', regexp_replace(CAST(value AS VARCHAR), '\.0$', ''), ',in=[true]}') AS kv, CAST(user_id AS VARCHAR) AS dup, 3 AS keys FROM events""",
+    concat('{v=', regexp_replace(CAST(value AS VARCHAR), '\.0$', ''), ',in=[true]}') AS kv,
+    concat(repeat('[', event_id % 13), '{id=', event_id, '}', repeat(']', event_id % 13)) AS deep, CAST(user_id AS VARCHAR) AS dup, 4 AS keys FROM events""",
 )
 
 

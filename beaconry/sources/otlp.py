@@ -12,9 +12,6 @@ from beaconry import schemas
 from beaconry.functions.numbers import invariant_double_sql
 from beaconry.functions.times import from_unix_nano
 
-# Nesting of attribute values that is decoded; deeper values stay JSON text.
-VALUE_DEPTH = 3
-
 _S = T.StringType()
 
 
@@ -22,19 +19,10 @@ def _struct(**fields) -> T.StructType:
     return T.StructType([T.StructField(n, k) for n, k in fields.items()])
 
 
-def _any_value(depth: int) -> T.StructType:
-    if depth > 1:
-        inner = _any_value(depth - 1)
-        array = _struct(values=T.ArrayType(inner))
-        kvlist = _struct(values=T.ArrayType(_struct(key=_S, value=inner)))
-    else:
-        array = kvlist = _S
-    # Numbers are read as text: 64-bit integers arrive quoted, doubles may be "NaN".
-    return _struct(stringValue=_S, boolValue=T.BooleanType(), intValue=_S, doubleValue=_S, bytesValue=_S,
-                   arrayValue=array, kvlistValue=kvlist)
-
-
-ATTRIBUTE_LIST = T.ArrayType(_struct(key=_S, value=_any_value(VALUE_DEPTH)))
+# One typed value. Numbers are read as text: 64-bit integers arrive quoted, doubles may be "NaN".
+# Arrays and key-value lists stay JSON text, so that values may nest to any depth.
+ANY_VALUE = _struct(stringValue=_S, boolValue=T.BooleanType(), intValue=_S, doubleValue=_S, bytesValue=_S, arrayValue=_S, kvlistValue=_S)
+ATTRIBUTE_LIST = T.ArrayType(_struct(key=_S, value=ANY_VALUE))
 _RESOURCE = _struct(attributes=ATTRIBUTE_LIST)
 _SCOPE = _struct(name=_S, version=_S, attributes=ATTRIBUTE_LIST)
 
@@ -48,7 +36,7 @@ def _request(resources: str, scopes: str, records: str, record: T.StructType) ->
 
 
 LOG_REQUEST = _request("resourceLogs", "scopeLogs", "logRecords", _struct(
-    timeUnixNano=_S, observedTimeUnixNano=_S, severityNumber=_S, severityText=_S, body=_any_value(VALUE_DEPTH),
+    timeUnixNano=_S, observedTimeUnixNano=_S, severityNumber=_S, severityText=_S, body=ANY_VALUE,
     attributes=ATTRIBUTE_LIST, flags=_S, traceId=_S, spanId=_S, eventName=_S,
 ))
 _EVENT_LIST = T.ArrayType(_struct(timeUnixNano=_S, name=_S, attributes=ATTRIBUTE_LIST))
@@ -84,30 +72,62 @@ def enum_number(text: Column, names: list[str]) -> Column:
     return F.coalesce(text.try_cast("int"), F.greatest(by_name, F.lit(0)), F.lit(0))
 
 
-def value_sql(value: str, depth: int = VALUE_DEPTH) -> str:
+def _scalar_sql(value: str) -> str:
+    return (
+        f"coalesce({value}.stringValue, cast({value}.boolValue as string), {value}.intValue, "
+        f"{invariant_double_sql(f'{value}.doubleValue', 'dt')}, {value}.bytesValue)"
+    )
+
+
+def _piece_sql(value: str) -> str:
+    """SQL of one piece of a value's text: finished (``text``), or a list still to be unfolded."""
+    return (
+        f"element_at(transform(array({_scalar_sql(value)}), sc -> CASE "
+        f"WHEN sc IS NULL AND {value}.arrayValue LIKE '{{%' THEN named_struct('text', '', 'arr', {value}.arrayValue, 'kv', cast(NULL as string)) "
+        f"WHEN sc IS NULL AND {value}.kvlistValue LIKE '{{%' THEN named_struct('text', '', 'arr', cast(NULL as string), 'kv', {value}.kvlistValue) "
+        "ELSE named_struct('text', coalesce(sc, ''), 'arr', cast(NULL as string), 'kv', cast(NULL as string)) END), 1)"
+    )
+
+
+def _levels_sql(text: str) -> str:
+    """SQL of how many levels a list's JSON text can have: two braces each, those in strings left out."""
+    unescaped = f"replace(replace({text}, '\\\\\\\\', ''), '\\\\\"', '')"
+    braces = f"regexp_replace(regexp_replace({unescaped}, '\"[^\"]*\"', ''), '[^{{}}]', '')"
+    deeper = "IF(br = '{', bs.d + 1, bs.d - 1)"
+    return (
+        f"aggregate(split({braces}, ''), named_struct('d', 0, 'm', 0), "
+        f"(bs, br) -> named_struct('d', {deeper}, 'm', greatest(bs.m, {deeper})), bs -> (bs.m + 1) div 2)"
+    )
+
+
+def value_sql(value: str) -> str:
     """SQL for the text of one typed value; NULL for an unset one.
 
-    Arrays read ``[a,b]`` and key-value lists ``{k=v}``; both are walked by one expression
-    per level, which keeps the plan small.
+    Arrays read ``[a,b]`` and key-value lists ``{k=v}``, at any depth: the text is a row of
+    pieces, and each pass unfolds every list among them by one level, as many times as the
+    value has levels.
     """
-    d = f"{depth}"
-    scalars = (
-        f"{value}.stringValue, cast({value}.boolValue as string), {value}.intValue, "
-        f"{invariant_double_sql(f'{value}.doubleValue', 't' + d)}, {value}.bytesValue"
+    text = lambda t: f"array(named_struct('text', {t}, 'arr', cast(NULL as string), 'kv', cast(NULL as string)))"
+    comma = lambda i: f"IF({i} > 0, ',', '')"
+    fields = ANY_VALUE.simpleString()
+    items = f"from_json(pc.arr, 'values array<{fields}>').values"
+    entries = f"from_json(pc.kv, 'values array<struct<key:string,value:{fields}>>').values"
+    none = f"slice({text(repr(''))}, 1, 0)"
+    listed = f"flatten(transform({items}, (av, ai) -> concat({text(comma('ai'))}, array({_piece_sql('av')}))))"
+    pairs = (
+        "flatten(transform({0}, (ke, ki) -> concat({1}, array({2}))))".format(
+            entries, text(f"concat({comma('ki')}, coalesce(ke.key, ''), '=')"), _piece_sql("ke.value"))
     )
-    if depth == 1:
-        return f"coalesce({scalars}, {value}.arrayValue, {value}.kvlistValue)"
-    items = (
-        f"coalesce(transform({value}.arrayValue.values, a{d} -> named_struct('key', '', 'value', a{d})), "
-        f"transform({value}.kvlistValue.values, k{d} -> named_struct('key', concat(k{d}.key, '='), 'value', k{d}.value)))"
+    unfolded = (
+        f"CASE WHEN pc.arr IS NOT NULL THEN concat({text(repr('['))}, coalesce({listed}, {none}), {text(repr(']'))}) "
+        f"WHEN pc.kv IS NOT NULL THEN concat({text(repr('{'))}, coalesce({pairs}, {none}), {text(repr('}'))}) ELSE array(pc) END"
     )
-    inner = value_sql(f"i{d}.value", depth - 1)
-    joined = f"coalesce(array_join(transform({items}, i{d} -> concat(i{d}.key, coalesce({inner}, ''))), ','), '')"
-    nested = (
-        f"IF({value}.arrayValue IS NULL AND {value}.kvlistValue IS NULL, NULL, concat("
-        f"IF({value}.arrayValue IS NULL, '{{', '['), {joined}, IF({value}.arrayValue IS NULL, '}}', ']')))"
+    whole = (
+        f"aggregate(sequence(1, {_levels_sql('coalesce(rt.arr, rt.kv)')}), array(rt), "
+        f"(ps, lv) -> flatten(transform(ps, pc -> {unfolded})), ps -> array_join(transform(ps, pc -> pc.text), ''))"
     )
-    return f"coalesce({scalars}, {nested})"
+    is_list = f"({value}.arrayValue LIKE '{{%' OR {value}.kvlistValue LIKE '{{%')"
+    return f"coalesce({_scalar_sql(value)}, IF({is_list}, element_at(transform(array({_piece_sql(value)}), rt -> {whole}), 1), NULL))"
 
 
 def value_text(value: str) -> Column:

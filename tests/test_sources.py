@@ -50,12 +50,31 @@ def test_log_fields(log_rows):
 
 
 def test_attribute_text(log_rows):
-    deep = '{"values":[{"intValue":"2"}]}'
     assert log_rows[0].LogAttributes == {
-        "d": "1.5", "i": "-9", "b": "AQI=", "l": f"[a,,[1,{deep}]]", "m": "{k=3,n=}", "dup": "last", "empty": "[]",
+        "d": "1.5", "i": "-9", "b": "AQI=", "l": "[a,,[1,[2]]]", "m": "{k=3,n=}", "dup": "last", "empty": "[]",
     }
 
 
+def test_values_of_any_depth(spark):
+    array = lambda *values: {"arrayValue": {"values": list(values)}}
+    pairs = lambda **values: {"kvlistValue": {"values": [{"key": k, "value": v} for k, v in values.items()]}}
+    chain = {"intValue": "1"}
+    for _ in range(60):
+        chain = array(chain)
+    text = {"stringValue": 'a "{[\\\\" }'}
+    cases = [
+        (array(array(array(array(array({"intValue": "1"}))))), "[[[[[1]]]]]"), (chain, "[" * 60 + "1" + "]" * 60),
+        (pairs(a=array(pairs(b=pairs(c=array(text, {}))), {"boolValue": False}), d={"doubleValue": 2.0}), "{a=[{b={c=[%s,]}},false],d=2}" % text["stringValue"]),
+        (array(*[array({"intValue": str(i)}) for i in range(300)]), "[" + ",".join(f"[{i}]" for i in range(300)) + "]"),
+        (pairs(), "{}"), ({"kvlistValue": {}}, "{}"), ({"arrayValue": {"values": None}}, "[]"), ({"arrayValue": None}, None),
+        ({"kvlistValue": {"values": [{"value": {"intValue": "5"}}, {"key": "n"}]}}, "{=5,n=}"),
+    ]
+    payload = {"resourceLogs": [{"scopeLogs": [{"logRecords": [{"body": v, "attributes": [attr("v", **v)]} for v, _ in cases]}]}]}
+    rows = otlp.otlp_logs(requests(spark, payload)).collect()
+    assert [r.LogAttributes.get("v") for r in rows] == [want for _, want in cases]
+    assert [r.Body for r in rows] == [want or "" for _, want in cases]
+
+
 def test_double_text(spark):
     cases = {0.0: "0", 3.0: "3", -2.5: "-2.5", 1e7: "10000000", 0.0001: "0.0001", 1e-5: "1E-05", 1.5e17: "1.5E+17",
              123456789.25: "123456789.25", 1e15: "1E+15", 2e-10: "2E-10", 1e100: "1E+100", float("inf"): "Infinity"}
