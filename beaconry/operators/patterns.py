@@ -7,8 +7,12 @@ changes nothing, now or later, because templates only ever widen. So:
 
 * bodies are reduced to distinct masked texts before anything else;
 * each round takes the earliest texts of every bucket, a bounded number, through the
-  sequential step, and then drops, with an equi-join, every remaining text that fits a
-  known template. A bucket holding a third of all texts thus never enters one task whole.
+  sequential step. Only known templates that are the best of one of these texts enter with
+  them: no other can win, as templates gain likeness only by being chosen. The best is
+  found in blocks of texts against slices of templates, so neither a bucket's texts nor its
+  templates ever enter one task whole;
+* remaining texts that fit a template completely are dropped, by an equi-join where a
+  bucket's templates have few sets of wildcard positions, by the same blocks otherwise.
 """
 
 import numpy as np
@@ -22,6 +26,10 @@ from beaconry.plans.skew import join_unique
 
 SIMILARITY = 0.5
 TEXTS_PER_ROUND = 10_000
+# Tokens of one block of texts, or of one slice of templates.
+BLOCK_TOKENS = 4_000_000
+# Sets of wildcard positions up to which a bucket's texts are blanked once for each.
+FEW_SHAPES = 32
 SLICES = 32
 BUCKET = ["n_tokens", "first_token"]
 
@@ -49,63 +57,134 @@ def distinct_texts(logs: DataFrame, body: str = "Body", time: str = "Timestamp",
     ))
 
 
+def _coded(rows: list[list[str]]) -> tuple[np.ndarray, list[str]]:
+    """Token numbers, 0 for the wildcard, and the tokens in number order."""
+    codes = {WILDCARD: 0}
+    return np.array([[codes.setdefault(w, len(codes)) for w in row] for row in rows], dtype=np.int32), list(codes)
+
+
+def _most_similar(templates: np.ndarray, row: np.ndarray) -> tuple[int, int]:
+    """The first template (column) that agrees with ``row`` in most positions, and in how many."""
+    agree = templates == row[:, None]
+    agree |= templates == 0
+    counts = agree.sum(axis=0, dtype=np.int32)
+    best = int(counts.argmax())
+    return best, int(counts[best])
+
+
 def _mine_bucket(similarity: float):
     def mine(columns, first, last, out):
-        texts, known = columns["text"], columns["known"]
-        rows = [t.split(" ") for t in texts[first:last]]
-        width = len(rows[0])
-        codes = {WILDCARD: 0}
-        coded = np.array([[codes.setdefault(w, len(codes)) for w in row] for row in rows], dtype=np.int32)
-        templates = np.empty((16, width), dtype=np.int32)
-        size = 0
-        for i, row in enumerate(coded):
-            hits = None
-            if size and not known[first + i]:
-                live = templates[:size]
-                agree = ((live == row) | (live == 0)).sum(axis=1)
-                best = int(agree.argmax())
-                hits = best if agree[best] / width >= similarity else None
-            if hits is not None:
-                templates[hits][templates[hits] != row] = 0
-                continue
-            if size == len(templates):
-                templates = np.concatenate([templates, np.empty_like(templates)])
-            templates[size] = row
+        n_known = sum(columns["known"][first:last])
+        coded, words = _coded([t.split(" ") for t in columns["text"][first:last]])
+        width = coded.shape[1]
+        # A column per template: one text meets all templates position by position.
+        templates = np.empty((width, n_known + 16), dtype=np.int32)
+        templates[:, :n_known] = coded[:n_known].T
+        size = n_known
+        for row in coded[n_known:]:
+            if size:
+                best, agree = _most_similar(templates[:, :size], row)
+                if agree / width >= similarity:
+                    templates[templates[:, best] != row, best] = 0
+                    continue
+            if size == templates.shape[1]:
+                templates = np.concatenate([templates, np.empty_like(templates)], axis=1)
+            templates[:, size] = row
             size += 1
-        words = list(codes)
-        for ordinal in range(size):
+        created = range(columns["created"][first], columns["created"][first] + size - n_known)
+        for ordinal, template in zip([*columns["ordinal"][first:first + n_known], *created], templates.T):
             out["n_tokens"].append(columns["n_tokens"][first])
             out["first_token"].append(columns["first_token"][first])
             out["ordinal"].append(ordinal)
-            out["template"].append(" ".join(words[c] for c in templates[ordinal]))
+            out["template"].append(" ".join(words[c] for c in template))
 
     return mine
 
 
-def _fits(texts: DataFrame, clusters: DataFrame, keep: list[str]) -> DataFrame:
-    """(``keep`` columns, ordinal, template) for every template a text fits completely.
+_SCORES = T.StructType([
+    *CLUSTERS.fields[:2], T.StructField("text", T.StringType()), T.StructField("agree", T.IntegerType()), T.StructField("ordinal", T.IntegerType()),
+])
 
-    A text fits when it equals the template after the template's wildcard positions are
-    blanked in it. Texts are blanked once per distinct set of positions of their bucket and
-    equi-joined on the result, so unrelated templates are never paired.
+
+def _score_block(similarity: float):
+    def score(columns, first, last, out):
+        n_known = sum(columns["known"][first:last])
+        coded, _ = _coded([t.split(" ") for t in columns["text"][first:last]])
+        templates, width = np.ascontiguousarray(coded[:n_known].T), coded.shape[1]
+        for i, row in enumerate(coded[n_known:] if n_known else (), first + n_known):
+            best, agree = _most_similar(templates, row)
+            if agree / width >= similarity:
+                for name, value in (("n_tokens", columns["n_tokens"][i]), ("first_token", columns["first_token"][i]), ("text", columns["text"][i]),
+                                    ("agree", agree), ("ordinal", columns["ordinal"][first + best])):
+                    out[name].append(value)
+
+    return score
+
+
+def _rows(limit: int) -> Column:
+    """Texts or templates of a bucket that one task takes: ``limit``, fewer where they are long."""
+    return F.greatest(F.lit(1), F.least(F.lit(limit), F.floor(F.lit(BLOCK_TOKENS) / F.col("n_tokens")).cast("int")))
+
+
+def _sized(df: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``df`` with the columns of one row per bucket; rows of other buckets go."""
+    return df.join(F.broadcast(sizes), BUCKET) if is_small(sizes) else join_unique(df, sizes, BUCKET, "inner")
+
+
+def best_templates(texts: DataFrame, clusters: DataFrame, similarity: float = SIMILARITY, limit: int = TEXTS_PER_ROUND) -> DataFrame:
+    """(bucket, text, ordinal): the most similar template of each text, the earliest of equals, if similar enough.
+
+    Every block of a bucket's texts meets every slice of its templates in a task of its own.
     """
-    shapes = (
-        clusters.withColumn("w", F.transform(_tokens("template"), lambda t: t == WILDCARD))
-        .groupBy(*BUCKET).agg(F.collect_set("w").alias("shapes"))
+    sizes = cut(
+        clusters.groupBy(*BUCKET).agg(F.max("ordinal").alias("last"))
+        .join(texts.groupBy(*BUCKET).agg(F.count(F.lit(1)).alias("n")), BUCKET)
+        .select(*BUCKET, "last", F.ceil(F.col("n") / _rows(limit)).cast("int").alias("blocks"))
     )
-    blanked = lambda: F.array_join(
-        F.transform(_tokens(), lambda t, i: F.when(F.get("w", i), WILDCARD).otherwise(t)), " "
+    null = lambda kind: F.lit(None).cast(kind)
+    sliced = _sized(clusters, sizes).select(
+        *BUCKET, F.floor(F.col("ordinal") / _rows(limit)).cast("int").alias("slice"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
+        F.col("template").alias("text"), "ordinal", F.lit(True).alias("known"), F.lit(0).alias("turn"),
     )
+    blocks = _sized(texts, sizes).select(
+        *BUCKET, F.explode(F.sequence(F.lit(0), F.floor(F.col("last") / _rows(limit)).cast("int"))).alias("slice"),
+        F.pmod(F.xxhash64("text"), F.col("blocks")).cast("int").alias("block"), "text", null("int").alias("ordinal"), F.lit(False).alias("known"), F.lit(1).alias("turn"),
+    )
+    scores = map_groups(sliced.unionByName(blocks), [*BUCKET, "slice", "block"], ["turn", "ordinal"], _score_block(similarity), _SCORES)
+    best = F.max(F.struct("agree", (-F.col("ordinal")).alias("o")))["o"]
+    return scores.groupBy(*BUCKET, "text").agg((-best).alias("ordinal"))
+
+
+def _first_fits(texts: DataFrame, clusters: DataFrame, limit: int = TEXTS_PER_ROUND) -> DataFrame:
+    """(text, ordinal, template): the first template, in order of creation, that each text fits completely.
+
+    A text fits when it equals the template after the template's wildcard positions are
+    blanked in it. Where a bucket has few distinct sets of positions, texts are blanked once for
+    each and equi-joined on the result; texts of other buckets meet the templates in blocks.
+    """
+    shapes = clusters.select(*BUCKET, F.transform(_tokens("template"), lambda t: t == WILDCARD).alias("w")).distinct()
+    counts = shapes.groupBy(*BUCKET).agg(F.count(F.lit(1)).alias("n"))
+    most = counts.agg(F.max("n")).head()[0] or 0
+    if most <= FEW_SHAPES:
+        return _blanked_fits(texts, clusters, shapes)
+    crowded = broadcast_if_small(cut(counts.where(F.col("n") > FEW_SHAPES).select(*BUCKET)))
+    split = lambda df, how: df.join(crowded, BUCKET, how)
+    blocks = best_templates(split(texts, "left_semi"), split(clusters, "left_semi"), 1.0, limit).join(clusters, [*BUCKET, "ordinal"])
+    return blocks.select("text", "ordinal", "template").unionByName(
+        _blanked_fits(split(texts, "left_anti"), split(clusters, "left_anti"), split(shapes, "left_anti")))
+
+
+def _blanked_fits(texts: DataFrame, clusters: DataFrame, shapes: DataFrame) -> DataFrame:
+    shapes = shapes.groupBy(*BUCKET).agg(F.collect_set("w").alias("shapes"))
     if is_small(clusters):  # and so are the shapes, a projection of the clusters
         shaped, clusters = texts.join(F.broadcast(shapes), BUCKET), F.broadcast(clusters)
     else:
         shaped = join_unique(texts, shapes, BUCKET, "inner")
-    candidates = (
-        shaped
-        .select(*keep, *[c for c in [*BUCKET, "text"] if c not in keep], F.explode("shapes").alias("w"))
-        .withColumn("template", blanked())
-    )
-    return candidates.join(clusters, [*BUCKET, "template"]).select(*keep, "ordinal", "template")
+    blanked = F.array_join(F.transform(_tokens(), lambda t, i: F.when(F.get("w", i), WILDCARD).otherwise(t)), " ")
+    candidates = shaped.select("text", *BUCKET, F.explode("shapes").alias("w")).withColumn("template", blanked)
+    fits = candidates.join(clusters, [*BUCKET, "template"])
+    first = F.min(F.struct("ordinal", "template"))
+    return fits.groupBy("text").agg(first.alias("f")).select("text", "f.ordinal", "f.template")
 
 
 def drain_templates(texts: DataFrame, known: DataFrame | None = None, similarity: float = SIMILARITY,
@@ -117,42 +196,51 @@ def drain_templates(texts: DataFrame, known: DataFrame | None = None, similarity
     pending = texts.select("text", "first_seen", *BUCKET)
     clusters = known
     if clusters is not None:
-        pending = cut(_unmatched(pending, clusters))
+        pending = cut(_unmatched(pending, clusters, texts_per_round))
     while True:
         sizes = pending.groupBy(*BUCKET).agg(F.count(F.lit(1)).alias("n"))
-        last_round = sizes.where(F.col("n") > texts_per_round).isEmpty()
+        last_round = sizes.where(F.col("n") > _rows(texts_per_round)).isEmpty()
         chunk = pending if last_round else cut(_earliest(pending, texts_per_round))
         entering = chunk.select("text", "first_seen", *BUCKET, F.lit(0).alias("ordinal"), F.lit(False).alias("known"))
-        if clusters is not None:
-            entering = entering.unionByName(clusters.select(
+        created = F.lit(0).alias("created")
+        if clusters is None:
+            mined = map_groups(entering.select("*", created), BUCKET, ["first_seen", "text"], _mine_bucket(similarity), CLUSTERS)
+            clusters = mined = cut(mined)
+        else:
+            chosen = best_templates(chunk, clusters, similarity, texts_per_round).select(*BUCKET, "ordinal").distinct()
+            entering = entering.unionByName(clusters.join(chosen, [*BUCKET, "ordinal"]).select(
                 F.col("template").alias("text"), F.lit(None).cast(entering.schema["first_seen"].dataType).alias("first_seen"),
                 *BUCKET, "ordinal", F.lit(True).alias("known"),
             ))
-        # Known templates come first (NULL first_seen), in their own order.
-        clusters = cut(map_groups(entering, BUCKET, ["first_seen", "ordinal", "text"], _mine_bucket(similarity), CLUSTERS))
+            counts = clusters.groupBy(*BUCKET).agg((F.max("ordinal") + 1).alias("created"))
+            numbered = entering.join(counts, BUCKET, "left").fillna(0, ["created"])
+            # Known templates come first (turn 0), in their own order.
+            turned = numbered.withColumn("turn", F.when(F.col("known"), 0).otherwise(1))
+            mined = cut(map_groups(turned, BUCKET, ["turn", "first_seen", "ordinal", "text"], _mine_bucket(similarity), CLUSTERS))
+            clusters = cut(clusters.select(*CLUSTERS.names).join(mined, [*BUCKET, "ordinal"], "left_anti").unionByName(mined))
         if last_round:
             return clusters
-        pending = cut(_unmatched(pending.join(chunk.select("text"), "text", "left_anti"), clusters))
+        # Earlier templates that did not change have met these texts before.
+        pending = cut(_unmatched(pending.join(chunk.select("text"), "text", "left_anti"), mined, texts_per_round))
 
 
-def _earliest(pending: DataFrame, n: int) -> DataFrame:
-    """The ``n`` earliest texts of every bucket, found in slices so that no task ranks a whole bucket."""
+def _earliest(pending: DataFrame, limit: int) -> DataFrame:
+    """The earliest texts of every bucket, found in slices so that no task ranks a whole bucket."""
     sliced = pending.withColumn("slice", F.pmod(F.hash("text"), F.lit(SLICES)))
     order = ["first_seen", "text"]
     for keys in ([*BUCKET, "slice"], BUCKET):
         turn = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-        sliced = sliced.withColumn("turn", turn).where(F.col("turn") <= n).drop("turn")
+        sliced = sliced.withColumn("turn", turn).where(F.col("turn") <= _rows(limit)).drop("turn")
     return sliced.drop("slice")
 
 
-def _unmatched(texts: DataFrame, clusters: DataFrame) -> DataFrame:
-    return texts.join(_fits(texts, clusters, ["text"]).select("text"), "text", "left_anti")
+def _unmatched(texts: DataFrame, clusters: DataFrame, limit: int) -> DataFrame:
+    return texts.join(_first_fits(texts, clusters, limit).select("text"), "text", "left_anti")
 
 
 def assign_templates(texts: DataFrame, clusters: DataFrame) -> DataFrame:
     """(text, template): the first template, in order of creation, that each text fits."""
-    fits = _fits(texts, clusters, ["text"])
-    return fits.groupBy("text").agg(F.min(F.struct("ordinal", "template"))["template"].alias("template"))
+    return _first_fits(texts, clusters).select("text", "template")
 
 
 def annotate_patterns(logs: DataFrame, body: str = "Body", time: str = "Timestamp", enabled: bool = True,

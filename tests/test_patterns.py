@@ -94,3 +94,26 @@ def test_without_broadcasts(spark, monkeypatch):
     for name in ("is_small", "broadcast_if_small"):
         monkeypatch.setattr(patterns, name, (lambda df, **_: False) if name == "is_small" else (lambda df, **_: df))
     assert templates(spark, bodies, texts_per_round=1) == expected
+
+
+def test_crowded_bucket_in_blocks(spark, monkeypatch):
+    """Many unlike texts of one bucket: slices of templates meet blocks of texts, as in one sequential pass."""
+    rng = random.Random(5)
+    words = [f"{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(150)]
+    bodies = [" ".join(["go", *(rng.choice(words) for _ in range(7))]) for _ in range(400)]
+    bodies += [" ".join([*b.split(" ")[:5], *(rng.choice(words) for _ in range(3))]) for b in bodies[::3]]
+    bodies += ["stop one two", "stop one three"]
+    texts = patterns.distinct_texts(logs(spark, bodies))
+    expected = reference_mining(dict.fromkeys(bodies))
+    assert len(expected) > 100
+    monkeypatch.setattr(patterns, "FEW_SHAPES", 2)
+    for tokens in (8 * 40, 8 * 10_000):
+        monkeypatch.setattr(patterns, "BLOCK_TOKENS", tokens)
+        mined = patterns.drain_templates(texts, texts_per_round=150)
+        rows = mined.collect()
+        assert sorted(r.template for r in rows) == expected
+        assert sorted(r.ordinal for r in rows if r.first_token == "go") == list(range(len(expected) - 1))
+    # The first fitting template of each text, by blocks and by joins.
+    by_blocks = {tuple(r) for r in patterns.assign_templates(texts, mined).collect()}
+    monkeypatch.setattr(patterns, "FEW_SHAPES", 10_000)
+    assert {tuple(r) for r in patterns.assign_templates(texts, mined).collect()} == by_blocks and len(by_blocks) == texts.count()
