@@ -100,6 +100,24 @@ register(
 )
 
 
+def _unique(spark, d):
+    """Every event twice, and once more in a second job on the same table."""
+    table = scratch_path(spark, "logs")
+    for _ in range(2):
+        jobs.append_unique(_whole_twice(t.logs_of(t.event_stream(spark, d))), table, scratch_path(spark, "checkpoint"), drain=True).awaitTermination()
+    return stored.read_logs(spark, table)
+
+
+def _whole_twice(logs):
+    return otlp.normalize_rows(logs.unionByName(logs), "logs")
+
+
+register(
+    "l4_append_unique", lambda spark, d: _unique(spark, d).select("EventId", "Timestamp", "ServiceName", "Body"),
+    "logs", "SELECT EventId, Timestamp, ServiceName, Body FROM logs",
+)
+
+
 def _drained(spark, d):
     clusters, out, checkpoint = (scratch_path(spark, n) for n in ("clusters", "annotated", "checkpoint"))
     jobs.drain_stream(t.logs_of(t.event_stream(spark, d)), clusters, out, checkpoint, drain=True).awaitTermination()

@@ -39,3 +39,18 @@ def stored(df: DataFrame, name: str = "stored") -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    return _file_system(spark, path)[0].exists(_file_system(spark, path)[1])
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Remove a file or folder that this library wrote; nothing happens when it is gone already."""
+    system, target = _file_system(spark, path)
+    system.delete(target, True)
+
+
+def _file_system(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), target

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from beaconry import schemas
 from beaconry.operators.filters import MONTH
+from beaconry.plans.lineage import path_exists
 
 # Time column, sort key and bloom-filtered columns of every stored table.
 LAYOUT = {
@@ -50,6 +51,14 @@ def read_telemetry(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return spark.read.schema(schema.add(LOAD, T.StringType())).parquet(path).drop(LOAD)
 
 
+def read_months(spark: SparkSession, path: str, kind: str, months: list[str | None]) -> DataFrame | None:
+    """The rows of some months, with their load; other months are not even listed. None where there are none."""
+    folders = [f"{path}/{MONTH}={'__HIVE_DEFAULT_PARTITION__' if m is None else m}" for m in months]
+    folders = [f for f in folders if path_exists(spark, f)]
+    schema = _with_month(kind).add(LOAD, T.StringType())
+    return spark.read.schema(schema).option("basePath", path).parquet(*folders) if folders else None
+
+
 def _with_month(kind: str) -> T.StructType:
     return T.StructType([*schemas.TABLES[kind].fields, T.StructField(MONTH, T.StringType())])
 

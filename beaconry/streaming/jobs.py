@@ -18,8 +18,8 @@ from beaconry.operators.filters import (
 )
 from beaconry.operators.ingest import minute_counters
 from beaconry.operators.patterns import BUCKET, CLUSTERS, annotate_patterns, distinct_texts, drain_templates
-from beaconry.plans.lineage import cut
-from beaconry.sources.tables import write_telemetry
+from beaconry.plans.lineage import path_exists, remove_path
+from beaconry.sources.tables import LAYOUT, LOAD, MONTH, read_months, write_telemetry
 from beaconry.schemas import ALERT_EVENTS
 
 FLUSH_INTERVAL = "2 seconds"
@@ -42,8 +42,37 @@ def each_batch(stream: DataFrame, write: Callable[[DataFrame, int], None], check
 
 def append_telemetry(stream: DataFrame, path: str, checkpoint: str, kind: str, drain: bool = False):
     """Append flat rows to a stored table, in its layout; a repeated micro-batch replaces its load."""
-    name = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
-    write = lambda batch, batch_id: write_telemetry(batch, path, kind, load=f"{name}-{batch_id}")
+    write = lambda batch, batch_id: write_telemetry(batch, path, kind, load=_load(checkpoint, batch_id))
+    return each_batch(stream, write, checkpoint, drain)
+
+
+def _load(checkpoint: str, batch_id: int) -> str:
+    return f"{hashlib.sha256(checkpoint.encode()).hexdigest()[:16]}-{batch_id}"
+
+
+def append_unique(stream: DataFrame, path: str, checkpoint: str, kind: str = "logs", key: str = "EventId", drain: bool = False):
+    """Append rows whose ``key`` the stored table does not hold yet, however late a repeat arrives.
+
+    The table itself is the memory, so the stream keeps no state. A repeat carries the time of
+    its event: each micro-batch meets only the months it has rows of, and of those the rows
+    within its span of time, by key and time. Rows without a time meet each other. Within a batch one row of
+    a key and time is kept; rows without a key are all kept. A repeated micro-batch does not meet the load it wrote itself.
+    """
+    time = LAYOUT[kind][0]
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        load = _load(checkpoint, batch_id)
+        span = batch.groupBy(F.date_format(time, "yyyy-MM").alias("month")).agg(F.min(time).alias("first"), F.max(time).alias("last")).collect()
+        fresh = batch.where(F.col(key).isNotNull()).dropDuplicates([key, time])
+        seen = read_months(batch.sparkSession, path, kind, [r.month for r in span])
+        if seen is not None:
+            within = F.col(time).isNull()
+            for month in (m for m in span if m.month is not None):
+                within |= (F.col(MONTH) == month.month) & F.col(time).between(ntz(month["first"]), ntz(month["last"]))
+            seen = seen.where((F.col(LOAD) != load) & within).select(F.col(key).alias("_key"), F.col(time).alias("_time"))
+            fresh = fresh.join(seen, (F.col(key) == F.col("_key")) & F.col(time).eqNullSafe(F.col("_time")), "left_anti")
+        write_telemetry(fresh.unionByName(batch.where(F.col(key).isNull())), path, kind, load=load)
+
     return each_batch(stream, write, checkpoint, drain)
 
 
@@ -82,7 +111,8 @@ def _instant(column: str):
 def dedupe_events(df: DataFrame, key: str = "EventId", time: str = "Timestamp", late: str | None = None) -> DataFrame:
     """First occurrence of every event id.
 
-    A stream remembers all ids (use a state store on disk), so nothing is lost however late;
+    A stream remembers all ids (use a state store on disk, or ``append_unique``, which looks them
+    up in the stored table), so nothing is lost however late;
     with ``late`` given it forgets ids, and drops rows, that the watermark has passed by that
     much. In batch the earliest row wins, by a partial top-1 per id.
     """
@@ -108,25 +138,47 @@ def _read_batches(spark: SparkSession, path: str, schema: T.StructType, before:
     return df.drop("batch")
 
 
+def _version(path: str, batch_id: int) -> str:
+    return f"{path}/version={batch_id}"
+
+
+def _keep_version(rows: DataFrame, path: str, batch_id: int) -> None:
+    """Write the version of a batch. A repeated batch needs the one before it, so earlier ones go."""
+    rows.write.mode("overwrite").parquet(_version(path, batch_id))
+    remove_path(rows.sparkSession, _version(path, batch_id - 2))
+
+
+def _version_before(spark: SparkSession, path: str, batch_id: int, schema: T.StructType) -> DataFrame | None:
+    """The version of the batch before, read by its own path: the table's folder is not listed."""
+    before = _version(path, batch_id - 1)
+    return spark.read.schema(schema).parquet(before) if path_exists(spark, before) else None
+
+
 def alert_stream(logs: DataFrame, history: DataFrame, rules: Callable[[], DataFrame], events_path: str, checkpoint: str,
                  clock: Callable[[DataFrame], object] | None = None, drain: bool = False):
     """Evaluate all rules after every micro-batch over the stored logs.
 
     ``history`` is the table the logs are appended to, ``rules`` gives the current rules,
     ``clock`` the evaluation time of a batch (default: the latest timestamp of the batch).
-    New events go to ``events_path``, which also carries the cooldown state.
+    New events go to ``events_path``. The last firing of every rule, which cooldowns need, is a
+    small table of its own in ``_last`` below it; where that is missing, the events are read once.
     """
     fields = T.StructType([f for f in ALERT_EVENTS.fields if f.name in ("RuleId", "FiredAt")])
+    last_path = f"{events_path}/_last"
 
     def tick(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        now = clock(batch) if clock else batch.agg(F.max("Timestamp")).head()[0]
-        if now is None:
-            return
         current = rules()
         seen = T.StructType([T.StructField("RuleId", current.schema["Id"].dataType), fields["FiredAt"]])
-        fired = evaluate_alerts(current, history, _read_batches(spark, events_path, seen, batch_id), now)
-        fired.write.mode("overwrite").parquet(f"{events_path}/batch={batch_id}")
+        last = _version_before(spark, last_path, batch_id, seen)
+        if last is None:
+            last = _read_batches(spark, events_path, seen, batch_id)
+        now = clock(batch) if clock else batch.agg(F.max("Timestamp")).head()[0]
+        if now is not None:
+            folder = f"{events_path}/batch={batch_id}"
+            evaluate_alerts(current, history, last, now).write.mode("overwrite").parquet(folder)
+            last = last.unionByName(spark.read.schema(seen).parquet(folder))
+        _keep_version(last.groupBy("RuleId").agg(F.max("FiredAt").alias("FiredAt")), last_path, batch_id)
 
     return each_batch(logs, tick, checkpoint, drain)
 
@@ -138,13 +190,13 @@ def drain_stream(logs: DataFrame, clusters_path: str, out_path: str, checkpoint:
                  time: str = "Timestamp", max_templates: int | None = None, drain: bool = False):
     """Annotate arriving logs with the template known at their micro-batch.
 
-    Templates live in a small table with one version per batch. A batch first matches its
-    distinct texts against it with joins; only texts of unknown shape reach the sequential
+    Templates live in a small table of which the versions of the last two batches are kept. A batch
+    first matches its distinct texts against it; only texts of unknown shape reach the sequential
     step. A bucket keeps all its templates, or its ``max_templates`` most recently used ones.
     """
     def annotate(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        known = _version_before(spark, clusters_path, batch_id)
+        known = _version_before(spark, clusters_path, batch_id, STORED_CLUSTERS)
         texts = distinct_texts(batch, body, time)
         mined = drain_templates(texts, None if known is None else known.select(*CLUSTERS.names))
         annotated = annotate_patterns(batch, body, time, clusters=mined)
@@ -160,18 +212,6 @@ def drain_stream(logs: DataFrame, clusters_path: str, out_path: str, checkpoint:
         order = F.row_number().over(Window.partitionBy(*BUCKET).orderBy("ordinal"))
         kept = stamped if max_templates is None else stamped.withColumn("r", recent).where(F.col("r") <= max_templates)
         kept = kept.withColumn("ordinal", order - 1).select(*STORED_CLUSTERS.names)
-        kept.write.mode("overwrite").parquet(f"{clusters_path}/version={batch_id}")
+        _keep_version(kept, clusters_path, batch_id)
 
     return each_batch(logs, annotate, checkpoint, drain)
-
-
-def _version_before(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
-    schema = T.StructType([*STORED_CLUSTERS.fields, T.StructField("version", T.LongType())])
-    try:
-        stored = spark.read.schema(schema).parquet(path)
-    except Exception as error:  # the first batch finds no table
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        return None
-    latest = stored.where(F.col("version") < batch_id).agg(F.max("version")).head()[0]
-    return None if latest is None else cut(stored.where(F.col("version") == latest).drop("version"))

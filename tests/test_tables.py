@@ -54,6 +54,12 @@ def bodies(spark, texts, start):
     return spark.createDataFrame(rows, "EventId int, Timestamp string, Body string").withColumn("Timestamp", F.col("Timestamp").cast("timestamp_ntz"))
 
 
+def forget_commit(checkpoint, batch_id):
+    """The batch ran, but its end was not noted: a restart repeats it."""
+    for name in (f"{batch_id}", f".{batch_id}.crc"):
+        (checkpoint / "commits" / name).unlink()
+
+
 def test_online_templates(spark, tmp_path):
     stream = batches(spark, tmp_path, [
         bodies(spark, ["job a done ok", "other text here"], 0), bodies(spark, ["job b done ok", "job c done ok", ""], 10), bodies(spark, ["job d done ok"], 20),
@@ -77,6 +83,7 @@ def test_alert_cooldown_over_batches(spark, tmp_path):
     fired = [str(r.FiredAt)[17:19] for r in spark.read.parquet(events).orderBy("FiredAt").collect()]
     # 00:00 sees nothing before it; 00:10 fires; 00:40 is past the cooldown and fires again.
     assert fired == ["10", "40"]
+    assert sorted(p.name for p in (tmp_path / "events" / "_last").iterdir()) == ["version=1", "version=2"]
 
 
 def test_stream_dedupe_across_batches(spark, tmp_path):
@@ -85,3 +92,34 @@ def test_stream_dedupe_across_batches(spark, tmp_path):
     write = lambda b, i: b.write.mode("overwrite").parquet(f"{out}/batch={i}")
     jobs.each_batch(jobs.dedupe_events(stream), write, str(tmp_path / "cp"), drain=True).awaitTermination()
     assert sorted((r.EventId, r.Body) for r in spark.read.parquet(out).collect()) == [(0, "a"), (1, "b"), (2, "d")]
+
+
+def test_unique_against_stored_rows(spark, tmp_path):
+    """Repeats are found in the table, in later batches and later jobs; keyless rows stay."""
+    rows = lambda *r: otlp.normalize_rows(spark.createDataFrame(list(r), "EventId string, Timestamp string, Body string").withColumn(
+        "Timestamp", F.col("Timestamp").cast("timestamp_ntz")), "logs").withColumn("EventId", F.expr("nullif(EventId, 'none')"))
+    first = rows(("a", "2024-01-05", "1"), ("a", "2024-01-05", "1"), ("b", "2024-02-01", "2"), ("none", "2024-01-05", "3"), ("none", "2024-01-05", "3"), ("t", None, "4"))
+    later = rows(("b", "2024-02-01", "2"), ("c", "2024-02-01", "5"), ("a", "2024-01-05", "1"), ("t", None, "4"))
+    table = str(tmp_path / "table")
+    jobs.append_unique(batches(spark, tmp_path, [first, later]), table, str(tmp_path / "cp"), drain=True).awaitTermination()
+    got = lambda: sorted((r.EventId or "", r.Body) for r in tables.read_logs(spark, table).collect())
+    want = [("", "3"), ("", "3"), ("a", "1"), ("b", "2"), ("c", "5"), ("t", "4")]
+    assert got() == want
+    # A repeated micro-batch replaces its load: it does not take its own rows for repeats.
+    forget_commit(tmp_path / "cp", 1)
+    jobs.append_unique(spark.readStream.schema(first.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), table, str(tmp_path / "cp"), drain=True).awaitTermination()
+    assert got() == want
+
+
+def test_versions_do_not_pile_up(spark, tmp_path):
+    """After many batches two versions of templates and of last firings are left; a restart goes on from them."""
+    frames = [bodies(spark, [f"job {c} done ok"], i) for i, c in enumerate("abcdef")]
+    stream = batches(spark, tmp_path, frames)
+    paths = [str(tmp_path / n) for n in ("clusters", "out", "checkpoint")]
+    jobs.drain_stream(stream, *paths, drain=True).awaitTermination()
+    assert sorted(p.name for p in (tmp_path / "clusters").iterdir()) == ["version=4", "version=5"]
+    want = {(r.EventId, r.PatternTemplate) for r in spark.read.parquet(paths[1]).collect()}
+    forget_commit(tmp_path / "checkpoint", 5)
+    again = spark.readStream.schema(frames[0].schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    jobs.drain_stream(again, *paths, drain=True).awaitTermination()
+    assert {(r.EventId, r.PatternTemplate) for r in spark.read.parquet(paths[1]).collect()} == want
