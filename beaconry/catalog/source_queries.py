@@ -355,3 +355,21 @@ register(
     """SELECT EventId, Timestamp, SeverityText AS Severity, SeverityNumber, ServiceName AS Service, '' AS EventName, Body AS Message,
     TraceId, SpanId, CAST(to_json(LogAttributes) AS VARCHAR) AS LogAttributesJson FROM logs""",
 )
+
+
+def _written_export(spark, d):
+    """The JSON export, written and read back."""
+    path = scratch_path(spark, "export")
+    stored.write_export(stored.export_logs(t.logs(spark, d)), path, "json")
+    schema = ("eventId string, timestamp timestamp_ntz, severity string, severityNumber int, service string, eventName string, message string, "
+              "traceId string, spanId string, logAttributes map<string,string>")
+    return spark.read.schema(schema).json(path)
+
+
+register(
+    "s13_write_export_json",
+    lambda spark, d: _written_export(spark, d).withColumn("logAttributes", F.to_json("logAttributes")),
+    "logs",
+    """SELECT CAST(EventId AS VARCHAR) AS "eventId", Timestamp AS "timestamp", SeverityText AS "severity", SeverityNumber AS "severityNumber", ServiceName AS "service",
+    '' AS "eventName", Body AS "message", TraceId AS "traceId", SpanId AS "spanId", CAST(to_json(LogAttributes) AS VARCHAR) AS "logAttributes" FROM logs""",
+)

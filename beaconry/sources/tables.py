@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from beaconry import schemas
 from beaconry.operators.filters import MONTH
-from beaconry.plans.lineage import path_exists
+from beaconry.plans.lineage import path_exists, stored
 
 # Time column, sort key and bloom-filtered columns of every stored table.
 LAYOUT = {
@@ -103,17 +103,25 @@ def export_logs(df: DataFrame, cap: int | None = None) -> DataFrame:
     )
 
 
+def export_page(df: DataFrame, cap: int) -> tuple[DataFrame, bool]:
+    """The first ``cap`` export rows, written once, and whether there are more."""
+    rows = stored(export_logs(df, cap), "export")
+    return rows.orderBy(F.desc("Timestamp"), F.desc("EventId")).limit(cap), rows.count() > cap
+
+
 def write_export(rows: DataFrame, path: str, fmt: str) -> None:
-    """Write ``export_logs`` rows as csv, json / ndjson (one object per line) or xml."""
+    """Write ``export_logs`` rows as csv, json / ndjson (one object per line, names in lower camel case) or xml."""
+    # The writers' own format ends at milliseconds.
+    times = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
     if fmt == "csv":
-        rows.write.option("header", "true").option("quote", '"').option("escape", '"').csv(path)
+        rows.write.options(**times).option("header", "true").option("quote", '"').option("escape", '"').csv(path)
         return
     nested = rows.withColumn("LogAttributes", F.from_json("LogAttributesJson", "map<string,string>")).drop("LogAttributesJson")
     if fmt in ("json", "ndjson"):
-        nested.write.json(path)
+        nested.toDF(*[c[0].lower() + c[1:] for c in nested.columns]).write.options(**times).json(path)
     elif fmt == "xml":
         attributes = F.transform(F.map_entries("LogAttributes"), lambda e: F.struct(e["key"].alias("_key"), e["value"].alias("_VALUE")))
         tagged = nested.withColumn("LogAttributes", F.struct(attributes.alias("Attribute")))
-        tagged.write.format("xml").option("rootTag", "Logs").option("rowTag", "Log").save(path)
+        tagged.write.format("xml").options(**times).option("rootTag", "Logs").option("rowTag", "Log").save(path)
     else:
         raise ValueError(f"unknown export format {fmt!r}")

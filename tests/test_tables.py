@@ -31,14 +31,28 @@ def test_exports(spark, tmp_path):
     for fmt in ("csv", "json", "ndjson", "xml"):
         tables.write_export(rows, str(tmp_path / fmt), fmt)
     assert spark.read.option("header", "true").option("escape", '"').csv(str(tmp_path / "csv")).count() == 21
+    stamps = sorted(r.Timestamp.isoformat(timespec="microseconds") for r in rows.collect())
+    assert sorted(r.Timestamp for r in spark.read.option("header", "true").option("escape", '"').csv(str(tmp_path / "csv")).collect()) == stamps
+    assert sorted(json.loads(r.value)["timestamp"] for r in spark.read.text(str(tmp_path / "json")).collect()) == stamps
     first = json.loads(spark.read.text(str(tmp_path / "json")).head().value)
-    assert set(first["LogAttributes"]) == {"event_type", "k", "value"}
+    assert set(first) == {"eventId", "timestamp", "severity", "severityNumber", "service", "eventName", "message", "traceId", "spanId", "logAttributes"}
+    assert set(first["logAttributes"]) == {"event_type", "k", "value"}
     xml = spark.read.format("xml").option("rowTag", "Log").load(str(tmp_path / "xml"))
     assert xml.count() == 21 and "LogAttributes" in xml.columns
     with pytest.raises(ValueError):
         tables.write_export(rows, str(tmp_path / "x"), "xlsx")
 
 
+def test_export_pages(spark):
+    logs = t.logs(spark, SF_DIR)
+    n = logs.count()
+    for cap, truncated in ((20, True), (n - 1, True), (n, False), (n + 1, False)):
+        rows, more = tables.export_page(logs, cap)
+        assert (rows.count(), more) == (min(cap, n), truncated)
+    first = tables.export_page(logs, 5)[0].collect()
+    assert first == tables.export_logs(logs).limit(5).collect()
+
+
 def batches(spark, tmp_path, frames):
     """One file per frame, read one file per micro-batch in name order."""
     source = tmp_path / "in"
