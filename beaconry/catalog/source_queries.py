@@ -262,13 +262,12 @@ def _gaps(df, service, *columns):
     return df.withColumns({c: F.when(F.col("ServiceName") != service, F.col(c)) for c in columns})
 
 
-REGION = F.col("DataPointAttributes")["region"]
 NO_SCOPE = "ServiceName, Time AS StartTime, Time, '' AS ScopeName, 0 AS n"
-BARE = ["ServiceName", "StartTime", "Time", "ScopeName", F.size("ResourceAttributes").alias("n")]
+bare = lambda: ["ServiceName", "StartTime", "Time", "ScopeName", F.size("ResourceAttributes").alias("n")]
 register(
     "s8_normalize_gauges",
     lambda spark, d: otlp.normalize_rows(_gaps(t.gauge(spark, d), "svc-3", "MetricName", "Unit", "Value", "DataPointAttributes"), "metrics_gauge")
-    .select("MetricName", *BARE, "Unit", "Value", F.coalesce(REGION, F.lit("none")).alias("Region")),
+    .select("MetricName", *bare(), "Unit", "Value", F.coalesce(F.col("DataPointAttributes")["region"], F.lit("none")).alias("Region")),
     "gauge",
     f"""SELECT CASE WHEN ServiceName='svc-3' THEN '' ELSE MetricName END AS MetricName, {NO_SCOPE}, CASE WHEN ServiceName='svc-3' THEN '' ELSE Unit END AS Unit,
     CASE WHEN ServiceName='svc-3' THEN 0 ELSE Value END AS Value, CASE WHEN ServiceName='svc-3' THEN 'none' ELSE DataPointAttributes['region'] END AS Region FROM gauge""",
@@ -277,7 +276,7 @@ register(
     "s8_normalize_sums",
     lambda spark, d: otlp.normalize_rows(
         _gaps(t.sums(spark, d), "svc-5", "IsMonotonic").withColumn("AggregationTemporality", F.right("ServiceName", F.lit(1)).cast("int") % 4), "metrics_sum",
-    ).select("MetricName", *BARE, "Value", "AggregationTemporality", "IsMonotonic"),
+    ).select("MetricName", *bare(), "Value", "AggregationTemporality", "IsMonotonic"),
     "sums",
     f"""SELECT MetricName, {NO_SCOPE}, Value, CASE CAST(right(ServiceName, 1) AS INT) % 4 WHEN 1 THEN 'AGGREGATION_TEMPORALITY_DELTA'
     WHEN 2 THEN 'AGGREGATION_TEMPORALITY_CUMULATIVE' ELSE 'AGGREGATION_TEMPORALITY_UNSPECIFIED' END AS AggregationTemporality, ServiceName <> 'svc-5' AS IsMonotonic FROM sums""",
@@ -285,7 +284,7 @@ register(
 register(
     "s8_normalize_histograms",
     lambda spark, d: otlp.normalize_rows(_gaps(t.histogram(spark, d), "svc-2", "Count", "Sum", "BucketCounts", "ExplicitBounds"), "metrics_histogram")
-    .select("MetricName", *BARE, "AggregationTemporality", "Count", "Sum", TEXT("BucketCounts").alias("Counts"), F.size("ExplicitBounds").alias("Bounds")),
+    .select("MetricName", *bare(), "AggregationTemporality", "Count", "Sum", TEXT("BucketCounts").alias("Counts"), F.size("ExplicitBounds").alias("Bounds")),
     "histogram",
     f"""SELECT MetricName, {NO_SCOPE}, 'AGGREGATION_TEMPORALITY_UNSPECIFIED' AS AggregationTemporality, CASE WHEN ServiceName='svc-2' THEN 0 ELSE Count END AS Count,
     CASE WHEN ServiceName='svc-2' THEN 0 ELSE Sum END AS Sum, CASE WHEN ServiceName='svc-2' THEN '' ELSE array_to_string(BucketCounts, ',') END AS Counts,
