@@ -29,9 +29,9 @@ def _ngrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The hashed n-grams of all texts and the n + 1 offsets of the texts in them (two per byte)."""
     buf, offsets = joined(pc.utf8_lower(texts))
     letter = ((buf >= 97) & (buf <= 122)) | (buf >= 128)
-    # One space before each text, so that no n-gram mixes two texts' letters unseen.
-    at = np.arange(len(buf)) + np.repeat(np.arange(1, len(offsets)), np.diff(offsets))
-    clean = np.full(len(buf) + len(offsets) + 1, 32, np.uint32)
+    # Two spaces before each text, so that no n-gram holds letters of two texts.
+    at = np.arange(len(buf)) + np.repeat(2 * np.arange(1, len(offsets)), np.diff(offsets))
+    clean = np.full(len(buf) + 2 * len(offsets), 32, np.uint32)
     clean[at] = np.where(letter, buf, 32)
     two = clean[:-2] | clean[1:-1] << 8
     three = two | clean[2:] << 16
@@ -39,7 +39,7 @@ def _ngrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     shift = np.uint32(32 - (FEATURES.bit_length() - 1))
     grams[:, 0] = (two * _BIGRAM) >> shift
     grams[:, 1] = (three * _TRIGRAM) >> shift
-    return grams.ravel(), 2 * (offsets + np.arange(len(offsets)))
+    return grams.ravel(), 2 * (offsets + 2 * np.arange(len(offsets)))
 
 
 def _shares(texts: pa.Array) -> np.ndarray:

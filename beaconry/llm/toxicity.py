@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame, functions as F
 from beaconry.llm.text import add_columns, bounded_batches, hash_spans, joined, mix, ranges, slices, word_spans
 from beaconry.plans.lineage import scratch_path
 
-# Labelled documents the scorer is fitted on, and features it keeps, at most about.
-SAMPLE_DOCS, FEATURES = 20_000, 4096
+# Labelled documents the scorer is fitted on, at most about.
+SAMPLE_DOCS = 20_000
 READINGS, PIECE = 3, 64
 # Readings of spaced-out letters, where each gap may end a word, and of pieces of long tokens.
 MORE_READINGS = 8
@@ -351,13 +351,13 @@ def character_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text",
-                 label_col: str = "toxic", sample_docs: int = SAMPLE_DOCS, n_features: int = FEATURES) -> ToxicityModel:
+                 label_col: str = "toxic", sample_docs: int = SAMPLE_DOCS) -> ToxicityModel:
     """Fit on about ``sample_docs`` documents that have a label, chosen by a hash of the id.
 
     ``corpus`` (``docs`` if not given) feeds the character model. Null ids and labels teach
     nothing; several labels of an id count as the largest. A feature is kept if its excess of toxic documents
     would be rare by chance even among all features (a Chernoff bound below e**-1 / number of
-    features). Without labels, or without a toxic one, no
+    features); all such are kept, so there are as many as the labelled sample proves. Without labels, or without a toxic one, no
     feature is kept and every text gets the same score.
     """
     spark = docs.sparkSession
@@ -387,7 +387,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None =
     rest = F.when(n > t, (n - t) * F.log((n - t) / n / (1 - rate))).otherwise(0.0)
     marks = by_feature.where((t >= 3) & (t / n > rate)).withColumn("evidence", t * F.log(t / n / rate) + rest)
     marks = marks.where(F.col("evidence") >= float(np.log(max(1, by_feature.count())) + 1))
-    marks = marks.orderBy(F.desc("evidence"), "f", "l").limit(n_features).toArrow()
+    marks = marks.orderBy("f", "l").toArrow()
     hashes, levels = marks["f"].to_numpy().view(np.uint64), marks["l"].to_numpy()
     kinds, of_kind = np.unique(hashes, return_inverse=True)
     slots = np.full((len(kinds), len(LEVELS)), len(hashes))

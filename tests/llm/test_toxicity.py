@@ -7,7 +7,7 @@ import pytest
 
 from beaconry.llm.language import held_out
 from beaconry.llm.text import hash_spans, joined
-from beaconry.llm.toxicity import Decoder, ToxicityModel, fit_toxicity, score_toxicity, trigrams
+from beaconry.llm.toxicity import LOOKALIKES, MORE_READINGS, READINGS, Decoder, ToxicityModel, fit_toxicity, score_toxicity, trigrams
 
 
 @pytest.fixture(scope="module")
@@ -96,3 +96,43 @@ def test_plain_words_stay(model):
     of, hashes = model.decoder.features(pa.array([text]))
     buf, offsets = joined(pa.array(["successful", "address", "é"]))
     assert np.isin(hash_spans(buf, offsets[:-1], offsets[1:]), hashes).all() and (of == 0).all()
+
+
+def every_reading(token, cost):
+    """The least cost of every text that the lattice of a token spells, path by path."""
+    bonus, code = 2.5, lambda x: ord(x) - 96
+    edges = (0, len(token) - 1) if any(c.isalpha() for c in token) else (len(token) - 1,)
+    least = {}
+
+    def walk(i, text, a, b, spent):
+        if i == len(token):
+            spent += cost[a][b][0] if b else 0.0
+            least[text] = min(spent, least.get(text, spent))
+            return
+        c = token[i]
+        for x in c if c.isalpha() else LOOKALIKES.get(c, ""):
+            walk(i + 1, text + x, b, code(x), spent + (0.0 if c.isalpha() else 1.0) - bonus + cost[a][b][code(x)])
+            if i and token[i - 1] == c and text[-1:] == x:
+                walk(i + 1, text, a, b, spent + 0.5)
+        if c.isalpha():
+            return
+        dropped, ended = {" ": (0.7, 3.0), "\n": (6.0, 0.3)}.get(c, (0.7 if c not in LOOKALIKES or c == "*" else 3.0 if i in edges else 6.0, 4.0))
+        walk(i + 1, text, a, b, spent + dropped)
+        if b:
+            walk(i + 1, text + " ", b, 0, spent + ended + cost[a][b][0])
+
+    walk(0, "", 0, 0, 0.0)
+    return least
+
+
+def test_every_path():
+    rng = np.random.default_rng(3)
+    decoder = Decoder(rng.integers(0, 50, 28 ** 3).astype(float))
+    tokens = ["1d10t", "a m o", "s.c.u.m", "iii", "@$$", "m\nn o", "w0**3", "!a!", "1", "aab.bb", ""]
+    tokens += ["".join(rng.choice(list("aabi10$!*. -\n"), rng.integers(1, 7))) for _ in range(150)]
+    for token in tokens:
+        least = every_reading(token, decoder.cost)
+        keep = MORE_READINGS if " " in token or "\n" in token else READINGS
+        got = decoder.readings(token)
+        assert len(set(got)) == len(got) == min(keep, len(least)), token
+        assert np.allclose([least[text] for text in got], sorted(least.values())[:keep]), token
