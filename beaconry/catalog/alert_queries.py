@@ -49,6 +49,16 @@ register(
     """SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY Id ORDER BY UpdatedAt DESC, InsertOrdinal DESC) AS rn
     FROM rule_versions) WHERE rn=1 AND NOT IsDeleted""",
 )
+register(
+    "h1_saved_views",
+    lambda spark, d: ops.latest_versions(
+        t.rule_versions(spark, d).withColumn("PageType", F.when(F.col("InsertOrdinal") % 3 == 0, "Logs").otherwise("Traces")),
+        tiebreak="InsertOrdinal", page_type="Logs").select("Id", "Name", "PageType", "UpdatedAt").orderBy("Name"),
+    "rule_versions",
+    """SELECT Id, Name, PageType, UpdatedAt FROM (SELECT *, CASE WHEN InsertOrdinal % 3 = 0 THEN 'Logs' ELSE 'Traces' END AS PageType,
+    row_number() OVER (PARTITION BY Id ORDER BY UpdatedAt DESC, InsertOrdinal DESC) AS rn FROM rule_versions)
+    WHERE rn=1 AND NOT IsDeleted AND PageType='Logs'""",
+)
 register(
     "h2_count_matching",
     lambda spark, d: ops.count_matching(current_rules(spark, d), t.logs(spark, d), AT).select("Id", "WindowSeconds", "ObservedCount"),

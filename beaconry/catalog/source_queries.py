@@ -4,7 +4,7 @@ Export requests and scrape texts are derived from the supplied events, eight eve
 and read back through the sources; the oracles state the rows directly.
 """
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from beaconry.catalog import tables as t
 from beaconry.catalog.tables import oracle
@@ -347,6 +347,27 @@ register(
     .groupBy("month", F.col("_metadata.file_path").alias("f")).agg(F.count(F.lit(1)).alias("n")).groupBy("month").agg(F.sum("n").alias("Rows")),
     "logs", "SELECT strftime(Timestamp, '%Y-%m') AS month, count(*) AS Rows FROM logs GROUP BY 1",
 )
+
+
+def _layout(spark, d):
+    """Per month: rows, rows out of order in their file, files that begin before an earlier one ends."""
+    path = scratch_path(spark, "table-layout")
+    stored.write_telemetry(otlp.normalize_rows(t.logs(spark, d), "logs"), path, "logs", rows_per_task=5000)
+    key = F.struct(*stored.LAYOUT["logs"][1]).alias("key")
+    rows = spark.read.parquet(path).select("month", key, F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("i"))
+    before = F.lag("key").over(Window.partitionBy("f").orderBy("i"))
+    files = rows.withColumn("off", (before > F.col("key")).cast("int")).groupBy("month", "f").agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("off"), F.lit(0)).alias("off"), F.min("key").alias("first"), F.max("key").alias("last"))
+    overlaps = F.lag("last").over(Window.partitionBy("month").orderBy("first")) > F.col("first")
+    return files.withColumn("over", overlaps.cast("int")).groupBy("month").agg(
+        F.sum("n").alias("Rows"), F.sum("off").alias("OutOfOrder"), F.coalesce(F.sum("over"), F.lit(0)).alias("Overlapping"))
+
+
+register(
+    "s12_layout", _layout, "logs",
+    """SELECT strftime(Timestamp, '%Y-%m') AS month, count(*) AS Rows, CAST(0 AS BIGINT) AS OutOfOrder, CAST(0 AS BIGINT) AS Overlapping
+    FROM logs GROUP BY 1""",
+)
 register(
     "s13_export_logs",
     lambda spark, d: stored.export_logs(t.logs(spark, d)),

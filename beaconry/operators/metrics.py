@@ -20,17 +20,18 @@ def metric_names(gauge: DataFrame, sums: DataFrame, histogram: DataFrame) -> Dat
 
     Points are first reduced to distinct series, so the counting works on series.
     """
-    parts = []
-    for kind, df in (("gauge", gauge), ("sum", sums), ("histogram", histogram)):
-        series = df.select(
-            "MetricName", "ServiceName", "Unit", "Description", F.sort_array(F.map_entries("DataPointAttributes")).alias("a")
-        ).distinct()
-        per_series = series.groupBy("MetricName", "ServiceName", "a").agg(
-            F.min("Unit").alias("Unit"), F.min("Description").alias("Description"))
-        per_metric = per_series.groupBy("MetricName", "ServiceName").agg(
-            F.min("Unit").alias("Unit"), F.min("Description").alias("Description"), F.count(F.lit(1)).alias("SeriesCount"))
-        parts.append(per_metric.select("MetricName", "ServiceName", F.lit(kind).alias("Type"), "Unit", "Description", "SeriesCount"))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).orderBy("MetricName", "ServiceName", "Type")
+    points = [
+        df.select(
+            "MetricName", "ServiceName", F.lit(kind).alias("Type"), "Unit", "Description",
+            F.sort_array(F.map_entries("DataPointAttributes")).alias("a"),
+        )
+        for kind, df in (("gauge", gauge), ("sum", sums), ("histogram", histogram))
+    ]
+    metric, texts = ["MetricName", "ServiceName", "Type"], [F.min(c).alias(c) for c in ("Unit", "Description")]
+    # All kinds go through the same exchanges.
+    series = points[0].unionByName(points[1]).unionByName(points[2]).distinct()
+    per_series = series.groupBy(*metric, "a").agg(*texts)
+    return per_series.groupBy(*metric).agg(*texts, F.count(F.lit(1)).alias("SeriesCount")).orderBy(*metric)
 
 
 def metric_attribute_keys(df: DataFrame, metric: str, approximate: bool = False) -> DataFrame:

@@ -23,6 +23,8 @@ LAYOUT = {
 
 
 LOAD = "load"
+# Rows that a writing task sorts, about.
+ROWS_PER_TASK = 250_000
 
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
@@ -68,20 +70,23 @@ def with_month(df: DataFrame, time_column: str) -> DataFrame:
 
 
 def write_telemetry(df: DataFrame, path: str, kind: str, mode: str = "append", partitions: int | None = None,
-                    max_records_per_file: int = 5_000_000, load: str | None = None) -> None:
+                    max_records_per_file: int = 5_000_000, load: str | None = None, rows_per_task: int = ROWS_PER_TASK) -> None:
     """Add to one table: a folder per month and load, files sorted by the table's key.
 
     ``mode`` append adds a load, named ``load`` or a new name; a load of that name is replaced in
     the months that it has rows of. ``mode`` overwrite replaces the table.
 
     Rows are range-partitioned by (month, key), so a busy month is spread over many tasks
-    and files, each covering a narrow key range that row-group statistics can skip. A task
+    and files, each covering a narrow key range that row-group statistics can skip. There are
+    ``partitions`` tasks, or as many as the counted rows need at ``rows_per_task``: one file a month
+    for a small micro-batch, and tasks that do not grow with the table. A task
     starts a new file after ``max_records_per_file`` rows, so files do not grow with the table.
     """
     time_column, key, bloom = LAYOUT[kind]
     order = [MONTH, *[k for k in key if k in df.columns]]
     dated = with_month(df, time_column)
-    ranged = dated.repartitionByRange(partitions, *order) if partitions else dated.repartitionByRange(*order)
+    partitions = partitions or max(1, -(-df.count() // rows_per_task))
+    ranged = dated.repartitionByRange(partitions, *order)
     loaded = ranged.sortWithinPartitions(*order).withColumn(LOAD, F.lit(load or uuid.uuid4().hex))
     writer = loaded.write.mode("overwrite").option("partitionOverwriteMode", "static" if mode == "overwrite" else "dynamic")
     writer = writer.option("maxRecordsPerFile", max_records_per_file).partitionBy(MONTH, LOAD)
