@@ -256,7 +256,16 @@ def backtest_alerts(rules: DataFrame, logs: DataFrame, start, end, poll_s: int =
     ticks = max(0, -(-int((end - start).total_seconds()) // poll_s))
     keyed = _usable(rules)
     stretches = _tick_counts(keyed, logs, start, end, poll_s, ticks)
-    breached = keyed.join(stretches, ["_condition", "_w"]).where(is_breached())
+    at = add_seconds(ntz(start), F.col("_k") * F.lit(poll_s))
+    breached = lambda rules: rules.join(stretches, ["_condition", "_w"]).where(is_breached())
+    # A rule whose cooldown is over by the next tick fires at every breached one; ticks of others are walked in turn.
+    waits = F.coalesce(F.max("CooldownSeconds") > poll_s, F.lit(True)) | (F.count(F.lit(1)) > 1)
+    named = keyed.where(F.col("Id").isNotNull())
+    paced = cut(named.groupBy("Id").agg(waits.alias("_waits")).where("_waits").select("Id"))
+    every = lambda rules: breached(rules).withColumn("_k", F.explode(F.sequence("k", F.col("k_end") - 1))).select(*_firing(at))
+    if paced.isEmpty():
+        return every(named)
+    keyed = named.join(paced, "Id", "left_semi")
     schema = T.StructType([rules.schema["Id"], T.StructField("_k", T.LongType()), T.StructField("ObservedCount", T.LongType())])
 
     def fire(columns, first, last, out):
@@ -270,9 +279,8 @@ def backtest_alerts(rules: DataFrame, logs: DataFrame, start, end, poll_s: int =
                 out["ObservedCount"].append(columns["ObservedCount"][i])
                 tick = ready = tick + wait
 
-    slim = breached.select("Id", "CooldownSeconds", "k", "k_end", "ObservedCount")
+    slim = breached(keyed).select("Id", "CooldownSeconds", "k", "k_end", "ObservedCount")
     fired = map_groups(slim, ["Id"], ["k"], fire, schema).join(
         broadcast_if_small(keyed.select("Id", "Name", "ThresholdComparator", "ThresholdCount", "WindowSeconds")), "Id"
     )
-    at = add_seconds(ntz(start), F.col("_k") * F.lit(poll_s))
-    return fired.select(*_firing(at))
+    return every(named.join(paced, "Id", "left_anti")).unionByName(fired.select(*_firing(at)))
