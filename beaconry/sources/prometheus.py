@@ -10,7 +10,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, functions as F
 
 from beaconry.functions.attributes import NUMBER_PATTERN, sorted_map
-from beaconry.functions.columns import let
+from beaconry.functions.columns import as_column, let, once
 from beaconry.functions.times import from_unix_milli
 
 # Possessive groups: a line either fits from left to right or is malformed.
@@ -21,6 +21,8 @@ _UNGROUPED_PAIR = _PAIR.replace("((?>", "(?:(?>").replace("([^=", "(?:[^=")
 _LABELS = rf"\{{[\s,]*+(?:{_UNGROUPED_PAIR}[\s,]*+)*+\}}"
 SAMPLE_LINE = rf"^([^{{\s]++)({_LABELS})?\s*+(\S++)(?:\s++([+-]?[0-9]++))?\s*+$"
 SUFFIX = r"_(bucket|sum|count)$"
+# The characters of \s in these patterns.
+_BLANKS = " \t\n\x0b\f\r"
 DIRECTIVE_LINE = r"^#\s*(TYPE|HELP) \s*([^ ]+) (.*)$"
 # Declared metric types; anything else reads as untyped.
 METRIC_TYPES = ("counter", "gauge", "histogram", "summary", "untyped")
@@ -50,7 +52,7 @@ def _unescape(text: Column, quotes: bool) -> Column:
 
 def _last_wins(entries: Column) -> Column:
     """Key-value entries to a map; of repeated keys the last one stays. Sorted, so that an entry is only held against the next."""
-    numbered = F.array_sort(F.transform(entries, lambda e, i: F.named_struct(F.lit("key"), e["key"], F.lit("i"), i, F.lit("value"), e["value"])))
+    numbered = F.sort_array(F.transform(entries, lambda e, i: F.named_struct(F.lit("key"), e["key"], F.lit("i"), i, F.lit("value"), e["value"])))
 
     def keep(es):
         last = F.filter(es, lambda e, i: F.coalesce(F.get(es, i + 1)["key"] != e["key"], F.lit(True)))
@@ -59,22 +61,26 @@ def _last_wins(entries: Column) -> Column:
     return let(numbered, keep)
 
 
-def label_map(block: Column) -> Column:
-    """``{a="x",b="y"}`` to a map."""
-    inner = F.substr(block, F.lit(2), F.greatest(F.length(block) - 2, F.lit(0)))
-    # Each pair is cut out once, then split; unescaping only where there is a backslash.
-    pair = rf"^{_KEY}\s*+=\s*+{_QUOTED}$"
-    value = lambda p: let(F.regexp_extract(p, pair, 2), lambda v: F.when(v.contains("\\"), _unescape(v, True)).otherwise(v))
-    entries = F.transform(
-        F.regexp_extract_all(inner, F.lit(f"({_UNGROUPED_PAIR})"), F.lit(1)),
-        lambda p: F.named_struct(F.lit("key"), F.regexp_extract(p, pair, 1), F.lit("value"), value(p)),
+def label_lists(block: Column) -> dict[str, Column]:
+    """The keys and the escaped values of ``{a="x",b="y"}``, in order; none where there is no block."""
+    inner = F.substr(F.coalesce(block, F.lit("")), F.lit(2), F.greatest(F.length(block) - 2, F.lit(0)))
+    return {"_keys": F.regexp_extract_all(inner, F.lit(_PAIR), F.lit(1)), "_values": F.regexp_extract_all(inner, F.lit(_PAIR), F.lit(2))}
+
+
+def label_map(block: Column, keys: Column, values: Column) -> Column:
+    """The lists of a block as map. Values are unescaped only where there is a backslash; the last of equal keys is looked for only where keys repeat."""
+    plain = F.transform(values, lambda v: F.when(v.contains("\\"), _unescape(v, True)).otherwise(v))
+    zipped = lambda vs: F.arrays_zip(keys.alias("key"), vs.alias("value"))
+    named = lambda vs: F.transform(zipped(vs), lambda e: F.named_struct(F.lit("key"), e["key"], F.lit("value"), e["value"]))
+    return (
+        F.when(F.size(F.array_distinct(keys)) < F.size(keys), _last_wins(named(plain)))
+        .when(F.coalesce(block, F.lit("")).contains("\\"), F.map_from_entries(F.sort_array(zipped(plain))))
+        .otherwise(F.map_from_entries(F.sort_array(zipped(values))))
     )
-    empty = F.create_map().cast("map<string,string>")
-    return F.when(F.coalesce(F.length(block), F.lit(0)) <= 2, empty).otherwise(_last_wins(entries))
 
 
 def _with_directives(scrapes: DataFrame) -> DataFrame:
-    lines = F.transform(F.split("Body", "\n"), lambda line: F.regexp_replace(line, r"^\s+|\s+$", ""))
+    lines = F.transform(F.split("Body", "\n"), lambda line: F.trim(line, F.lit(_BLANKS)))
     scrapes = scrapes.withColumn("_lines", lines)
     scrapes = scrapes.withColumn("_comments", F.filter("_lines", lambda l: l.startswith("#") & l.rlike(DIRECTIVE_LINE)))
     kind = lambda v: F.when(F.trim(v).isin(*METRIC_TYPES), F.trim(v)).otherwise("untyped")
@@ -98,43 +104,39 @@ def prometheus_samples(scrapes: DataFrame) -> DataFrame:
     scrapes = _with_directives(scrapes)
     samples = F.filter("_lines", lambda l: (l != "") & ~l.startswith("#"))
 
-    # One pass of the line pattern cuts out all parts; a malformed line stays in one piece.
-    parts_of = lambda line: F.split(F.regexp_replace(line, SAMPLE_LINE, _PARTS), _CUT)
-
-    def looked_up(line, i):
-        family = lambda p: F.regexp_replace(F.get(p, 0), SUFFIX, "")
-        return let(parts_of(line), lambda p: let(F.named_struct(F.lit("n"), F.get(p, 0), F.lit("f"), family(p)), lambda k: F.named_struct(
-            F.lit("parts"), p, F.lit("LineNumber"), i, F.lit("Name"), k["n"],
-            F.lit("Type"), F.coalesce(F.col("_types")[k["n"]], F.lit("untyped")), F.lit("Help"), F.col("_help")[k["n"]],
-            F.lit("Family"), k["f"], F.lit("FamilyType"), F.col("_types")[k["f"]], F.lit("FamilyHelp"), F.col("_help")[k["f"]],
-        )))
-
     kept = [c for c in scrapes.columns if c not in ("Body", "_lines", "_types", "_help")]
-    rows = scrapes.select(*kept, F.inline(F.transform(samples, looked_up))).where(F.size("parts") == 4)
-    part = lambda n: F.get("parts", n)
-    parsed = rows.select(
-        *kept, "LineNumber", "Name", part(1).alias("_block"), sample_value(part(2)).alias("Value"), part(3).alias("_time"),
-        "Type", "Help", "Family", "FamilyType", "FamilyHelp",
-    )
+    rows = scrapes.select(*kept, "_types", "_help", F.posexplode(samples).alias("LineNumber", "_line"))
+    # One pass of the line pattern cuts out all parts; a malformed line stays in one piece. Each step is
+    # computed once a line, and filters on names and types come before the labels are read.
+    parts = F.split(F.regexp_replace("_line", SAMPLE_LINE, _PARTS), _CUT)
+    rows = once(rows, _parts=parts).drop("_line")
+    part = lambda n: F.get("_parts", n)
+    rows = once(rows.where(F.size("_parts") == 4), Name=part(0), Family=F.regexp_replace(part(0), SUFFIX, ""), _block=part(1), Value=sample_value(part(2)), _time=part(3)).drop("_parts")
     stamp = F.when(F.col("_time") != "", F.col("_time").try_cast("bigint"))
     usable = F.col("Value").isNotNull() & ((F.col("_time") == "") | stamp.isNotNull())
-    return parsed.where(usable).select(
-        *kept, "LineNumber", "Name", label_map(F.col("_block")).alias("Labels"), "Value", stamp.alias("TimestampMs"),
-        "Type", "Help", "Family", "FamilyType", "FamilyHelp",
+    typed = rows.where(usable).select(
+        *kept, "LineNumber", "Name", "_block", "Value", stamp.alias("TimestampMs"),
+        F.coalesce(F.col("_types")[F.col("Name")], F.lit("untyped")).alias("Type"), F.col("_help")[F.col("Name")].alias("Help"),
+        "Family", F.col("_types")[F.col("Family")].alias("FamilyType"), F.col("_help")[F.col("Family")].alias("FamilyHelp"),
+    )
+    listed = once(typed, **label_lists(F.col("_block")))
+    return once(listed, Labels=label_map(F.col("_block"), F.col("_keys"), F.col("_values"))).select(
+        *kept, "LineNumber", "Name", "Labels", "Value", "TimestampMs", "Type", "Help", "Family", "FamilyType", "FamilyHelp",
     )
 
 
-def resource_attributes() -> Column:
+def resource_attributes(job="Job", url="Url", labels="TargetLabels") -> Column:
     """service.name from the job, service.instance.id from the URL, target labels on top."""
-    host = F.regexp_extract("Url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/:?#]+)", 1)
-    port = F.regexp_extract("Url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/:?#]+:([0-9]+)", 1)
-    default_port = F.when(F.col("Url").startswith("https:"), "443").otherwise("80")
+    job, url, labels = as_column(job), as_column(url), as_column(labels)
+    host = F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/:?#]+)", 1)
+    port = F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/:?#]+:([0-9]+)", 1)
+    default_port = F.when(url.startswith("https:"), "443").otherwise("80")
     instance = F.concat(host, F.lit(":"), F.when(port != "", port).otherwise(default_port))
     own = F.filter(F.array(
-        F.struct(F.lit("service.name").alias("key"), F.col("Job").alias("value")),
+        F.struct(F.lit("service.name").alias("key"), job.alias("value")),
         F.struct(F.lit("service.instance.id").alias("key"), F.when(host != "", instance).alias("value")),
     ), lambda e: e["value"].isNotNull())
-    labels = F.coalesce("TargetLabels", F.create_map().cast("map<string,string>"))
+    labels = F.coalesce(labels, F.create_map().cast("map<string,string>"))
     free = F.filter(own, lambda e: ~F.map_contains_key(labels, e["key"]))
     return F.map_from_entries(F.concat(free, F.map_entries(labels)))
 
@@ -185,7 +187,8 @@ def prometheus_histograms(samples: DataFrame) -> DataFrame:
     labels = sorted_map(F.map_filter("Labels", lambda k, v: k != "le"))
     rows = samples.where(_in_histogram()).withColumns({
         "_labels": F.when(_is_bucket(), labels).otherwise(sorted_map("Labels")),
-        "_role": F.regexp_extract("Name", SUFFIX, 1), "_resource": F.to_json(sorted_map(resource_attributes())),
+        "_role": F.substring_index("Name", "_", -1),
+        "_target": F.struct("Job", "Url", F.sort_array(F.map_entries("TargetLabels")).alias("TargetLabels")),
     })
     when = lambda role, value: F.when(F.col("_role") == role, value)
     last = lambda role: F.max(when(role, F.struct("LineNumber", "Value")))["Value"]
@@ -196,9 +199,11 @@ def prometheus_histograms(samples: DataFrame) -> DataFrame:
             sample_value(F.col("Labels")["le"]).alias("le"), F.col("LineNumber"), F.col("Value").alias("v")
         )))).alias("b"),
         last("sum").alias("_sum"), last("count").alias("_count"), F.min(timed)["TimestampMs"].alias("_ms"),
-        F.min("_resource").alias("_resource"), F.min("FamilyHelp").alias("_help"), F.min("ScrapeTime").alias("ScrapeTime"),
+        F.collect_set("_target").alias("_targets"), F.min("FamilyHelp").alias("_help"), F.min("ScrapeTime").alias("ScrapeTime"),
     )
-    folded = folded.withColumn("ResourceAttributes", F.from_json("_resource", "map<string,string>"))
+    # One target, unless scrapes share their id.
+    resources = F.transform("_targets", lambda x: F.to_json(sorted_map(resource_attributes(x["Job"], x["Url"], F.map_from_entries(x["TargetLabels"])))))
+    folded = once(folded, ResourceAttributes=F.from_json(F.array_min(resources), "map<string,string>"))
     delta = lambda x, i: x["v"] - F.when(i == 0, 0.0).otherwise(F.get("b", i - 1)["v"])
     counts = F.transform("b", lambda x, i: _count(delta(x, i)))
     bounds = F.filter(F.transform("b", lambda x: x["le"]), lambda le: le != float("inf"))
@@ -218,7 +223,9 @@ def prometheus_points(scrapes: DataFrame) -> PrometheusFrames:
     families are dropped and named.
     """
     samples = prometheus_samples(scrapes)
-    single = samples.where(~_in_histogram() & ~_in_summary()).withColumn("ResourceAttributes", resource_attributes())
+    # The resource is computed once a scrape, and carried along by its samples.
+    resourced = prometheus_samples(once(scrapes, ResourceAttributes=resource_attributes()))
+    single = resourced.where(~_in_histogram() & ~_in_summary())
     time = F.coalesce(from_unix_milli(F.col("TimestampMs")), F.col("ScrapeTime"))
     common = _common(F.col("Name"), F.col("Help"), F.col("Labels"), time)
     # Declared summaries, and samples that carry a histogram's own name.

@@ -21,6 +21,17 @@ def scrapes(spark, body):
         "ScrapeId long, Job string, Url string, TargetLabels map<string,string>, ScrapeTime timestamp_ntz, Body string")
 
 
+def test_lines_and_labels_are_read_once(spark):
+    body = '# TYPE g gauge\ng{ a = "x\\"=\\\\" ,b="1",a="\\n"} 5\nbad{ 1\ng{c="",b="z"} 6 7\nh{} 1'
+    frames = prometheus.prometheus_points(scrapes(spark, body))
+    # Keys and values, and the parts of a line: one pass each, none again in a filter.
+    plan = optimized(frames.gauge)
+    assert plan.count("regexp_extract_all(") == 2 and plan.count(prometheus.SAMPLE_LINE) == 1
+    assert optimized(frames.histogram).count("regexp_extract_all(") == 2
+    rows = sorted((r.MetricName, r.Value, r.DataPointAttributes) for r in frames.gauge.collect())
+    assert rows == [("g", 5.0, {"a": "\n", "b": "1"}), ("g", 6.0, {"b": "z", "c": ""}), ("h", 1.0, {})]
+
+
 def test_rules_without_a_wait_need_no_walk(spark):
     logs, rows = make_logs(spark, 300, 2)
     rules, raw = make_rules(spark, windows=(95, 3600))
