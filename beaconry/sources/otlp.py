@@ -9,6 +9,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from beaconry import schemas
+from beaconry.functions.columns import let
 from beaconry.functions.numbers import invariant_double_sql
 from beaconry.functions.times import from_unix_nano
 
@@ -278,7 +279,8 @@ def quarantine(requests: DataFrame, kind: str, column: str = "value") -> tuple[D
     """(decodable, undecodable) requests. Decoding is deterministic, so nothing is retried."""
     schema = T.StructType([*REQUEST_SCHEMAS[kind].fields, T.StructField("_corrupt", _S)])
     decoded = F.from_json(column, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    bad = F.col(column).isNull() | (F.trim(F.col(column)) == "") | decoded.isNull() | decoded["_corrupt"].isNotNull()
+    undecodable = let(decoded, lambda request: request.isNull() | request["_corrupt"].isNotNull())
+    bad = F.col(column).isNull() | (F.trim(F.col(column)) == "") | undecodable
     flagged = requests.withColumn("_bad", bad)
     return flagged.where(~F.col("_bad")).drop("_bad"), flagged.where(F.col("_bad")).drop("_bad")
 

@@ -18,7 +18,7 @@ from beaconry.operators.filters import (
 )
 from beaconry.operators.ingest import minute_counters
 from beaconry.operators.patterns import BUCKET, CLUSTERS, annotate_patterns, distinct_texts, drain_templates
-from beaconry.plans.lineage import path_exists, remove_path
+from beaconry.plans.lineage import path_exists, remove_path, scratch_path
 from beaconry.sources.tables import LAYOUT, LOAD, MONTH, read_months, write_telemetry
 from beaconry.schemas import ALERT_EVENTS
 
@@ -41,8 +41,20 @@ def each_batch(stream: DataFrame, write: Callable[[DataFrame, int], None], check
 
 
 def append_telemetry(stream: DataFrame, path: str, checkpoint: str, kind: str, drain: bool = False):
-    """Append flat rows to a stored table, in its layout; a repeated micro-batch replaces its load."""
-    write = lambda batch, batch_id: write_telemetry(batch, path, kind, load=_load(checkpoint, batch_id))
+    """Append flat rows to a stored table, in its layout; a repeated micro-batch replaces its load.
+
+    The writer counts, samples and sorts a batch, so its rows are decoded once, into the shared folder.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        decoded = scratch_path(batch.sparkSession, "decoded")
+        try:
+            batch.write.parquet(decoded)
+            rows = batch.sparkSession.read.schema(batch.schema).parquet(decoded)
+            write_telemetry(rows, path, kind, load=_load(checkpoint, batch_id))
+        finally:
+            remove_path(batch.sparkSession, decoded)
+
     return each_batch(stream, write, checkpoint, drain)
 
 

@@ -57,3 +57,17 @@ def test_rules_without_a_wait_need_no_walk(spark):
     assert fired(every) == sorted(expected(lambda _: poll)) != []
     mixed = got(F.when(F.col("Id") % 2 == 0, 0).otherwise(poll + 1))
     assert fired(mixed) == sorted(expected(lambda i: 0 if i % 2 == 0 else poll + 1))
+
+
+def test_a_batch_is_decoded_once(spark, tmp_path, monkeypatch):
+    requests = ['{"resourceLogs":[{"scopeLogs":[{"logRecords":[{"timeUnixNano":"1704067200000000000","body":{"stringValue":"x"}}]}]}]}', "broken"]
+    spark.createDataFrame([(r,) for r in requests], "value string").write.text(str(tmp_path / "in"))
+    good, bad = otlp.quarantine(spark.read.text(str(tmp_path / "in")), "logs")
+    assert (good.count(), bad.count()) == (1, 1)
+    assert optimized(good).count("from_json(") == 1
+    plans, write = [], jobs.write_telemetry
+    monkeypatch.setattr(jobs, "write_telemetry", lambda rows, *a, **b: (plans.append(optimized(rows)), write(rows, *a, **b)))
+    streamed, _ = otlp.quarantine(jobs.read_requests(spark, str(tmp_path / "in")), "logs")
+    jobs.append_telemetry(otlp.otlp_logs(streamed), str(tmp_path / "t"), str(tmp_path / "c"), "logs", drain=True).awaitTermination()
+    assert len(plans) == 1 and "from_json" not in plans[0]
+    assert [r.Body for r in spark.read.parquet(str(tmp_path / "t")).collect()] == ["x"]
