@@ -16,6 +16,8 @@ changes nothing, now or later, because templates only ever widen. So:
 """
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from beaconry.functions.masking import WILDCARD, mask_body, normalized, pattern_id
@@ -57,10 +59,12 @@ def distinct_texts(logs: DataFrame, body: str = "Body", time: str = "Timestamp",
     ))
 
 
-def _coded(rows: list[list[str]]) -> tuple[np.ndarray, list[str]]:
-    """Token numbers, 0 for the wildcard, and the tokens in number order."""
-    codes = {WILDCARD: 0}
-    return np.array([[codes.setdefault(w, len(codes)) for w in row] for row in rows], dtype=np.int32), list(codes)
+def _coded(texts: list[str]) -> tuple[np.ndarray, pa.Array]:
+    """Token numbers, 0 for the wildcard, and the tokens in number order. Tokens stay in Arrow: one Python text each takes several times its bytes."""
+    tokens = pc.split_pattern(pa.array(texts, pa.large_string()), " ").flatten()
+    words = pa.concat_arrays([pa.array([WILDCARD], pa.large_string()), tokens]).dictionary_encode()
+    codes = words.indices.to_numpy()[1:].astype(np.int32, copy=False)
+    return codes.reshape(len(texts), -1), words.dictionary
 
 
 def _most_similar(templates: np.ndarray, row: np.ndarray) -> tuple[int, int]:
@@ -75,7 +79,7 @@ def _most_similar(templates: np.ndarray, row: np.ndarray) -> tuple[int, int]:
 def _mine_bucket(similarity: float):
     def mine(columns, first, last, out):
         n_known = sum(columns["known"][first:last])
-        coded, words = _coded([t.split(" ") for t in columns["text"][first:last]])
+        coded, words = _coded(columns["text"][first:last])
         width = coded.shape[1]
         # A column per template: one text meets all templates position by position.
         templates = np.empty((width, n_known + 16), dtype=np.int32)
@@ -96,7 +100,7 @@ def _mine_bucket(similarity: float):
             out["n_tokens"].append(columns["n_tokens"][first])
             out["first_token"].append(columns["first_token"][first])
             out["ordinal"].append(ordinal)
-            out["template"].append(" ".join(words[c] for c in template))
+            out["template"].append(" ".join(words.take(pa.array(template)).to_pylist()))
 
     return mine
 
@@ -109,7 +113,7 @@ _SCORES = T.StructType([
 def _score_block(similarity: float):
     def score(columns, first, last, out):
         n_known = sum(columns["known"][first:last])
-        coded, _ = _coded([t.split(" ") for t in columns["text"][first:last]])
+        coded, _ = _coded(columns["text"][first:last])
         templates, width = np.ascontiguousarray(coded[:n_known].T), coded.shape[1]
         for i, row in enumerate(coded[n_known:] if n_known else (), first + n_known):
             best, agree = _most_similar(templates, row)

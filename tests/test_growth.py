@@ -71,3 +71,14 @@ def test_a_batch_is_decoded_once(spark, tmp_path, monkeypatch):
     jobs.append_telemetry(otlp.otlp_logs(streamed), str(tmp_path / "t"), str(tmp_path / "c"), "logs", drain=True).awaitTermination()
     assert len(plans) == 1 and "from_json" not in plans[0]
     assert [r.Body for r in spark.read.parquet(str(tmp_path / "t")).collect()] == ["x"]
+
+
+def test_tokens_of_a_block_stay_in_arrow():
+    texts = [" ".join(f"word{(i * 7 + k) % 5000:05d}" for k in range(499)) + " <*>" for i in range(400)]
+    tracemalloc.start()
+    codes, words = patterns._coded(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 24 * codes.size
+    assert codes.shape == (400, 500) and (codes[:, -1] == 0).all()
+    assert [" ".join(words[c].as_py() for c in row) for row in codes[:3]] == texts[:3]
