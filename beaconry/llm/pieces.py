@@ -17,11 +17,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from beaconry.llm.text import add_columns, hash_spans, joined, mix, ranges
+from beaconry.llm.text import Packed, add_columns, hash_spans, joined, mix, ranges
 
 _SPACE = "▁"
 # Cells of a lattice (words x places x lengths) held at once, and bytes of text.
 CELLS, CHUNK_BYTES = 1_000_000, 2 << 20
+# Words that a task remembers, and leading bits of a hash that are looked at before the keys are searched.
+REMEMBERED, LEADING = 500_000, 20
 _NONE = np.float64(-np.inf)
 
 
@@ -64,10 +66,17 @@ class PieceModel:
     def keys(self) -> tuple[np.ndarray, np.ndarray]:
         """Sorted hashes of the usable pieces, and their ids."""
         ids = np.flatnonzero(self.usable)
-        hashes = np.array([_hash_text(self.pieces[i]) for i in ids], np.uint64)
+        hashes = _hashes(*_code_points([self.pieces[i] for i in ids]))
         order = np.argsort(hashes)
         return hashes[order], ids[order]
 
+    @cached_property
+    def leading(self) -> np.ndarray:
+        """Which leading bits some key has; most substrings of a word have others."""
+        out = np.zeros(1 << LEADING, bool)
+        out[self.keys[0] >> np.uint64(64 - LEADING)] = True
+        return out
+
     @cached_property
     def alone(self) -> np.ndarray:
         """ASCII bytes that are in no piece of several characters; words can be cut at them."""
@@ -92,16 +101,17 @@ class PieceModel:
         hashes = np.zeros((n, size), np.uint64)
         for length in range(1, out.shape[2] + 1):
             hashes = mix(hashes[:, :size - length + 1] + chars[:, length - 1:].astype(np.uint64))
-            at = np.searchsorted(keys, hashes)
+            rows, starts = np.nonzero(self.leading[hashes >> np.uint64(64 - LEADING)])
+            own = hashes[rows, starts]
+            at = np.searchsorted(keys, own)
             at[at == len(keys)] = 0
-            found = keys[at] == hashes
-            out[:, :size - length + 1, length - 1] = np.where(found, ids[at], -1)
+            found = keys[at] == own
+            out[rows[found], starts[found], length - 1] = ids[at[found]]
         return out
 
-    def viterbi(self, chars: np.ndarray) -> np.ndarray:
+    def viterbi(self, lattice: np.ndarray) -> np.ndarray:
         """End of the piece that starts at each place of each word, 0 where none starts."""
-        n, size = chars.shape
-        lattice = self.lattice(chars)
+        n, size = lattice.shape[:2]
         scores = np.append(self.scores, _NONE)[lattice]
         unknown = self.scores[self.usable].min() - 10
         scores[:, :, 0] = np.where(lattice[:, :, 0] < 0, unknown, scores[:, :, 0])
@@ -125,10 +135,9 @@ class PieceModel:
             todo = todo[start > 0]
         return ends
 
-    def merges(self, chars: np.ndarray) -> np.ndarray:
+    def merges(self, lattice: np.ndarray) -> np.ndarray:
         """The same for BPE: in every round each word makes its best merge, the leftmost of equal ones."""
-        n, size = chars.shape
-        lattice = self.lattice(chars)
+        n, size = lattice.shape[:2]
         ends = np.tile(np.arange(1, size + 1), (n, 1))
         before = np.tile(np.arange(-1, size - 1), (n, 1))
         scores = np.append(self.scores, _NONE)
@@ -166,41 +175,68 @@ class PieceModel:
 
     def words(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each word (in which a space is written as its piece)."""
-        out: list = [None] * len(texts)
-        sizes = np.array([len(t) for t in texts])
+        ids, counts = self._spelled(*_code_points(texts))
+        return np.split(ids, np.cumsum(counts)[:-1]) if texts else []
+
+    def _spelled(self, chars: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words whose code points follow each other, and how many each word has."""
+        starts, counts, parts = np.cumsum(sizes) - sizes, np.zeros(len(sizes), np.int64), []
         order = np.argsort(sizes, kind="stable")
         for group in np.split(order, np.flatnonzero(np.diff(sizes[order])) + 1) if len(order) else []:
             size = int(sizes[group[0]])
             step = max(1, CELLS // (size * min(size, self.longest)))
             for at in range(0, len(group), step):
                 part = group[at:at + step]
-                chars = np.frombuffer("".join(texts[i] for i in part).encode("utf-32-le"), np.uint32).reshape(len(part), size)
-                ends = self.viterbi(chars) if self.kind == "unigram" else self.merges(chars)
-                lattice_rows, starts = np.nonzero(ends)
-                lengths = ends[lattice_rows, starts] - starts
-                ids = self._ids(chars, lattice_rows, starts, lengths)
-                cuts = np.searchsorted(lattice_rows, np.arange(1, len(part)))
-                for i, own in zip(part, np.split(ids, cuts)):
-                    out[i] = own if own.dtype != object else np.array([x for p in own for x in (p if isinstance(p, list) else (p,))])
-        return out
+                own = chars[starts[part][:, None] + np.arange(size)]
+                lattice = self.lattice(own)
+                ends = self.viterbi(lattice) if self.kind == "unigram" else self.merges(lattice)
+                rows, first = np.nonzero(ends)
+                ids = lattice[rows, first, ends[rows, first] - first - 1].astype(np.int64)
+                bad = np.flatnonzero(ids < 0)
+                if len(bad):
+                    # A single character without a piece: its bytes.
+                    spelled = [chr(c).encode("utf-8", "replace") for c in own[rows[bad], first[bad]].tolist()]
+                    times = np.ones(len(ids), np.int64)
+                    times[bad] = [len(b) for b in spelled]
+                    ids, rows = np.repeat(ids, times), np.repeat(rows, times)
+                    ids[ids < 0] = self.byte_ids[np.frombuffer(b"".join(spelled), np.uint8)]
+                counts[part] = np.bincount(rows, minlength=len(part))
+                parts.append((part, ids))
+        first = np.cumsum(counts) - counts
+        out = np.empty(int(counts.sum()), np.int64)
+        for part, ids in parts:
+            out[ranges(first[part], counts[part])] = ids
+        return out, counts
 
-    def _ids(self, chars, rows, starts, lengths) -> np.ndarray:
-        keys, ids = self.keys
-        hashes = np.zeros(len(rows), np.uint64)
-        for k in range(int(lengths.max())):
-            more = lengths > k
-            hashes[more] = mix(hashes[more] + chars[rows[more], starts[more] + k].astype(np.uint64))
-        at = np.searchsorted(keys, hashes)
-        at[at == len(keys)] = 0
-        found = keys[at] == hashes
-        out = ids[at]
-        if found.all():
-            return out
-        out = out.astype(object)
-        for i in np.flatnonzero(~found):
-            # A single character without a piece: its bytes.
-            out[i] = [int(self.byte_ids[b]) for b in chr(chars[rows[i], starts[i]]).encode("utf-8", "replace")]
-        return out
+    @cached_property
+    def seen(self) -> Packed:
+        """Words met so far, a task's own: their ids, how many, and whether the first takes the space before the word."""
+        return Packed.none(2)
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "seen"}
+
+    def _known(self, hashes: np.ndarray, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, prefixed: np.ndarray) -> tuple[Packed, np.ndarray]:
+        """Words with the ids of all given ones, which have distinct hashes, and where each of these is.
+
+        A word that has a space before it is encoded with that; if its first piece is the space
+        alone, this id is left out.
+        """
+        seen = self.seen
+        new = np.flatnonzero(~np.isin(hashes, seen.hashes))
+        if len(new):
+            with_space = prefixed[new]
+            chars, sizes = _characters(buf, starts[new], ends[new])
+            longer = sizes + with_space
+            at = np.cumsum(longer) - longer
+            spaced = np.full(int(longer.sum()), ord(_SPACE), np.uint32)
+            spaced[ranges(at + with_space, sizes)] = chars
+            ids, counts = self._spelled(spaced, longer)
+            first = np.cumsum(counts) - counts
+            alone = with_space & (ids[first] == self.singles.get(_SPACE, -1))
+            seen = seen.plus(hashes[new], ids, first + alone, counts - alone, (with_space & ~alone).astype(np.int64))
+        self.seen = seen if len(seen.hashes) <= REMEMBERED else Packed.none(2)
+        return seen, np.searchsorted(seen.hashes, hashes)
 
     def run(self, count: int) -> list[int]:
         """Ids of ``count`` spaces on their own."""
@@ -238,16 +274,9 @@ class PieceModel:
         prefixed = gap > 0
 
         hashes = hash_spans(buf, starts, ends) ^ np.where(is_word & prefixed, np.uint64(0), np.uint64(0x5DEECE66D))
-        _, sample, kind = np.unique(hashes, return_index=True, return_inverse=True)
-        data = buf.tobytes()
-        own = [data[starts[i]:ends[i]].decode("utf-8", "replace") for i in sample]
-        found = self.words([_SPACE + w if is_word[i] and prefixed[i] else w for w, i in zip(own, sample)])
-        space = self.singles.get(_SPACE, -1)
-        takes = np.zeros(len(sample), np.int64)  # whether the word's first piece takes the space before it
-        for j, i in enumerate(sample):
-            if is_word[i] and prefixed[i]:
-                takes[j] = found[j][0] != space
-                found[j] = found[j][1 - takes[j]:]
+        hashes, sample, kind = np.unique(hashes, return_index=True, return_inverse=True)
+        seen, place = self._known(hashes, buf, starts[sample], ends[sample], is_word[sample] & prefixed[sample])
+        held, takes = (c[place] for c in seen.columns)
         run = gap - takes[kind]
         counts_per_text = np.bincount(of, minlength=len(texts))
         last_end = offsets[:-1].copy()
@@ -255,17 +284,19 @@ class PieceModel:
         tail = offsets[1:] - last_end + ((counts_per_text == 0) & (np.diff(offsets) > 0))
         # Atoms: words, then runs of spaces. Each event is a run and a word; each text ends in a run.
         lengths, run_kind = np.unique(np.concatenate([run, tail]), return_inverse=True)
-        atoms = found + [np.array(self.run(int(k)), np.int64) for k in lengths]
+        runs = [np.array(self.run(int(k)), np.int32) for k in lengths]
+        run_sizes = np.fromiter(map(len, runs), np.int64, len(runs))
         where = np.arange(len(of)) * 2 + of
         sequence = np.empty(2 * len(of) + len(texts), np.int64)
-        sequence[where] = len(found) + run_kind[:len(of)]
+        sequence[where] = len(place) + run_kind[:len(of)]
         sequence[where + 1] = kind
         closing = 2 * np.cumsum(counts_per_text) + np.arange(len(texts))
-        sequence[closing] = len(found) + run_kind[len(of):]
-        sizes = np.fromiter(map(len, atoms), np.int64, len(atoms))
-        flat = np.concatenate(atoms).astype("<u4") if atoms else np.zeros(0, "<u4")
+        sequence[closing] = len(place) + run_kind[len(of):]
+        sizes = np.concatenate([held, run_sizes])
+        firsts = np.concatenate([seen.firsts[place], len(seen.values) + np.cumsum(run_sizes) - run_sizes])
+        flat = np.concatenate([seen.values, *runs]).astype("<u4")
         counts = sizes[sequence]
-        ids = flat[ranges((np.cumsum(sizes) - sizes)[sequence], counts)]
+        ids = flat[ranges(firsts[sequence], counts)]
         return ids, np.concatenate([[0], np.cumsum(counts)[closing]])
 
     @cached_property
@@ -296,11 +327,33 @@ class PieceModel:
             return pa.array([b.as_py().decode("utf-8", "replace") for b in binary], pa.large_string())
 
 
-def _hash_text(text: str) -> int:
-    h = np.zeros(1, np.uint64)
-    for c in text:
-        h = mix(h + np.uint64(ord(c)))
-    return int(h[0])
+def _code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all texts one after another, and how many each has."""
+    return np.frombuffer("".join(texts).encode("utf-32-le"), "<u4"), np.fromiter(map(len, texts), np.int64, len(texts))
+
+
+def _characters(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for spans of UTF-8, none of them empty."""
+    sizes = ends - starts
+    data = buf[ranges(starts, sizes)]
+    begins = (data & 0xC0) != 0x80
+    first = np.cumsum(sizes) - sizes
+    if begins[first].all():
+        try:
+            return np.frombuffer(data.tobytes().decode().encode("utf-32-le"), "<u4"), np.add.reduceat(begins, first, dtype=np.int64)
+        except UnicodeDecodeError:
+            pass
+    whole = data.tobytes()
+    return _code_points([whole[a:a + n].decode("utf-8", "replace") for a, n in zip(first.tolist(), sizes.tolist())])
+
+
+def _hashes(chars: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Hash of each text, character by character."""
+    starts, hashes = np.cumsum(sizes) - sizes, np.zeros(len(sizes), np.uint64)
+    for k in range(int(sizes.max(initial=0))):
+        more = np.flatnonzero(sizes > k)
+        hashes[more] = mix(hashes[more] + chars[starts[more] + k].astype(np.uint64))
+    return hashes
 
 
 def encode_pieces(docs: DataFrame, model: PieceModel, text_col: str = "text", out: str = "ids") -> DataFrame:

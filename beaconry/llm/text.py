@@ -6,6 +6,7 @@ one call stay bounded, except for a single text that is longer than the bound.
 """
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -175,6 +176,29 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.repeat(starts - before, counts) + np.arange(total)
 
 
+@dataclass
+class Packed:
+    """Rows by sorted 64-bit hash: where each one's values begin, and further columns."""
+
+    hashes: np.ndarray
+    values: np.ndarray
+    firsts: np.ndarray
+    columns: tuple
+
+    @classmethod
+    def none(cls, columns: int) -> "Packed":
+        no = np.zeros(0, np.int64)
+        return cls(no.astype(np.uint64), no.astype(np.int32), no, (no,) * columns)
+
+    def plus(self, hashes: np.ndarray, values: np.ndarray, firsts: np.ndarray, *columns: np.ndarray) -> "Packed":
+        """With rows of hashes not known before; ``firsts`` are places in ``values``."""
+        every = np.concatenate([self.hashes, hashes])
+        order = np.argsort(every, kind="stable")
+        join = lambda old, new: np.concatenate([old, new])[order]
+        return Packed(every[order], np.concatenate([self.values, values.astype(np.int32)]), join(self.firsts, firsts + len(self.values)),
+                      tuple(join(old, new) for old, new in zip(self.columns, columns)))
+
+
 def add_columns(docs: DataFrame, text_col: str, fn: Callable, ddl: str, max_bytes: int = 2 << 20) -> DataFrame:
     """``docs`` with the columns of ``ddl``, which ``fn(texts)`` gives as arrays; columns of these names are replaced."""
     bounded_batches(docs.sparkSession)

@@ -67,3 +67,33 @@ def test_operators_round_trip(spark, model):
     assert decode_pieces(spark.createDataFrame([(None,), (np.array([1, 0, 3 + 0xFF], "<u4").tobytes(),)], "ids binary"), model).collect()[0].decoded == ""
     with pytest.raises(ValueError):
         PieceModel.load(PATH, "word")
+
+
+def test_words_met_before_are_not_encoded_again(monkeypatch):
+    """A task looks up words of earlier chunks; with no room to remember, the ids are the same."""
+    library = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    model, rnd, calls = PieceModel.load(PATH), random.Random(2), []
+    lattice = PieceModel.lattice
+    monkeypatch.setattr(PieceModel, "lattice", lambda self, chars: calls.append(len(chars)) or lattice(self, chars))
+    chunks = [ODD, ODD[::-1], ["".join(rnd.choice("ab eé\n ▁th日s") for _ in range(40)) for _ in range(50)], ODD]
+    made = []
+    for chunk in chunks:
+        calls.clear()
+        assert ids_of(model, chunk) == [library.encode(t) for t in chunk]
+        made.append(sum(calls))
+    assert made[0] > 0 and made[1] == 0 and made[2] > 0 and made[3] == 0
+    monkeypatch.setattr("beaconry.llm.pieces.REMEMBERED", 3)
+    assert all(ids_of(model, chunk) == [library.encode(t) for t in chunk] for chunk in chunks)
+
+
+def test_words_of_broken_utf8(model):
+    """Bytes that are no UTF-8, also where the next text goes on with them, are read as U+FFFD."""
+    broken = [b"ab \xc3", b"\xa9 x", b"a\xff\xfeb", "é".encode()]
+    sizes = np.cumsum([0, *map(len, broken)]).astype(np.int64)
+    texts = pa.LargeStringArray.from_buffers(len(broken), pa.py_buffer(sizes), pa.py_buffer(b"".join(broken)))
+    assert ids_of_array(model, texts) == ids_of(model, [t.decode("utf-8", "replace") for t in broken[:2]] + ["a��b", "é"])
+
+
+def ids_of_array(model, texts):
+    ids, offsets = model.encode(texts)
+    return [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])]
