@@ -31,13 +31,13 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from beaconry.llm.text import bounded_batches, hash_spans, joined, mix, ranges, slices
+from beaconry.llm.text import Packed, bounded_batches, hash_spans, joined, mix, ranges, slices
 from beaconry.plans.lineage import scratch_path
 
 # Text of a run, text tokenized at once, pairs in a frame, pairs merged at once, bytes of text per radix. None changes a result.
 CHUNK_BYTES, TOKENIZE_BYTES, FRAME, SLAB = 3 << 20, 1 << 18, 1 << 13, 1 << 20
 # Parts of texts that a task remembers.
-REMEMBERED = 200_000
+REMEMBERED = 500_000
 RADIX_BYTES, LEAST_RADICES, MOST_RADICES = 512 << 20, 64, 4096
 # Links made at once; a group of more links than this is counted by its distinct ids.
 LINKS, WIDE_GROUP = 1 << 21, 1 << 14
@@ -97,15 +97,21 @@ class Side:
             "▁" in model.id_to_piece(i).lstrip("▁") for i in range(model.get_piece_size()))
         return cls([meant(i) for i in range(model.get_piece_size())], lambda texts: model.encode([t[1:] for t in texts], num_threads=1), parts)
 
-    def tokens(self, texts: list[bytes]) -> list[bytes | None]:
-        """Ids (little-endian int32) of texts that begin with a space; None where they do not stand for the text's bytes."""
-        ids = self.encode([t.decode() for t in texts])
-        flat, counts = np.fromiter(chain.from_iterable(ids), np.int64), np.fromiter(map(len, ids), np.int64, len(ids))
-        ends = np.concatenate([[0], np.cumsum(counts)])
-        held = np.concatenate([[0], np.cumsum(self.lengths[flat])])[ends]
-        given = self.bytes[ranges(self.starts[flat], self.lengths[flat])].tobytes()
-        packed, n = flat.astype("<i4").tobytes(), ends.tolist()
-        return [packed[4 * n[i]:4 * n[i + 1]] if given[s:e] == t else None for i, (s, e, t) in enumerate(zip(held[:-1].tolist(), held[1:].tolist(), texts))]
+    def tokens(self, texts: list[str], buf: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of texts that begin with a space, how many each has, and whether they stand for the text's bytes.
+
+        ``buf`` holds the texts' bytes one after another, ``sizes`` of each.
+        """
+        ids = self.encode(texts)
+        counts = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.int64, int(counts.sum()))
+        held = np.concatenate([[0], np.cumsum(self.lengths[flat])])[np.concatenate([[0], np.cumsum(counts)])]
+        given = self.bytes[ranges(self.starts[flat], self.lengths[flat])]
+        good = np.diff(held) == sizes
+        of, n = np.flatnonzero(good), sizes[good]
+        differ = given[ranges(held[:-1][good], n)] != buf[ranges((np.cumsum(sizes) - sizes)[good], n)]
+        good[np.repeat(of, n)[differ]] = False
+        return flat, counts, good
 
 
 def _parts(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -121,7 +127,27 @@ class Tokenizers:
     """Both sides over whole texts; parts seen before are remembered by a 64-bit hash."""
 
     def __init__(self, sides: tuple[Side, Side]):
-        self.sides, self.known = sides, {}
+        self.sides, self.known = sides, Packed.none(3)
+
+    def _encoded(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple:
+        """Ids of parts, first side a's and then side b's of each; where they begin, how many of both sides, and whether they are right."""
+        sizes, data = ends - starts, buf.tobytes()
+        begins = np.cumsum(sizes) - sizes
+        cut = np.flatnonzero(np.diff(begins // TOKENIZE_BYTES, prepend=-1)).tolist()
+        ids, counts, good = ([], []), ([], []), np.ones(len(sizes), bool)
+        for first, last in zip(cut, [*cut[1:], len(sizes)]):
+            texts = [data[s:e].decode() for s, e in zip(starts[first:last].tolist(), ends[first:last].tolist())]
+            own = buf[ranges(starts[first:last], sizes[first:last])]
+            for side, tokenizer in enumerate(self.sides):
+                flat, n, right = tokenizer.tokens(texts, own, sizes[first:last])
+                ids[side].append(flat)
+                counts[side].append(n)
+                good[first:last] &= right
+        n_a, n_b = (np.concatenate(c) for c in counts)
+        at = np.cumsum(n_a + n_b) - n_a - n_b
+        values = np.empty(int((n_a + n_b).sum()), np.int32)
+        values[ranges(at, n_a)], values[ranges(at + n_a, n_b)] = (np.concatenate(x) for x in ids)
+        return values, at, n_a, n_b, good
 
     def tokens(self, texts: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Ids of every text on both sides; none for texts without tokens."""
@@ -130,30 +156,19 @@ class Tokenizers:
         starts = _parts(buf, offsets) if all(s.parts for s in self.sides) else offsets[:-1][np.diff(offsets) > 0]
         ends = np.append(starts[1:], len(buf)) if len(starts) else starts
         kinds, sample, kind = np.unique(hash_spans(buf, starts, ends), return_index=True, return_inverse=True)
-        data, keys = buf.tobytes(), kinds.tolist()
-        missing = [i for i, k in enumerate(keys) if k not in self.known]
-        own, todo, size = {}, [], 0
-        for j, i in enumerate(missing):
-            todo.append(data[starts[sample[i]]:ends[sample[i]]])
-            size += len(todo[-1])
-            if size > TOKENIZE_BYTES or j + 1 == len(missing):
-                own |= zip((keys[x] for x in missing[j + 1 - len(todo):j + 1]), zip(*(s.tokens(todo) for s in self.sides)))
-                todo, size = [], 0
-        found = [self.known[k] if k in self.known else own[k] for k in keys]
-        if len(self.known) + len(own) > REMEMBERED:
-            self.known = {}
-        self.known |= own if len(own) <= REMEMBERED else {}
-        good = np.array([x is not None and y is not None for x, y in found], bool)
+        known, new = self.known, np.flatnonzero(~np.isin(kinds, self.known.hashes))
+        if len(new):
+            known = known.plus(kinds[new], *self._encoded(buf, starts[sample[new]], ends[sample[new]]))
+        self.known = known if len(known.hashes) <= REMEMBERED else Packed.none(3)
+        place = np.searchsorted(known.hashes, kinds)[kind]
+        first, (n_a, n_b, good) = known.firsts[place], (c[place] for c in known.columns)
         at = np.searchsorted(starts, offsets)
-        bad = np.concatenate([[0], np.cumsum(~good[kind])]) if len(kind) else np.zeros(1, np.int64)
+        bad = np.concatenate([[0], np.cumsum(good == 0)])
         empty = bad[at[1:]] > bad[at[:-1]]
         out = []
-        for side in range(2):
-            ids = [f[side] if g else b"" for f, g in zip(found, good.tolist())]
-            counts = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-            flat = np.frombuffer(b"".join(ids), "<i4")
-            flat = flat[ranges((np.cumsum(counts) - counts)[kind], counts[kind])]
-            cut = np.concatenate([[0], np.cumsum(counts[kind])])[at]
+        for begins, counts in ((first, n_a), (first + n_a, n_b)):
+            flat = known.values[ranges(begins, counts)]
+            cut = np.concatenate([[0], np.cumsum(counts)])[at]
             out.append([flat[:0] if none else flat[s:e] for none, s, e in zip(empty.tolist(), cut[:-1].tolist(), cut[1:].tolist())])
         return out[0], out[1]
 

@@ -106,6 +106,40 @@ def test_parts():
     assert sum(len(x) > 0 for x in got[0]) > 2900
 
 
+def test_parts_met_before_are_not_encoded_again():
+    """300 000 different parts are remembered, whatever came between."""
+    asked = [0]
+
+    def letters(text):
+        asked[0] += 1
+        return list(text.encode())
+
+    vocabulary = [bytes([i]) for i in range(256)]
+    sides = tuple(alignment.Side(vocabulary, lambda texts: [letters(t) for t in texts], True) for _ in range(2))
+    tokenizers = alignment.Tokenizers(sides)
+    chunks = [pa.array([" ".join(f"w{n}" for n in range(first, first + 100_000))]) for first in range(0, 300_000, 100_000)]
+    before = [tokenizers.tokens(chunk) for chunk in chunks]
+    assert asked[0] == 2 * 300_000
+    after = [tokenizers.tokens(chunk) for chunk in chunks]
+    assert asked[0] == 2 * 300_000
+    for chunk, old, new in zip(chunks, before, after):
+        assert all(bytes(x.astype(np.uint8)).decode() == " " + chunk[0].as_py() for side in (*old, *new) for x in side)
+
+
+def test_parts_that_are_not_given_back(monkeypatch):
+    """A text with a part that either side changes has no tokens; others keep theirs, with any room to remember."""
+    vocabulary = [bytes([i]) for i in range(256)]
+    plain = alignment.Side(vocabulary, lambda texts: [list(t.encode()) for t in texts], True)
+    other = alignment.Side(vocabulary, lambda texts: [list(t.replace("x", "y").replace("z", "zz").encode()) for t in texts], True)
+    texts = pa.array(["ab cd", "ab x", None, "z ab", "", "cd ab ab", "qx"])
+    for room in (alignment.REMEMBERED, 2):
+        monkeypatch.setattr(alignment, "REMEMBERED", room)
+        tokenizers = alignment.Tokenizers((plain, other))
+        for _ in range(2):
+            for side in tokenizers.tokens(texts):
+                assert [bytes(x.astype(np.uint8)).decode() for x in side] == [" ab cd", "", "", "", "", " cd ab ab", ""]
+
+
 def test_supplied_documents(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
