@@ -10,7 +10,8 @@ text meets the strongest leader of its buckets first, then those leaders it hang
 not yet. So a group of copies costs about one comparison a text, not one a pair. Only where a bucket is then left with several classes, texts of different classes meet each other: their
 sketches chunk by chunk, which leaves the texts that are near to one of another class at all, then
 those with their bags, and only links leave those tasks. Candidates are verified on their whole
-bags, and links become classes by label propagation with pointer jumping. Only texts with a
+bags, and links become classes by label propagation with pointer jumping, over links that shrink
+from round to round to those between what is still apart. Only texts with a
 bucket mate are shuffled as texts, once, whatever the size of the table.
 """
 
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from beaconry.llm.text import bounded_batches, hash_spans, joined, mix, ranges, rolling, slices, word_spans
-from beaconry.plans.lineage import cut, scratch_path
+from beaconry.plans.lineage import scratch_path
 
 SHINGLE, SIMILARITY = 5, 0.8
 COMPONENTS, BANDS, ROWS = 256, 24, 4
@@ -201,18 +202,40 @@ def _remaining_links(members: DataFrame, texts: DataFrame, size: int, similarity
     return dealt.groupBy("g", "a", "b").applyInArrow(link, "u binary, v binary")
 
 
+def _flat(hooks: DataFrame) -> DataFrame:
+    """(node, root) with ``root`` the end of the way from each node over ``root`` to ``root``; three steps at a time."""
+    while True:
+        way = hooks
+        for step in range(2):
+            way = way.withColumn("before", F.col("root")).join(hooks.select(F.col("node").alias("root"), F.col("root").alias("next")), "root")
+            way = way.select("node", "before", F.col("next").alias("root"))
+        way = _stored(way.select("node", "root", (F.col("root") != F.col("before")).alias("moved")), "ways")
+        hooks = way.select("node", "root")
+        if way.where("moved").isEmpty():
+            return hooks
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) of all nodes in ``links`` (u, v): the smallest node each can be reached from."""
-    edges = _stored(links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "links")
-    labels = cut(edges.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("root")))
+    """(node, root) of all nodes in ``links`` (u, v): the smallest node each can be reached from.
+
+    In each round every node follows its smallest neighbour as far as that leads, and links are carried over
+    to where their ends have come. Those whose ends meet go, so a link within a group is looked at once or
+    twice, not in every round, and at least half of the nodes that still have links are done with.
+    """
+    ordered = lambda u, v: [F.greatest(u, v).alias("u"), F.least(u, v).alias("v")]
+    edges, labels = _stored(links.select(*ordered("u", "v")).distinct(), "links"), None
     while True:
-        of = lambda name, value: labels.select(F.col("node").alias(name), F.col("root").alias(value))
-        heard = edges.join(of("v", "other"), "v").groupBy("u").agg(F.min("other").alias("heard")).withColumnRenamed("u", "node")
-        lower = labels.join(heard, "node").select("node", "root", F.least("root", "heard").alias("low"))
-        new = lower.join(of("low", "jump"), "low").select("node", F.least("low", "jump").alias("root"), (F.least("low", "jump") != F.col("root")).alias("moved"))
-        new = cut(new)
-        labels = new.select("node", "root")
-        if new.where("moved").isEmpty():
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        hooks = both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("root"))
+        hooks = _flat(_stored(hooks, "hooks"))
+        of = lambda name, value: hooks.select(F.col("node").alias(name), F.col("root").alias(value))
+        if labels is None:
+            labels = hooks
+        else:
+            labels = _stored(labels.join(of("root", "on"), "root", "left").select("node", F.coalesce("on", "root").alias("root")), "labels")
+        apart = edges.where("u != v").join(of("v", "b"), "v").join(of("u", "a"), "u").where("a != b")
+        edges = _stored(apart.select(*ordered("a", "b")).distinct(), "links")
+        if edges.isEmpty():
             return labels
 
 

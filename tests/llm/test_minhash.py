@@ -78,6 +78,29 @@ def test_components(spark):
     assert components(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("members", [60, 240])
+def test_links_within_a_group_are_not_carried_along(spark, monkeypatch, members):
+    rnd = random.Random(members)
+    # Every member hangs on the smallest of its buckets, and buckets overlap; one long chain besides.
+    links = {(i, min(i, j)) for i in range(members) for j in rnd.sample(range(members), 12)}
+    links |= {(5000 + i, 5001 + i) for i in range(100)} | {(9000, 9000)}
+    key = lambda x: x.to_bytes(2, "big")
+    sizes, stored = [], minhash._stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        if name == "links":
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "_stored", counted)
+    got = {(r.node, r.root) for r in components(spark.createDataFrame([(key(u), key(v)) for u, v in links], "u binary, v binary")).collect()}
+    root = lambda x: 0 if x < members else min(x, 5000) if x < 9000 else x
+    assert got == {(key(x), key(root(x))) for l in links for x in l}
+    # A link is looked at in the first round, and later only while its ends are apart.
+    assert sizes[0] == len(links) and sizes[-1] == 0 and sum(sizes) <= 1.5 * len(links)
+
+
 @pytest.mark.parametrize("chunk", [256, 8])
 def test_classes_against_all_pairs(spark, monkeypatch, chunk):
     monkeypatch.setattr(minhash, "CHUNK_TEXTS", chunk)
