@@ -5,7 +5,8 @@ substrings; equal strings have equal anchors. Round 1 counts the anchors of all
 Consecutive starts with one anchor form a run; only runs whose anchor occurs twice are sent,
 as text, to the task of that anchor. There a suffix array is built by two-stage sorting:
 suffixes smaller than their successor are sorted directly, the others are induced by
-scanning the buckets of first bytes, and adjacent common prefixes tell the repeated strings.
+scanning the buckets of first bytes, and neighbours with a common prefix of ``length`` bytes
+are the repeated strings. What a block needs to read the verdicts on its runs it sends to itself.
 
 An anchor of very many runs (a passage that a third of the documents share, each with its
 own surroundings) would make one large group. Its runs are cut into pieces of ``PIECE``
@@ -14,26 +15,51 @@ bytes, and equal strings fall into pieces with equal cores; round 2 asks which c
 pieces are sent to the task of their core.
 
 Passages of so many whole words that are shorter than ``length`` go the same way: their starts
-are words instead of bytes, their strings end with their last word, and a hot run of them is
-cut into single strings. Both kinds never meet in one group.
+are words instead of bytes, only suffixes that begin with a word are sorted, their strings end
+with their last word, and a hot run of them is cut into single strings. Both kinds never meet
+in one group.
 """
 
+import io
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from beaconry.llm.routed import Blocks, answer, cuts
-from beaconry.llm.text import joined, mix, prefix_hashes, ranges, rolled, sliding_max, sliding_min, slices, span_hashes, word_spans
+from beaconry.llm.text import joined, mix, prefix_hashes, ranges, slices, span_hashes, word_spans
 
 GRAM, PIECE = 32, 4
 # Anchors of more runs than this are cut into pieces.
 HOT_RUNS = 1000
 BLOCK_BYTES, SHARD_BYTES, SLICE_BYTES, SORT_BYTES = 4 << 20, 12 << 20, 1 << 19, 1 << 18
+# Bytes of strings that are compared at a time.
+EQUAL_BYTES = 1 << 19
 # Random 64-bit value of each byte, from a rule.
 _VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _RESPREAD, _PASSAGES = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _RESULTS = ("kept", "n_bytes", "n_removed", "n_spans", "n_repeated")
 _FIRST, _SECOND = 0x9E3779B97F4A7C15, 0xE7037ED1A0B428DB
+# Begins what a block sends to itself; other messages begin with their number of parts, which is less.
+_OWN = b"\xff" * 4
+
+
+def _sorted_directly(text: bytes, starts: np.ndarray, depth: int) -> np.ndarray:
+    """``starts`` of at least two bytes each, by the ``depth`` bytes from there."""
+    if not len(starts):
+        return starts
+    # By their first two bytes, then within each such bucket, so that few keys are held at once.
+    t = np.frombuffer(text, np.uint8)
+    pairs = t[starts].astype(np.uint16) << np.uint16(8) | t[starts + 1]
+    order = np.argsort(pairs, kind="stable")
+    starts = starts[order]
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(pairs[order])) + 1, [len(starts)]]).tolist()
+    for a, b in zip(edges, edges[1:]):
+        if b - a > 1:
+            part = starts[a:b]
+            keys = list(map(text.__getitem__, map(slice, part.tolist(), (part + depth).tolist())))
+            starts[a:b] = part[sorted(range(b - a), key=keys.__getitem__)]
+    return starts
 
 
 def suffix_order(text: bytes, depth: int) -> np.ndarray:
@@ -50,12 +76,7 @@ def suffix_order(text: bytes, depth: int) -> np.ndarray:
     at = np.minimum.accumulate(at[::-1])[::-1]
     small = (t[at] < np.append(t[1:], np.uint8(0))[at]) & (at < n - 1)
     del at, differs
-    # By their first two bytes, then within each such bucket, so that few keys are held at once.
-    direct = np.flatnonzero(small).astype(np.int32)
-    pairs = t[direct].astype(np.uint16) << np.uint16(8) | t[direct + 1]
-    order = np.argsort(pairs, kind="stable")
-    parts = np.split(direct[order], np.flatnonzero(np.diff(pairs[order])) + 1)
-    direct = np.concatenate([np.array(sorted(part.tolist(), key=lambda p: text[p:p + depth]), np.int32) for part in parts])
+    direct = _sorted_directly(text, np.flatnonzero(small).astype(np.int32), depth)
     first = t[direct]
     edges = np.searchsorted(first, np.arange(257))
     induced: list[list[np.ndarray]] = [[] for _ in range(256)]
@@ -119,13 +140,25 @@ def repeated_starts(parts: list[bytes], length: int) -> np.ndarray:
     inside[starts] = True
     order = suffix_order(text, length)
     order = order[inside[order]]
-    equal = common_prefixes(text, order, length) >= length
+    equal = 1 + _equal_strings(text, order[:-1], order[1:], length)
     twice = np.zeros(len(text), bool)
     twice[order[equal]] = True
-    twice[order[np.flatnonzero(equal) - 1]] = True
+    twice[order[equal - 1]] = True
     return twice[starts]
 
 
+def _equal_strings(text: bytes, one: np.ndarray, two: np.ndarray, length: int) -> np.ndarray:
+    """Places of ``one`` and ``two`` whose ``length`` bytes from there, at least 8, are equal."""
+    lanes = np.ndarray(max(0, len(text) - 7), "<u8", text, strides=(1,))
+    whole = np.ndarray((max(0, len(text) - length + 1), length // 8), "<u8", text, strides=(1, 8))
+    at = np.arange(len(one))
+    for offset in (length - 8, 0):
+        at = at[lanes[one[at] + offset] == lanes[two[at] + offset]]
+    step = max(1, EQUAL_BYTES // length)
+    parts = [at[a:a + step] for a in range(0, len(at), step)]
+    return np.concatenate([part[(whole[one[part]] == whole[two[part]]).all(axis=1)] for part in parts]) if parts else at
+
+
 def repeated_passages(parts: list[bytes], n_words: int, longest: int) -> np.ndarray:
     """For all strings of ``n_words`` whole words of all parts, below ``longest`` bytes each: whether it occurs twice."""
     text = b"".join(parts)
@@ -135,8 +168,7 @@ def repeated_passages(parts: list[bytes], n_words: int, longest: int) -> np.ndar
     starts, sizes = begins[words], ends[words + n_words - 1] - begins[words]
     string = np.full(len(text), -1)
     string[starts] = np.arange(len(starts))
-    order = suffix_order(text, longest)
-    order = order[string[order] >= 0]
+    order = _sorted_directly(text, starts, longest)
     shared, size = common_prefixes(text, order, longest), sizes[string[order]]
     twice = np.zeros(len(starts), bool)
     # Next to an equal string may stand longer ones that begin with it; the common prefix with the
@@ -154,11 +186,62 @@ def repeated_passages(parts: list[bytes], n_words: int, longest: int) -> np.ndar
     return twice
 
 
-def _local_minima(values: np.ndarray, width: int) -> np.ndarray:
+def _smaller_before(first: np.ndarray, last: np.ndarray, values: np.ndarray, width: int) -> np.ndarray:
+    """The end of the nearest stretch before each that holds a smaller value and is less than ``width`` away, or one ``width`` away."""
+    found, todo, step = first - width, np.arange(1, len(first)), 1
+    while len(todo):
+        near, smaller = first[todo] - last[todo - step] < width, values[todo - step] < values[todo]
+        hit = todo[near & smaller]
+        found[hit] = last[hit - step]
+        step += 1
+        todo = todo[near & ~smaller]
+        todo = todo[todo >= step]
+    return found
+
+
+def _windows(at: np.ndarray, values: np.ndarray, width: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last start of the windows of ``width`` of ``n`` values whose minimum each place holds; none if last < first.
+
+    ``at`` are places in order, among them all that hold such a minimum.
+    """
+    if not len(at):
+        return at, at
+    # Equal values next to each other are bounded by the same smaller ones.
+    new = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
+    ends, of = np.append(new[1:], len(at)) - 1, np.repeat(np.arange(len(new)), np.diff(np.append(new, len(at))))
+    before = _smaller_before(at[new], at[ends], values[new], width)
+    behind = -_smaller_before(-at[ends][::-1], -at[new][::-1], values[new][::-1], width)[::-1]
+    return np.maximum(np.maximum(before[of] + 1, at - width + 1), 0), np.minimum(np.minimum(behind[of] - width, at), n - width)
+
+
+def _minima(values: np.ndarray, width: int) -> np.ndarray:
     """Places that hold the minimum of some ``width`` consecutive values; any longer stretch has its minimum at one."""
-    lowest = sliding_min(values, width)
-    edge = np.zeros(width - 1, values.dtype)
-    return np.flatnonzero(sliding_max(np.concatenate([edge, lowest, edge]), width) == values)
+    # Half of a window lies before or behind its minimum.
+    half = 1
+    lowest = values
+    while 2 * half <= (width + 1) // 2:
+        lowest = np.minimum(lowest[:-half], lowest[half:])
+        half *= 2
+    if len(values) < width:
+        return np.zeros(0, np.int64)
+    least = np.zeros(len(values), bool)
+    n = len(lowest)
+    least[:n] = lowest == values[:n]
+    least[half - 1:] |= lowest == values[half - 1:]
+    at = np.flatnonzero(least)
+    first, last = _windows(at, values[at], width, len(values))
+    return at[first <= last]
+
+
+def _number_before(places: np.ndarray, limits: np.ndarray) -> np.ndarray:
+    """How many of the ordered ``places`` lie before each of the ordered ``limits``; there are fewer places."""
+    return np.cumsum(np.bincount(np.searchsorted(limits, places, "right"), minlength=len(limits) + 1))[:len(limits)]
+
+
+def _grams(prefix: tuple[np.ndarray, np.ndarray], starts, ends) -> np.ndarray:
+    """Hashes of substrings of one length. Their values are random sums, so their order is too, without a last mix."""
+    sums, inverse = prefix
+    return (sums[ends] - sums[starts]) * inverse[starts]
 
 
 class _Runs:
@@ -170,8 +253,9 @@ class _Runs:
     def __init__(self, texts: pa.Array, length: int, n_words: int = 0, digest: bool = True):
         self.length, self.n_words = length, n_words
         self.buf, self.offsets = joined(texts)
+        self.begins, self.ends, words = word_spans(self.buf, self.offsets) if n_words else [self.offsets[:0]] * 3
         width = length - GRAM + 1
-        lo, hi, anchors, by_word, digests, keys, counts, begins, ends, n_before = [], [], [], [], [], [], [], [], [], 0
+        lo, hi, anchors, by_word, digests, keys, counts = [], [], [], [], [], [], []
         for a, b in slices(texts, SLICE_BYTES):
             base = self.offsets[a]
             offsets = self.offsets[a:b + 1] - base
@@ -180,7 +264,7 @@ class _Runs:
             if len(values) < GRAM:
                 continue
             prefix, other = prefix_hashes(values, _FIRST), prefix_hashes(values, _SECOND) if digest else None
-            grams = rolled(prefix, GRAM)
+            grams = _grams(prefix, slice(-GRAM), slice(GRAM, None))
 
             def add(first, last, start, stop, anchor, words):
                 lo.append(first)
@@ -190,30 +274,35 @@ class _Runs:
                 if digest:
                     digests.append((span_hashes(prefix, start, stop), span_hashes(other, start, stop)))
 
-            if len(values) >= length:
-                anchor = sliding_min(grams, width)
-                valid = np.zeros(len(anchor), bool)
-                valid[ranges(offsets[:-1], np.maximum(0, np.diff(offsets) - length + 1))] = True
-                chosen = np.concatenate([np.zeros(width - 1, np.uint64), np.where(valid, anchor, 0), np.zeros(width - 1, np.uint64)])
-                places = grams[sliding_max(chosen, width) == grams]
-                keys.append(mix(places + _RESPREAD))
-                counts.append(np.ones(len(places), np.int64))
-                same = valid[1:] & valid[:-1] & (anchor[1:] == anchor[:-1])
-                first = np.flatnonzero(valid & np.concatenate([[True], ~same]))
-                last = np.flatnonzero(valid & np.concatenate([~same, [True]]))
-                add(first + base, last + base, first, last + length, anchor[first], False)
+            # Passages of words of a letter are the shortest; among their minima are those of all longer strings.
+            low = _minima(grams, min(width, max(1, 2 * n_words - GRAM)) if n_words else width)
+            least = grams[low]
+            first, last = _windows(low, least, width, len(grams))
+            # Of those windows, the ones that are strings of one text: the last one's or else the first one's.
+            # They are fewer than ``width`` and so no strings of two texts.
+            text, earlier = (np.clip(np.searchsorted(offsets, x, "right"), 1, b - a) for x in (last, first))
+            begin, end = np.maximum(first, offsets[text - 1]), np.minimum(last, offsets[text] - length)
+            first, last = np.where(begin <= end, begin, first), np.where(begin <= end, end, np.minimum(last, offsets[earlier] - length))
+            some = first <= last
+            first, last, anchor = first[some], last[some], least[some]
+            keys.append(mix(anchor + _RESPREAD))
+            counts.append(np.ones(len(anchor), np.int64))
+            # Equal minima share windows; a run's strings follow each other.
+            first[1:] = np.maximum(first[1:], last[:-1] + 1)
+            some = first <= last
+            first, last, anchor = first[some], last[some], anchor[some]
+            new = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (first[1:] != last[:-1] + 1))[:len(first)])
+            first, last, anchor = first[new], last[np.append(new[1:], len(last))[:len(new)] - 1], anchor[new]
+            add(first + base, last + base, first, last + length, anchor, False)
             if n_words:
-                begin, end, _ = word_spans(data, offsets)
-                begins.append(begin + base)
-                ends.append(end + base)
+                n_before = words[a]
+                begin, end = (x[n_before:words[b]] - base for x in (self.begins, self.ends))
                 stop, start = end[n_words - 1:], begin[:max(0, len(begin) - n_words + 1)]
-                of = np.searchsorted(offsets, begin, "right")
+                of = np.repeat(np.arange(b - a), np.diff(words[a:b + 1]))
                 word = np.flatnonzero((of[:len(start)] == of[n_words - 1:]) & (stop - start < length))
                 start, stop = start[word], stop[word]
-                # Passages of words of a letter are the shortest; among their minima are those of all longer ones.
-                low = _local_minima(grams, max(1, 2 * n_words - GRAM)) if len(word) else word
-                least = np.append(grams[low], np.uint64(0))
-                edges = np.stack([np.searchsorted(low, start), np.searchsorted(low, stop - GRAM + 1)], axis=1)
+                least = np.append(least, np.uint64(0))
+                edges = np.stack([_number_before(low, start), _number_before(low, stop - GRAM + 1)], axis=1)
                 anchor = np.minimum.reduceat(least, edges.ravel())[::2] if len(word) else least[:0]
                 # A run's strings follow each other word by word.
                 new = np.ones(len(word), bool)
@@ -225,11 +314,9 @@ class _Runs:
                 keys.append(mix(anchor[first] + _PASSAGES))
                 counts.append(np.add.reduceat(hits, np.cumsum(n_low) - n_low).astype(np.int64) if len(first) else first)
                 add(word[first] + n_before, word[last] + n_before, start[first], stop[last], anchor[first], True)
-                n_before += len(begin)
         join = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
         self.lo, self.hi, self.anchor, self.by_word = join(lo, np.int64), join(hi, np.int64), join(anchors, np.uint64), join(by_word, bool)
         self.one, self.two = (join([d[i] for d in digests], np.uint64) for i in range(2))
-        self.begins, self.ends = join(begins, np.int64), join(ends, np.int64)
         # Anchors are minima and so all small; mixed anew, they spread evenly over key ranges.
         self.key = mix(self.anchor + np.where(self.by_word, _PASSAGES, _RESPREAD))
         self.keys, at = np.unique(join(keys, np.uint64), return_inverse=True)
@@ -256,7 +343,7 @@ class _Runs:
                 cores.append(span_hashes(prefix, start, end) ^ _PASSAGES)
             else:
                 at = np.arange(b - a - GRAM + 1)
-                places = np.flatnonzero(span_hashes(prefix, at, at + GRAM) == self.anchor[run])
+                places = np.flatnonzero(_grams(prefix, at, at + GRAM) == self.anchor[run])
                 starts = np.arange(b - a - self.length + 1)
                 place = places[np.searchsorted(places, starts)]  # the leftmost in each string
                 step = (place - starts) // PIECE
@@ -293,6 +380,20 @@ def _counted(payloads: list[bytes], code) -> list[bytes]:
     return [x.tobytes() for x in np.split(code(np.bincount(of, weights=counts)[of]).astype(np.uint8), np.cumsum(sizes)[:-1])]
 
 
+def _packed(*arrays: np.ndarray) -> bytes:
+    out = io.BytesIO()
+    for x in arrays:
+        np.save(out, x)
+    return out.getvalue()
+
+
+def _unpacked(payload: bytes) -> list[np.ndarray]:
+    held, arrays = io.BytesIO(payload), []
+    while held.tell() < len(payload):
+        arrays.append(np.load(held))
+    return arrays
+
+
 def _count_payload(keys: np.ndarray, counts: np.ndarray) -> bytes:
     return keys.astype("<u8").tobytes() + np.minimum(counts, 65535).astype("<u2").tobytes()
 
@@ -375,7 +476,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 400, id_col: str = "doc
         return runs, lo, hi, by_word, rank[kind], keys[kinds], one[kinds], two[kinds], kinds, times[order] > 1
 
     def send(table: pa.Table, replies: dict) -> dict[int, bytes]:
-        runs, lo, hi, by_word, _, keys, one, two, kinds, often = items(table, replies)
+        runs, lo, hi, by_word, kind, keys, one, two, kinds, often = items(table, replies)
         first, stop = runs.extent(lo[kinds], hi[kinds], by_word[kinds])
         starts, marks = (hi - lo + 1)[kinds].astype("<u4"), (often | by_word[kinds].astype(np.uint8) << 1).astype(np.uint8)
         sent = {}
@@ -384,9 +485,16 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 400, id_col: str = "doc
             columns = (np.array([b - a], "<u4"), keys[a:b].astype("<u8"), one[a:b].astype("<u8"), two[a:b].astype("<u8"),
                        (stop - first)[a:b].astype("<u4"), starts[a:b], marks[a:b])
             sent[s + 2 * shards] = b"".join([*(c.tobytes() for c in columns), *parts])
+        # What the block itself needs to read the answers goes round with them.
+        sent[own(table)] = _OWN + _packed(lo.astype("<u4"), (hi - lo).astype("<u4"), by_word, kind.astype("<u4"), starts, np.array(cuts(keys, shards), "<i8"))
         return sent
 
+    def own(table: pa.Table) -> int:
+        return 3 * shards + table["b"][0].as_py()
+
     def sort_shard(payloads, _) -> list[bytes]:
+        if payloads[0].startswith(_OWN):
+            return payloads
         keys, one, two, starts, marks, parts, sizes = [], [], [], [], [], [], []
         for p in payloads:
             n = int(np.frombuffer(p, "<u4", 1)[0])
@@ -399,51 +507,53 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 400, id_col: str = "doc
         kinds, of, times = _distinct(one, two)
         whole = (times > 1) | (np.bincount(of, weights=marks & 1, minlength=len(kinds)) > 0)
         starts, by_word, keys = starts[kinds].astype(np.int64), (marks[kinds] >> 1).astype(bool), keys[kinds]
-        verdict: list = [np.full(n, w) for n, w in zip(starts, whole)]
+        firsts, verdict = np.cumsum(starts) - starts, np.repeat(whole, starts)
         order = np.lexsort((keys, by_word))
-        new = np.flatnonzero((np.diff(keys[order]) != 0) | (np.diff(by_word[order].astype(int)) != 0)) + 1
-        groups = np.split(order, new)
+        edges = np.flatnonzero(np.append(True, (keys[order][1:] != keys[order][:-1]) | (by_word[order][1:] != by_word[order][:-1]))[:len(order)])
+        # Nothing is to be found where every text is repeated as a whole, or there is a single string.
+        unknown = np.add.reduceat(np.where(whole[order], 0, starts[order]), edges) if len(order) else edges
+        several = np.add.reduceat(starts[order], edges) > 1 if len(order) else edges
+        groups = [g for g, u in zip(np.split(order, edges[1:]), (unknown > 0) & several) if u]
         batch, held = [], 0
 
         def sort() -> None:
             texts = [parts[kinds[g]] for g in batch]
             found = repeated_passages(texts, passage_words, length) if by_word[batch[0]] else repeated_starts(texts, length)
-            for g, flags in zip(batch, np.split(found, np.cumsum(starts[batch])[:-1])):
-                verdict[g] = flags | whole[g]
+            verdict[ranges(firsts[batch], starts[batch])] |= found
 
         for group in groups:
             if batch and (held >= SORT_BYTES or by_word[group[0]] != by_word[batch[0]]):
                 sort()
                 batch, held = [], 0
-            # A single text that is repeated as a whole, or has one start, holds nothing to find.
-            if len(group) > 1 or (not whole[group[0]] and starts[group[0]] > 1):
-                batch += group.tolist()
-                held += sum(len(parts[kinds[g]]) for g in group)
+            batch += group.tolist()
+            held += sum(len(parts[kinds[g]]) for g in group)
         if batch:
             sort()
         edges = np.cumsum([0, *sizes])
-        return [np.packbits(np.concatenate([verdict[k] for k in of[a:b]])).tobytes() for a, b in zip(edges, edges[1:])]
+        return [np.packbits(verdict[ranges(firsts[of[a:b]], starts[of[a:b]])]).tobytes() for a, b in zip(edges, edges[1:])]
 
     def remove(table: pa.Table, replies: dict):
-        runs, lo, hi, by_word, kind, keys, _, _, kinds, _ = items(table, replies)
-        starts = (hi - lo + 1)[kinds]
-        flags = [np.unpackbits(np.frombuffer(replies[s + 2 * shards], np.uint8), count=int(starts[a:b].sum())) for s, a, b in cuts(keys, shards)]
+        lo, span, by_word, kind, starts, parts = _unpacked(replies[own(table)][len(_OWN):])
+        lo, span, starts = (x.astype(np.int64) for x in (lo, span, starts))
+        flags = [np.unpackbits(np.frombuffer(replies[s + 2 * shards], np.uint8), count=int(starts[a:b].sum())) for s, a, b in parts.tolist()]
         flags = np.concatenate(flags) if flags else np.zeros(0, np.uint8)
-        found = flags[ranges((np.cumsum(starts) - starts)[kind], hi - lo + 1)].astype(bool)
-        at, word = ranges(lo, hi - lo + 1)[found], np.repeat(by_word, hi - lo + 1)[found]
-        buf, offsets, begins, ends = runs.buf, runs.offsets, runs.begins, runs.ends
-        del runs, lo, hi, by_word, kind, keys, kinds, starts, flags, found, replies
+        found = flags[ranges((np.cumsum(starts) - starts)[kind], span + 1)].astype(bool)
+        at, word = ranges(lo, span + 1)[found], np.repeat(by_word, span + 1)[found]
+        del lo, span, by_word, kind, starts, flags, found, replies
+        buf, offsets = joined(table[text_at].combine_chunks())
         n = len(buf)
 
         def covered(first, stop) -> np.ndarray:
-            edges = np.zeros(n + 1, np.int32)
-            np.add.at(edges, first, 1)
-            np.add.at(edges, stop, -1)
+            # No two strings of a kind start, or end, at one place.
+            edges = np.zeros(n + 1, np.int8)
+            edges[first] += 1
+            edges[stop] -= 1
             return np.cumsum(edges[:n], dtype=np.int32) > 0
 
         gone = covered(at[~word], at[~word] + length)
         repeated = gone
         if passage_words:
+            begins, ends, _ = word_spans(buf, offsets)
             repeated = gone | covered(begins[at[word]], ends[at[word] + passage_words - 1])
         gone = repeated if as_text else gone
         edge = np.zeros(n + 1, bool)

@@ -28,3 +28,20 @@ def test_short_words(spark):
     # 45 words and 314 bytes are below both limits.
     assert all(texts[i] == text for i, text, _ in few)
     assert len(texts[99].split()) == 40
+
+
+def test_op9_counts_short_words(spark, tmp_path):
+    """op9 removes strings of 400 bytes; its n_repeated counts repeated passages of more than 50 words too."""
+    from beaconry.llm.queries import op9_suffixes
+
+    rnd = random.Random(7)
+    prose = lambda: " ".join("".join(rnd.choice("bcdfghjklmnp") for _ in range(9)) for _ in range(40))
+    passage, fewer = (" ".join(rnd.choice("abcdefghij") * 4 for _ in range(n)) for n in (51, 50))
+    long = " ".join(rnd.choice("abcdefghij") * 9 for _ in range(48))
+    texts = [f"{prose()} {p} {prose()}" for p in (passage, passage, fewer, fewer, long, long)]
+    spark.createDataFrame([*enumerate(texts), (9, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_repeated) for r in op9_suffixes(spark, str(tmp_path)).collect()}
+    assert len(passage) < 400 < len(long)
+    # A space on each side of the long passage repeats with it.
+    want = [(0, len(passage))] * 2 + [(0, 0)] * 2 + [(len(long) + 2, len(long) + 2)] * 2
+    assert got == {9: (0, 0, 0)} | {i: (len(t), *w) for i, (t, w) in enumerate(zip(texts, want))}

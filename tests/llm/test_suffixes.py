@@ -5,9 +5,10 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from beaconry.llm.suffixes import common_prefixes, remove_repeated_bytes, repeated_passages, repeated_starts, suffix_order
+from beaconry.llm.suffixes import _Runs, _minima, _windows, common_prefixes, remove_repeated_bytes, repeated_passages, repeated_starts, suffix_order
 
 
 @pytest.mark.parametrize("text", [b"", b"a", b"aaaaaaa", b"banana", b"mississippi\x00\xff\x00\x00", bytes(range(256)) * 2, b"abab" * 50 + b"ba"])
@@ -129,3 +130,39 @@ def test_empty_and_bad_length(spark):
     assert remove_repeated_bytes(df).count() == 0
     with pytest.raises(ValueError):
         remove_repeated_bytes(df, 8)
+
+
+@pytest.mark.parametrize("width", [1, 2, 7, 40])
+@pytest.mark.parametrize("kinds", [1, 2, 5, 10**6])
+def test_minima_of_windows(width, kinds):
+    """Places and windows of minima, with many equal values and fewer values than a window."""
+    rnd = random.Random(width * kinds)
+    for n in (0, 1, 6, 39, 40, 300):
+        values = np.array([rnd.randrange(kinds) for _ in range(n)], np.uint64)
+        starts = {}
+        for s in range(n - width + 1):
+            least = min(values[s:s + width])
+            for p in range(s, s + width):
+                if values[p] == least:
+                    starts.setdefault(p, []).append(s)
+        at = _minima(values, width)
+        assert at.tolist() == sorted(starts)
+        first, last = _windows(np.arange(n), values, width, n)
+        assert {p: list(range(a, b + 1)) for p, (a, b) in enumerate(zip(first, last)) if a <= b} == starts
+
+
+@pytest.mark.parametrize("words", [0, 17])
+def test_runs_are_all_strings(words):
+    """Runs hold every string of ``length`` bytes within a text once, whatever lies next to it."""
+    rnd = random.Random(words)
+    texts = ["".join(rnd.choice("ab ") for _ in range(rnd.choice([0, 5, 59, 60, 61, 75, 200]))) for _ in range(60)] + ["z" * 150, "ab" * 70, "z" * 60]
+    runs = _Runs(pa.array(texts), 60, words)
+    lo, hi = (x[~runs.by_word] for x in (runs.lo, runs.hi))
+    offsets = np.cumsum([0, *map(len, texts)])
+    assert [s for a, b in zip(lo, hi) for s in range(a, b + 1)] == [o + s for o, t in zip(offsets, texts) for s in range(len(t) - 59)]
+    # Equal strings have equal anchors, and every anchor is counted.
+    whole, anchors = "".join(texts), {}
+    for a, b, anchor, key in zip(lo, hi, runs.anchor[~runs.by_word], runs.key[~runs.by_word]):
+        assert key in runs.keys
+        for s in range(a, b + 1):
+            assert anchors.setdefault(whole[s:s + 60], anchor) == anchor
