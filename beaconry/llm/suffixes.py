@@ -495,15 +495,17 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 400, id_col: str = "doc
     def sort_shard(payloads, _) -> list[bytes]:
         if payloads[0].startswith(_OWN):
             return payloads
-        keys, one, two, starts, marks, parts, sizes = [], [], [], [], [], [], []
+        keys, one, two, starts, marks, begins, ends, sizes = [], [], [], [], [], [], [], []
         for p in payloads:
             n = int(np.frombuffer(p, "<u4", 1)[0])
             for column, kind, at in ((keys, "<u8", 0), (one, "<u8", 8), (two, "<u8", 16), (starts, "<u4", 28), (marks, np.uint8, 32)):
                 column.append(np.frombuffer(p, kind, n, 4 + at * n))
-            ends = 4 + 33 * n + np.cumsum(np.frombuffer(p, "<u4", n, 4 + 24 * n).astype(np.int64))
-            parts += [p[a:b] for a, b in zip([4 + 33 * n, *ends[:-1]], ends)]
+            size = np.frombuffer(p, "<u4", n, 4 + 24 * n).astype(np.int64)
+            ends.append(4 + 33 * n + np.cumsum(size))
+            begins.append(ends[-1] - size)
             sizes.append(n)
-        keys, one, two, starts, marks = (np.concatenate(x) for x in (keys, one, two, starts, marks))
+        keys, one, two, starts, marks, begins, ends = (np.concatenate(x) for x in (keys, one, two, starts, marks, begins, ends))
+        sender = np.repeat(np.arange(len(sizes)), sizes)
         kinds, of, times = _distinct(one, two)
         whole = (times > 1) | (np.bincount(of, weights=marks & 1, minlength=len(kinds)) > 0)
         starts, by_word, keys = starts[kinds].astype(np.int64), (marks[kinds] >> 1).astype(bool), keys[kinds]
@@ -517,7 +519,8 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 400, id_col: str = "doc
         batch, held = [], 0
 
         def sort() -> None:
-            texts = [parts[kinds[g]] for g in batch]
+            rows = kinds[batch]
+            texts = [payloads[i][a:b] for i, a, b in zip(sender[rows].tolist(), begins[rows].tolist(), ends[rows].tolist())]
             found = repeated_passages(texts, passage_words, length) if by_word[batch[0]] else repeated_starts(texts, length)
             verdict[ranges(firsts[batch], starts[batch])] |= found
 
@@ -526,7 +529,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 400, id_col: str = "doc
                 sort()
                 batch, held = [], 0
             batch += group.tolist()
-            held += sum(len(parts[kinds[g]]) for g in group)
+            held += int((ends[kinds[group]] - begins[kinds[group]]).sum())
         if batch:
             sort()
         edges = np.cumsum([0, *sizes])
