@@ -13,6 +13,10 @@ changes nothing, now or later, because templates only ever widen. So:
   templates ever enter one task whole;
 * remaining texts that fit a template completely are dropped, by an equi-join where a
   bucket's templates have few sets of wildcard positions, by the same blocks otherwise.
+
+Annotation needs no table of texts or templates, each as large as the bodies: a bucket that one
+round holds is mined and matched in one task, which returns only where templates blank the texts
+that are not their own template. Rows blank their own text. Crowded buckets take the rounds.
 """
 
 import numpy as np
@@ -20,6 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from beaconry.functions.columns import as_column
 from beaconry.functions.masking import WILDCARD, mask_body, normalized, pattern_id
 from beaconry.plans.grouped import map_groups
 from beaconry.plans.lineage import cut
@@ -30,6 +35,8 @@ SIMILARITY = 0.5
 TEXTS_PER_ROUND = 10_000
 # Tokens of one block of texts, or of one slice of templates.
 BLOCK_TOKENS = 4_000_000
+# Buckets up to which their names are broadcast, to leave rows of all others where they are.
+MAX_BUCKETS = 1_000_000
 # Sets of wildcard positions up to which a bucket's texts are blanked once for each.
 FEW_SHAPES = 32
 SLICES = 32
@@ -45,14 +52,34 @@ def _tokens(text="text") -> Column:
     return F.split(text, " ", -1)
 
 
+def _blanked(w: str = "w") -> Column:
+    """``text`` with wildcards where ``w`` is true."""
+    return F.array_join(F.transform(_tokens(), lambda t, i: F.when(F.get(w, i), WILDCARD).otherwise(t)), " ")
+
+
+def _digest() -> Column:
+    return F.unhex(F.sha2(F.col("text").cast("binary"), 256))
+
+
 def masked_texts(logs: DataFrame, body: str = "Body", max_chars: int | None = None) -> DataFrame:
     return logs.withColumn("text", normalized(mask_body(body, max_chars)))
 
 
-def distinct_texts(logs: DataFrame, body: str = "Body", time: str = "Timestamp", max_chars: int | None = None) -> DataFrame:
-    """Distinct masked texts with bucket, first sighting and number of rows, materialized once."""
-    texts = masked_texts(logs, body, max_chars).where(F.col("text") != "").groupBy("text").agg(
-        F.min(time).alias("first_seen"), F.count(F.lit(1)).alias("rows")
+def _bucketed(logs: DataFrame, body: str, time: str, max_chars: int | None) -> DataFrame:
+    """(first_seen, plain, bucket): unmasked texts of all rows that have one. Masks neither hold nor add blanks, so they change no number of tokens."""
+    head = as_column(body) if max_chars is None else F.substring(as_column(body), 1, max_chars)
+    # A condition on ``plain`` would be pushed below it and normalize every body twice.
+    return logs.where(head.rlike(r"(?U)\S")).select(as_column(time).alias("first_seen"), normalized(F.coalesce(head, F.lit(""))).alias("plain")).select(
+        "first_seen", "plain", F.size(_tokens("plain")).alias("n_tokens"), mask_body(F.substring_index("plain", " ", 1)).alias("first_token"))
+
+
+def distinct_texts(logs: DataFrame, body: str = "Body", time: str = "Timestamp", max_chars: int | None = None, buckets: DataFrame | None = None) -> DataFrame:
+    """Distinct masked texts with bucket, first sighting and number of rows, materialized once. Only those of ``buckets``, a small table, if given."""
+    rows = _bucketed(logs, body, time, max_chars)
+    if buckets is not None:
+        rows = rows.join(F.broadcast(buckets), BUCKET)
+    texts = rows.select(mask_body("plain").alias("text"), "first_seen").groupBy("text").agg(
+        F.min("first_seen").alias("first_seen"), F.count(F.lit(1)).alias("rows")
     )
     return cut(texts.select(
         "text", "first_seen", "rows", F.size(_tokens()).alias("n_tokens"), F.substring_index("text", " ", 1).alias("first_token")
@@ -76,26 +103,32 @@ def _most_similar(templates: np.ndarray, row: np.ndarray) -> tuple[int, int]:
     return best, int(counts[best])
 
 
+def _mined(coded: np.ndarray, n_known: int, similarity: float) -> np.ndarray:
+    """The templates, a column each, after all rows of ``coded``, of which the first ``n_known`` are templates already."""
+    width = coded.shape[1]
+    # A column per template: one text meets all templates position by position.
+    templates = np.empty((width, n_known + 16), dtype=np.int32)
+    templates[:, :n_known] = coded[:n_known].T
+    size = n_known
+    for row in coded[n_known:]:
+        if size:
+            best, agree = _most_similar(templates[:, :size], row)
+            if agree / width >= similarity:
+                templates[templates[:, best] != row, best] = 0
+                continue
+        if size == templates.shape[1]:
+            templates = np.concatenate([templates, np.empty_like(templates)], axis=1)
+        templates[:, size] = row
+        size += 1
+    return templates[:, :size]
+
+
 def _mine_bucket(similarity: float):
     def mine(columns, first, last, out):
         n_known = sum(columns["known"][first:last])
         coded, words = _coded(columns["text"][first:last])
-        width = coded.shape[1]
-        # A column per template: one text meets all templates position by position.
-        templates = np.empty((width, n_known + 16), dtype=np.int32)
-        templates[:, :n_known] = coded[:n_known].T
-        size = n_known
-        for row in coded[n_known:]:
-            if size:
-                best, agree = _most_similar(templates[:, :size], row)
-                if agree / width >= similarity:
-                    templates[templates[:, best] != row, best] = 0
-                    continue
-            if size == templates.shape[1]:
-                templates = np.concatenate([templates, np.empty_like(templates)], axis=1)
-            templates[:, size] = row
-            size += 1
-        created = range(columns["created"][first], columns["created"][first] + size - n_known)
+        templates = _mined(coded, n_known, similarity)
+        created = range(columns["created"][first], columns["created"][first] + templates.shape[1] - n_known)
         for ordinal, template in zip([*columns["ordinal"][first:first + n_known], *created], templates.T):
             out["n_tokens"].append(columns["n_tokens"][first])
             out["first_token"].append(columns["first_token"][first])
@@ -105,6 +138,25 @@ def _mine_bucket(similarity: float):
     return mine
 
 
+BLANKS = T.StructType([T.StructField("_key", T.BinaryType()), T.StructField("_w", T.ArrayType(T.BooleanType()))])
+
+
+def _blank_bucket(similarity: float):
+    def blank(columns, first, last, out):
+        if last - first == 1:  # its own template
+            return
+        coded, _ = _coded(columns["text"][first:last])
+        templates = _mined(coded, 0, similarity)
+        for key, row in zip(columns["_key"][first:last], coded):
+            best, _ = _most_similar(templates, row)  # a template that agrees everywhere: the first that fits
+            blanked = templates[:, best] != row
+            if blanked.any():
+                out["_key"].append(key)
+                out["_w"].append(blanked.tolist())
+
+    return blank
+
+
 _SCORES = T.StructType([
     *CLUSTERS.fields[:2], T.StructField("text", T.StringType()), T.StructField("agree", T.IntegerType()), T.StructField("ordinal", T.IntegerType()),
 ])
@@ -184,8 +236,7 @@ def _blanked_fits(texts: DataFrame, clusters: DataFrame, shapes: DataFrame) -> D
         shaped, clusters = texts.join(F.broadcast(shapes), BUCKET), F.broadcast(clusters)
     else:
         shaped = join_unique(texts, shapes, BUCKET, "inner")
-    blanked = F.array_join(F.transform(_tokens(), lambda t, i: F.when(F.get("w", i), WILDCARD).otherwise(t)), " ")
-    candidates = shaped.select("text", *BUCKET, F.explode("shapes").alias("w")).withColumn("template", blanked)
+    candidates = shaped.select("text", *BUCKET, F.explode("shapes").alias("w")).withColumn("template", _blanked())
     fits = candidates.join(clusters, [*BUCKET, "template"])
     first = F.min(F.struct("ordinal", "template"))
     return fits.groupBy("text").agg(first.alias("f")).select("text", "f.ordinal", "f.template")
@@ -247,6 +298,42 @@ def assign_templates(texts: DataFrame, clusters: DataFrame) -> DataFrame:
     return _first_fits(texts, clusters).select("text", "template")
 
 
+def _blanks(texts: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(_key, _w) of the texts that fit a template: their digest, and where that template blanks them."""
+    differs = F.zip_with(_tokens(), _tokens("template"), lambda t, u: t != u)
+    return assign_templates(texts, clusters).select(_digest().alias("_key"), differs.alias("_w"))
+
+
+def _mined_blanks(logs: DataFrame, body: str, time: str, max_chars: int | None, limit: int) -> DataFrame:
+    """(_key, _w) as in :func:`_blanks`, by the templates of ``logs``, without texts that are their own template.
+
+    Buckets of one text need no work. Buckets whose rows fit one round are mined and matched in
+    a task each; only their texts are shuffled. The others, few because each has many rows, take
+    the rounds of :func:`drain_templates`.
+    """
+    rows = _bucketed(logs, body, time, max_chars)
+    # Two seeds: buckets count as one text where 128 bits agree.
+    hashes = {"a": F.xxhash64("plain"), "b": F.xxhash64(F.lit(1), "plain")}
+    sizes = cut(rows.select(*BUCKET, *[h.alias(c) for c, h in hashes.items()]).groupBy(*BUCKET).agg(
+        F.count(F.lit(1)).alias("n"), *[(F.min(c) != F.max(c)).alias(f"{c}_differ") for c in hashes]
+    ).select(*BUCKET, (F.col("n") > _rows(limit)).alias("crowded"), (F.col("a_differ") | F.col("b_differ")).alias("mixed")))
+    crowded = sizes.where("mixed AND crowded").select(*BUCKET)
+    mixed = sizes.where("mixed AND NOT crowded").select(*BUCKET)
+    # Joins that keep rows by columns of the right side: semi and anti joins would be pushed below the bucket and compute it twice.
+    if is_small(mixed, max_rows=MAX_BUCKETS):
+        shared = rows.join(F.broadcast(mixed), BUCKET)
+    else:
+        shared = rows.join(F.broadcast(crowded.withColumn("crowded", F.lit(True))), BUCKET, "left").where(F.col("crowded").isNull())
+    # The aggregation and the groups find the rows dealt by bucket already.
+    texts = shared.select(*BUCKET, mask_body("plain").alias("text"), "first_seen").repartition(*BUCKET).groupBy(*BUCKET, "text").agg(F.min("first_seen").alias("first_seen"))
+    table = map_groups(texts.withColumn("_key", _digest()), BUCKET, ["first_seen", "text"], _blank_bucket(SIMILARITY), BLANKS)
+    if crowded.isEmpty():
+        return table
+    many = distinct_texts(logs, body, time, max_chars, crowded)
+    rest = _blanks(many, drain_templates(many, texts_per_round=limit))
+    return table.unionByName(rest.where(F.exists("_w", lambda b: b)))
+
+
 def annotate_patterns(logs: DataFrame, body: str = "Body", time: str = "Timestamp", enabled: bool = True,
                       max_chars: int | None = None, clusters: DataFrame | None = None,
                       texts_per_round: int = TEXTS_PER_ROUND) -> DataFrame:
@@ -257,14 +344,13 @@ def annotate_patterns(logs: DataFrame, body: str = "Body", time: str = "Timestam
     logs = logs.drop("PatternId", "PatternTemplate")
     if not enabled:
         return logs.withColumns({"PatternId": F.lit(""), "PatternTemplate": F.lit("")})
-    texts = distinct_texts(logs, body, time, max_chars)
-    if clusters is None:
-        clusters = drain_templates(texts, texts_per_round=texts_per_round)
     # Long texts are joined by digest; rows of one frequent text stay spread over tasks when
-    # the table of texts is small enough to broadcast, and are split by AQE otherwise.
-    digest = lambda: F.sha2(F.col("text").cast("binary"), 256)
-    table = assign_templates(texts, clusters).select(digest().alias("_key"), F.col("template").alias("PatternTemplate"))
-    keyed = masked_texts(logs, body, max_chars).withColumn("_key", digest()).drop("text")
+    # the table is small enough to broadcast, and are split by AQE otherwise.
+    if clusters is None:
+        table, alone = _mined_blanks(logs, body, time, max_chars, texts_per_round), F.col("text")
+    else:
+        table, alone = _blanks(distinct_texts(logs, body, time, max_chars), clusters), F.lit("")
+    keyed = masked_texts(logs, body, max_chars).withColumn("_key", _digest())
     joined = keyed.join(broadcast_if_small(cut(table)), "_key", "left").drop("_key")
-    template = F.coalesce("PatternTemplate", F.lit(""))
-    return joined.withColumn("PatternTemplate", template).withColumn("PatternId", pattern_id("PatternTemplate"))
+    template = F.when(F.col("_w").isNull(), alone).otherwise(_blanked("_w"))
+    return joined.withColumn("PatternTemplate", template).drop("text", "_w").withColumn("PatternId", pattern_id("PatternTemplate"))

@@ -1,3 +1,4 @@
+import os
 import random
 
 from pyspark.sql import functions as F
@@ -117,3 +118,69 @@ def test_crowded_bucket_in_blocks(spark, monkeypatch):
     by_blocks = {tuple(r) for r in patterns.assign_templates(texts, mined).collect()}
     monkeypatch.setattr(patterns, "FEW_SHAPES", 10_000)
     assert {tuple(r) for r in patterns.assign_templates(texts, mined).collect()} == by_blocks and len(by_blocks) == texts.count()
+
+
+def stored_bytes(spark):
+    top = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(top) for f in names)
+
+
+def test_annotation_stores_no_texts(spark):
+    """What is kept between the steps is a part of the bodies, not several copies of them."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(9)) for _ in range(500)]
+    bodies = [" ".join(["doc", *(rng.choice(words) for _ in range(400))]) for _ in range(60)]
+    bodies += [" ".join([*b.split(" ")[:-3], "other", "last", "words"]) for b in bodies[::3]]
+    bodies += [f"own{i} {b}" for i, b in enumerate(bodies)]
+    before = stored_bytes(spark)
+    got, _ = templates(spark, bodies)
+    assert stored_bytes(spark) - before < sum(map(len, bodies)) / 2
+    assert got[0] == got[60] == " ".join([*bodies[0].split(" ")[:-3], "<*>", "<*>", "<*>"]) and got[1] == bodies[1] and got[80:] == bodies[80:]
+
+
+def reference_annotation(rows):
+    """Template of each (time, body), masked bodies given: the first of the final templates that fits."""
+    first = {}
+    for time, body in rows:
+        text = " ".join((body or "").split())
+        if text:
+            first[text] = min([t for t in (first.get(text), time) if t is not None], default=None)
+    buckets = {}
+    for text in sorted(first, key=lambda t: (first[t] is not None, first[t], t)):
+        tokens = text.split(" ")
+        clusters = buckets.setdefault((len(tokens), tokens[0]), [])
+        agree = [sum(a in ("<*>", b) for a, b in zip(c, tokens)) / len(tokens) for c in clusters]
+        if clusters and max(agree) >= 0.5:
+            best = clusters[agree.index(max(agree))]
+            best[:] = [a if a in ("<*>", b) else "<*>" for a, b in zip(best, tokens)]
+        else:
+            clusters.append(tokens)
+    out = []
+    for _, body in rows:
+        tokens = (body or "").split()
+        fits = (c for c in buckets.get((len(tokens), tokens[0]), [])) if tokens else ()
+        out.append(next((" ".join(c) for c in fits if all(a in ("<*>", b) for a, b in zip(c, tokens))), ""))
+    return out
+
+
+def test_one_pass_and_rounds_agree(spark, monkeypatch):
+    """Repeated rows, rows without time or body, blanks of all kinds, wildcards in bodies; buckets of one text, of a few, and crowded ones."""
+    rng = random.Random(9)
+    words = [*"abcdefghijklmnopqrstuvwyz", "<*>", "x<*>"]
+    bodies = [" ".join([rng.choice(["go", "stop"]), *(rng.choice(words) for _ in range(rng.choice((3, 7, 7))))]) for _ in range(250)]
+    bodies += [b.replace(" ", rng.choice(["  ", "\t", "\n ", "\u2003"])) + " " for b in bodies[::7]] + [f"lone{c} a b" for c in "abc"] + ["", " \t", "\u2003", None]
+    rows = [(rng.choice([None, *range(40)]), b) for b in bodies + bodies[::5]]
+    rng.shuffle(rows)
+    expected = reference_annotation(rows)
+    df = spark.createDataFrame([(i, t, b, i) for i, (t, b) in enumerate(rows)], "EventId int, Timestamp int, Body string, w int")
+    assert len(set(expected)) > 20
+
+    def got(size):
+        out = patterns.annotate_patterns(df, texts_per_round=size).orderBy("EventId").collect()
+        assert [r.w for r in out] == list(range(len(rows)))
+        return [r.PatternTemplate for r in out]
+
+    for size in (10_000, 30):
+        assert got(size) == expected
+    monkeypatch.setattr(patterns, "is_small", lambda df, **_: False)
+    assert got(30) == expected
