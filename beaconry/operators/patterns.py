@@ -14,9 +14,9 @@ changes nothing, now or later, because templates only ever widen. So:
 * remaining texts that fit a template completely are dropped, by an equi-join where a
   bucket's templates have few sets of wildcard positions, by the same blocks otherwise.
 
-Annotation needs no table of texts or templates, each as large as the bodies: a bucket that one
-round holds is mined and matched in one task, which returns only where templates blank the texts
-that are not their own template. Rows blank their own text. Crowded buckets take the rounds.
+Where bodies hardly repeat, tables of texts or templates would be as large as the bodies. There,
+a bucket that one round holds is mined and matched in one task, which returns only where templates
+blank the texts that are not their own template. Rows blank their own text. Crowded buckets take the rounds.
 """
 
 import numpy as np
@@ -36,7 +36,9 @@ TEXTS_PER_ROUND = 10_000
 # Tokens of one block of texts, or of one slice of templates.
 BLOCK_TOKENS = 4_000_000
 # Buckets up to which their names are broadcast, to leave rows of all others where they are.
-MAX_BUCKETS = 1_000_000
+MAX_BUCKETS = 500_000
+# Rows looked at, and how many are enough, to see whether bodies repeat; distinct texts then hold this share of all characters, or less.
+SAMPLED, ENOUGH_ROWS, REPEATING = 0.01, 500, 0.1
 # Sets of wildcard positions up to which a bucket's texts are blanked once for each.
 FEW_SHAPES = 32
 SLICES = 32
@@ -58,7 +60,8 @@ def _blanked(w: str = "w") -> Column:
 
 
 def _digest() -> Column:
-    return F.unhex(F.sha2(F.col("text").cast("binary"), 256))
+    """128 bits for ``text``."""
+    return F.unhex(F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 32))
 
 
 def masked_texts(logs: DataFrame, body: str = "Body", max_chars: int | None = None) -> DataFrame:
@@ -298,14 +301,16 @@ def assign_templates(texts: DataFrame, clusters: DataFrame) -> DataFrame:
     return _first_fits(texts, clusters).select("text", "template")
 
 
-def _blanks(texts: DataFrame, clusters: DataFrame) -> DataFrame:
-    """(_key, _w) of the texts that fit a template: their digest, and where that template blanks them."""
-    differs = F.zip_with(_tokens(), _tokens("template"), lambda t, u: t != u)
-    return assign_templates(texts, clusters).select(_digest().alias("_key"), differs.alias("_w"))
+def _repeating(logs: DataFrame, body: str, time: str, max_chars: int | None) -> bool:
+    """Whether a table of distinct texts is a small part of the bodies, by a sample. It decides the plan only."""
+    lengths = _bucketed(logs.sample(SAMPLED, seed=1), body, time, max_chars).select(mask_body("plain").alias("text")).groupBy("text").agg(
+        F.count(F.lit(1)).alias("n")).select("n", F.length("text").cast("double").alias("c"))
+    seen = lengths.agg(F.sum("n").alias("rows"), F.sum("c").alias("distinct"), F.sum(F.col("c") * F.col("n")).alias("all")).head()
+    return (seen["rows"] or 0) >= ENOUGH_ROWS and seen["distinct"] <= REPEATING * seen["all"]
 
 
 def _mined_blanks(logs: DataFrame, body: str, time: str, max_chars: int | None, limit: int) -> DataFrame:
-    """(_key, _w) as in :func:`_blanks`, by the templates of ``logs``, without texts that are their own template.
+    """(_key, _w) of the texts that are not their own template: their digest, and where their template blanks them.
 
     Buckets of one text need no work. Buckets whose rows fit one round are mined and matched in
     a task each; only their texts are shuffled. The others, few because each has many rows, take
@@ -330,8 +335,9 @@ def _mined_blanks(logs: DataFrame, body: str, time: str, max_chars: int | None,
     if crowded.isEmpty():
         return table
     many = distinct_texts(logs, body, time, max_chars, crowded)
-    rest = _blanks(many, drain_templates(many, texts_per_round=limit))
-    return table.unionByName(rest.where(F.exists("_w", lambda b: b)))
+    differs = F.zip_with(_tokens(), _tokens("template"), lambda t, u: t != u)
+    rest = assign_templates(many, drain_templates(many, texts_per_round=limit)).where(F.col("text") != F.col("template"))
+    return table.unionByName(rest.select(_digest().alias("_key"), differs.alias("_w")))
 
 
 def annotate_patterns(logs: DataFrame, body: str = "Body", time: str = "Timestamp", enabled: bool = True,
@@ -346,11 +352,15 @@ def annotate_patterns(logs: DataFrame, body: str = "Body", time: str = "Timestam
         return logs.withColumns({"PatternId": F.lit(""), "PatternTemplate": F.lit("")})
     # Long texts are joined by digest; rows of one frequent text stay spread over tasks when
     # the table is small enough to broadcast, and are split by AQE otherwise.
-    if clusters is None:
-        table, alone = _mined_blanks(logs, body, time, max_chars, texts_per_round), F.col("text")
-    else:
-        table, alone = _blanks(distinct_texts(logs, body, time, max_chars), clusters), F.lit("")
     keyed = masked_texts(logs, body, max_chars).withColumn("_key", _digest())
-    joined = keyed.join(broadcast_if_small(cut(table)), "_key", "left").drop("_key")
-    template = F.when(F.col("_w").isNull(), alone).otherwise(_blanked("_w"))
-    return joined.withColumn("PatternTemplate", template).drop("text", "_w").withColumn("PatternId", pattern_id("PatternTemplate"))
+    if clusters is None and not _repeating(logs, body, time, max_chars):
+        table = _mined_blanks(logs, body, time, max_chars, texts_per_round)
+        template = F.when(F.col("_w").isNull(), F.col("text")).otherwise(_blanked("_w"))
+    else:
+        texts = distinct_texts(logs, body, time, max_chars)
+        if clusters is None:
+            clusters = drain_templates(texts, texts_per_round=texts_per_round)
+        table = assign_templates(texts, clusters).select(_digest().alias("_key"), F.col("template").alias("_t"))
+        template = F.coalesce("_t", F.lit(""))
+    joined = keyed.join(broadcast_if_small(cut(table)), "_key", "left")
+    return joined.withColumn("PatternTemplate", template).drop("text", *table.columns).withColumn("PatternId", pattern_id("PatternTemplate"))

@@ -182,5 +182,17 @@ def test_one_pass_and_rounds_agree(spark, monkeypatch):
 
     for size in (10_000, 30):
         assert got(size) == expected
+    with monkeypatch.context() as m:  # as where bodies repeat
+        m.setattr(patterns, "_repeating", lambda *_: True)
+        assert got(30) == expected
     monkeypatch.setattr(patterns, "is_small", lambda df, **_: False)
     assert got(30) == expected
+
+
+def test_repeating_bodies_are_told_by_their_characters(spark, monkeypatch):
+    monkeypatch.setattr(patterns, "SAMPLED", 1.0)
+    told = lambda bodies: patterns._repeating(logs(spark, bodies), "Body", "Timestamp", None)
+    assert told([f"user {i} in" for i in range(600)]) and not told([f"user {i} in" for i in range(400)])
+    assert not told([f"user u{i}s in" for i in range(600)]) and not told([None] * 600) and not told([])
+    # Most rows repeat, but not most characters.
+    assert not told(["ok"] * 600 + [f"{i} " + f"w{i}w " * 300 for i in range(60)])
